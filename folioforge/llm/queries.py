@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, mixing, secrets, token_counts
+from . import encoding, mixing, neardup, secrets, token_counts
 from .common import documents
 
 
@@ -32,7 +32,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("first_position", 3).alias("first_position"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op5_token_counts, op7_secret_scan, op9_mixing)}
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op5_token_counts, op7_secret_scan, op9_mixing, op10_near_duplicates)}
 
 ORACLES = {
     "op9_mixing": r"""
@@ -71,4 +75,24 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, CAST(whole * size + more AS BIGINT) AS taken,
        round(g.d1 * moment + g.d2 * moment * moment, 3) AS first_position
 FROM q, g""",
+    "op10_near_duplicates": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), g AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS s FROM w
+), u AS (
+  SELECT doc_id, CAST(len(s) AS BIGINT) AS n, unnest(s) AS sh FROM g
+), l AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM u a JOIN u b ON a.sh = b.sh AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), r AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION
+  SELECT r.x, l.y FROM r JOIN l ON r.y = l.x
+), c AS (
+  SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x
+)
+SELECT g.doc_id, CAST(len(g.s) AS BIGINT) AS n_shingles, c.component_id, g.doc_id = c.component_id AS kept
+FROM g JOIN c ON g.doc_id = c.doc_id""",
 }
