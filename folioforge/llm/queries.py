@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, mixing, neardup, secrets, token_counts
+from . import encoding, mixing, neardup, ordermin, quality, secrets, token_counts, topk
 from .common import documents
 
 
@@ -36,7 +36,19 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op5_token_counts, op7_secret_scan, op9_mixing, op10_near_duplicates)}
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordermin.fingerprints(documents(spark, sf_dir))
+
+
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_quality, op4_order_minhash, op5_token_counts, op6_top_k, op7_secret_scan, op9_mixing, op10_near_duplicates)}
 
 ORACLES = {
     "op9_mixing": r"""
@@ -75,6 +87,16 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, CAST(whole * size + more AS BIGINT) AS taken,
        round(g.d1 * moment + g.d2 * moment * moment, 3) AS first_position
 FROM q, g""",
+    "op6_top_k": """
+WITH x AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda c: CAST(floor(64 * CAST(c AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM x q JOIN x c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+FROM p QUALIFY rank <= 20""",
     "op10_near_duplicates": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
