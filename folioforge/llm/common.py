@@ -65,7 +65,7 @@ def arrow_map(df: DataFrame, ddl: str, rows: Callable[[Iterator[dict[str, list]]
                 yield {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
 
         for out in rows(dicts()):
-            batch = pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
+            batch = pa.RecordBatch.from_arrays([x if isinstance(x := out[f.name], pa.Array) else pa.array(x, f.type) for f in schema], schema=schema)
             for k in range(0, batch.num_rows, 20 * BATCH_ROWS):
                 yield batch.slice(k, 20 * BATCH_ROWS)
 

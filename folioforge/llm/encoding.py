@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 from array import array
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import arrow_map, text_or_empty
@@ -14,6 +16,24 @@ DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 WHOLE = "doc_id long, n_tokens long, ids array<int>, decoded string"
 
 
+IDS = "doc_id long, n_tokens long, ids array<int>"
+
+
+def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """doc_id, n_tokens and ids only; cases as in encode_decode."""
+
+    def rows(it):
+        make = word_vocabulary(vocabulary).encode
+        for b in it:
+            packed = [make(t)[0] for t in b["text"]]
+            sizes = np.array([len(p) // 4 for p in packed], np.int64)
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+            yield {"doc_id": b["doc_id"], "n_tokens": sizes.tolist(), "ids": ids}
+
+    return arrow_map(text_or_empty(docs), IDS, rows)
+
+
 def encode_decode(docs: DataFrame, vocabulary: str, digests: bool = False) -> DataFrame:
     """Encode every text with the word vocabulary at the path `vocabulary`, and decode the ids again.
 

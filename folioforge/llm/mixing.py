@@ -58,8 +58,9 @@ def mix(
 ) -> DataFrame:
     """How many words of each document the mix takes, and where in training its passes begin.
 
-    Returns a row for each row of docs: doc_id, source, size, source_size, target, taken, positions (array of
-    doubles, one for each pass over the document, empty if nothing is taken) and the columns in carry.
+    Returns a row for each row of docs: doc_id, source, size, source_size, target, taken, whole (full passes), more
+    (words of a last pass), positions (array of doubles, one for each pass over the document, empty if nothing is
+    taken) and the columns in carry, with carry_ before their names.
 
     A source's documents stand in the order of md5(doc_id); the mix reads through them again and again until the
     target is met, so all are taken floor(target / source_size) times and the first of the order once more, the last
@@ -73,7 +74,7 @@ def mix(
     A source's running sum is cut at the first hex digits of the key into even buckets, so that no source, however
     large, meets in one task; the result is in the order of the first position (range partitions).
     """
-    keep = [c for c in ("text", *carry) if c in carry]
+    keep = list(carry)
     rows = docs.select(
         "doc_id",
         F.col("source"),
@@ -111,11 +112,26 @@ def mix(
         return F.col("first") * at + F.col("second") * at * at
 
     positions = F.transform(F.when(passes > 0, F.sequence(F.lit(0).cast("long"), passes - 1)).otherwise(F.array().cast("array<long>")), position)
-    out = rows.select("doc_id", "source", "size", "source_size", "target", "taken", positions.alias("positions"), *(F.col(f"carry_{c}").alias(c) for c in keep if c != "source"))
-    return out
+    return rows.select("doc_id", "source", "size", "source_size", "target", "taken", "whole", "more", positions.alias("positions"), *(f"carry_{c}" for c in keep))
 
 
 def in_order(mixed: DataFrame) -> DataFrame:
     """Range-sort by the first position; documents that take nothing come last."""
     first = F.get("positions", F.lit(0))
     return mixed.withColumn("first_position", first).orderBy(F.asc_nulls_last("first_position"), "doc_id")
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """docs as training reads them: a row for each pass over a document, range-sorted by position, columns as they were.
+
+    The one pass of a source that its target cuts short holds the first words only, with single spaces between.
+    n_chars is set anew for it where it is a column.
+    """
+    columns = docs.columns
+    rows = mix(docs, tuple(columns)).select("*", F.posexplode("positions").alias("pass", "position"))
+    cut = (F.col("pass") == F.col("whole")) & (F.col("more") < F.col("size"))
+    short = F.array_join(F.slice(F.regexp_extract_all("carry_text", F.lit(f"({WORDS})"), 1), 1, F.col("more").cast("int")), " ")
+    rows = rows.withColumn("cut", cut).withColumn("carry_text", F.when(cut, short).otherwise(F.col("carry_text")))
+    if "n_chars" in columns:
+        rows = rows.withColumn("carry_n_chars", F.when(F.col("cut"), F.length("carry_text").cast("long")).otherwise(F.col("carry_n_chars")))
+    return rows.orderBy("position", "doc_id").select(*(F.col(f"carry_{c}").alias(c) for c in columns))

@@ -53,6 +53,8 @@ def indicators(text: str) -> np.ndarray:
     s = h & np.uint64(0xFF)
     grams = [h * np.uint64(3)]
     if len(h) > 1:
+        again = int((h[1:] == h[:-1]).sum())  # tokens that repeat the one before
+        grams.append(np.array([(1 << 42) + min(again.bit_length(), 6)], np.uint64))
         grams += [h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:], np.unique(s[:-1] << np.uint64(8) | s[1:]) + np.uint64(1 << 40)]
     if len(h) > 2:
         grams.append(np.unique(s[:-2] << np.uint64(16) | s[1:-1] << np.uint64(8) | s[2:]) + np.uint64(1 << 41))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, mixing, neardup, ordermin, quality, secrets, token_counts, topk
+from . import attention, encoding, mixing, neardup, ordermin, quality, secrets, token_counts, topk, training_order
 from .common import documents
 
 
@@ -36,6 +36,11 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = training_order.training_order(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+    return placed.select("slot", "shard", "offset", "doc_id", "seq_no", F.expr("length(ids) div 2").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -48,7 +53,11 @@ def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_quality, op4_order_minhash, op5_token_counts, op6_top_k, op7_secret_scan, op9_mixing, op10_near_duplicates)}
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention.score(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_training_order, op3_quality, op4_order_minhash, op5_token_counts, op6_top_k, op7_secret_scan, op8_lm_scoring, op9_mixing, op10_near_duplicates)}
 
 ORACLES = {
     "op9_mixing": r"""
