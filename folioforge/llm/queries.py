@@ -54,7 +54,7 @@ def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attention.score(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+    return attention.score(documents(spark, sf_dir), tokenizer("byte_bpe_50k.tiktoken"))
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_training_order, op3_quality, op4_order_minhash, op5_token_counts, op6_top_k, op7_secret_scan, op8_lm_scoring, op9_mixing, op10_near_duplicates)}
