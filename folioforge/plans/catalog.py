@@ -1,10 +1,398 @@
-"""The library's registered queries, and SQL with the same rows."""
+"""The library's registered queries over whole tables, and SQL with the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import structured, text
+from ..operators import chunking, concepts, dialogue, facts, generate, index, retrieval
+from ..sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def on_documents(expr: Callable, name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: table(spark, d, "documents").select("doc_id", expr(F.col("text")).alias(name))
+
+
+STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+SQUEEZE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+_NORM = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, chr(160), ' ', 'g'), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+#: Sentences: a mark after . ! ? with white space behind, and at blank lines; then split, strip and drop blanks.
+_SENT = r"list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '\n{2,}', chr(1), 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
+_LINE_SENT = r"list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '\n+', chr(1), 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
+_RAG = "list_filter(regexp_extract_all(lower({}), '[a-zа-яё0-9]+'), lambda x: len(x) > 1)"
+_LOW = r"""(len(trim({0}, E' \t\n\r')) < 120 OR len(list_filter(string_split({0}, chr(10)), lambda x: regexp_matches(x, '\.{{4,}}\s*\d{{1,3}}\s*$'))) >= 2
+  OR len(list_filter(string_split({0}, chr(10)), lambda x: regexp_matches(x, '\.{{4,}}\s*\d{{1,3}}\s*$'))) + len(list_filter(string_split({0}, chr(10)), lambda x: regexp_full_match(trim(x), '\d{{1,3}}')))
+   >= greatest(3, len(list_filter(string_split({0}, chr(10)), lambda x: trim(x) <> '')) // 2))"""
+_SIG = r"substr(trim(regexp_replace(lower({}), '\s+', ' ', 'g')), 1, 800)"
+
+
+def _substitution_sql() -> str:
+    old, new = text.substitution_map()
+    lit = lambda s: " || ".join(f"chr({ord(c)})" for c in s)
+    kept = "[^" + "".join(f"\\x{ord(c):02x}" for c in old) + "]"
+    return (
+        rf"SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '\S+|\s+'), lambda t: CASE WHEN contains(lower(t), 'http') OR contains(t, '/') "
+        rf"OR len(regexp_replace(t, '{kept}', '', 'g')) < 3 OR len(regexp_replace(t, '{kept}', '', 'g')) / len(t) < 0.55 THEN t ELSE translate(t, {lit(old)}, {lit(new)}) END), '') AS decoded FROM documents"
+    )
+
+
+QUERIES["normalize_whitespace"] = on_documents(text.normalize_whitespace, "normalized")
+ORACLES["normalize_whitespace"] = f"SELECT doc_id, {_NORM.format('text')} AS normalized FROM documents"
+QUERIES["decode_substitution"] = on_documents(text.decode_substitution, "decoded")
+ORACLES["decode_substitution"] = _substitution_sql()
+QUERIES["fix_pdf_artifacts"] = on_documents(text.fix_pdf_artifacts, "fixed")
+QUERIES["normalize_text"] = on_documents(text.normalize_text, "normalized")
+QUERIES["shorten"] = on_documents(text.shorten, "short")
+ORACLES["shorten"] = f"SELECT doc_id, CASE WHEN len(s) <= 180 THEN s ELSE rtrim(substr(s, 1, 177)) || '...' END AS short FROM (SELECT doc_id, {SQUEEZE.format('text')} AS s FROM documents)"
+QUERIES["short_text"] = on_documents(lambda c: text.short_text(c, 64), "short")
+ORACLES["short_text"] = f"SELECT doc_id, CASE WHEN len(s) <= 64 THEN s WHEN rtrim(regexp_extract(substr(s, 1, 64), '^(.*) [^ ]*$', 1)) = '' THEN substr(s, 1, 64) ELSE rtrim(regexp_extract(substr(s, 1, 64), '^(.*) [^ ]*$', 1)) END AS short FROM (SELECT doc_id, {SQUEEZE.format('text')} AS s FROM documents)"
+QUERIES["low_signal_filter"] = on_documents(text.low_signal, "low_signal")
+ORACLES["low_signal_filter"] = f"SELECT doc_id, {_LOW.format('text')} AS low_signal FROM documents"
+QUERIES["safe_filename"] = on_documents(lambda c: text.safe_filename(F.substring(c, 1, 80)), "file")
+ORACLES["safe_filename"] = "SELECT doc_id, CASE WHEN f = '' THEN 'presentation' ELSE f END AS file FROM (SELECT doc_id, regexp_replace(regexp_replace(substr(text, 1, 80), '[^a-zA-Z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS f FROM documents)"
+QUERIES["dialogue_prepare"] = on_documents(text.prepared_source, "prepared")
+QUERIES["dialogue_coerce"] = on_documents(dialogue.coerced, "dialogue")
+QUERIES["clean_ocr_noise"] = on_documents(text.clean_ocr_noise, "clean")
+
+
+@query(f"SELECT doc_id, CAST(generate_subscripts(s, 1) - 1 AS INT) AS pos, unnest(s) AS sentence FROM (SELECT doc_id, {_SENT} AS s FROM documents)")
+def split_sentences(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(text.split_sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+_CHUNKS = rf"""
+WITH s AS (SELECT doc_id, source, {_SENT} AS ss FROM documents), f AS (
+  SELECT doc_id, source, list_reduce(list_transform(ss, lambda x: {{'done': []::VARCHAR[], 'held': x}}), lambda a, b: CASE
+      WHEN len(b.held) > 900 THEN {{'done': list_concat(CASE WHEN a.held <> '' THEN list_append(a.done, a.held) ELSE a.done END,
+        list_filter(list_transform(range(0, len(b.held), 720), lambda i: regexp_replace(substr(b.held, CAST(i + 1 AS BIGINT), 900), '^\s+|\s+$', '', 'g')), lambda w: w <> '')), 'held': ''}}
+      WHEN a.held = '' THEN {{'done': a.done, 'held': b.held}}
+      WHEN len(a.held) + 1 + len(b.held) <= 900 THEN {{'done': a.done, 'held': a.held || ' ' || b.held}}
+      ELSE {{'done': list_append(a.done, a.held), 'held': regexp_replace(regexp_replace(right(a.held, 180), '^\s+|\s+$', '', 'g') || ' ' || b.held, '^\s+|\s+$', '', 'g')}} END,
+    {{'done': []::VARCHAR[], 'held': ''}}) AS r
+  FROM s WHERE len(ss) > 0
+), c AS (
+  SELECT doc_id, source, CASE WHEN r.held <> '' THEN list_append(r.done, r.held) ELSE r.done END AS cs FROM f
+), chunks AS (
+  SELECT doc_id, source, CAST(generate_subscripts(cs, 1) - 1 AS INT) AS chunk_index, unnest(cs) AS text FROM c
+)"""
+
+
+def chunks(spark, d) -> DataFrame:
+    return chunking.build_chunks(table(spark, d, "documents"), "doc_id", "source")
+
+
+@query(_CHUNKS + " SELECT CAST(doc_id AS VARCHAR) AS source_path, source AS source_name, chunk_index, text FROM chunks")
+def chunk_documents(spark, d):
+    return chunks(spark, d).drop("chunk_id")
+
+
+@query(
+    _CHUNKS + r""", h AS (
+  SELECT doc_id, chunk_index, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(doc_id || ':' || chunk_index || ':' || text)) AS h FROM chunks)
+SELECT CAST(doc_id AS VARCHAR) AS source_path, chunk_index, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' ||
+  substr('89ab', (('0x' || substr(h, 17, 1))::INT % 4) + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS chunk_id FROM h"""
+)
+def chunk_ids(spark, d):
+    return chunks(spark, d).select("source_path", "chunk_index", "chunk_id")
+
+
+@query(_CHUNKS + " SELECT source AS source_name, count(*) AS n_chunks, count(DISTINCT doc_id) AS n_docs, max(len(text)) AS longest FROM chunks GROUP BY source")
+def chunk_stats(spark, d):
+    return chunks(spark, d).groupBy("source_name").agg(F.count("*").alias("n_chunks"), F.countDistinct("source_path").alias("n_docs"), F.max(F.length("text")).cast("long").alias("longest"))
+
+
+@query(f"SELECT min(doc_id) AS doc_id, count(*) AS copies, sig FROM (SELECT doc_id, {_SIG.format('text')} AS sig FROM documents) WHERE sig <> '' GROUP BY sig")
+def text_signature_dedupe(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", text.signature(F.col("text")).alias("sig")).filter("sig <> ''")
+    return rows.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+@query(f"SELECT t AS token, count(*) AS n FROM (SELECT unnest({_RAG.format('text')}) AS t FROM documents) GROUP BY t")
+def token_frequency(spark, d):
+    return table(spark, d, "documents").select(F.explode(text.rag_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+def indexed(spark, d) -> DataFrame:
+    """Documents as chunks with their vectors."""
+    docs, vectors = table(spark, d, "documents"), table(spark, d, "embeddings")
+    return docs.join(vectors, docs.doc_id == vectors.vec_id).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_name"), F.lit(0).alias("chunk_index"), "text", "embedding")
+
+
+def asked(spark, d) -> DataFrame:
+    """The vector 0 with the text of the benchmark's item 0."""
+    vector = table(spark, d, "embeddings").filter("vec_id = 0").select(F.col("embedding").alias("query_vector"))
+    words = table(spark, d, "benchmark").filter("item_id = 0").select(F.lit(0).alias("query_id"), F.col("text").alias("query_text"))
+    return words.join(F.broadcast(vector))
+
+
+_HYBRID = rf"""
+WITH idx AS (
+  SELECT d.doc_id AS chunk_id, d.source AS source_name, d.text, e.embedding FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id
+), q AS (
+  SELECT e.embedding AS v, b.text AS qt FROM embeddings e, benchmark b WHERE e.vec_id = 0 AND b.item_id = 0
+), cand AS (
+  SELECT chunk_id, source_name, text, qt, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])), 9) AS dense_score_raw FROM idx, q
+), top AS (
+  SELECT *, row_number() OVER (ORDER BY dense_score_raw DESC, chunk_id) AS cand_pos FROM cand QUALIFY cand_pos <= 40
+), u AS (
+  SELECT *, {_RAG.format('text')} AS toks FROM top WHERE regexp_replace(text, '\s+', '', 'g') <> '' AND NOT {_LOW.format('text')}
+), st AS (SELECT count(*) AS n, avg(len(toks)) AS ml FROM u
+), tf AS (SELECT cand_pos, tok, count(*) AS tf FROM (SELECT cand_pos, unnest(toks) AS tok FROM u) GROUP BY ALL
+), idf AS (SELECT tok, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf, st GROUP BY tok, n
+), idf2 AS (SELECT tok, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER () ELSE raw END AS idf FROM idf
+), qt AS (SELECT tok, count(*) AS times FROM (SELECT unnest({_RAG.format('qt')}) AS tok FROM q) GROUP BY tok
+), sc AS (
+  SELECT tf.cand_pos, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(u.toks) / ml))) AS found
+  FROM tf JOIN qt USING (tok) JOIN idf2 USING (tok) JOIN u USING (cand_pos), st GROUP BY tf.cand_pos
+), b AS (
+  SELECT u.*, round(coalesce(found, 0), 9) AS bm25_raw FROM u LEFT JOIN sc USING (cand_pos)
+), m AS (
+  SELECT *, CASE WHEN max(dense_score_raw) OVER () - min(dense_score_raw) OVER () < 1e-12 THEN 0 ELSE (dense_score_raw - min(dense_score_raw) OVER ()) / (max(dense_score_raw) OVER () - min(dense_score_raw) OVER ()) END AS dn,
+            CASE WHEN max(bm25_raw) OVER () - min(bm25_raw) OVER () < 1e-12 THEN 0 ELSE (bm25_raw - min(bm25_raw) OVER ()) / (max(bm25_raw) OVER () - min(bm25_raw) OVER ()) END AS bn FROM b
+), h AS (SELECT *, round(0.7 * dn + (1 - 0.7) * bn, 9) AS score, {_SIG.format('text')} AS sig FROM m
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY sig ORDER BY score DESC, cand_pos) AS nth FROM h WHERE score >= 0.2 AND sig <> ''
+), f AS (
+  SELECT *, CAST(row_number() OVER (ORDER BY score DESC, cand_pos) AS INT) AS rank FROM r WHERE nth = 1 QUALIFY rank <= {{k}}
+)"""
+_TOP5, _TOP40 = _HYBRID.replace("{k}", "5"), _HYBRID.replace("{k}", "40")
+
+
+@query(_TOP5 + " SELECT chunk_id, CAST(cand_pos AS INT) AS cand_pos, round(dense_score_raw, 6) AS dense FROM top")
+def cosine_topk(spark, d):
+    return retrieval.dense_candidates(indexed(spark, d), asked(spark, d)).select("chunk_id", "cand_pos", F.round("dense_score_raw", 6).alias("dense"))
+
+
+@query(_TOP5 + " SELECT chunk_id, round(dense_score_raw, 6) AS dense FROM cand WHERE source_name = 'src1' ORDER BY dense_score_raw DESC, chunk_id LIMIT 40")
+def cosine_topk_filtered(spark, d):
+    return retrieval.dense_candidates(indexed(spark, d), asked(spark, d), source_name="src1").select("chunk_id", F.round("dense_score_raw", 6).alias("dense"))
+
+
+@query(_TOP5 + " SELECT chunk_id, round(bm25_raw, 6) AS bm25 FROM b")
+def bm25_scores(spark, d):
+    rows = retrieval.usable(retrieval.dense_candidates(indexed(spark, d), asked(spark, d)))
+    return retrieval.bm25(rows).select("chunk_id", F.round("bm25_raw", 6).alias("bm25"))
+
+
+@query(_TOP5 + " SELECT rank, chunk_id, source_name, round(score, 6) AS score, round(dn, 6) AS dense_score, round(bn, 6) AS bm25_score FROM f")
+def hybrid_retrieve(spark, d):
+    out = retrieval.retrieve(indexed(spark, d), asked(spark, d))
+    return out.select("rank", "chunk_id", "source_name", *(F.round(c, 6).alias(c) for c in ("score", "dense_score", "bm25_score")))
+
+
+@query(_TOP5 + " SELECT 0 AS query_id, string_agg('[' || source_name || ' chunk=0]' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM f")
+def build_context(spark, d):
+    return retrieval.context(retrieval.retrieve(indexed(spark, d), asked(spark, d)))
+
+
+@query()
+def rerank_blend(spark, d):
+    rows = retrieval.hybrid(retrieval.usable(retrieval.dense_candidates(indexed(spark, d), asked(spark, d))))
+    answers = spark.sql("SELECT 0 AS query_id, i AS index, CASE WHEN i % 2 = 0 THEN 1.0D / (i + 1) END AS relevance_score, 0.5D AS score FROM (SELECT explode(sequence(0, 60, 3)) AS i)")
+    return retrieval.ranked(retrieval.rerank_blend(rows, answers)).select("rank", "chunk_id", F.round("score", 6).alias("score"), F.round("api_rerank_score", 6).alias("api"))
+
+
+@query(
+    _CHUNKS + r""", o AS (SELECT doc_id, chunk_index, text, sum(len(text) + 2) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS used FROM chunks
+), k AS (SELECT doc_id, chunk_index, CASE WHEN chunk_index = 0 AND used > 3000 THEN substr(text, 1, 2997) || '...' ELSE text END AS text FROM o WHERE chunk_index = 0 OR used <= 3000)
+SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY chunk_index) AS context FROM k GROUP BY doc_id"""
+)
+def study_context_pack(spark, d):
+    rows = chunks(spark, d).select(F.col("source_path").cast("long").alias("doc_id"), F.col("chunk_index").alias("pos"), "text")
+    return retrieval.study_context(rows, 3000)
+
+
+@query("SELECT doc_id AS chunk_id, source AS source_name, 'new' AS version FROM documents WHERE source IN ('src1', 'src2') UNION ALL SELECT doc_id, source, 'old' FROM documents WHERE source NOT IN ('src1', 'src2')")
+def replace_by_source(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_name"), F.lit(0).alias("chunk_index"))
+    new = docs.filter(F.col("source_name").isin("src1", "src2")).withColumn("version", F.lit("new"))
+    return index.replace_by_source(docs.withColumn("version", F.lit("old")), new).drop("chunk_index")
+
+
+def _stem_sql(x: str) -> str:
+    ru, en = "|".join(sorted(text.RU_SUFFIXES, key=len, reverse=True)), "|".join(text.EN_SUFFIXES)
+    return rf"CASE WHEN len({x}) >= 6 THEN regexp_replace(regexp_replace(replace({x}, 'ё', 'е'), '^(.{{4,}}?)(?:{ru})$', '\1'), '^(.{{4,}}?)(?:{en})$', '\1') ELSE replace({x}, 'ё', 'е') END"
+
+
+_STOP = ", ".join(f"'{w}'" for w in sorted({*text.ENGLISH_STOPWORDS, *text.GENERIC_WORDS}))
+_CONCEPTS = rf"""
+WITH s AS (SELECT doc_id, generate_subscripts(ss, 1) AS sid, unnest(ss) AS sentence FROM (SELECT doc_id, {_LINE_SENT} AS ss FROM documents)
+), w AS (SELECT doc_id, sid, unnest(regexp_extract_all(lower(sentence), '[a-zа-яё0-9]+')) AS w FROM s
+), t AS (SELECT doc_id, sid, {_stem_sql('w')} AS term FROM w WHERE len(w) >= 3 AND NOT regexp_full_match(w, '[0-9]+')
+), tt AS (SELECT * FROM t WHERE len(term) >= 3 AND NOT regexp_full_match(term, '[0-9]+') AND term NOT IN ({_STOP})
+), n AS (SELECT doc_id, count(*) AS n_sentences FROM s GROUP BY doc_id
+), st AS (SELECT doc_id, term, count(*) AS freq, count(DISTINCT sid) AS sentence_df FROM tt GROUP BY doc_id, term
+), pool AS (
+  SELECT *, sentence_df / n_sentences AS ratio FROM st JOIN n USING (doc_id) WHERE freq >= 2 AND sentence_df / n_sentences <= 0.65
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY freq DESC, ratio DESC, term) <= 40
+), p AS (SELECT DISTINCT doc_id, sid, term FROM tt SEMI JOIN pool USING (doc_id, term)
+), co AS (SELECT a.doc_id, a.term AS src, b.term AS dst, count(*) AS weight FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.sid = b.sid AND a.term < b.term GROUP BY ALL
+), dg AS (SELECT doc_id, term, CAST(sum(weight) AS BIGINT) AS degree FROM (SELECT doc_id, src AS term, weight FROM co UNION ALL SELECT doc_id, dst, weight FROM co) GROUP BY ALL
+), x AS (SELECT pool.*, coalesce(degree, 0) AS degree FROM pool LEFT JOIN dg USING (doc_id, term)
+), y AS (
+  SELECT *, round(0.62 * CASE WHEN max(freq) OVER d - min(freq) OVER d < 1e-12 THEN 1.0 ELSE (freq - min(freq) OVER d) / (max(freq) OVER d - min(freq) OVER d) END
+    + 0.38 * CASE WHEN max(degree) OVER d - min(degree) OVER d < 1e-12 THEN 1.0 ELSE (degree - min(degree) OVER d) / (max(degree) OVER d - min(degree) OVER d) END, 9) AS relevance FROM x WINDOW d AS (PARTITION BY doc_id)
+), best AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY relevance DESC, freq DESC, sentence_df, term) AS INT) AS place FROM y QUALIFY place <= 10
+), edges AS (
+  SELECT co.* FROM co JOIN best a ON co.doc_id = a.doc_id AND co.src = a.term JOIN best b ON co.doc_id = b.doc_id AND co.dst = b.term WHERE weight >= 2
+), ends AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, src AS term FROM edges UNION ALL SELECT doc_id, dst FROM edges)
+), nodes AS (
+  SELECT best.* FROM best LEFT JOIN ends USING (doc_id, term) WHERE ends.term IS NOT NULL OR best.doc_id NOT IN (SELECT doc_id FROM edges)
+)"""
+
+
+@query(_CONCEPTS + " SELECT doc_id, term, freq, sentence_df, n_sentences FROM st JOIN n USING (doc_id)")
+def concept_term_stats(spark, d):
+    return concepts.term_stats(concepts.sentence_tokens(table(spark, d, "documents"))).select("doc_id", "term", "freq", "sentence_df", "n_sentences")
+
+
+@query(_CONCEPTS + " SELECT doc_id, src, dst, weight FROM co")
+def cooccurrence_edges(spark, d):
+    sents = concepts.sentence_tokens(table(spark, d, "documents"))
+    return concepts.cooccurrence(sents, concepts.pool(concepts.term_stats(sents)))
+
+
+@query(_CONCEPTS + " SELECT doc_id, place, term, freq, sentence_df, degree, relevance FROM nodes")
+def graph_nodes(spark, d):
+    nodes, _ = concepts.graph(table(spark, d, "documents"))
+    return nodes.select("doc_id", "place", "term", "freq", "sentence_df", "degree", "relevance")
+
+
+@query(_CONCEPTS + " SELECT doc_id, src, dst, weight FROM edges")
+def graph_edges(spark, d):
+    return concepts.graph(table(spark, d, "documents"))[1]
+
+
+@query()
+def graph_summary(spark, d):
+    return concepts.summary(*concepts.graph(table(spark, d, "documents")))
+
+
+@query()
+def concept_contexts(spark, d):
+    docs = table(spark, d, "documents")
+    return concepts.contexts(concepts.sentence_tokens(docs), concepts.graph(docs)[0])
+
+
+def results(spark, d) -> DataFrame:
+    return retrieval.retrieve(indexed(spark, d), asked(spark, d), top_k=40)
+
+
+@query(_TOP40 + " SELECT 0 AS query_id, rank, round(score * 100, 2) AS value FROM f WHERE rank <= 8")
+def score_line(spark, d):
+    return facts.score_line(results(spark, d))
+
+
+@query(_TOP40 + r" SELECT 0 AS query_id, count(*) AS chunks, count(DISTINCT source_name) AS sources, round(avg(score) * 100, 2) AS mean_score_percent, CAST(sum(len(regexp_extract_all(text, '\d+(?:[.,]\d+)?%?'))) AS BIGINT) AS numbers FROM f")
+def infographic_metrics(spark, d):
+    return facts.metrics(results(spark, d))
+
+
+@query(
+    _TOP40 + """, g AS (SELECT source_name, count(*) AS c, min(rank) AS r FROM f GROUP BY source_name
+), k AS (SELECT *, CAST(row_number() OVER (ORDER BY c DESC, r) AS INT) AS place FROM g QUALIFY place <= 4)
+SELECT 0 AS query_id, place, source_name AS name, round(c / sum(c) OVER () * 100, 2) AS value FROM k"""
+)
+def source_pie(spark, d):
+    return facts.source_shares(results(spark, d))
+
+
+@query()
+def theme_weights_bar(spark, d):
+    return facts.theme_shares(results(spark, d))
+
+
+@query()
+def content_insights(spark, d):
+    return facts.insights(results(spark, d), require_cyrillic=False)
+
+
+@query(r"SELECT page_id, coalesce(nullif(trim(replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '""'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')), ''), 'untitled') AS title FROM pages".replace('\'""\'', "'\"'"))
+def html_title(spark, d):
+    return table(spark, d, "pages").select("page_id", readers.html_title(F.col("html")).alias("title"))
+
+
+@query()
+def html_preclean(spark, d):
+    return table(spark, d, "pages").select("page_id", readers.preclean_html(F.col("html")).alias("text"))
+
+
+@query(r"SELECT page_id, regexp_replace(url, '#.*$', '') AS url FROM pages")
+def normalize_url(spark, d):
+    return table(spark, d, "pages").select("page_id", text.normalize_url(F.col("url")).alias("url"))
+
+
+@query()
+def dialogue_segments(spark, d):
+    docs = table(spark, d, "documents").withColumn("dialogue", dialogue.coerced(F.col("text")))
+    return dialogue.segments(docs, "doc_id", F.col("dialogue"))
+
+
+@query("SELECT event_id, CAST(value AS DOUBLE) / 100 AS number FROM events")
+def to_float(spark, d):
+    rows = table(spark, d, "events").select("event_id", F.concat(F.replace(F.col("value").cast("string"), F.lit("."), F.lit(",")), F.lit("%")).alias("raw"))
+    return rows.select("event_id", text.to_float(F.col("raw")).alias("number"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def parse_llm_json(spark, d):
+    raw = F.concat(F.lit("Sure:\n```json\n"), F.regexp_replace("props", r"\}$", ",}"), F.lit("\n```"))
+    return table(spark, d, "events").select("event_id", structured.parsed(raw, "k bigint")["k"].alias("k"))
+
+
+@query("""
+WITH r AS (SELECT doc_id, len(text) AS n FROM documents)
+SELECT doc_id, CASE WHEN n > 2000 THEN 'bar-1' ELSE 'bar-9' END AS id, CASE WHEN n > 2000 THEN 'length' ELSE 'none' END AS name, CASE WHEN n > 2000 THEN CAST(n AS DOUBLE) ELSE 0.0 END AS value FROM r""")
+def normalize_points(spark, d):
+    raw = F.array(F.struct(F.lit("length").alias("name"), F.when(F.length("text") > 2000, F.length("text").cast("string")).otherwise("-5").alias("value")), F.struct(F.lit("").alias("name"), F.lit("1").alias("value")))
+    none = F.array(F.struct(F.lit("bar-9").alias("id"), F.lit("none").alias("name"), F.lit(0.0).alias("value")))
+    rows = table(spark, d, "documents").select("doc_id", F.explode(structured.normalized_points(raw, "bar", 1, 8, none)).alias("p"))
+    return rows.select("doc_id", "p.id", "p.name", "p.value")
+
+
+@query()
+def normalize_table(spark, d):
+    words = F.slice(F.split("text", r"\s+"), 1, 4)
+    return table(spark, d, "documents").select("doc_id", F.to_json(structured.normalized_table(F.array(F.lit("a"), F.lit(" "), F.lit("c")), F.array(words, F.slice(words, 1, 2)))).alias("table"))
+
+
+@query()
+def flashcards_offline(spark, d):
+    return generate.flashcards(table(spark, d, "documents"))
+
+
+@query()
+def summarize_offline(spark, d):
+    return generate.summarize(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "summary")
+
+
+@query()
+def ask_offline(spark, d):
+    answers = retrieval.context(retrieval.retrieve(indexed(spark, d), asked(spark, d))).join(asked(spark, d).select("query_id", "query_text"), "query_id")
+    return generate.ask(answers).select("query_id", "answer")
+
+
+@query()
+def slide_plan_offline(spark, d):
+    return generate.slide_plan(results(spark, d))
