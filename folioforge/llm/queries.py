@@ -37,7 +37,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = training_order.training_order(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+    placed = training_order.training_order(documents(spark, sf_dir), tokenizer("byte_bpe_50k.tiktoken"))
     return placed.select("slot", "shard", "offset", "doc_id", "seq_no", F.expr("length(ids) div 2").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,9 +15,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .attention import Subwords
 from .common import arrow_map, arrow_schema, batches, partitions, stored, text_or_empty
 from .neardup import mixed
-from .pieces import _Filled, byte_vocabulary, odd_blanks
+from .pieces import ByteVocabulary, _Filled, odd_blanks
 
 #: Tokens of a sequence, sequences of a shard, bytes of a token.
 LENGTH, PER_SHARD, BYTES = 1024, 1024, 2
@@ -25,16 +27,15 @@ ROUNDS, KEY = 4, 0x5EED
 
 @lru_cache(maxsize=2)
 def _packed_runs(path: str) -> _Filled:
-    v = byte_vocabulary(path)
-    return _Filled(lambda run: np.array([i for p in v.PIECES.findall(run) for i in v.piece_ids(p)], np.uint16).tobytes(), 400_000)
+    encode = Subwords(path).encode
+    return _Filled(lambda run: array("H", encode(run)).tobytes(), 400_000)
 
 
 def packed_ids(path: str, text: str) -> bytes:
-    """Ids of a text as little-endian 16-bit integers; special strings are one id."""
-    v = byte_vocabulary(path)
-    if odd_blanks(text) or "<|" in text:
-        return np.array([i for p in v.pretokens(text) for i in v.pretoken_ids(p)], np.uint16).tobytes()
-    return b"".join(map(_packed_runs(path).__getitem__, v.RUNS.findall(text)))
+    """Ids of a text under a rank file, as little-endian 16-bit integers; special strings are ordinary text."""
+    if odd_blanks(text):
+        return array("H", Subwords(path).encode(text)).tobytes()
+    return b"".join(map(_packed_runs(path).__getitem__, ByteVocabulary.RUNS.findall(text)))
 
 
 def permuted(ordinals: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
@@ -64,7 +65,7 @@ def sequences(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFra
     """
 
     def rows(it):
-        end = np.array([max(byte_vocabulary(vocabulary).special.values())], np.uint16).tobytes()
+        end = array("H", [Subwords(vocabulary).end]).tobytes()
         part, at, wide = TaskContext.get().partitionId(), 0, length * BYTES
         for b in it:
             ids, numbers, out = [], [], []
