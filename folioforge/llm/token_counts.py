@@ -24,7 +24,7 @@ def piece_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     return stored(arrow_map(found, "term string, n long, pieces long", sized), "pieces")
 
 
-def count_tokens(docs: DataFrame, vocabulary: str, limit: int = LIMIT, hot: int = terms.HOT) -> DataFrame:
+def count_tokens(docs: DataFrame, vocabulary: str, limit: int = LIMIT, hot: int = 2 * terms.HOT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of every text under the byte vocabulary at `vocabulary`.
 
     Distinct pre-tokens are counted over all documents and merged once each; documents bring their pre-token
