@@ -28,7 +28,7 @@ _rng = np.random.Generator(np.random.PCG64(20240607))
 _TIMES = _rng.integers(0, 1 << 31, REGISTERS, dtype=np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
 _PLUS = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)[:, None]
 _PLACE = _rng.integers(0, 1 << 62, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SHORT = np.uint64(0x9E3779B97F4A7C15)
+_SHORT = 0x9E3779B97F4A7C15
 
 
 class _Words(dict):
@@ -57,7 +57,7 @@ def shingles(text: str) -> np.ndarray:
         return np.empty(0, np.uint64)
     w = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
     if n < SHINGLE:
-        return mixed((w * _PLACE[:n]).sum(keepdims=True, dtype=np.uint64) + np.uint64(n) * _SHORT)
+        return mixed((w * _PLACE[:n]).sum(keepdims=True, dtype=np.uint64) + np.uint64(n * _SHORT & (1 << 64) - 1))
     h = w[: n - SHINGLE + 1] * _PLACE[0]
     for j in range(1, SHINGLE):
         h += w[j : n - SHINGLE + 1 + j] * _PLACE[j]
@@ -234,8 +234,8 @@ def _confirmed(percent: int):
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: groups of documents linked by 100 * intersection >= percent * union.
 
-    1. A map makes the sets' hashes and HyperMinHash registers. Equal sets become one node, its least doc_id.
-    2. Nodes are dealt by band. In every bucket the least node leads; each node's most frequent leader is confirmed
+    1. A map makes the sets' hashes and HyperMinHash registers. Equal sets become one node, half of the 128-bit hash.
+    2. Nodes are dealt by band. In every bucket the node of the least doc_id leads; each node's most frequent leader is confirmed
        on the full sets, and the components of those links found.
     3. Buckets that still hold several components are gone through exactly: all pairs of different components whose
        first shared band it is are estimated, and the likely ones confirmed on full sets. The documents outside a
@@ -250,15 +250,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # step 1
     sig = stored(signatures(docs), "signatures")
     real = sig.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    sets = stored(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "sets")
-    nodes = stored(real.join(sets.withColumn("doc_id", F.col("node")), ["doc_id", "k1", "k2"]).dropDuplicates(["node", "k1", "k2"]).select("node", "k1", "k2", "n_shingles", "bands"), "nodes")
+    sets = stored(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc")), "sets")
+    own = real.join(sets.withColumn("doc_id", F.col("doc")), ["doc_id", "k1", "k2"]).dropDuplicates(["k1"])
+    nodes = stored(own.select(F.col("k1").alias("node"), "doc", "n_shingles", "bands"), "nodes")
     # step 2
-    in_bands = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    leaders = in_bands.groupBy("band", "key").agg(F.min("node").alias("leader"), F.count("*").alias("many")).filter("many > 1")
+    in_bands = nodes.select("node", "doc", F.posexplode("bands").alias("band", "key"))
+    leaders = in_bands.groupBy("band", "key").agg(F.min_by("node", "doc").alias("leader"), F.count("*").alias("many")).filter("many > 1")
     members = stored(in_bands.join(leaders, ["band", "key"]).select("band", "key", "node", "leader"), "members")
     votes = members.filter("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("node").agg(F.max_by("leader", F.struct("votes", -F.col("leader"))).alias("leader"))
-    wanted = members.select("node").distinct().join(nodes.select("node", "k1", "k2"), "node")
+    best = votes.groupBy("node").agg(F.max_by("leader", F.struct("votes", "leader")).alias("leader"))
+    wanted = members.select("node").distinct().join(nodes.select("node", "doc"), "node")
     full = stored(_sets_of(docs, wanted), "full_sets")
     pairs = best.join(full.select("node", F.col("found").alias("mine")), "node").join(full.select(F.col("node").alias("leader"), F.col("found").alias("other")), "leader")
     links = stored(arrow_map(pairs, "a long, b long", _verify(percent)), "links")
@@ -281,22 +282,25 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     upper = components(more)
     upper = upper.select(F.col("node").alias("label"), F.col("label").alias("top"))
     # every row's component
-    final = placed.select("node", "label").distinct().join(upper, "label", "left").select("node", F.coalesce("top", "label").alias("component_id"))
-    out = sig.join(sets.join(final, "node", "left"), ["k1", "k2"], "left").withColumn("alone", (F.col("n_shingles") == 0) | F.col("doc_id").isNull())
-    component = F.when(F.col("alone"), F.col("doc_id")).otherwise(F.coalesce("component_id", "node"))
+    final = placed.select("node", "label").distinct().join(upper, "label", "left").select("node", F.coalesce("top", "label").alias("top"))
+    final = stored(final.join(nodes.select("node", "doc"), "node"), "tops")
+    least = final.groupBy("top").agg(F.min("doc").alias("component_id"))
+    final = final.join(least, "top").select(F.col("node").alias("k1"), "component_id")
+    out = sig.join(sets.join(final, "k1", "left"), ["k1", "k2"], "left").withColumn("alone", (F.col("n_shingles") == 0) | F.col("doc_id").isNull())
+    component = F.when(F.col("alone"), F.col("doc_id")).otherwise(F.coalesce("component_id", "doc"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, found (sorted hashes) of the wanted nodes (node, k1, k2), from their texts."""
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node")
+    """node, found (sorted hashes) of the wanted nodes (node, doc), from their texts."""
+    texts = docs.select(F.col("doc_id").alias("doc"), "text").join(wanted, "doc")
 
     def rows(it):
         for b in it:
             nodes, sets = [], []
-            for node, text, k1 in zip(b["node"], b["text"], b["k1"], strict=True):
+            for node, text in zip(b["node"], b["text"], strict=True):
                 s = shingles(text or "").tobytes()
-                if int.from_bytes(xxhash.xxh3_128_digest(s)[:8], "little", signed=True) == k1:
+                if int.from_bytes(xxhash.xxh3_128_digest(s)[:8], "little", signed=True) == node:
                     nodes.append(node)
                     sets.append(s)
             yield {"node": nodes, "found": sets}

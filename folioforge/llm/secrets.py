@@ -32,8 +32,8 @@ TOKEN = re.compile(r"""
       (?P<string>"(?:[^"\\\n]|\\.){0,4096}"|'(?:[^'\\\n]|\\.){0,4096}'|`[^`\n]{0,4096}`)
     | (?P<name>[A-Za-z_$][\w$]{0,127}(?:(?:\.|->|::|-)[A-Za-z_$][\w$]{0,127}){0,8})
     | (?P<op>:=|=>|==|!=|<=|>=|\+=|=|:)
+    | (?P<plus>\+(?=["'`\s]))
     | (?P<bare>[A-Za-z0-9+/_.\-]{1,4096})
-    | (?P<plus>\+)
     | (?P<end>[;\n,{}()])
     | (?P<open>[\[\]])
 """, re.VERBOSE)
