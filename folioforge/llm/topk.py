@@ -67,8 +67,8 @@ class Blocks:
         bounds = self.high @ np.maximum(q, 0) + self.low @ np.minimum(q, 0)
         ids, scores, kth = np.empty(0, np.int64), np.empty(0, np.int64), -math.inf
         order = np.argsort(-bounds, kind="stable")
-        for k0 in range(0, len(order), 4):
-            near = order[k0 : k0 + 4]
+        for k0 in range(0, len(order), 8):
+            near = order[k0 : k0 + 8]
             if bounds[near[0]] < kth - abs(kth) * 1e-12:
                 break
             at = np.concatenate([np.arange(b * self.block, min((b + 1) * self.block, len(self.ids))) for b in near])
