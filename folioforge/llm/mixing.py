@@ -82,7 +82,8 @@ def mix(
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("key"),
         F.xxhash64("text").alias("tie"),
         *(F.col(c).alias(f"carry_{c}") for c in keep),
-    ).withColumn("bucket", F.substring("key", 1, digits))
+    )
+    rows = rows.select("*", F.substring("key", 1, digits).alias("bucket"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("of_source"))
     if not keep:
         rows = stored(rows, "sizes")
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
@@ -94,10 +95,14 @@ def mix(
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("source", "bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
     t, o = targets.alias("t"), offsets.alias("o")
-    plan = o.join(t, F.expr("o.source <=> t.source")).select(F.col("o.source").alias("p_source"), F.col("o.bucket").alias("p_bucket"), "offset", "source_size", "target", "early", "late", "first", "second")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    plan = o.join(t, F.expr("o.source <=> t.source")).select(
+        F.col("o.source").isNull().alias("no_source"), F.coalesce("o.source", F.lit("")).alias("of_source"), "bucket", "offset", "source_size", "target", "early", "late", "first", "second"
+    )
+    # The join and the running sum share their keys, so rows with their texts are dealt once for both.
+    dealt = ["no_source", "of_source", "bucket"]
+    rows = rows.join(plan, dealt)
+    inside = Window.partitionBy(*dealt).orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rows = rows.join(plan, F.expr("source <=> p_source AND bucket = p_bucket")).drop("p_source", "p_bucket")
     rows = rows.withColumn("begin", F.col("offset") + F.col("inside"))
     rows = rows.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     rest = F.floor(F.col("target") - F.col("whole") * F.col("source_size")) - F.col("begin")
