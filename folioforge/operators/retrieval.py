@@ -12,23 +12,34 @@ TOP_K, FETCH_K, MIN_SCORE, DENSE_WEIGHT, RERANK_BLEND = 5, 40, 0.20, 0.70, 0.35
 MOST_QUERIES = 10_000
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+#: Candidates of all queries that are sent to the scan that fetches their texts; beyond it they are joined by shuffle.
+MOST_SENT = 2_000_000
+
+
+def dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
 def dense_candidates(index: DataFrame, queries: DataFrame, fetch_k: int = FETCH_K, source_name: str | None = None) -> DataFrame:
     """The fetch_k nearest rows of index (chunk_id, source_name, chunk_index, text, embedding) for each query (query_id, query_text, query_vector).
 
-    Queries are a request's batch of a checked size, sent to the scan; ties go by chunk_id.
+    Queries are a request's batch of a checked size, sent to the scan of vectors; ties go by chunk_id, the index's key.
+    Only ids and scores are ranked, each task's best first; texts are read for the candidates alone. Rows without a
+    vector are no candidates; a vector of zeros has the score 0.
     """
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+    asked = queries.limit(MOST_QUERIES + 1).count()
+    if asked > MOST_QUERIES:
         raise ValueError(f"more than {MOST_QUERIES} queries in a call")
     if source_name:
         index = index.filter(F.col("source_name") == source_name)
-    rows = index.join(F.broadcast(queries)).withColumn("dense_score_raw", F.round(cosine(F.col("embedding"), F.col("query_vector")), 9)).drop("embedding", "query_vector")
+    vectors = index.filter(F.col("embedding").isNotNull()).select("chunk_id", "embedding", dot(F.col("embedding"), F.col("embedding")).alias("own"))
+    sent = queries.select("query_id", "query_vector", dot(F.col("query_vector"), F.col("query_vector")).alias("theirs"))
+    cosine = F.coalesce(F.try_divide(dot(F.col("embedding"), F.col("query_vector")), F.sqrt(F.col("own") * F.col("theirs"))), F.lit(0.0))
+    near = vectors.join(F.broadcast(sent)).select("query_id", "chunk_id", F.round(cosine, 9).alias("dense_score_raw"))
     order = Window.partitionBy("query_id").orderBy(F.desc("dense_score_raw"), "chunk_id")
-    return rows.withColumn("cand_pos", F.row_number().over(order)).filter(F.col("cand_pos") <= fetch_k)
+    near = near.withColumn("cand_pos", F.row_number().over(order)).filter(F.col("cand_pos") <= fetch_k)
+    near = F.broadcast(near) if asked * fetch_k <= MOST_SENT else near
+    return index.drop("embedding").join(near, "chunk_id").join(F.broadcast(queries.drop("query_vector")), "query_id")
 
 
 def usable(candidates: DataFrame) -> DataFrame:
@@ -44,15 +55,15 @@ def min_max(c: str, default: float = 0.0) -> Column:
 def bm25(candidates: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """candidates with bm25_raw: Okapi over the candidate set of each query; query tokens count as often as they occur."""
     base = candidates.withColumn("tokens", rag_tokens(F.col("text")))
-    tf = base.select("query_id", "cand_pos", F.explode("tokens").alias("token")).groupBy("query_id", "cand_pos", "token").agg(F.count("*").alias("tf"))
+    tokens = base.select("query_id", "cand_pos", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    tf = tokens.groupBy("query_id", "cand_pos", "size", "token").agg(F.count("*").alias("tf"))
     sizes = base.groupBy("query_id").agg(F.count("*").alias("docs"), F.avg(F.size("tokens")).alias("mean_size"))
     idf = tf.groupBy("query_id", "token").agg(F.count("*").alias("df")).join(sizes, "query_id")
     idf = idf.withColumn("raw", F.log(F.col("docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = epsilon * F.avg("raw").over(Window.partitionBy("query_id"))
     idf = idf.select("query_id", "token", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
     asked = base.groupBy("query_id").agg(F.first("query_text").alias("query_text")).select("query_id", F.explode(rag_tokens(F.col("query_text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    length = base.select("query_id", "cand_pos", F.size("tokens").alias("size"))
-    hits = tf.join(asked, ["query_id", "token"]).join(idf, ["query_id", "token"]).join(length, ["query_id", "cand_pos"]).join(sizes, "query_id")
+    hits = tf.join(asked, ["query_id", "token"]).join(idf, ["query_id", "token"]).join(sizes, "query_id")
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean_size")))
     scores = hits.groupBy("query_id", "cand_pos").agg(F.sum(part).alias("found"))
     return candidates.join(scores, ["query_id", "cand_pos"], "left").withColumn("bm25_raw", F.round(F.coalesce("found", F.lit(0.0)), 9)).drop("found")
@@ -71,7 +82,7 @@ def rerank_blend(rows: DataFrame, reranked: DataFrame, blend: float = RERANK_BLE
     order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "cand_pos")) - 1
     got = reranked.groupBy("query_id", "index").agg(F.first(F.coalesce("relevance_score", "score", F.lit(0.0))).alias("api"))
     out = rows.withColumn("index", order).join(got, ["query_id", "index"], "left").withColumn("api", F.coalesce("api", F.lit(0.0)))
-    return out.withColumn("api_rerank_score", min_max("api")).withColumn("score", F.round((1 - b) * F.col("score") + b * F.col("api_rerank_score"), 9)).drop("index", "api")
+    return out.withColumn("api_rerank_score", min_max("api")).withColumn("score", F.round((1 - b) * F.col("score") + b * F.col("api_rerank_score"), 12)).drop("index", "api")
 
 
 def ranked(rows: DataFrame, top_k: int = TOP_K, min_score: float = MIN_SCORE) -> DataFrame:

@@ -68,8 +68,8 @@ QUERIES["short_text"] = on_documents(lambda c: text.short_text(c, 64), "short")
 ORACLES["short_text"] = f"SELECT doc_id, CASE WHEN len(s) <= 64 THEN s WHEN rtrim(regexp_extract(substr(s, 1, 64), '^(.*) [^ ]*$', 1)) = '' THEN substr(s, 1, 64) ELSE rtrim(regexp_extract(substr(s, 1, 64), '^(.*) [^ ]*$', 1)) END AS short FROM (SELECT doc_id, {SQUEEZE.format('text')} AS s FROM documents)"
 QUERIES["low_signal_filter"] = on_documents(text.low_signal, "low_signal")
 ORACLES["low_signal_filter"] = f"SELECT doc_id, {_LOW.format('text')} AS low_signal FROM documents"
-QUERIES["safe_filename"] = on_documents(lambda c: text.safe_filename(F.substring(c, 1, 80)), "file")
-ORACLES["safe_filename"] = "SELECT doc_id, CASE WHEN f = '' THEN 'presentation' ELSE f END AS file FROM (SELECT doc_id, regexp_replace(regexp_replace(substr(text, 1, 80), '[^a-zA-Z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS f FROM documents)"
+QUERIES["safe_filename"] = on_documents(text.safe_filename, "file")
+ORACLES["safe_filename"] = "SELECT doc_id, CASE WHEN f = '' THEN 'presentation' ELSE f END AS file FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '[^a-zA-Z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS f FROM documents)"
 QUERIES["dialogue_prepare"] = on_documents(text.prepared_source, "prepared")
 QUERIES["dialogue_coerce"] = on_documents(dialogue.coerced, "dialogue")
 QUERIES["clean_ocr_noise"] = on_documents(text.clean_ocr_noise, "clean")
@@ -139,77 +139,86 @@ def indexed(spark, d) -> DataFrame:
 
 
 def asked(spark, d) -> DataFrame:
-    """The vector 0 with the text of the benchmark's item 0."""
-    vector = table(spark, d, "embeddings").filter("vec_id = 0").select(F.col("embedding").alias("query_vector"))
-    words = table(spark, d, "benchmark").filter("item_id = 0").select(F.lit(0).alias("query_id"), F.col("text").alias("query_text"))
-    return words.join(F.broadcast(vector))
+    """Every text of the benchmark, with the vector of its number, as a query."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("query_vector"))
+    return table(spark, d, "benchmark").join(vectors, "item_id").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"), "query_vector")
 
 
 _HYBRID = rf"""
 WITH idx AS (
   SELECT d.doc_id AS chunk_id, d.source AS source_name, d.text, e.embedding FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id
 ), q AS (
-  SELECT e.embedding AS v, b.text AS qt FROM embeddings e, benchmark b WHERE e.vec_id = 0 AND b.item_id = 0
-), cand AS (
-  SELECT chunk_id, source_name, text, qt, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])), 9) AS dense_score_raw FROM idx, q
+  SELECT b.item_id AS query_id, e.embedding AS v, b.text AS qt FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id
+), near AS (
+  SELECT query_id, chunk_id, source_name, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])), 9) AS dense_score_raw FROM idx, q
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense_score_raw DESC, chunk_id) AS cand_pos FROM near QUALIFY cand_pos <= 40
 ), top AS (
-  SELECT *, row_number() OVER (ORDER BY dense_score_raw DESC, chunk_id) AS cand_pos FROM cand QUALIFY cand_pos <= 40
+  SELECT best.*, idx.text FROM best JOIN idx USING (chunk_id)
 ), u AS (
   SELECT *, {_RAG.format('text')} AS toks FROM top WHERE regexp_replace(text, '\s+', '', 'g') <> '' AND NOT {_LOW.format('text')}
-), st AS (SELECT count(*) AS n, avg(len(toks)) AS ml FROM u
-), tf AS (SELECT cand_pos, tok, count(*) AS tf FROM (SELECT cand_pos, unnest(toks) AS tok FROM u) GROUP BY ALL
-), idf AS (SELECT tok, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf, st GROUP BY tok, n
-), idf2 AS (SELECT tok, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER () ELSE raw END AS idf FROM idf
-), qt AS (SELECT tok, count(*) AS times FROM (SELECT unnest({_RAG.format('qt')}) AS tok FROM q) GROUP BY tok
+), st AS (SELECT query_id, count(*) AS n, avg(len(toks)) AS ml FROM u GROUP BY query_id
+), tf AS (SELECT query_id, cand_pos, tok, count(*) AS tf FROM (SELECT query_id, cand_pos, unnest(toks) AS tok FROM u) GROUP BY ALL
+), idf AS (SELECT query_id, tok, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf JOIN st USING (query_id) GROUP BY query_id, tok, n
+), idf2 AS (SELECT query_id, tok, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER (PARTITION BY query_id) ELSE raw END AS idf FROM idf
+), qt AS (SELECT query_id, tok, count(*) AS times FROM (SELECT query_id, unnest({_RAG.format('qt')}) AS tok FROM q) GROUP BY ALL
 ), sc AS (
-  SELECT tf.cand_pos, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(u.toks) / ml))) AS found
-  FROM tf JOIN qt USING (tok) JOIN idf2 USING (tok) JOIN u USING (cand_pos), st GROUP BY tf.cand_pos
+  SELECT tf.query_id, tf.cand_pos, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(u.toks) / ml))) AS found
+  FROM tf JOIN qt USING (query_id, tok) JOIN idf2 USING (query_id, tok) JOIN u USING (query_id, cand_pos) JOIN st USING (query_id) GROUP BY ALL
 ), b AS (
-  SELECT u.*, round(coalesce(found, 0), 9) AS bm25_raw FROM u LEFT JOIN sc USING (cand_pos)
+  SELECT u.*, round(coalesce(found, 0), 9) AS bm25_raw FROM u LEFT JOIN sc USING (query_id, cand_pos)
 ), m AS (
-  SELECT *, CASE WHEN max(dense_score_raw) OVER () - min(dense_score_raw) OVER () < 1e-12 THEN 0 ELSE (dense_score_raw - min(dense_score_raw) OVER ()) / (max(dense_score_raw) OVER () - min(dense_score_raw) OVER ()) END AS dn,
-            CASE WHEN max(bm25_raw) OVER () - min(bm25_raw) OVER () < 1e-12 THEN 0 ELSE (bm25_raw - min(bm25_raw) OVER ()) / (max(bm25_raw) OVER () - min(bm25_raw) OVER ()) END AS bn FROM b
+  SELECT *, CASE WHEN max(dense_score_raw) OVER w - min(dense_score_raw) OVER w < 1e-12 THEN 0 ELSE (dense_score_raw - min(dense_score_raw) OVER w) / (max(dense_score_raw) OVER w - min(dense_score_raw) OVER w) END AS dn,
+            CASE WHEN max(bm25_raw) OVER w - min(bm25_raw) OVER w < 1e-12 THEN 0 ELSE (bm25_raw - min(bm25_raw) OVER w) / (max(bm25_raw) OVER w - min(bm25_raw) OVER w) END AS bn FROM b WINDOW w AS (PARTITION BY query_id)
 ), h AS (SELECT *, round(0.7 * dn + (1 - 0.7) * bn, 9) AS score, {_SIG.format('text')} AS sig FROM m
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY sig ORDER BY score DESC, cand_pos) AS nth FROM h WHERE score >= 0.2 AND sig <> ''
+  SELECT *, row_number() OVER (PARTITION BY query_id, sig ORDER BY score DESC, cand_pos) AS nth FROM h WHERE score >= 0.2 AND sig <> ''
 ), f AS (
-  SELECT *, CAST(row_number() OVER (ORDER BY score DESC, cand_pos) AS INT) AS rank FROM r WHERE nth = 1 QUALIFY rank <= {{k}}
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cand_pos) AS INT) AS rank FROM r WHERE nth = 1 QUALIFY rank <= {{k}}
 )"""
 _TOP5, _TOP40 = _HYBRID.replace("{k}", "5"), _HYBRID.replace("{k}", "40")
 
 
-@query(_TOP5 + " SELECT chunk_id, CAST(cand_pos AS INT) AS cand_pos, round(dense_score_raw, 6) AS dense FROM top")
+@query(_TOP5 + " SELECT query_id, chunk_id, CAST(cand_pos AS INT) AS cand_pos, dense_score_raw AS dense FROM best")
 def cosine_topk(spark, d):
-    return retrieval.dense_candidates(indexed(spark, d), asked(spark, d)).select("chunk_id", "cand_pos", F.round("dense_score_raw", 6).alias("dense"))
+    return retrieval.dense_candidates(indexed(spark, d), asked(spark, d)).select("query_id", "chunk_id", "cand_pos", F.col("dense_score_raw").alias("dense"))
 
 
-@query(_TOP5 + " SELECT chunk_id, round(dense_score_raw, 6) AS dense FROM cand WHERE source_name = 'src1' ORDER BY dense_score_raw DESC, chunk_id LIMIT 40")
+@query(_TOP5 + " SELECT query_id, chunk_id, dense_score_raw AS dense FROM near WHERE source_name = 'src1' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dense_score_raw DESC, chunk_id) <= 40")
 def cosine_topk_filtered(spark, d):
-    return retrieval.dense_candidates(indexed(spark, d), asked(spark, d), source_name="src1").select("chunk_id", F.round("dense_score_raw", 6).alias("dense"))
+    return retrieval.dense_candidates(indexed(spark, d), asked(spark, d), source_name="src1").select("query_id", "chunk_id", F.col("dense_score_raw").alias("dense"))
 
 
-@query(_TOP5 + " SELECT chunk_id, round(bm25_raw, 6) AS bm25 FROM b")
+@query(_TOP5 + " SELECT query_id, chunk_id, bm25_raw AS bm25 FROM b")
 def bm25_scores(spark, d):
     rows = retrieval.usable(retrieval.dense_candidates(indexed(spark, d), asked(spark, d)))
-    return retrieval.bm25(rows).select("chunk_id", F.round("bm25_raw", 6).alias("bm25"))
+    return retrieval.bm25(rows).select("query_id", "chunk_id", F.col("bm25_raw").alias("bm25"))
 
 
-@query(_TOP5 + " SELECT rank, chunk_id, source_name, round(score, 6) AS score, round(dn, 6) AS dense_score, round(bn, 6) AS bm25_score FROM f")
+@query(_TOP5 + " SELECT query_id, rank, chunk_id, source_name, score, round(dn, 6) AS dense_score, round(bn, 6) AS bm25_score FROM f")
 def hybrid_retrieve(spark, d):
     out = retrieval.retrieve(indexed(spark, d), asked(spark, d))
-    return out.select("rank", "chunk_id", "source_name", *(F.round(c, 6).alias(c) for c in ("score", "dense_score", "bm25_score")))
+    return out.select("query_id", "rank", "chunk_id", "source_name", "score", *(F.round(c, 6).alias(c) for c in ("dense_score", "bm25_score")))
 
 
-@query(_TOP5 + " SELECT 0 AS query_id, string_agg('[' || source_name || ' chunk=0]' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM f")
+@query(_TOP5 + " SELECT query_id, string_agg('[' || source_name || ' chunk=0]' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM f GROUP BY query_id")
 def build_context(spark, d):
     return retrieval.context(retrieval.retrieve(indexed(spark, d), asked(spark, d)))
 
 
-@query()
+@query(
+    _TOP5 + """, o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cand_pos) - 1 AS i FROM h
+), g AS (SELECT *, CASE WHEN i % 3 <> 0 OR i > 60 THEN 0.0::DOUBLE WHEN i % 2 = 0 THEN 1.0::DOUBLE / (i + 1) ELSE 0.5::DOUBLE END AS a FROM o
+), n AS (SELECT *, CASE WHEN max(a) OVER w - min(a) OVER w < 1e-12 THEN 0.0::DOUBLE ELSE (a - min(a) OVER w) / (max(a) OVER w - min(a) OVER w) END AS api FROM g WINDOW w AS (PARTITION BY query_id)
+), y AS (SELECT *, round(0.65::DOUBLE * score + 0.35::DOUBLE * api, 12) AS blended FROM n
+), z AS (SELECT *, row_number() OVER (PARTITION BY query_id, sig ORDER BY blended DESC, cand_pos) AS nth FROM y WHERE blended >= 0.2 AND sig <> '')
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY blended DESC, cand_pos) AS INT) AS rank, chunk_id, blended AS score, round(api, 6) AS api FROM z WHERE nth = 1 QUALIFY rank <= 5"""
+)
 def rerank_blend(spark, d):
     rows = retrieval.hybrid(retrieval.usable(retrieval.dense_candidates(indexed(spark, d), asked(spark, d))))
-    answers = spark.sql("SELECT 0 AS query_id, i AS index, CASE WHEN i % 2 = 0 THEN 1.0D / (i + 1) END AS relevance_score, 0.5D AS score FROM (SELECT explode(sequence(0, 60, 3)) AS i)")
-    return retrieval.ranked(retrieval.rerank_blend(rows, answers)).select("rank", "chunk_id", F.round("score", 6).alias("score"), F.round("api_rerank_score", 6).alias("api"))
+    answers = asked(spark, d).select("query_id", F.explode(F.sequence(F.lit(0), F.lit(60), F.lit(3))).alias("index"))
+    answers = answers.select("*", F.expr("CASE WHEN index % 2 = 0 THEN 1.0D / (index + 1) END").alias("relevance_score"), F.lit(0.5).alias("score"))
+    return retrieval.ranked(retrieval.rerank_blend(rows, answers)).select("query_id", "rank", "chunk_id", "score", F.round("api_rerank_score", 6).alias("api"))
 
 
 @query(
@@ -299,20 +308,20 @@ def results(spark, d) -> DataFrame:
     return retrieval.retrieve(indexed(spark, d), asked(spark, d), top_k=40)
 
 
-@query(_TOP40 + " SELECT 0 AS query_id, rank, round(score * 100, 2) AS value FROM f WHERE rank <= 8")
+@query(_TOP40 + " SELECT query_id, rank, round(score * 100, 2) AS value FROM f WHERE rank <= 8")
 def score_line(spark, d):
     return facts.score_line(results(spark, d))
 
 
-@query(_TOP40 + r" SELECT 0 AS query_id, count(*) AS chunks, count(DISTINCT source_name) AS sources, round(avg(score) * 100, 2) AS mean_score_percent, CAST(sum(len(regexp_extract_all(text, '\d+(?:[.,]\d+)?%?'))) AS BIGINT) AS numbers FROM f")
+@query(_TOP40 + r" SELECT query_id, count(*) AS chunks, count(DISTINCT source_name) AS sources, round(avg(score) * 100, 2) AS mean_score_percent, CAST(sum(len(regexp_extract_all(text, '\d+(?:[.,]\d+)?%?'))) AS BIGINT) AS numbers FROM f GROUP BY query_id")
 def infographic_metrics(spark, d):
     return facts.metrics(results(spark, d))
 
 
 @query(
-    _TOP40 + """, g AS (SELECT source_name, count(*) AS c, min(rank) AS r FROM f GROUP BY source_name
-), k AS (SELECT *, CAST(row_number() OVER (ORDER BY c DESC, r) AS INT) AS place FROM g QUALIFY place <= 4)
-SELECT 0 AS query_id, place, source_name AS name, round(c / sum(c) OVER () * 100, 2) AS value FROM k"""
+    _TOP40 + """, g AS (SELECT query_id, source_name, count(*) AS c, min(rank) AS r FROM f GROUP BY query_id, source_name
+), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY c DESC, r) AS INT) AS place FROM g QUALIFY place <= 4)
+SELECT query_id, place, source_name AS name, round(c / sum(c) OVER (PARTITION BY query_id) * 100, 2) AS value FROM k"""
 )
 def source_pie(spark, d):
     return facts.source_shares(results(spark, d))
