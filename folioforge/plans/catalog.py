@@ -71,7 +71,6 @@ ORACLES["low_signal_filter"] = f"SELECT doc_id, {_LOW.format('text')} AS low_sig
 QUERIES["safe_filename"] = on_documents(text.safe_filename, "file")
 ORACLES["safe_filename"] = "SELECT doc_id, CASE WHEN f = '' THEN 'presentation' ELSE f END AS file FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '[^a-zA-Z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS f FROM documents)"
 QUERIES["dialogue_prepare"] = on_documents(text.prepared_source, "prepared")
-QUERIES["dialogue_coerce"] = on_documents(dialogue.coerced, "dialogue")
 QUERIES["clean_ocr_noise"] = on_documents(text.clean_ocr_noise, "clean")
 
 
@@ -97,6 +96,18 @@ WITH s AS (SELECT doc_id, source, {_SENT} AS ss FROM documents), f AS (
 )"""
 
 
+#: Sentences of eight characters and more without quotes at their ends, as the lines of a dialogue.
+_DIALOGUE = rf"""WITH q AS (SELECT doc_id, {_LINE_SENT} AS ss FROM documents
+), p AS (SELECT doc_id, list_filter(list_transform(ss, lambda x: regexp_replace(x, '^["''«»\s-]+|["''«»\s]+$', '', 'g')), lambda x: len(x) >= 8) AS parts FROM q)"""
+_SPOKEN = r"regexp_replace(part, '[^\pL\p{Mn}\p{Mc}\p{Me}\p{Nd}\p{Nl}\p{Pc}\s.,!?;:()-]', ' ', 'g')"
+QUERIES["dialogue_coerce"] = on_documents(dialogue.coerced, "dialogue")
+ORACLES["dialogue_coerce"] = (
+    _DIALOGUE + " SELECT doc_id, CASE WHEN len(parts) >= 6 THEN array_to_string(list_transform(parts, lambda x, i: CASE WHEN i % 2 = 1 THEN 'Ведущий 1: ' ELSE 'Ведущий 2: ' END || x), chr(10)) ELSE '' END AS dialogue FROM p"
+)
+QUERIES["tts_text"] = on_documents(text.tts_text, "spoken")
+ORACLES["tts_text"] = f"SELECT doc_id, substr({SQUEEZE.format(_SPOKEN)}, 1, 280) AS spoken FROM (SELECT doc_id, text AS part FROM documents)"
+
+
 def chunks(spark, d) -> DataFrame:
     return chunking.build_chunks(table(spark, d, "documents"), "doc_id", "source")
 
@@ -293,12 +304,23 @@ def graph_edges(spark, d):
     return concepts.graph(table(spark, d, "documents"))[1]
 
 
-@query()
+@query(
+    _CONCEPTS + """, a AS (
+  SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS i, row_number() OVER (PARTITION BY doc_id ORDER BY freq DESC, place) AS j FROM nodes
+), named AS (SELECT doc_id, string_agg(term, ', ' ORDER BY i) FILTER (i <= 6) AS top_terms, max(term) FILTER (j = 1) AS dominant FROM a GROUP BY doc_id
+), e AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, src, dst) AS i FROM edges
+), l AS (SELECT doc_id, string_agg(src || ' <-> ' || dst || ' (' || weight || ')', '; ' ORDER BY i) AS links FROM e WHERE i <= 3 GROUP BY doc_id)
+SELECT doc_id, top_terms, dominant, coalesce(links, '') AS links FROM named LEFT JOIN l USING (doc_id)"""
+)
 def graph_summary(spark, d):
     return concepts.summary(*concepts.graph(table(spark, d, "documents")))
 
 
-@query()
+@query(
+    _CONCEPTS + """, h AS (SELECT DISTINCT doc_id, sid, term FROM tt SEMI JOIN nodes USING (doc_id, term)
+), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, term ORDER BY sid) AS i FROM h)
+SELECT doc_id, term, string_agg(sentence, ' ' ORDER BY sid) AS context FROM k JOIN s USING (doc_id, sid) WHERE i <= 5 GROUP BY doc_id, term"""
+)
 def concept_contexts(spark, d):
     docs = table(spark, d, "documents")
     return concepts.contexts(concepts.sentence_tokens(docs), concepts.graph(docs)[0])
@@ -352,7 +374,11 @@ def normalize_url(spark, d):
     return table(spark, d, "pages").select("page_id", text.normalize_url(F.col("url")).alias("url"))
 
 
-@query()
+@query(
+    _DIALOGUE + rf"""
+SELECT doc_id, CAST(n - 1 AS INT) AS line_no, CAST((n - 1) % 2 + 1 AS INT) AS speaker, substr({SQUEEZE.format(_SPOKEN)}, 1, 280) AS text
+FROM (SELECT doc_id, generate_subscripts(parts, 1) AS n, unnest(parts) AS part FROM p WHERE len(parts) >= 6)"""
+)
 def dialogue_segments(spark, d):
     docs = table(spark, d, "documents").withColumn("dialogue", dialogue.coerced(F.col("text")))
     return dialogue.segments(docs, "doc_id", F.col("dialogue"))
@@ -380,28 +406,48 @@ def normalize_points(spark, d):
     return rows.select("doc_id", "p.id", "p.name", "p.value")
 
 
-@query()
+@query(
+    r"""
+WITH w AS (SELECT doc_id, list_concat(regexp_split_to_array(text, '\s+')[1:4], ['', '', '']) AS four, list_concat(regexp_split_to_array(text, '\s+')[1:2], ['', '', '']) AS two FROM documents)
+SELECT doc_id, CAST(to_json({'columns': ['a', 'column_2', 'c'], 'rows': [four[1:3], two[1:3]]}) AS VARCHAR) AS "table" FROM w"""
+)
 def normalize_table(spark, d):
     words = F.slice(F.split("text", r"\s+"), 1, 4)
     return table(spark, d, "documents").select("doc_id", F.to_json(structured.normalized_table(F.array(F.lit("a"), F.lit(" "), F.lit("c")), F.array(words, F.slice(words, 1, 2)))).alias("table"))
 
 
-@query()
+@query(
+    rf"""
+WITH s AS (SELECT doc_id, {_LINE_SENT.replace('text', 'substr(text, 1, 18000)')} AS ss FROM documents
+), c AS (SELECT doc_id, list_slice(list_filter(ss, lambda x: len(x) >= 40), 1, 10) AS cs FROM s
+), r AS (SELECT doc_id, CAST(generate_subscripts(cs, 1) - 1 AS INT) AS pos, unnest(cs) AS sentence FROM c
+), w AS (SELECT *, list_max(list_transform(regexp_split_to_array(sentence, '\s+'), lambda w: {{'n': len(w), 'w': w}})).w AS answer FROM r)
+SELECT doc_id, pos, replace(sentence, answer, '____') AS question, answer FROM w"""
+)
 def flashcards_offline(spark, d):
     return generate.flashcards(table(spark, d, "documents"))
 
 
-@query()
+@query(
+    rf"SELECT doc_id, array_to_string(list_slice(string_split(regexp_replace(trim(substr({SQUEEZE.format('text')}, 1, 9000)), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), 1, 3), ' ') AS summary FROM documents"
+)
 def summarize_offline(spark, d):
     return generate.summarize(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "summary")
 
 
-@query()
+@query(
+    _TOP5 + rf""", l AS (SELECT query_id, arg_max('[' || source_name || ' chunk=0]' || chr(10) || text, rank) AS block FROM f GROUP BY query_id)
+SELECT query_id, array_to_string(list_slice(string_split(regexp_replace({STRIP.format('block')}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), 1, 3), ' ') AS answer FROM l"""
+)
 def ask_offline(spark, d):
     answers = retrieval.context(retrieval.retrieve(indexed(spark, d), asked(spark, d))).join(asked(spark, d).select("query_id", "query_text"), "query_id")
     return generate.ask(answers).select("query_id", "answer")
 
 
-@query()
+@query(
+    _TOP40 + rf""" SELECT query_id, rank, source_name AS title, [rank] AS source_ids,
+  list_transform(list_slice(list_transform({_LINE_SENT}, lambda x: {SQUEEZE.format('x')}), 1, 5), lambda x: CASE WHEN len(x) <= 160 THEN x ELSE rtrim(substr(x, 1, 157)) || '...' END) AS bullets
+FROM f WHERE rank <= 8"""
+)
 def slide_plan_offline(spark, d):
     return generate.slide_plan(results(spark, d))

@@ -77,6 +77,22 @@ def test_single_candidate_is_dropped(spark):
     assert retrieval.retrieve(rows, asked, min_score=0.0).count() == 1
 
 
+def test_candidates_of_many_queries(spark):
+    """Each query's nearest rows against a loop; equal scores by chunk_id, no row without a vector, a zero vector has score 0."""
+    vectors = {1: [1.0, 0.0], 2: [0.6, 0.8], 3: [0.0, 0.0], 4: None, 5: [2.0, 0.0], 6: [-1.0, 0.5]}
+    rows = spark.createDataFrame([(i, "s", 0, f"text {i}", v) for i, v in vectors.items()], "chunk_id long, source_name string, chunk_index int, text string, embedding array<double>")
+    asked = {10: [1.0, 0.0], 11: [0.0, 3.0]}
+    queries = spark.createDataFrame([(q, "words", v) for q, v in asked.items()], "query_id long, query_text string, query_vector array<double>")
+    got = {(r.query_id, r.cand_pos): (r.chunk_id, r.dense_score_raw, r.text) for r in retrieval.dense_candidates(rows, queries, 3).collect()}
+    want = {}
+    for q, a in asked.items():
+        size = lambda v: sum(x * x for x in v) ** 0.5
+        near = sorted((-round(sum(x * y for x, y in zip(a, v, strict=True)) / (size(a) * size(v)), 9) if size(v) else 0.0, i) for i, v in vectors.items() if v)
+        want |= {(q, n + 1): (i, -s, f"text {i}") for n, (s, i) in enumerate(near[:3])}
+    assert got == want
+    assert retrieval.dense_candidates(rows.limit(0), queries).count() == 0 and retrieval.dense_candidates(rows, queries.limit(0)).count() == 0
+
+
 def test_replace_by_source(spark, tmp_path):
     schema = "chunk_id string, source_name string, chunk_index int, text string"
     old = spark.createDataFrame([("a", "s1", 0, "x"), ("b", "s2", 0, "y"), ("c", "s3", 0, "z")], schema)
