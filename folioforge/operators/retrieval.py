@@ -17,7 +17,7 @@ MOST_SENT = 2_000_000
 
 
 def dot(x: Column, y: Column) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
 
 
 def dense_candidates(index: DataFrame, queries: DataFrame, fetch_k: int = FETCH_K, source_name: str | None = None) -> DataFrame:
@@ -32,8 +32,9 @@ def dense_candidates(index: DataFrame, queries: DataFrame, fetch_k: int = FETCH_
         raise ValueError(f"more than {MOST_QUERIES} queries in a call")
     if source_name:
         index = index.filter(F.col("source_name") == source_name)
-    vectors = index.filter(F.col("embedding").isNotNull()).select("chunk_id", "embedding", dot(F.col("embedding"), F.col("embedding")).alias("own"))
-    sent = queries.select("query_id", "query_vector", dot(F.col("query_vector"), F.col("query_vector")).alias("theirs"))
+    double = lambda c: F.col(c).cast("array<double>").alias(c)
+    vectors = index.filter(F.col("embedding").isNotNull()).select("chunk_id", double("embedding")).select("*", dot(F.col("embedding"), F.col("embedding")).alias("own"))
+    sent = queries.select("query_id", double("query_vector")).select("*", dot(F.col("query_vector"), F.col("query_vector")).alias("theirs"))
     cosine = F.coalesce(F.try_divide(dot(F.col("embedding"), F.col("query_vector")), F.sqrt(F.col("own") * F.col("theirs"))), F.lit(0.0))
     near = vectors.join(F.broadcast(sent)).select("query_id", "chunk_id", F.round(cosine, 9).alias("dense_score_raw"))
     order = Window.partitionBy("query_id").orderBy(F.desc("dense_score_raw"), "chunk_id")
