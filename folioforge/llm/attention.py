@@ -228,6 +228,16 @@ def sampled(sub: Subwords, classes: np.ndarray, doc_id, text: str, count: int) -
     return out
 
 
+def whole_windows(sub: Subwords, classes: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, goals and live positions (n, WINDOW) of a text from its beginning to its end: each id is a goal once."""
+    ids = stream_of(sub, tokens(text))
+    stream = np.zeros(-(-len(ids) // WINDOW) * WINDOW + 1, np.int16)
+    stream[0] = classes[sub.end]
+    stream[1 : len(ids) + 1] = classes[ids]
+    live = np.arange(len(stream) - 1) < len(ids)
+    return tuple(x.reshape(-1, WINDOW) for x in (stream[:-1], stream[1:], live))
+
+
 #: Windows that go through the model at a time.
 _BLOCK = 1024
 
@@ -289,9 +299,9 @@ def subword_counts(table: DataFrame, vocabulary: str, size: int) -> np.ndarray:
 
 
 def learn(train_docs: DataFrame, table: DataFrame, vocabulary: str) -> Model:
-    """Classes from the subword counts of all training documents; a first model from a bounded sample's windows; then one
-    round over every training document, in which each task goes on training on windows of its own documents and the
-    tasks' parameters are averaged by their windows."""
+    """Classes from the subword counts of all training documents; initial parameters from a bounded sample's windows; then
+    one round over every training document from beginning to end, in which each task goes on training on all windows of
+    its own documents and the tasks' parameters are averaged by their windows."""
     sub = Subwords(vocabulary)
     counts = subword_counts(table, vocabulary, sub.size)
     classes, inside = classes_of(counts, sub.begins, sub.end)
@@ -311,18 +321,22 @@ def learn(train_docs: DataFrame, table: DataFrame, vocabulary: str) -> Model:
 
     def refine(it):
         start, of = sent.value
-        trainer, held, many = Trainer(start, RATE / 5), [], 0
+        trainer, held, waiting, many = Trainer(start, RATE / 5), [], 0, 0
         for b in it:
-            for i, t in zip(b["doc_id"], b["text"], strict=True):
-                held += sampled(Subwords(vocabulary), of, i, t, 1)
-                if len(held) >= BATCH:
-                    trainer.step(*(np.stack(x) for x in zip(*held, strict=True)))
-                    many, held = many + len(held), []
+            for t in b["text"]:
+                held.append(whole_windows(Subwords(vocabulary), of, t))
+                waiting += len(held[-1][0])
+                if waiting >= BATCH:
+                    parts = [np.concatenate(x) for x in zip(*held, strict=True)]
+                    whole = waiting - waiting % BATCH
+                    for k in range(0, whole, BATCH):
+                        trainer.step(*(x[k : k + BATCH] for x in parts))
+                    held, waiting, many = [tuple(x[whole:] for x in parts)], waiting - whole, many + whole
         flat = np.concatenate([trainer.p[k].ravel() for k in sorted(trainer.p)]).astype(float)
         if many:
             yield {"at": list(range(len(flat) + 1)), "v": [*(flat * many).tolist(), float(many)]}
 
-    sums = arrow_map(train_docs.select("doc_id", "text"), "at int, v double", refine).groupBy("at").agg(F.sum("v").alias("v")).orderBy("at").toArrow().column(1).to_pylist()
+    sums = arrow_map(train_docs.select("text"), "at int, v double", refine).groupBy("at").agg(F.sum("v").alias("v")).orderBy("at").toArrow().column(1).to_pylist()
     if sums:
         flat, k = np.array(sums[:-1]) / sums[-1], 0
         for name in sorted(params):

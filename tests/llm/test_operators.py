@@ -222,6 +222,27 @@ def test_attention_windows():
         assert abs((loss(up) - loss(down)) / 2e-4 - g[name][at]) < 1e-4
 
 
+@pytest.mark.parametrize("n", [6000])
+def test_attention_learns_from_whole_texts(spark, monkeypatch, n):
+    """Texts of equal openings and equal counts, but another order behind the opening, give other parameters."""
+    monkeypatch.setattr(attention, "FIRST_WINDOWS", 1)
+    opening, tail = ["opening"] * 100, [f"w{i % 40}" for i in range(n)]
+    found = []
+    for order in (tail, sorted(tail)):
+        df = spark.createDataFrame([(1, " ".join([*opening, *order]))], "doc_id long, text string").coalesce(1)
+        found.append(attention.learn(df, attention.terms.counted(df, attention.tokens), RANKS))
+    assert np.array_equal(found[0].classes, found[1].classes) and not np.array_equal(found[0].params["Q"], found[1].params["Q"])
+
+
+def test_attention_windows_cover_texts():
+    sub = attention.Subwords(RANKS)
+    classes = np.arange(sub.size).astype(np.int16)
+    for text in ("", "one", " ".join(f"w{i}" for i in range(500))):
+        ids = attention.stream_of(sub, attention.tokens(text)).astype(np.int16)
+        given, goal, live = attention.whole_windows(sub, classes, text)
+        assert np.array_equal(goal[live], ids) and np.array_equal(given[live], np.concatenate([classes[[sub.end]], ids[:-1]]))
+
+
 def test_mixing(docs, real):
     for df in (docs, real):
         rows = mixing.mix(df).collect()
