@@ -332,6 +332,9 @@ def learn(train_docs: DataFrame, table: DataFrame, vocabulary: str) -> Model:
                     for k in range(0, whole, BATCH):
                         trainer.step(*(x[k : k + BATCH] for x in parts))
                     held, waiting, many = [tuple(x[whole:] for x in parts)], waiting - whole, many + whole
+        if waiting:
+            trainer.step(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            many += waiting
         flat = np.concatenate([trainer.p[k].ravel() for k in sorted(trainer.p)]).astype(float)
         if many:
             yield {"at": list(range(len(flat) + 1)), "v": [*(flat * many).tolist(), float(many)]}

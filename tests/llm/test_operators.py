@@ -222,7 +222,7 @@ def test_attention_windows():
         assert abs((loss(up) - loss(down)) / 2e-4 - g[name][at]) < 1e-4
 
 
-@pytest.mark.parametrize("n", [6000])
+@pytest.mark.parametrize("n", [6000, 400])  # more windows than a batch has, and fewer
 def test_attention_learns_from_whole_texts(spark, monkeypatch, n):
     """Texts of equal openings and equal counts, but another order behind the opening, give other parameters."""
     monkeypatch.setattr(attention, "FIRST_WINDOWS", 1)
