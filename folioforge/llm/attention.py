@@ -22,9 +22,9 @@ WORD = re.compile("[^ \t-\r]+")
 #: The term that ends every document; no word can be it.
 END = "\n"
 #: Width of the model, subword classes, positions of a context window, and positions that it shares with the one before.
-WIDTH, CLASSES, WINDOW, OVERLAP = 8, 48, 24, 4
+WIDTH, CLASSES, WINDOW, OVERLAP = 8, 64, 24, 4
 #: Classes of one id each; the others hold ids that begin a word, and ids inside one, of like frequency.
-SINGLES = 32
+SINGLES = 44
 #: Documents whose windows the first model learns from (those of the least hash of doc_id), and windows of each.
 FIRST_DOCS, FIRST_WINDOWS, EPOCHS = 2000, 8, 3
 BATCH, RATE = 128, 0.01

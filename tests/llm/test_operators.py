@@ -234,6 +234,12 @@ def test_attention_learns_from_whole_texts(spark, monkeypatch, n):
     assert np.array_equal(found[0].classes, found[1].classes) and not np.array_equal(found[0].params["Q"], found[1].params["Q"])
 
 
+def test_attention_classes():
+    """The 44 most frequent subwords, the end among them, are alone in their classes; all 64 classes are in use."""
+    of, inside = attention.classes_of(np.arange(5000.0)[::-1], np.arange(5000) % 2 == 0, 4999)
+    assert np.sum(np.bincount(of) == 1) == 44 and set(of) == set(range(64)) and np.all(inside[[*range(43), 4999]] == 0)
+
+
 def test_attention_windows_cover_texts():
     sub = attention.Subwords(RANKS)
     classes = np.arange(sub.size).astype(np.int16)
