@@ -23,17 +23,24 @@ SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "sec
 HARMLESS = {"count", "counts", "counter", "length", "len", "limit", "max", "min", "size", "type", "name", "file", "path", "url", "uri", "hint", "policy", "field", "label", "index", "id", "per", "enabled", "required", "expiry", "ttl"}
 PLACEHOLDERS = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|<[^>]*>|\$?\{\{?[^}]*\}\}?|%\w*%|your[-_ ].*|change[-_ ]?me|example.*|placeholder.*|redacted|secret|password|passwd|token|none|null|nil|true|false|undefined|todo)$")
 LEAST = 0.6
-#: Longest literal that is scored, and longest run of blanks between the parts of an assignment.
-LONG, GAP = 4096, 64
-
-#: A place where a sensitive name is assigned to: only texts with one are lexed.
-LIKELY = re.compile(rf"""(?i)(?:passw|passphrase|pwd|secret|token|cred|bearer|key)[\w.\-]{{0,64}}["'\]]{{0,3}}[ \t]{{0,{GAP}}}(?::=|=>|=|:|\))""")
+#: Longest run of blanks between the parts of an assignment.
+GAP = 64
+
+#: What every sensitive name has in it once all but letters and digits is taken out: only texts with one are lexed.
+LIKELY = re.compile("password|passwd|passphrase|pwd|secret|token|credential|bearer|(?:api|private|access|secret|auth|signing|encryption)key")
+NOT_IN_WORDS = re.compile("[^A-Za-z0-9]+")
+#: Whole strings from their first quote. What a run has read is not given back, so a match is linear.
+STRINGS = {
+    **{q * 3: re.compile(rf"{q * 3}(?:[^{q}\\]|\\[\s\S]|{q}(?!{q * 2}))*+{q * 3}") for q in "\"'"},
+    **{q: re.compile(rf"{q}(?:[^{q}\\\n]|\\.)*+{q}") for q in "\"'"},
+    "`": re.compile("`[^`\n]*+`"),
+}
 TOKEN = re.compile(r"""
-      (?P<string>"(?:[^"\\\n]|\\.){0,4096}"|'(?:[^'\\\n]|\\.){0,4096}'|`[^`\n]{0,4096}`)
+      (?P<quote>\"""|'''|["`]|(?:(?<!\w)|(?<=\b[bBrRuUfFLNnEeXx])|(?<=\b[bBrRfF]{2}))')
     | (?P<name>[A-Za-z_$][\w$]{0,127}(?:(?:\.|->|::|-)[A-Za-z_$][\w$]{0,127}){0,8})
     | (?P<op>:=|=>|==|!=|<=|>=|\+=|=|:)
     | (?P<plus>\+(?=["'`\s]))
-    | (?P<bare>[A-Za-z0-9+/_.\-]{1,4096})
+    | (?P<bare>[A-Za-z0-9+/_.\-]++)
     | (?P<end>[;\n,{}()])
     | (?P<open>[\[\]])
 """, re.VERBOSE)
@@ -41,7 +48,7 @@ TOKEN = re.compile(r"""
 
 ASSIGNS = (":=", "=", ":", "=>")
 #: A value without quotes, as configuration files have it.
-BARE = re.compile(r"""[^\s"'`,;(){}\[\]]{1,4096}""")
+BARE = re.compile(r"""[^\s"'`,;(){}\[\]]++""")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -68,7 +75,7 @@ def name_score(name: str) -> float:
 
 def literal_score(value: str) -> float:
     """0 to 1: how much a literal looks like a secret: long, without blanks, of many kinds of characters."""
-    if len(value) < 6 or len(value) > LONG or PLACEHOLDERS.match(value) or any(c.isspace() for c in value):
+    if len(value) < 6 or PLACEHOLDERS.match(value) or any(c.isspace() for c in value):
         return 0.0
     counts = Counter(value)
     entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
@@ -96,8 +103,25 @@ def pairs(text: str) -> list[tuple[str, list[tuple[str, int, int]]]]:
         targets.clear()
         values.clear()
 
+    dead: dict[str, int] = {}  # quote -> up to where it opens no string
+
+    def string_at(quote: str, start: int) -> int:
+        """Where the string that begins here ends, or 0. After an open one, the same quote opens none as far as that was read."""
+        for q in (quote, quote[0]):
+            if start >= dead.get(q, 0):
+                if found := STRINGS[q].match(text, start):
+                    return found.end()
+                line = text.find("\n", start) if len(q) == 1 else -1
+                dead[q] = len(text) if line < 0 else line
+        return 0
+
     while m := TOKEN.search(text, pos):
         kind, word, start, pos = m.lastgroup, m[0], m.start(), m.end()
+        if kind == "quote":
+            if not (end := string_at(word, start)):
+                pos = start + 1
+                continue
+            kind, wide, pos = "string", 3 if end - start >= 6 and len(word) == 3 and text.endswith(word, start, end) else 1, end
         if kind == "op":
             if word in ASSIGNS and last and start - last_end <= GAP:
                 if targets and values and values[-1][2] >= last_end - 1:
@@ -116,7 +140,14 @@ def pairs(text: str) -> list[tuple[str, list[tuple[str, int, int]]]]:
         elif kind == "open":
             last_end = pos
         else:
-            inner, span = (word[1:-1], (start + 1, pos - 1)) if kind == "string" else (word, (start, pos))
+            if kind == "string":
+                inner, span = text[start + wide : pos - wide], (start + wide, pos - wide)
+                if wide == 3:  # blanks around the value are not its own
+                    left = len(inner) - len(inner.lstrip())
+                    inner = inner.strip()
+                    span = (span[0] + left, span[0] + left + len(inner))
+            else:
+                inner, span = word, (start, pos)
             if targets and (joined or not values):
                 if kind == "string":
                     values.append((inner, *span))
@@ -135,7 +166,7 @@ def pairs(text: str) -> list[tuple[str, list[tuple[str, int, int]]]]:
 
 def lexed_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of literals that reach a sensitive name and look like secrets."""
-    if not LIKELY.search(text):
+    if not ("=" in text or ":" in text) or not LIKELY.search(NOT_IN_WORDS.sub("", text).lower()):
         return []
     found = set()
     for name, values in pairs(text):

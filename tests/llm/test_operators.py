@@ -178,6 +178,18 @@ def test_lexing():
     assert secrets.lexed_spans("The token of love is a secret: nothing else, he said.") == []
 
 
+def test_lexing_whole_texts():
+    """Names with something between them and the operator, parts of names, triple quotes, and literals of any length."""
+    value = "Zx81kQmm2p99"
+    for text in ('char api_secret[] = "{}"', "apiToken?: string = '{}'", 'x["api key"] = "{}"', "pass_word = r'{}'", 'secret = """{}"""', "db_secret = '''\n{}\n'''", "don't say " + "so " * 3000 + "client_credential = '{}'"):
+        assert {text.format(value)[a:b] for _, a, b in secrets.lexed_spans(text.format(value))} == {value}, text
+    long = value * 1000
+    for text in ('client_secret_key = "{}"', "bearer: {}", "credential = `{}`"):
+        assert secrets.redacted(text.format(long)) == text.format("[SECRET]"), text
+    for odd in ("'\\", "\\'", '"""', "'''a\\", "a'", '"\\\n', "`", "'", '"\\'):
+        secrets.lexed_spans("secret = " + odd * 100_000)  # in linear time
+
+
 def test_lm_scoring(docs, real):
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
     low = lambda t: [*re.findall("[^ \t-\r]+", t.encode().lower().decode()), "\n"]
