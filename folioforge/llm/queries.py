@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import attention, encoding, mixing, neardup, ordermin, quality, secrets, token_counts, topk, training_order
-from .common import documents
+from .common import documents, shared_path
 
 
 def tokenizer(name: str) -> str:
@@ -38,7 +38,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = training_order.training_order(documents(spark, sf_dir), tokenizer("byte_bpe_50k.tiktoken"))
-    return placed.select("slot", "shard", "offset", "doc_id", "seq_no", F.expr("length(ids) div 2").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"))
+    return training_order.written_order(placed, shared_path(spark, "shards"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,40 +106,81 @@ def training_order(docs: DataFrame, vocabulary: str, length: int = LENGTH, per_s
     return placed.repartitionById(ranges, F.expr(f"int(shard * {ranges} div {shards})")).sortWithinPartitions("slot")
 
 
+def _same(store, path: str, size: int, digest: str) -> bool:
+    """Whether a file is there with these bytes."""
+    if store.get_file_info(path).size != size:
+        return False
+    held = hashlib.sha256()
+    with store.open_input_stream(path) as f:
+        while part := f.read(1 << 20):
+            held.update(part)
+    return held.hexdigest() == digest
+
+
+def _written(it: Iterator[pa.RecordBatch], folder: str, length: int, pad: int) -> Iterator[tuple[dict, list[dict]]]:
+    """Write the shards of a partition; the manifest's row of each, and its sequences without ids but with n_tokens."""
+    from itertools import groupby
+
+    from pyarrow import fs
+
+    record, fill = length * BYTES, np.array([pad], np.uint16).tobytes()
+    store, root = fs.FileSystem.from_uri(folder)
+    store.create_dir(root, recursive=True)
+    stream = (r for b in it for r in b.to_pylist())
+    for shard, rows in groupby(stream, key=lambda r: r["shard"]):
+        path, digest, placed = f"{root}/shard-{shard:08d}.bin", hashlib.sha256(), []
+        held = f"{path}.{uuid.uuid4().hex}"
+        with store.open_output_stream(held) as f:
+            for r in rows:
+                ids = r.pop("ids")
+                data = ids + fill * ((record - len(ids)) // BYTES)
+                f.write(data)
+                digest.update(data)
+                placed.append(r | {"n_tokens": len(ids) // BYTES})
+        if _same(store, path, len(placed) * record, digest.hexdigest()):
+            store.delete_file(held)
+        else:
+            store.move(held, path)
+        yield {"shard": shard, "path": path, "sequences": len(placed), "tokens": sum(r["n_tokens"] for r in placed), "sha256": digest.hexdigest()}, placed
+
+
 def write_shards(ordered: DataFrame, folder: str, length: int = LENGTH, pad: int = 50256) -> DataFrame:
     """Write each shard of training_order as a file of records of `length` 16-bit ids, filled up with `pad`, and return the manifest.
 
     shard, path, sequences, tokens, sha256. Record k of a shard begins at byte k * length * 2, so a reader resumes at
     any slot. A file is written under another name and renamed, so a lost executor leaves no half shard; one that is
-    there already with the right size is kept.
+    there already with the same bytes is kept.
     """
     ddl = "shard long, path string, sequences long, tokens long, sha256 string"
     schema = pa.schema([(f.name, f.type) for f in arrow_schema(ddl)])
     batches(ordered.sparkSession)
-    record = length * BYTES
-    fill = np.array([pad], np.uint16).tobytes()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from itertools import groupby
+        for row, _ in _written(it, folder, length, pad):
+            yield pa.RecordBatch.from_pylist([row], schema)
+
+    return ordered.select("shard", "ids").mapInArrow(run, ddl)
+
+
+def written_order(ordered: DataFrame, folder: str, length: int = LENGTH, pad: int = 50256) -> DataFrame:
+    """Write the shards as write_shards does, in the same pass that gives every sequence's place and its shard's manifest.
 
+    slot, shard, offset, doc_id, seq_no, n_tokens, ids_sha256, path, shard_sha256. ids_sha256 is that of the ids read
+    back from the sequence's record, without what fills it up.
+    """
+    ddl = "slot long, shard long, offset long, doc_id long, seq_no int, n_tokens long, ids_sha256 string, path string, shard_sha256 string"
+    schema = pa.schema([(f.name, f.type) for f in arrow_schema(ddl)])
+    batches(ordered.sparkSession)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(folder)
-        store.create_dir(root, recursive=True)
-        stream = (r for b in it for r in b.to_pylist())
-        for shard, rows in groupby(stream, key=lambda r: r["shard"]):
-            path, digest, many, tokens = f"{root}/shard-{shard:08d}.bin", hashlib.sha256(), 0, 0
-            held = f"{path}.{uuid.uuid4().hex}"
-            with store.open_output_stream(held) as f:
-                for r in rows:
-                    data = r["ids"] + fill * ((record - len(r["ids"])) // BYTES)
-                    f.write(data)
-                    digest.update(data)
-                    many, tokens = many + 1, tokens + len(r["ids"]) // BYTES
-            if store.get_file_info(path).size == many * record:
-                store.delete_file(held)
-            else:
-                store.move(held, path)
-            yield pa.RecordBatch.from_pylist([{"shard": shard, "path": path, "sequences": many, "tokens": tokens, "sha256": digest.hexdigest()}], schema)
+        store, _ = fs.FileSystem.from_uri(folder)
+        for shard, placed in _written(it, folder, length, pad):
+            with store.open_input_stream(shard["path"]) as f:
+                for r in placed:
+                    ids = f.read(length * BYTES)[: r["n_tokens"] * BYTES]
+                    r |= {"ids_sha256": hashlib.sha256(ids).hexdigest(), "path": shard["path"], "shard_sha256": shard["sha256"]}
+            yield pa.RecordBatch.from_pylist(placed, schema)
 
-    return ordered.select("shard", "ids").mapInArrow(run, ddl)
+    return ordered.select("slot", "shard", "offset", "doc_id", "seq_no", "ids").mapInArrow(run, ddl)

@@ -90,6 +90,24 @@ def test_training_order(docs, real, tmp_path):
     assert training_order.training_order(docs, RANKS).count() >= docs.count() and training_order.training_order(docs.limit(0), RANKS).count() == 0
 
 
+def test_shards_are_written(spark, real, tmp_path):
+    """The query's sequences are in its shard files, and other sequences of the same size replace a file."""
+    from folioforge.llm import queries
+
+    got = queries.op2_training_order(spark, SF).collect()
+    whole = {p: open(p, "rb").read() for p in {r.path for r in got}}
+    wide = training_order.LENGTH * 2
+    for r in got:
+        data = whole[r.path]
+        at = data[r.offset * wide : (r.offset + 1) * wide]
+        assert hashlib.sha256(data).hexdigest() == r.shard_sha256 and hashlib.sha256(at[: r.n_tokens * 2]).hexdigest() == r.ids_sha256
+        assert at[r.n_tokens * 2 :] == struct.pack("<H", 50256) * (training_order.LENGTH - r.n_tokens)
+    assert sum(map(len, whole.values())) == len(got) * wide
+    for key in (1, 1, 2):
+        manifest = training_order.write_shards(training_order.training_order(real, RANKS, length=64, per_shard=32, key=key), f"file://{tmp_path}/again", length=64).collect()
+        assert all(hashlib.sha256(open(m.path, "rb").read()).hexdigest() == m.sha256 for m in manifest)
+
+
 def test_quality(spark, docs):
     real, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = quality.classify(real, labels).join(labels, "doc_id").filter("held_out").collect()
