@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import low_signal, rag_tokens, signature, strip
 
 TOP_K, FETCH_K, MIN_SCORE, DENSE_WEIGHT, RERANK_BLEND = 5, 40, 0.20, 0.70, 0.35
-#: Queries that are sent to every scan task; more of them go in several calls.
+#: Queries that are sent to every scan task; more of them go in blocks of about half as many, each with a scan of its own.
 MOST_QUERIES = 10_000
 
 
@@ -23,15 +25,22 @@ def dot(x: Column, y: Column) -> Column:
 def dense_candidates(index: DataFrame, queries: DataFrame, fetch_k: int = FETCH_K, source_name: str | None = None) -> DataFrame:
     """The fetch_k nearest rows of index (chunk_id, source_name, chunk_index, text, embedding) for each query (query_id, query_text, query_vector).
 
-    Queries are a request's batch of a checked size, sent to the scan of vectors; ties go by chunk_id, the index's key.
-    Only ids and scores are ranked, each task's best first; texts are read for the candidates alone. Rows without a
+    Queries are sent to the scan of vectors, in blocks by query_id if there are many; ties go by chunk_id, the index's
+    key. Only ids and scores are ranked, each task's best first; texts are read for the candidates alone. Rows without a
     vector are no candidates; a vector of zeros has the score 0.
     """
-    asked = queries.limit(MOST_QUERIES + 1).count()
-    if asked > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries in a call")
     if source_name:
         index = index.filter(F.col("source_name") == source_name)
+    asked = queries.count()
+    if asked <= MOST_QUERIES:
+        return _candidates(index, queries, asked, fetch_k)
+    blocks = -(-2 * asked // MOST_QUERIES)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, (_candidates(index, queries.filter(block == k), MOST_QUERIES, fetch_k) for k in range(blocks)))
+
+
+def _candidates(index: DataFrame, queries: DataFrame, asked: int, fetch_k: int) -> DataFrame:
+    """dense_candidates of one block of about `asked` queries at most."""
     double = lambda c: F.col(c).cast("array<double>").alias(c)
     vectors = index.filter(F.col("embedding").isNotNull()).select("chunk_id", double("embedding")).select("*", dot(F.col("embedding"), F.col("embedding")).alias("own"))
     sent = queries.select("query_id", double("query_vector")).select("*", dot(F.col("query_vector"), F.col("query_vector")).alias("theirs"))

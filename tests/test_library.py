@@ -140,3 +140,12 @@ def test_entry():
     import __spark_entry__ as e
 
     assert "hybrid_retrieve" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_more_queries_than_are_sent_at_once(spark, monkeypatch):
+    index = spark.createDataFrame([(i, f"src{i % 2}", 0, f"text {i}", [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "chunk_id long, source_name string, chunk_index int, text string, embedding array<float>")
+    queries = spark.createDataFrame([(i, f"query {i}", [float(i % 3), 1.0, float(i % 4)]) for i in range(23)], "query_id long, query_text string, query_vector array<float>")
+    found = lambda: sorted(map(tuple, retrieval.dense_candidates(index, queries, 5, "src1").collect()))
+    want = found()
+    monkeypatch.setattr(retrieval, "MOST_QUERIES", 10)
+    assert len(want) == 23 * 5 and found() == want
