@@ -15,6 +15,8 @@ from .common import arrow_map, arrow_schema, batches, stored, text_or_empty
 
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT, SHINGLE = 85, 5
+#: The same for deduplicated, a stage of pipelines. Two sets of similarity 0.80 share no band with a probability of 5e-8.
+STAGE_PERCENT = 80
 #: Registers of a signature, and registers to a band: 32 bands of 64 bits. Two sets of similarity 0.85 share no band
 #: with a probability of (1 - 0.85 ** 4) ** 32, about 6e-11.
 REGISTERS, ROWS = 128, 4
@@ -317,7 +319,7 @@ def _verify(percent: int):
     return rows
 
 
-def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def deduplicated(docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
     """docs with one document of each group, the one of the least doc_id; columns are as they were.
 
     Rows of one doc_id that stay are one document: one of them is kept. Rows without a doc_id stay.

@@ -344,6 +344,16 @@ def test_near_duplicates(spark, docs, real):
     assert kept.columns == docs.columns and kept.filter("doc_id = 99").count() == 0 and kept.filter("doc_id = 3").count() == 1 and kept.filter("doc_id IS NULL").count() == 1
 
 
+def test_stage_links_from_80_percent(spark):
+    """A pair of similarity 0.82 (90 of 110 shingles) is one document for the stage of the pipeline, and two for op10."""
+    import corpus_pipeline
+
+    words = [f"b{i}" for i in range(104)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:94], *(f"x{i}" for i in range(10))]))], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.one_of_each(spark, df, "").collect()] == [1]
+    assert neardup.near_duplicates(df).filter("kept").count() == 2
+
+
 def test_estimates():
     r = np.random.default_rng(6)
     a = np.sort(r.integers(0, 1 << 63, 2000).astype(np.uint64))
