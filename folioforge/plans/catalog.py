@@ -242,6 +242,13 @@ def study_context_pack(spark, d):
     return retrieval.study_context(rows, 3000)
 
 
+@query(ORACLES["study_context_pack"].replace("3000", "18000").replace("2997", "17997"))
+def study_context_pack_whole(spark, d):
+    """With the reference's budget of 18,000 characters."""
+    rows = chunks(spark, d).select(F.col("source_path").cast("long").alias("doc_id"), F.col("chunk_index").alias("pos"), "text")
+    return retrieval.study_context(rows)
+
+
 @query("SELECT doc_id AS chunk_id, source AS source_name, 'new' AS version FROM documents WHERE source IN ('src1', 'src2') UNION ALL SELECT doc_id, source, 'old' FROM documents WHERE source NOT IN ('src1', 'src2')")
 def replace_by_source(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_name"), F.lit(0).alias("chunk_index"))

@@ -149,3 +149,13 @@ def test_more_queries_than_are_sent_at_once(spark, monkeypatch):
     want = found()
     monkeypatch.setattr(retrieval, "MOST_QUERIES", 10)
     assert len(want) == 23 * 5 and found() == want
+
+
+def test_study_context_at_the_reference_budget(spark, tmp_path):
+    """About 5,000 characters are packed whole; of 30,000, what fits 18,000."""
+    from folioforge.plans import catalog
+
+    sentence = "This is a sentence of some forty letters. "
+    spark.createDataFrame([(1, "a", sentence * 120), (2, "a", sentence * 720)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.context for r in catalog.QUERIES["study_context_pack_whole"](spark, str(tmp_path)).collect()}
+    assert len(got[1]) > 5000 and 16_000 < len(got[2]) <= 18_000 and "18000" in catalog.ORACLES["study_context_pack_whole"]
