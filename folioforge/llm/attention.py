@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import base64
-import math
 import re
 from array import array
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
-import xxhash
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import terms
@@ -21,15 +21,15 @@ FOLDS, HELD = 7, 2
 WORD = re.compile("[^ \t-\r]+")
 #: The term that ends every document; no word can be it.
 END = "\n"
-#: Width of the model, subword classes, positions of a context window, and positions that it shares with the one before.
-WIDTH, CLASSES, WINDOW, OVERLAP = 8, 64, 24, 4
-#: Classes of one id each; the others hold ids that begin a word, and ids inside one, of like frequency.
-SINGLES = 44
-#: Documents whose windows the first model learns from (those of the least hash of doc_id), and windows of each.
-FIRST_DOCS, FIRST_WINDOWS, EPOCHS = 2000, 8, 3
-BATCH, RATE = 128, 0.01
-#: Weight of the word table against the subword model.
-LAMBDA = 0.85
+#: Width of the model, positions of a context window, and positions that a scored window shares with the one before.
+WIDTH, WINDOW, OVERLAP = 16, 32, 4
+#: Most frequent ids with an output of their own; ids of the first cluster behind them, and of the largest ones.
+SINGLES, SMALL, LARGE = 64, 64, 2048
+#: The initial fit: about so many training documents of the least hash, windows of each, rounds over them.
+FIRST_DOCS, FIRST_WINDOWS, EPOCHS = 2000, 8, 4
+BATCH, RATE = 64, 0.05
+#: Subwords of a training shard, and the most shards; beyond that, shards grow.
+SHARD, MOST_SHARDS = 8_000_000, 16_384
 
 
 def lowered(text: str) -> str:
@@ -43,7 +43,7 @@ def tokens(text: str) -> list[str]:
 
 @lru_cache(maxsize=2)
 class Subwords:
-    """word -> packed 16-bit ids of a byte-level rank file, the word with a space before it; the end has the first free id."""
+    """word -> packed ids of a byte-level rank file, the word with a space before it; the end has the first free id."""
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -54,12 +54,15 @@ class Subwords:
         self.encode = tiktoken.Encoding("subwords", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
         self.end = max(ranks.values()) + 1
         self.size = self.end + 1
-        self.begins = np.zeros(self.size, bool)
-        self.begins[[i for t, i in ranks.items() if t.startswith(b" ")]] = True
+        #: Bytes of an id: two where all ids and one more, for what fills records up, have room in them.
+        self.code = "H" if self.size < 1 << 16 else "I"
         self.words = _Packed(self)
 
     def packed(self, word: str) -> bytes:
-        return array("H", [self.end] if word == END else self.encode(" " + word)).tobytes()
+        return array(self.code, [self.end] if word == END else self.encode(" " + word)).tobytes()
+
+    def ids(self, words: list[str]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), np.dtype(self.code))
 
 
 class _Packed(dict):
@@ -76,204 +79,199 @@ class _Packed(dict):
 
 @dataclass
 class Model:
-    """Parameters, the class of each subword id, and log10 of each id's share of its class."""
-
-    params: dict[str, np.ndarray]
-    classes: np.ndarray
-    inside: np.ndarray
-
-
-def classes_of(counts: np.ndarray, begins: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each id and log10 of its smoothed share of the class. The end and the most frequent ids are alone in theirs."""
-    smooth = counts + 0.1
-    alone = [end, *(i for i in np.argsort(-smooth, kind="stable")[: SINGLES] if i != end)][:SINGLES]
-    of = np.full(len(counts), -1)
-    of[alone] = np.arange(len(alone))
-    half = (CLASSES - SINGLES) // 2
-    for group, start in ((begins, SINGLES), (~begins, SINGLES + half)):
-        ids = np.flatnonzero(group & (of < 0))
-        ids = ids[np.argsort(-smooth[ids], kind="stable")]
-        mass = np.cumsum(smooth[ids])
-        of[ids] = start + np.minimum((mass / mass[-1] * half).astype(int), half - 1) if len(ids) else 0
-    total = np.bincount(of, smooth, CLASSES)
-    return of.astype(np.int16), np.log10(smooth / total[of])
+    """Parameters, the place of each subword id by frequency, the clusters' bounds in that order, and the cluster of each place (0: an output of its own).
 
+    E embeds the given id and P its position; A makes queries, keys and values, O takes what attention gives back. The
+    last component of what comes out is 1, so H (single ids and clusters) and T (ids inside their cluster) hold biases.
+    """
 
-def fresh(class_counts: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
-    r, d = np.random.default_rng(seed), WIDTH
-    draw = lambda *s: (r.standard_normal(s) * 0.3 / np.sqrt(s[0])).astype(np.float32)
-    share = (class_counts + 1) / (class_counts + 1).sum()
-    return {"E": draw(CLASSES, d) * 4, "P": draw(WINDOW, d), "Q": draw(d, d) * 2, "K": draw(d, d) * 2, "V": draw(d, d), "O": draw(d, d), "U": draw(d, CLASSES), "b": np.log(share).astype(np.float32)}
+    params: dict[str, np.ndarray]
+    place: np.ndarray
+    bounds: np.ndarray
+    cluster: np.ndarray
+
+
+def cluster_bounds(size: int) -> np.ndarray:
+    """Clusters of twice the size from one to the next, up to LARGE, over the ids behind the single ones."""
+    out, n = [min(SINGLES, size)], SMALL
+    while out[-1] < size:
+        out.append(min(size, out[-1] + n))
+        n = min(2 * n, LARGE)
+    return np.array(out)
+
+
+def fresh(counts: np.ndarray, end: int, seed: int = 7) -> Model:
+    """A model before training: random weights, biases from the counts. The end and the most frequent ids are single."""
+    order = np.lexsort((np.arange(len(counts)), -counts))
+    order = np.concatenate([[end], order[order != end]])
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    bounds = cluster_bounds(len(order))
+    r, smooth = np.random.default_rng(seed), counts[order] + 0.1
+    draw = lambda *s: (r.standard_normal(s) * 0.3 / np.sqrt(s[-1])).astype(np.float32)
+    v, d = len(order), WIDTH
+    p = {"E": draw(v, d) * 4, "P": draw(WINDOW, d), "A": draw(d, 3 * d) * 2, "O": draw(d, d), "H": draw(bounds[0] + len(bounds) - 1, d), "T": draw(v, d)}
+    p["A"][:, :d] /= np.float32(np.sqrt(d))
+    head = np.concatenate([smooth[: bounds[0]], [smooth[a:b].sum() for a, b in zip(bounds, bounds[1:], strict=False)]])
+    p["H"][:, -1] = np.log(head / head.sum())
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        p["T"][a:b, -1] = np.log(smooth[a:b] / smooth[a:b].sum())
+    return Model(p, place, bounds, np.searchsorted(bounds, np.arange(v), side="right").astype(np.uint8))
+
+
+#: Later positions have no part in a row's greatest value, nor in its sum.
+_MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+_ONES = np.ones(LARGE + SINGLES + 4096, np.float32)
 
 
-_MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+def _turned(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x.transpose(0, 2, 1))
 
 
-def trunk(p: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Causal self-attention over windows x (n, WINDOW, WIDTH) with a residual."""
-    flat = x.reshape(-1, WIDTH)
-    q, k, v = ((flat @ p[m]).reshape(x.shape) for m in "QKV")
-    s = q @ k.transpose(0, 2, 1)
-    s *= 1 / np.sqrt(WIDTH)
-    s += _MASK
-    s -= s.max(axis=2, keepdims=True)
-    np.exp(s, out=s)
-    s /= s.sum(axis=2, keepdims=True)
-    o = s @ v
-    return x + (o.reshape(-1, WIDTH) @ p["O"]).reshape(x.shape), q, k, v, s, o
-
-
-_SEEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))
-
-
-def trunk_for_scores(p: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
-    """What trunk gives, in fewer passes: weights are not normalised before they are summed, and exponents are capped."""
-    flat = x.reshape(-1, WIDTH)
-    q, k, v = ((flat @ p[m]).reshape(x.shape) for m in "QKV")
-    q *= np.float32(1 / np.sqrt(WIDTH))
-    s = q @ k.transpose(0, 2, 1)
-    np.minimum(s, np.float32(60), out=s)
-    np.exp(s, out=s)
-    s *= _SEEN
-    o = s @ v
-    o /= s.sum(axis=2, keepdims=True)
-    return x + (o.reshape(-1, WIDTH) @ p["O"]).reshape(x.shape)
-
-
-def gradients(p: dict[str, np.ndarray], cls: np.ndarray, goal: np.ndarray, live: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the mean loss over the live positions of windows cls -> goal."""
-    x = p["E"][cls] + p["P"]
-    h, q, k, v, a, o = trunk(p, x)
-    flat = h.reshape(-1, WIDTH)
-    z = flat @ p["U"] + p["b"]
-    z -= z.max(axis=1, keepdims=True)
+def _exp(z: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray | float:
+    """z becomes exp(z - shift); the shift of a row is its greatest value if any value is out of -60 .. 60, else 0, which is quicker and the same softmax."""
+    wide = z.size and (z.max() > 60 or z.min() < -60)
+    if mask is not None:
+        z += mask
+    shift = z.max(axis=-1) if wide else 0.0
+    if wide:
+        z -= shift[..., None]
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    z[np.arange(len(z)), goal.ravel()] -= 1
-    z *= (live.ravel() / max(1, live.sum()))[:, None].astype(np.float32)
-    dh = z @ p["U"].T
-    g = {"U": flat.T @ z, "b": z.sum(axis=0)}
-    of = o.reshape(-1, WIDTH)
-    g["O"] = of.T @ dh
-    do = (dh @ p["O"].T).reshape(x.shape)
-    dv = a.transpose(0, 2, 1) @ do
-    da = do @ v.transpose(0, 2, 1)
-    ds = a * (da - (a * da).sum(axis=2, keepdims=True)) / np.float32(np.sqrt(WIDTH))
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    dx = dh.reshape(x.shape).copy()
-    xf = x.reshape(-1, WIDTH)
-    for name, d in (("Q", dq), ("K", dk), ("V", dv)):
-        df = d.reshape(-1, WIDTH)
-        g[name] = xf.T @ df
-        dx += (df @ p[name].T).reshape(x.shape)
-    g["P"] = dx.sum(axis=0)
-    g["E"] = np.zeros_like(p["E"])
-    np.add.at(g["E"], cls.ravel(), dx.reshape(-1, WIDTH))
-    return g
+    return shift
 
 
-class Trainer:
-    """Adam over batches of windows."""
-
-    def __init__(self, params: dict[str, np.ndarray], rate: float):
-        self.p = {k: v.copy() for k, v in params.items()}
-        self.m, self.v = ({k: np.zeros_like(v) for k, v in params.items()} for _ in range(2))
-        self.rate, self.t = rate, 0
-
-    def step(self, cls: np.ndarray, goal: np.ndarray, live: np.ndarray) -> None:
-        self.t += 1
-        for k, g in gradients(self.p, cls, goal, live).items():
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.v[k] += 0.01 * (g * g - self.v[k])
-            self.p[k] -= self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-8)
-
-
-def window_of(stream: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs, goals and live positions of one window of a class stream, filled up at its end."""
-    part = stream[start : start + WINDOW + 1]
-    fill = np.zeros(WINDOW + 1 - len(part), part.dtype)
-    part = np.concatenate([part, fill])
-    return part[:-1], part[1:], np.arange(WINDOW) < WINDOW - len(fill)
-
-
-def train(params: dict[str, np.ndarray], windows: list[tuple], rate: float, epochs: int, seed: int = 3) -> dict[str, np.ndarray]:
-    trainer, r = Trainer(params, rate), np.random.default_rng(seed)
-    cls, goal, live = (np.stack(x) for x in zip(*windows, strict=True))
-    steps = epochs * -(-len(windows) // BATCH)
-    for _ in range(epochs):
-        order = r.permutation(len(windows))
-        for k in range(0, len(order), BATCH):
-            at = order[k : k + BATCH]
-            trainer.rate = rate * max(0.05, 1 - trainer.t / steps)
-            trainer.step(cls[at], goal[at], live[at])
-    return trainer.p
-
-
-def stream_of(sub: Subwords, words: list[str]) -> np.ndarray:
-    return np.frombuffer(b"".join(map(sub.words.__getitem__, words)), np.uint16)
-
-
-def sampled(sub: Subwords, classes: np.ndarray, doc_id, text: str, count: int) -> list[tuple]:
-    """Up to `count` windows of a document, the first at its beginning, the others at places that its id and text decide."""
-    seed = xxhash.xxh3_64_intdigest(f"{doc_id}\n{text[:64]}".encode("utf-8", "replace"))
-    out, room = [], 16 * WINDOW  # characters that hold a window's subwords
-    for k in range(min(count, 1 + len(text) // room)):
-        at = (seed >> k) % max(1, len(text) - room) if k else 0
-        words = tokens(text[at : at + room])
-        words = words[1:-1] if at else words if len(text) <= room else words[:-1]  # without what is cut
-        ids = stream_of(sub, words)
-        stream = classes[np.concatenate([[sub.end], ids])] if not at else classes[ids]
-        if len(stream) > 1:
-            out.append(window_of(stream, 0))
+def trunk(p: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Masked attention over windows x (n, WINDOW, WIDTH) with a residual, all windows at a time."""
+    n, flat = len(x), x.reshape(-1, WIDTH)
+    q, k, v = (np.ascontiguousarray(y).reshape(n, WINDOW, WIDTH) for y in np.split(flat @ p["A"], 3, axis=1))
+    kt = _turned(k)
+    a = np.matmul(q, kt)
+    _exp(a, _MASK)
+    a /= (a.reshape(-1, WINDOW) @ _ONES[:WINDOW]).reshape(n, WINDOW, 1)
+    o = np.matmul(a, v)
+    h = flat + o.reshape(-1, WIDTH) @ p["O"]
+    h[:, -1] = 1
+    return h, q, k, kt, v, a, o
+
+
+def by_cluster(cluster: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+    rows = rows[np.argsort(cluster[rows], kind="stable")]
+    return np.split(rows, np.flatnonzero(np.diff(cluster[rows])) + 1) if len(rows) else []
+
+
+def logs(m: Model, given: np.ndarray, goal: np.ndarray, live: np.ndarray) -> np.ndarray:
+    """ln of the probability of the goal at each live position of windows (n, WINDOW): its output's, and within a cluster its own."""
+    p = m.params
+    h = trunk(p, p["E"][given] + p["P"])[0][live.ravel()]
+    g = goal[live]
+    c = m.cluster[g]
+
+    def softmax(h: np.ndarray, w: np.ndarray, at: np.ndarray) -> np.ndarray:
+        z = h @ w.T
+        mine = z[np.arange(len(z)), at].astype(np.float64)
+        return mine - _exp(z) - np.log(z @ _ONES[: z.shape[1]])
+
+    out = softmax(h, p["H"], np.where(c == 0, g, m.bounds[0] - 1 + c))
+    for rows in by_cluster(c, np.flatnonzero(c)):
+        low, high = m.bounds[c[rows[0]] - 1 :][:2]
+        out[rows] += softmax(h[rows], p["T"][low:high], g[rows] - low)
     return out
 
 
-def whole_windows(sub: Subwords, classes: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs, goals and live positions (n, WINDOW) of a text from its beginning to its end: each id is a goal once."""
-    ids = stream_of(sub, tokens(text))
-    stream = np.zeros(-(-len(ids) // WINDOW) * WINDOW + 1, np.int16)
-    stream[0] = classes[sub.end]
-    stream[1 : len(ids) + 1] = classes[ids]
-    live = np.arange(len(stream) - 1) < len(ids)
+class Trainer:
+    """Adagrad over batches of windows; `state` holds the sums of squared gradients."""
+
+    def __init__(self, model: Model, state: dict[str, np.ndarray] | None = None, rate: float = RATE):
+        self.m, self.rate = model, np.float32(rate)
+        self.p = {k: v.copy() for k, v in model.params.items()}
+        self.state = {k: v.copy() for k, v in (state or {k: np.full_like(v, 1e-6) for k, v in self.p.items()}).items()}
+
+    def _move(self, name: str, g: np.ndarray, rows=slice(None)) -> None:
+        square = self.state[name][rows] + g * g
+        self.state[name][rows] = square
+        self.p[name][rows] -= self.rate * g / np.sqrt(square)
+
+    def _output(self, name: str, rows, h: np.ndarray, at: np.ndarray, scale: np.ndarray) -> np.ndarray:
+        """Move the outputs of one softmax; the gradient of its input."""
+        w = self.p[name][rows]
+        z = h @ w.T
+        _exp(z)
+        total, every = z @ _ONES[: z.shape[1]], np.arange(len(h))
+        z[every, at] -= total
+        r = (scale / total)[:, None]
+        dh = (z @ w) * r
+        self._move(name, z.T @ (h * r), rows)
+        return dh
+
+    def step(self, given: np.ndarray, goal: np.ndarray, live: np.ndarray) -> None:
+        """One move along the gradient of the mean loss over live positions."""
+        p, m = self.p, self.m
+        x = p["E"][given] + p["P"]
+        h, q, k, kt, v, a, o = trunk(p, x)
+        g, on = goal.ravel(), live.ravel()
+        scale = on * np.float32(1 / max(1, on.sum()))
+        c = m.cluster[g]
+        dh = self._output("H", slice(None), h, np.where(c == 0, g, m.bounds[0] - 1 + c), scale)
+        for rows in by_cluster(c, np.flatnonzero((c > 0) & on)):
+            low, high = m.bounds[c[rows[0]] - 1 :][:2]
+            dh[rows] += self._output("T", slice(low, high), h[rows], g[rows] - low, scale[rows])
+        dh[:, -1] = 0
+        do = (dh @ p["O"].T).reshape(x.shape)
+        dv = np.matmul(_turned(a), do)
+        da = np.matmul(do, _turned(v))
+        da -= (do * o).sum(axis=2, keepdims=True)
+        da *= a
+        d = np.concatenate([y.reshape(-1, WIDTH) for y in (np.matmul(da, k), np.matmul(_turned(da), q), dv)], axis=1)
+        dx = dh + d @ p["A"].T
+        self._move("O", o.reshape(-1, WIDTH).T @ dh)
+        self._move("A", x.reshape(-1, WIDTH).T @ d)
+        self._move("P", dx.reshape(x.shape).sum(axis=0))
+        ids = given.ravel()
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        last = np.flatnonzero(np.concatenate((ids[1:] != ids[:-1], [True])))
+        sums = np.cumsum(dx[order], axis=0, dtype=np.float64)[last]
+        sums[1:] -= sums[:-1].copy()
+        self._move("E", sums.astype(np.float32), ids[last])
+
+
+def training_windows(m: Model, sub: Subwords, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Given and goal places and live positions (n, WINDOW) of a text from its beginning to its end: each id is a goal once."""
+    places = m.place[sub.ids(tokens(text))]
+    stream = np.zeros(-(-len(places) // WINDOW) * WINDOW + 1, np.uint16 if len(m.place) < 1 << 16 else np.int64)
+    stream[0] = m.place[sub.end]
+    stream[1 : len(places) + 1] = places
+    live = np.arange(len(stream) - 1) < len(places)
     return tuple(x.reshape(-1, WINDOW) for x in (stream[:-1], stream[1:], live))
 
 
-#: Windows that go through the model at a time.
-_BLOCK = 1024
-
-
-def stream_logs(model: Model, streams: list[np.ndarray], end: int) -> list[np.ndarray]:
-    """log10 probability of each id of each stream; overlapping windows score each id once."""
-    if not streams:
-        return []
-    lengths = np.array([len(s) for s in streams])
-    ids = np.concatenate(streams)
-    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    goal = model.classes[ids].astype(np.int64)
-    given = np.empty_like(goal)
-    given[1:] = goal[:-1]
-    given[first] = model.classes[end]
-    stride = WINDOW - OVERLAP
-    many = 1 + np.maximum(0, -(-(lengths - WINDOW) // stride))
-    doc = np.repeat(np.arange(len(streams)), many)
-    number = np.arange(len(doc)) - np.repeat(np.concatenate([[0], np.cumsum(many)[:-1]]), many)
-    start, stop = first[doc] + number * stride, (first + lengths)[doc]
-    out = np.empty(len(ids))
-    p = model.params
-    u = np.concatenate([p["U"], p["b"][None]]).astype(np.float32)
-    ut, ones = np.ascontiguousarray(u.T), np.ones(CLASSES, np.float32)
-    for k in range(0, len(doc), _BLOCK):
-        at = start[k : k + _BLOCK, None] + np.arange(WINDOW)
-        live = (at < stop[k : k + _BLOCK, None]) & ((np.arange(WINDOW) >= OVERLAP) | (number[k : k + _BLOCK, None] == 0))
-        h = trunk_for_scores(p, p["E"][given[np.minimum(at, len(ids) - 1)]] + p["P"])
-        place = at[live]
-        h = np.concatenate([h[live], np.ones((len(place), 1), np.float32)], axis=1)
-        g = np.einsum("ij,ij->i", h, ut[goal[place]])
-        z = h @ u
-        np.exp(z, out=z)
-        out[place] = g - np.log(z @ ones)
-    out = out / np.log(10) + model.inside[ids]
-    return np.split(out, first[1:])
+#: Windows that are scored at a time.
+_BLOCK = 64
+
+
+def text_logs(m: Model, sub: Subwords, parts: list[list[str]]) -> list[float]:
+    """ln of the probability of each list of tokens. Windows overlap; each subword counts once, with the most context."""
+    out = np.zeros(len(parts))
+    for k in range(0, len(parts), 64):
+        streams = [m.place[sub.ids(p)] for p in parts[k : k + 64]]
+        lengths = np.array([len(s) for s in streams])
+        goal = np.concatenate(streams)
+        first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        given = np.concatenate([[0], goal[:-1]])
+        given[first] = m.place[sub.end]
+        stride = WINDOW - OVERLAP
+        many = 1 + np.maximum(0, -(-(lengths - WINDOW) // stride))
+        doc = np.repeat(np.arange(len(streams)), many)
+        number = np.arange(len(doc)) - np.repeat(np.concatenate([[0], np.cumsum(many)[:-1]]), many)
+        start, stop = first[doc] + number * stride, (first + lengths)[doc]
+        each = np.empty(len(goal))
+        for b in range(0, len(doc), _BLOCK):
+            at = start[b : b + _BLOCK, None] + np.arange(WINDOW)
+            live = (at < stop[b : b + _BLOCK, None]) & ((np.arange(WINDOW) >= OVERLAP) | (number[b : b + _BLOCK, None] == 0))
+            held = np.minimum(at, len(goal) - 1)
+            each[at[live]] = logs(m, given[held], goal[held], live)
+        out[k : k + 64] = np.add.reduceat(each, first)
+    return out.tolist()
 
 
 def held_out():
@@ -288,7 +286,7 @@ def subword_counts(table: DataFrame, vocabulary: str, size: int) -> np.ndarray:
         sub, total = Subwords(vocabulary), np.zeros(size)
         for b in it:
             for w, n in zip(b["term"], b["n"], strict=True):
-                np.add.at(total, np.frombuffer(sub.packed(w), np.uint16), n)
+                np.add.at(total, np.frombuffer(sub.packed(w), np.dtype(sub.code)), n)
         at = np.flatnonzero(total)
         yield {"id": at.tolist(), "n": total[at].tolist()}
 
@@ -298,109 +296,139 @@ def subword_counts(table: DataFrame, vocabulary: str, size: int) -> np.ndarray:
     return out
 
 
+def initial(train_docs: DataFrame, model: Model, vocabulary: str, docs: float) -> Trainer:
+    """A first fit, where all shards start: a few windows of about FIRST_DOCS of `docs` training documents, chosen by hash."""
+    hashed = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    chosen = train_docs.filter(hashed < int(min(1.0, FIRST_DOCS / max(1.0, docs)) * (1 << 30))).select(hashed.alias("key"), "text")
+
+    def rows(it):
+        sub = Subwords(vocabulary)
+        for b in it:
+            out = []
+            for key, text in zip(b["key"], b["text"], strict=True):
+                parts = np.stack([x.astype(np.uint32) for x in training_windows(model, sub, text)], axis=1)
+                out.append(parts[np.unique((key + np.arange(FIRST_WINDOWS) * 0x9E3779B1) % len(parts))].tobytes())
+            yield {"key": b["key"], "w": out}
+
+    got = sorted(zip(*(c.to_pylist() for c in arrow_map(chosen, "key long, w binary", rows).toArrow().columns), strict=True))
+    trainer, r = Trainer(model), np.random.default_rng(3)
+    if got:
+        windows = np.frombuffer(b"".join(w for _, w in got), np.uint32).reshape(-1, 3, WINDOW).astype(np.int64)
+        for _ in range(EPOCHS):
+            order = r.permutation(len(windows))
+            for k in range(0, len(order), BATCH):
+                given, goal, live = windows[order[k : k + BATCH]].transpose(1, 0, 2)
+                trainer.step(given, goal, live > 0)
+    return trainer
+
+
+#: Matrices in the order in which their rows are numbered for averaging.
+_NAMES = ("E", "T", "H", "P", "A", "O")
+_SCALE = float(1 << 20)
+
+
+def shard_moves(model: Model, state: dict[str, np.ndarray], sub: Subwords, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Train on every window of the texts; numbers, weights and new values of the parameter rows that were used.
+
+    A row weighs as much as the shard used it: an id's embedding by its occurrences, a cluster by its goals, others by
+    all goals.
+    """
+    trainer, held, waiting = Trainer(model, state), [], 0
+    given_n, cluster_n = np.zeros(len(model.place), np.int64), np.zeros(len(model.bounds), np.int64)
+
+    def go(given, goal, live):
+        nonlocal given_n, cluster_n
+        trainer.step(given, goal, live)
+        given_n += np.bincount(given[live], minlength=len(given_n))
+        cluster_n += np.bincount(model.cluster[goal[live]], minlength=len(cluster_n))
+
+    for t in texts:
+        held.append(training_windows(model, sub, t))
+        waiting += len(held[-1][0])
+        if waiting >= 16 * BATCH:
+            parts = [np.concatenate(x) for x in zip(*held, strict=True)]
+            whole = waiting - waiting % BATCH
+            for k in range(0, whole, BATCH):
+                go(*(x[k : k + BATCH] for x in parts))
+            held, waiting = [tuple(x[whole:] for x in parts)], waiting - whole
+    parts = [np.concatenate(x) for x in zip(*held, strict=True)] if held else ()
+    for k in range(0, waiting, BATCH):
+        go(*(x[k : k + BATCH] for x in parts))
+    if not cluster_n.sum():
+        return None
+    weights = {"E": given_n, "T": np.where(model.cluster > 0, cluster_n[model.cluster], 0)}
+    rows = np.concatenate([trainer.p[k].reshape(-1, WIDTH) for k in _NAMES])
+    w = np.concatenate([weights.get(k, np.full(model.params[k].size // WIDTH, cluster_n.sum())) for k in _NAMES])
+    at = np.flatnonzero(w)
+    return at, w[at], rows[at]
+
+
 def learn(train_docs: DataFrame, table: DataFrame, vocabulary: str) -> Model:
-    """Classes from the subword counts of all training documents; initial parameters from a bounded sample's windows; then
-    one round over every training document from beginning to end, in which each task goes on training on all windows of
-    its own documents and the tasks' parameters are averaged by their windows."""
+    """Fit on every training document from its beginning to its end.
+
+    Outputs begin with the subword counts of all training documents, weights with a small first fit (see initial).
+    Then documents are dealt by hash to shards of about SHARD subwords, in which they stand in the order of their hash; each shard is trained
+    through in one go, and the shards' parameters are averaged, each row by its use. Sums are of whole numbers, so
+    neither shards nor averages depend on how the table is cut into files or tasks.
+    """
     sub = Subwords(vocabulary)
     counts = subword_counts(table, vocabulary, sub.size)
-    classes, inside = classes_of(counts, sub.begins, sub.end)
-    params = fresh(np.bincount(classes, counts, CLASSES))
-    chosen = train_docs.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).select("doc_id", F.col("text")).limit(FIRST_DOCS)
+    model = fresh(counts, sub.end)
+    if not counts.sum():
+        return model
+    first = initial(train_docs, model, vocabulary, counts[sub.end])
+    model.params = first.p
+    shards = int(min(MOST_SHARDS, -(-counts.sum() // SHARD)))
+    sent = train_docs.sparkSession.sparkContext.broadcast((model, first.state))
+    key = F.xxhash64("doc_id", "text")
+    dealt = train_docs.select(F.pmod(key, F.lit(shards)).cast("int").alias("shard"), key.alias("key"), "text").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "key", "text")
 
-    def first(it):
-        for b in it:
-            yield {"doc_id": b["doc_id"], "w": [np.stack([np.stack([a, g, v]) for a, g, v in sampled(Subwords(vocabulary), classes, i, t, FIRST_WINDOWS)]).astype(np.int16).tobytes() for i, t in zip(b["doc_id"], b["text"], strict=True)]}
-
-    got = arrow_map(chosen, "doc_id long, w binary", first).toArrow().column(1).to_pylist()
-    windows = [(w[0], w[1], w[2] > 0) for x in sorted(got) for w in np.frombuffer(x, np.int16).reshape(-1, 3, WINDOW)]
-    if not windows:
-        return Model(params, classes, inside)
-    params = train(params, windows, RATE, EPOCHS)
-    sent = train_docs.sparkSession.sparkContext.broadcast((params, classes))
-
-    def refine(it):
-        start, of = sent.value
-        trainer, held, waiting, many = Trainer(start, RATE / 5), [], 0, 0
-        for b in it:
-            for t in b["text"]:
-                held.append(whole_windows(Subwords(vocabulary), of, t))
-                waiting += len(held[-1][0])
-                if waiting >= BATCH:
-                    parts = [np.concatenate(x) for x in zip(*held, strict=True)]
-                    whole = waiting - waiting % BATCH
-                    for k in range(0, whole, BATCH):
-                        trainer.step(*(x[k : k + BATCH] for x in parts))
-                    held, waiting, many = [tuple(x[whole:] for x in parts)], waiting - whole, many + whole
-        if waiting:
-            trainer.step(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            many += waiting
-        flat = np.concatenate([trainer.p[k].ravel() for k in sorted(trainer.p)]).astype(float)
-        if many:
-            yield {"at": list(range(len(flat) + 1)), "v": [*(flat * many).tolist(), float(many)]}
-
-    sums = arrow_map(train_docs.select("text"), "at int, v double", refine).groupBy("at").agg(F.sum("v").alias("v")).orderBy("at").toArrow().column(1).to_pylist()
-    if sums:
-        flat, k = np.array(sums[:-1]) / sums[-1], 0
-        for name in sorted(params):
-            n = params[name].size
-            params[name] = flat[k : k + n].reshape(params[name].shape).astype(np.float32)
-            k += n
-    return Model(params, classes, inside)
-
-
-def score(docs: DataFrame, vocabulary: str, lam: float = LAMBDA, hot: int = 2 * terms.HOT) -> DataFrame:
+    def rows(it):
+        stream = ((s, t) for b in it for s, t in zip(b["shard"], b["text"], strict=True))
+        for _, of in groupby(stream, key=lambda x: x[0]):
+            if (moved := shard_moves(*sent.value, Subwords(vocabulary), (t for _, t in of))) is not None:
+                at, w, v = moved
+                whole = np.rint(v.astype(np.float64) * w[:, None] * _SCALE).astype(np.int64)
+                yield {"at": at.tolist(), "w": w.tolist(), "v": pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * WIDTH, pa.int32()), pa.array(whole.ravel()))}
+
+    moves = arrow_map(dealt.select("shard", "text"), "at int, w long, v array<long>", rows)
+    got = moves.groupBy("at").agg(F.sum("w"), *(F.sum(F.get("v", F.lit(i))) for i in range(WIDTH))).toArrow()
+    at, w, *v = (c.to_numpy() for c in got.columns)
+    flat = np.concatenate([model.params[k].reshape(-1, WIDTH) for k in _NAMES])
+    flat[at] = np.stack(v, axis=1) / (w[:, None] * _SCALE)
+    cuts = np.cumsum([model.params[k].size // WIDTH for k in _NAMES])[:-1]
+    model.params = {k: np.ascontiguousarray(x).reshape(model.params[k].shape) for k, x in zip(_NAMES, np.split(flat, cuts), strict=True)}
+    return model
+
+
+def score(docs: DataFrame, vocabulary: str, hot: int = 2 * terms.HOT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
 
     Tokens are lower-case words and an end. base_score is the add-one unigram score under the counts of all training
-    documents. score is log10 of the model's probability: each token has lam times its share of the training tokens,
-    plus 1 - lam times the product of its subwords' probabilities, in which the causal self-attention model gives the
-    class of the next subword after a window of earlier ones, and corpus counts its share of the class. As in
-    base_score, the tokens that training lacks are one event; its share is that of the tokens seen once. All events
-    of a place together have at most one.
-
-    Cases: a null or empty text is the end alone; with no training document, counts are 0; repeated rows give
-    repeated rows; a row without a doc_id is trained on; an empty table gives no rows; other columns are ignored.
+    documents. score is log10 of the probability that the attention model gives the text's subwords, end included:
+    a distribution over texts, with no help from the word table. Windows overlap by OVERLAP positions, and each subword
+    is scored once; its probability is that of its output times, for all but the most frequent ids, its share of the
+    cluster, and both come from the context.
+
+    Cases: a null or empty text is the end alone; with no training document, counts are 0 and the model is untrained;
+    repeated rows give repeated rows; a row without a doc_id is trained on; an empty table gives no rows; texts of any
+    length go through in windows; other columns are ignored.
     """
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     train_docs = texts.filter(~held_out())
     table = stored(terms.counted(train_docs, tokens), "words")
-    facts = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once")).first()
-    n_all, n_words, all_ = facts["n"], facts["v"], float(facts["n"] + facts["v"] + 1)
+    facts = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    n_all, all_ = facts["n"], float(facts["n"] + facts["v"] + 1)
     table = table.withColumn("value", F.log10((F.col("n") + 1) / F.lit(all_)))
     unknown = float(np.log10(1 / all_))
-    model = learn(train_docs, table, vocabulary)
-    frequent = terms.hottest(table, "value", hot)
-    unseen = (facts["once"] + 1) / (n_all + 1)
-    share, rest = lam * (1 - unseen) / max(1, n_all), 1 - lam
-    sent = spark.sparkContext.broadcast((model, frequent))
+    sent = spark.sparkContext.broadcast(learn(train_docs, table, vocabulary))
 
-    ln10 = math.log(10)
+    def extra(raw: list[str], parts: list[list[str]]) -> tuple[list[int], list[float]]:
+        return [0] * len(raw), text_logs(sent.value, Subwords(vocabulary), parts)
 
-    def extra(raw: list[str], parts: list[list[str]]) -> tuple[list[int], list[float], list[np.ndarray]]:
-        m, values = sent.value
-        sub = Subwords(vocabulary)
-        scores, words = [], []
-        for k in range(0, len(parts), 64):
-            packed = [list(map(sub.words.__getitem__, p)) for p in parts[k : k + 64]]
-            logs = stream_logs(m, [np.frombuffer(b"".join(p), np.uint16) for p in packed], sub.end)
-            for p, pieces, at in zip(parts[k : k + 64], packed, logs, strict=True):
-                sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 2
-                word = np.add.reduceat(at, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-                get = values.get
-                known = np.array([get(w, np.nan) for w in p])
-                times = np.exp(known * ln10) * all_ - 1
-                scores.append(float(np.nansum(np.log(share * times + rest * np.exp(np.maximum(word, -300) * ln10)))) / ln10)
-                words.append(word)
-        return [0] * len(raw), scores, words
-
-    def cold(hit: Column, value: Column, word: Column) -> Column:
-        table_share = F.when(hit, (F.pow(F.lit(10.0), value) * all_ - 1) * share).otherwise(lam * unseen)
-        return F.log10(table_share + rest * F.pow(F.lit(10.0), word))
-
-    out = terms.summed(texts, table, "value", frequent, tokens, extra, cold)
+    out = terms.summed(texts, table, "value", terms.hottest(table, "value", hot), tokens, extra)
     return out.select(
         "doc_id", held_out().alias("held_out"), F.col("n_terms").alias("n_tokens"), F.col("found").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("total") + (F.col("n_terms") - F.col("found")) * unknown).alias("base_score"), F.col("y").alias("score"),
+        (F.col("total") + (F.col("n_terms") - F.col("found")) * unknown).alias("base_score"), (F.col("y") / float(np.log(10))).alias("score"),
     )

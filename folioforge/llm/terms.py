@@ -10,8 +10,10 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterable
 
+import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map
@@ -56,22 +58,13 @@ def hottest(terms: DataFrame, value: str, most: int = HOT) -> dict[str, float]:
     return dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
 
 
-def summed(
-    texts: DataFrame,
-    terms: DataFrame,
-    value: str,
-    hot: dict[str, float],
-    split: Callable[[str], list[str]],
-    extra: Callable[[list[str], list[list[str]]], tuple],
-    cold_y: Callable[[Column, Column, Column], Column] | None = None,
-) -> DataFrame:
-    """A row for each row of texts (doc_id, text): doc_id, total and found over its terms, and two values of `extra`.
+def summed(texts: DataFrame, terms: DataFrame, value: str, hot: dict[str, float], split: Callable[[str], list[str]], extra: Callable[[list[str], list[list[str]]], tuple[list[int], list[float]]]) -> DataFrame:
+    """A row for each row of texts (doc_id, text): doc_id, n_terms, total and found over its terms, and x and y of `extra`.
 
     total: the sum of the values of its terms that the table has; found: how many of its terms those are; terms
     count as often as they occur. extra gets the texts of a batch and their terms, and gives a whole number and a
-    double for each; n_terms is the number of all terms. With cold_y, extra also gives a number for each term of a
-    document, and each occurrence of a term that is not hot adds cold_y(is in the table, its value, that number) to y.
-    Rows that agree in doc_id and text are equal in every result; they are counted and given back as often.
+    double for each. n_terms is the number of all terms. Each distinct term of a text that is not hot is a row, once,
+    with its frequency. Rows that agree in doc_id and text are equal in every result; they are counted and given back as often.
     """
     spark = texts.sparkSession
     sent = spark.sparkContext.broadcast(hot)
@@ -79,42 +72,36 @@ def summed(
     def rows(it):
         get = sent.value.get
         for b in it:
-            ids, keys, names, freqs, totals, founds, sizes, whole, real, one, each = ([] for _ in range(11))
             parts = [split(t) for t in b["text"]]
-            more = extra(b["text"], parts)
-            for k, (doc, text, found, x, y) in enumerate(zip(b["doc_id"], b["text"], parts, *more[:2], strict=True)):
-                key = xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
-                total, known, cold = 0.0, 0, []
+            xs, ys = extra(b["text"], parts)
+            own: dict[str, list] = {c: [] for c in ("doc_id", "key", "term", "freq", "total", "found", "n_terms", "x", "y", "one")}
+            cold_of, cold_terms, cold_freqs = [], [], []
+            for k, (doc, text, found) in enumerate(zip(b["doc_id"], b["text"], parts, strict=True)):
+                total, known = 0.0, 0
                 for term, n in Counter(found).items():
                     if (v := get(term)) is None:
-                        if cold_y is None:
-                            cold.append((term, n, 0.0))
+                        cold_of.append(k)
+                        cold_terms.append(term)
+                        cold_freqs.append(n)
                     else:
                         total += v * n
                         known += n
-                if cold_y is not None:
-                    cold = [(term, 1, at) for term, at in zip(found, more[2][k].tolist(), strict=True) if term not in sent.value]
+                key = xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
                 # The document's own row: a name that no term has, so that it joins nothing and lands anywhere.
-                for name, n, at in [(f"\0{doc}/{key}/{k}", 0, 0.0), *cold]:
-                    ids.append(doc)
-                    keys.append(key)
-                    names.append(name)
-                    freqs.append(n)
-                    each.append(at)
-                extra_rows = len(cold)
-                totals += [total] + [0.0] * extra_rows
-                founds += [known] + [0] * extra_rows
-                sizes += [len(found)] + [0] * extra_rows
-                whole += [x] + [0] * extra_rows
-                real += [y] + [0.0] * extra_rows
-                one += [1] + [0] * extra_rows
-            yield {"doc_id": ids, "key": keys, "term": names, "freq": freqs, "total": totals, "found": founds, "n_terms": sizes, "x": whole, "y": real, "one": one, "each": each}
-
-    cold = arrow_map(texts, "doc_id long, key long, term string, freq long, total double, found long, n_terms long, x long, y double, one long, each double", rows)
+                for c, v in zip(own, (doc, key, f"\0{doc}/{key}/{k}", 0, total, known, len(found), xs[k], ys[k], 1), strict=True):
+                    own[c].append(v)
+            yield own
+            for at in range(0, len(cold_of), 20_000):
+                of, many = cold_of[at : at + 20_000], len(cold_of[at : at + 20_000])
+                whole, real = np.zeros(many, np.int64), np.zeros(many)
+                yield {
+                    "doc_id": [b["doc_id"][k] for k in of], "key": [own["key"][k] for k in of], "term": cold_terms[at : at + many], "freq": cold_freqs[at : at + many],
+                    "total": pa.array(real), "y": pa.array(real), **{c: pa.array(whole) for c in ("found", "n_terms", "x", "one")},
+                }
+
+    cold = arrow_map(texts, "doc_id long, key long, term string, freq long, total double, found long, n_terms long, x long, y double, one long", rows)
     joined = cold.join(terms.select("term", F.col(value).cast("double").alias("value")), "term", "left")
     hit = F.col("value").isNotNull()
-    if cold_y is not None:
-        joined = joined.withColumn("y", F.when(F.col("freq") > 0, cold_y(hit, F.col("value"), F.col("each"))).otherwise(F.col("y")))
     parts = joined.groupBy("doc_id", "key").agg(
         F.sum("one").alias("times"),
         F.sum(F.col("total") + F.when(hit, F.col("value") * F.col("freq")).otherwise(0.0)).alias("total"),

@@ -222,63 +222,6 @@ def test_lm_scoring(docs, real):
     assert attention.score(docs.limit(0), RANKS).count() == 0
 
 
-def test_attention_windows():
-    """Overlapping windows score each id once, and no id sees later ones."""
-    r = np.random.default_rng(1)
-    model = attention.Model(attention.fresh(np.ones(attention.CLASSES)), (np.arange(200) % attention.CLASSES).astype(np.int16), np.zeros(200))
-    streams = [r.integers(0, 200, n).astype(np.uint16) for n in (1, 5, 24, 25, 77)]
-    logs = attention.stream_logs(model, streams, 0)
-    assert [len(x) for x in logs] == [len(s) for s in streams]
-    changed = streams[4].copy()
-    changed[-1] = (changed[-1] + 1) % 200
-    assert np.allclose(attention.stream_logs(model, [changed], 0)[0][:-1], logs[4][:-1], atol=1e-5)
-    cls, goal = (r.integers(0, attention.CLASSES, (2, attention.WINDOW)) for _ in range(2))
-    live = np.ones((2, attention.WINDOW), bool)
-
-    def loss(p):
-        h = attention.trunk(p, p["E"][cls] + p["P"])[0].reshape(-1, attention.WIDTH)
-        z = h @ p["U"] + p["b"]
-        return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), goal.ravel()]).mean())
-
-    p = {k: v.astype(np.float64) for k, v in model.params.items()}
-    g = attention.gradients(p, cls, goal, live)
-    for name in p:
-        at = tuple(int(r.integers(0, s)) for s in p[name].shape)
-        if name == "E":
-            at = (int(cls[0, 3]), 2)
-        up, down = ({k: v.copy() for k, v in p.items()} for _ in range(2))
-        up[name][at] += 1e-4
-        down[name][at] -= 1e-4
-        assert abs((loss(up) - loss(down)) / 2e-4 - g[name][at]) < 1e-4
-
-
-@pytest.mark.parametrize("n", [6000, 400])  # more windows than a batch has, and fewer
-def test_attention_learns_from_whole_texts(spark, monkeypatch, n):
-    """Texts of equal openings and equal counts, but another order behind the opening, give other parameters."""
-    monkeypatch.setattr(attention, "FIRST_WINDOWS", 1)
-    opening, tail = ["opening"] * 100, [f"w{i % 40}" for i in range(n)]
-    found = []
-    for order in (tail, sorted(tail)):
-        df = spark.createDataFrame([(1, " ".join([*opening, *order]))], "doc_id long, text string").coalesce(1)
-        found.append(attention.learn(df, attention.terms.counted(df, attention.tokens), RANKS))
-    assert np.array_equal(found[0].classes, found[1].classes) and not np.array_equal(found[0].params["Q"], found[1].params["Q"])
-
-
-def test_attention_classes():
-    """The 44 most frequent subwords, the end among them, are alone in their classes; all 64 classes are in use."""
-    of, inside = attention.classes_of(np.arange(5000.0)[::-1], np.arange(5000) % 2 == 0, 4999)
-    assert np.sum(np.bincount(of) == 1) == 44 and set(of) == set(range(64)) and np.all(inside[[*range(43), 4999]] == 0)
-
-
-def test_attention_windows_cover_texts():
-    sub = attention.Subwords(RANKS)
-    classes = np.arange(sub.size).astype(np.int16)
-    for text in ("", "one", " ".join(f"w{i}" for i in range(500))):
-        ids = attention.stream_of(sub, attention.tokens(text)).astype(np.int16)
-        given, goal, live = attention.whole_windows(sub, classes, text)
-        assert np.array_equal(goal[live], ids) and np.array_equal(given[live], np.concatenate([classes[[sub.end]], ids[:-1]]))
-
-
 def test_mixing(docs, real):
     for df in (docs, real):
         rows = mixing.mix(df).collect()
