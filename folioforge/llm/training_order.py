@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -20,21 +22,21 @@ from .common import arrow_map, arrow_schema, batches, partitions, stored, text_o
 from .neardup import mixed
 from .pieces import ByteVocabulary, _Filled, odd_blanks
 
-#: Tokens of a sequence, sequences of a shard, bytes of a token.
-LENGTH, PER_SHARD, BYTES = 1024, 1024, 2
+#: Tokens of a sequence, sequences of a shard, and most shards (of 2 MB) that a task writes.
+LENGTH, PER_SHARD, RANGE = 1024, 1024, 64
 ROUNDS, KEY = 4, 0x5EED
 
 
 @lru_cache(maxsize=2)
 def _packed_runs(path: str) -> _Filled:
-    encode = Subwords(path).encode
-    return _Filled(lambda run: array("H", encode(run)).tobytes(), 400_000)
+    sub = Subwords(path)
+    return _Filled(lambda run: array(sub.code, sub.encode(run)).tobytes(), 400_000)
 
 
 def packed_ids(path: str, text: str) -> bytes:
-    """Ids of a text under a rank file, as little-endian 16-bit integers; special strings are ordinary text."""
+    """Ids of a text under a rank file, as little-endian integers of the vocabulary's width; special strings are ordinary text."""
     if odd_blanks(text):
-        return array("H", Subwords(path).encode(text)).tobytes()
+        return array(Subwords(path).code, Subwords(path).encode(text)).tobytes()
     return b"".join(map(_packed_runs(path).__getitem__, ByteVocabulary.RUNS.findall(text)))
 
 
@@ -59,50 +61,76 @@ def permuted(ordinals: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
 
 
 def sequences(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFrame:
-    """part, row, doc_id, seq_no, ids: each document's ids and an end id, cut into sequences of at most `length`.
+    """part, row, n_tokens, doc_ids, starts, first_from, packed: every document's ids and an end id, one behind the other, cut into sequences of `length` tokens.
 
-    part and row number the sequences as they were written; the table is stored, so the numbers stay.
+    Documents that follow each other in a part of the scan share sequences, so only the last sequence of a part can be
+    shorter. doc_ids has the document of each piece of a sequence, starts the token of the sequence at which the piece
+    begins, first_from the token of its document at which the first piece begins (later pieces begin theirs). packed
+    holds the ids, see unpacked. part and row number the sequences as they were written; the table is stored, so the numbers stay.
     """
 
     def rows(it):
-        end = array("H", [Subwords(vocabulary).end]).tobytes()
-        part, at, wide = TaskContext.get().partitionId(), 0, length * BYTES
+        sub = Subwords(vocabulary)
+        wide, size, end = length * array(sub.code).itemsize, array(sub.code).itemsize, array(sub.code, [sub.end]).tobytes()
+        part, at, held, pieces, out = TaskContext.get().partitionId(), 0, bytearray(), [], []
+
+        def close():
+            nonlocal at, held, pieces
+            docs_, starts, froms = zip(*pieces, strict=True)
+            out.append((part, at, len(held) // size, list(docs_), list(starts), froms[0], zlib.compress(held, 1)))
+            at, held, pieces = at + 1, bytearray(), []
+
+        def flushed():
+            nonlocal out
+            now, out = out, []
+            return dict(zip(("part", "row", "n_tokens", "doc_ids", "starts", "first_from", "packed"), map(list, zip(*now, strict=True)), strict=True))
+
         for b in it:
-            ids, numbers, out = [], [], []
             for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                packed = packed_ids(vocabulary, text) + end
-                for k in range(0, len(packed), wide):
-                    ids.append(doc)
-                    numbers.append(k // wide)
-                    out.append(packed[k : k + wide])
-            yield {"part": [part] * len(out), "row": list(range(at, at + len(out))), "doc_id": ids, "seq_no": numbers, "ids": out}
-            at += len(out)
+                ids, k = packed_ids(vocabulary, text) + end, 0
+                while k < len(ids):
+                    pieces.append((doc, len(held) // size, k // size))
+                    more = ids[k : k + wide - len(held)]
+                    held += more
+                    k += len(more)
+                    if len(held) == wide:
+                        close()
+            if out:
+                yield flushed()
+        if held:
+            close()
+            yield flushed()
 
-    return stored(arrow_map(text_or_empty(docs), "part int, row long, doc_id long, seq_no int, ids binary", rows), "sequences")
+    return stored(arrow_map(text_or_empty(docs), "part int, row long, n_tokens int, doc_ids array<long>, starts array<int>, first_from long, packed binary", rows), "sequences")
+
+
+def unpacked(packed: bytes) -> bytes:
+    """Ids as little-endian integers of the vocabulary's width (see Subwords.code)."""
+    return zlib.decompress(packed)
 
 
 def training_order(docs: DataFrame, vocabulary: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY) -> DataFrame:
-    """slot, shard, offset, doc_id, seq_no, ids: every sequence at its place in training, in range partitions of whole shards, sorted by slot.
+    """slot, shard, offset, n_tokens, doc_ids, starts, first_from, packed: every sequence (see sequences) at its place in training, in range partitions of whole shards, sorted by slot.
 
     Sequences are numbered by the table's parts, and the keyed permutation gives each number its slot; slot //
     per_shard is its shard and slot % per_shard its place there. Counts of parts are one number a task.
-    Cases: a null or empty text is one sequence of the end id alone; repeated rows are repeated sequences; a null
-    doc_id stays null; an empty table gives no rows; other columns are ignored; texts of any length are cut.
+    Cases: a null or empty text is an end id alone; repeated rows are encoded as often; a null doc_id stays null in
+    doc_ids; an empty table gives no rows; other columns are ignored; texts of any length are cut.
     """
     table = sequences(docs, vocabulary, length)
     parts = table.groupBy("part").agg(F.count("*").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.select(F.col("part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    starts = parts.select(F.col("part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     n = table.count()
 
     @F.pandas_udf("long")
     def slot(ordinal: pd.Series) -> pd.Series:
         return pd.Series(permuted(ordinal.to_numpy(), n, key))
 
-    placed = table.join(F.broadcast(starts), "part").withColumn("slot", slot(F.col("start") + F.col("row")))
-    placed = placed.select("slot", F.expr(f"slot div {per_shard}").alias("shard"), (F.col("slot") % per_shard).alias("offset"), "doc_id", "seq_no", "ids")
+    placed = table.join(F.broadcast(starts), "part").withColumn("slot", slot(F.col("before") + F.col("row")))
+    placed = placed.select("slot", F.expr(f"slot div {per_shard}").alias("shard"), (F.col("slot") % per_shard).alias("offset"), "n_tokens", "doc_ids", "starts", "first_from", "packed")
     shards = max(1, -(-n // per_shard))
-    ranges = min(shards, partitions(docs.sparkSession))
+    ranges = max(min(shards, partitions(docs.sparkSession)), -(-shards // RANGE))
     return placed.repartitionById(ranges, F.expr(f"int(shard * {ranges} div {shards})")).sortWithinPartitions("slot")
 
 
@@ -117,13 +145,13 @@ def _same(store, path: str, size: int, digest: str) -> bool:
     return held.hexdigest() == digest
 
 
-def _written(it: Iterator[pa.RecordBatch], folder: str, length: int, pad: int) -> Iterator[tuple[dict, list[dict]]]:
-    """Write the shards of a partition; the manifest's row of each, and its sequences without ids but with n_tokens."""
-    from itertools import groupby
-
+def _written(it: Iterator[pa.RecordBatch], folder: str, vocabulary: str, length: int) -> Iterator[tuple[dict, list[dict]]]:
+    """Write the shards of a partition; the manifest's row of each, and its sequences without their ids."""
     from pyarrow import fs
 
-    record, fill = length * BYTES, np.array([pad], np.uint16).tobytes()
+    sub = Subwords(vocabulary)
+    fill = array(sub.code, [sub.size]).tobytes()
+    record = length * len(fill)
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
     stream = (r for b in it for r in b.to_pylist())
@@ -132,11 +160,11 @@ def _written(it: Iterator[pa.RecordBatch], folder: str, length: int, pad: int) -
         held = f"{path}.{uuid.uuid4().hex}"
         with store.open_output_stream(held) as f:
             for r in rows:
-                ids = r.pop("ids")
-                data = ids + fill * ((record - len(ids)) // BYTES)
+                ids = unpacked(r.pop("packed"))
+                data = ids + fill * ((record - len(ids)) // len(fill))
                 f.write(data)
                 digest.update(data)
-                placed.append(r | {"n_tokens": len(ids) // BYTES})
+                placed.append(r)
         if _same(store, path, len(placed) * record, digest.hexdigest()):
             store.delete_file(held)
         else:
@@ -144,31 +172,32 @@ def _written(it: Iterator[pa.RecordBatch], folder: str, length: int, pad: int) -
         yield {"shard": shard, "path": path, "sequences": len(placed), "tokens": sum(r["n_tokens"] for r in placed), "sha256": digest.hexdigest()}, placed
 
 
-def write_shards(ordered: DataFrame, folder: str, length: int = LENGTH, pad: int = 50256) -> DataFrame:
-    """Write each shard of training_order as a file of records of `length` 16-bit ids, filled up with `pad`, and return the manifest.
+def write_shards(ordered: DataFrame, folder: str, vocabulary: str, length: int = LENGTH) -> DataFrame:
+    """Write each shard of training_order as a file of records of `length` ids, and return the manifest.
 
-    shard, path, sequences, tokens, sha256. Record k of a shard begins at byte k * length * 2, so a reader resumes at
-    any slot. A file is written under another name and renamed, so a lost executor leaves no half shard; one that is
-    there already with the same bytes is kept.
+    shard, path, sequences, tokens, sha256. Record k of a shard begins at byte k * length * 2 (4 for vocabularies of
+    65,535 ids and more), so a reader resumes at any slot. A short record is filled up with an id behind the end id,
+    which no text has. A file is written under another name and renamed, so a lost executor leaves no half shard; one
+    that is there already with the same bytes is kept, any other is replaced. An empty table writes nothing.
     """
     ddl = "shard long, path string, sequences long, tokens long, sha256 string"
     schema = pa.schema([(f.name, f.type) for f in arrow_schema(ddl)])
     batches(ordered.sparkSession)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, _ in _written(it, folder, length, pad):
+        for row, _ in _written(it, folder, vocabulary, length):
             yield pa.RecordBatch.from_pylist([row], schema)
 
-    return ordered.select("shard", "ids").mapInArrow(run, ddl)
+    return ordered.select("shard", "n_tokens", "packed").mapInArrow(run, ddl)
 
 
-def written_order(ordered: DataFrame, folder: str, length: int = LENGTH, pad: int = 50256) -> DataFrame:
+def written_order(ordered: DataFrame, folder: str, vocabulary: str, length: int = LENGTH) -> DataFrame:
     """Write the shards as write_shards does, in the same pass that gives every sequence's place and its shard's manifest.
 
-    slot, shard, offset, doc_id, seq_no, n_tokens, ids_sha256, path, shard_sha256. ids_sha256 is that of the ids read
-    back from the sequence's record, without what fills it up.
+    slot, shard, offset, n_tokens, doc_ids, starts, first_from, ids_sha256, path, shard_sha256. ids_sha256 is that of
+    the ids read back from the sequence's record, without what fills it up.
     """
-    ddl = "slot long, shard long, offset long, doc_id long, seq_no int, n_tokens long, ids_sha256 string, path string, shard_sha256 string"
+    ddl = "slot long, shard long, offset long, n_tokens int, doc_ids array<long>, starts array<int>, first_from long, ids_sha256 string, path string, shard_sha256 string"
     schema = pa.schema([(f.name, f.type) for f in arrow_schema(ddl)])
     batches(ordered.sparkSession)
 
@@ -176,11 +205,12 @@ def written_order(ordered: DataFrame, folder: str, length: int = LENGTH, pad: in
         from pyarrow import fs
 
         store, _ = fs.FileSystem.from_uri(folder)
-        for shard, placed in _written(it, folder, length, pad):
+        size = array(Subwords(vocabulary).code).itemsize
+        for shard, placed in _written(it, folder, vocabulary, length):
             with store.open_input_stream(shard["path"]) as f:
                 for r in placed:
-                    ids = f.read(length * BYTES)[: r["n_tokens"] * BYTES]
+                    ids = f.read(length * size)[: r["n_tokens"] * size]
                     r |= {"ids_sha256": hashlib.sha256(ids).hexdigest(), "path": shard["path"], "shard_sha256": shard["sha256"]}
             yield pa.RecordBatch.from_pylist(placed, schema)
 
-    return ordered.select("slot", "shard", "offset", "doc_id", "seq_no", "ids").mapInArrow(run, ddl)
+    return ordered.select("slot", "shard", "offset", "n_tokens", "doc_ids", "starts", "first_from", "packed").mapInArrow(run, ddl)

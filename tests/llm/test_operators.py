@@ -66,28 +66,68 @@ def test_merges_agree():
         assert pieces.merge_scan(list(parts), v.code) == pieces.merge_heap(list(parts), v.code)
 
 
+def feistel(x: int, n: int, key: int) -> int:
+    """The keyed permutation of 0 .. n - 1, one number at a time."""
+
+    def finalised(v):
+        v = (v ^ v >> 30) * 0xBF58476D1CE4E5B9 % (1 << 64)
+        v = (v ^ v >> 27) * 0x94D049BB133111EB % (1 << 64)
+        return v ^ v >> 31
+
+    half = max(1, -(-max(1, n - 1).bit_length() // 2))
+    keys = [finalised(((k * 0x9E3779B97F4A7C15) + key) % (1 << 64)) for k in range(1, training_order.ROUNDS + 1)]
+    while True:
+        left, right = x >> half, x & (1 << half) - 1
+        for k in keys:
+            left, right = right, left ^ finalised((right + k) % (1 << 64)) & (1 << half) - 1
+        x = left << half | right
+        if x < n:
+            return x
+
+
+def documents_of(rows, records, length):
+    """(doc_id, ids of the document with its end) as the sequences' pieces say, from records by slot."""
+    out, by_place = [], {}
+    for r in rows:
+        ids = np.frombuffer(records[r.slot], np.uint16)[: r.n_tokens].tolist()
+        cuts = [*r.starts, r.n_tokens]
+        for k, doc in enumerate(r.doc_ids):
+            by_place.setdefault(doc, []).append((r.first_from if k == 0 else 0, ids[cuts[k] : cuts[k + 1]]))
+    for doc, pieces_ in by_place.items():
+        out.append((doc, [i for _, p in sorted(pieces_) for i in p]))
+    return dict(out)
+
+
 def test_training_order(docs, real, tmp_path):
     for n in (1, 2, 5, 17, 1000):
-        assert sorted(training_order.permuted(np.arange(n), n)) == list(range(n))
-    placed = training_order.training_order(real, RANKS, length=64, per_shard=32)
+        for key in (0, 77):
+            got = training_order.permuted(np.arange(n), n, key).tolist()
+            assert sorted(got) == list(range(n)) and got == [feistel(x, n, key) for x in range(n)]
+    placed = training_order.training_order(real.repartition(3), RANKS, length=64, per_shard=32)
     got = placed.collect()
     assert sorted(r.slot for r in got) == list(range(len(got))) and all(r.shard == r.slot // 32 and r.offset == r.slot % 32 for r in got)
+    assert sum(r.n_tokens < 64 for r in got) <= 3
     t = Tokenizer.from_file(BYTE)
     t.encode_special_tokens = True
-    held = {}
-    for r in sorted(got, key=lambda r: r.seq_no):
-        held[r.doc_id] = held.get(r.doc_id, b"") + bytes(r.ids)
-    for r in real.collect():
-        ids = [*t.encode(r.text, add_special_tokens=False).ids, 50256]
-        assert held[r.doc_id] == struct.pack(f"<{len(ids)}H", *ids)
-    manifest = training_order.write_shards(placed, f"file://{tmp_path}/shards", length=64).collect()
-    assert sum(m.sequences for m in manifest) == len(got)
-    first = min(manifest, key=lambda m: m.shard)
-    data = open(first.path, "rb").read()
-    assert hashlib.sha256(data).hexdigest() == first.sha256 and len(data) == first.sequences * 128
-    one = next(r for r in got if r.slot == 3)
-    assert data[3 * 128 : 3 * 128 + len(one.ids)] == bytes(one.ids)
-    assert training_order.training_order(docs, RANKS).count() >= docs.count() and training_order.training_order(docs.limit(0), RANKS).count() == 0
+    held = documents_of(got, {r.slot: training_order.unpacked(r.packed) for r in got}, 64)
+    want = {r.doc_id: [*t.encode(r.text, add_special_tokens=False).ids, 50256] for r in real.collect()}
+    assert held == want
+    manifest = training_order.write_shards(placed, f"file://{tmp_path}/shards", RANKS, length=64).collect()
+    assert sum(m.sequences for m in manifest) == len(got) and sum(m.tokens for m in manifest) == sum(map(len, want.values()))
+    whole = {m.shard: open(m.path, "rb").read() for m in manifest}
+    assert all(hashlib.sha256(whole[m.shard]).hexdigest() == m.sha256 and len(whole[m.shard]) == m.sequences * 128 for m in manifest)
+    for r in got:
+        record = whole[r.shard][r.offset * 128 :][:128]
+        assert record == training_order.unpacked(r.packed) + struct.pack("<H", 50257) * (64 - r.n_tokens)
+
+
+def test_training_order_of_odd_rows(docs):
+    """Null and empty texts are an end alone, repeated rows and rows without an id are encoded as often, clashing columns are ignored."""
+    got = training_order.training_order(docs, RANKS).collect()
+    n = Counter(d for r in got for d, a in zip(r.doc_ids, [r.first_from] + [0] * len(r.starts)) if a == 0)
+    assert n == Counter(r.doc_id for r in docs.collect())
+    assert training_order.training_order(docs.limit(0), RANKS).count() == 0
+    assert training_order.write_shards(training_order.training_order(docs.limit(0), RANKS), "file:///tmp/never-written", RANKS).count() == 0
 
 
 def test_shards_are_written(spark, real, tmp_path):
@@ -101,10 +141,10 @@ def test_shards_are_written(spark, real, tmp_path):
         data = whole[r.path]
         at = data[r.offset * wide : (r.offset + 1) * wide]
         assert hashlib.sha256(data).hexdigest() == r.shard_sha256 and hashlib.sha256(at[: r.n_tokens * 2]).hexdigest() == r.ids_sha256
-        assert at[r.n_tokens * 2 :] == struct.pack("<H", 50256) * (training_order.LENGTH - r.n_tokens)
+        assert at[r.n_tokens * 2 :] == struct.pack("<H", 50257) * (training_order.LENGTH - r.n_tokens)
     assert sum(map(len, whole.values())) == len(got) * wide
     for key in (1, 1, 2):
-        manifest = training_order.write_shards(training_order.training_order(real, RANKS, length=64, per_shard=32, key=key), f"file://{tmp_path}/again", length=64).collect()
+        manifest = training_order.write_shards(training_order.training_order(real, RANKS, length=64, per_shard=32, key=key), f"file://{tmp_path}/again", RANKS, length=64).collect()
         assert all(hashlib.sha256(open(m.path, "rb").read()).hexdigest() == m.sha256 for m in manifest)
 
 
