@@ -98,11 +98,11 @@ SELECT doc_id, size, source_size, target, CAST(whole * size + more AS BIGINT) AS
 FROM q, g""",
     "op6_top_k": """
 WITH x AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, lambda c: CAST(floor(64 * CAST(c AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(64 * CAST(c AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
 ), p AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-  FROM x q JOIN x c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+  FROM (SELECT DISTINCT * FROM x WHERE vec_id % 20 = 0) q JOIN x c ON q.vec_id <> c.vec_id
 )
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
 FROM p QUALIFY rank <= 20""",

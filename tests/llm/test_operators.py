@@ -187,30 +187,50 @@ def test_token_counts(docs, real):
     assert token_counts.count_tokens(docs.limit(0), BYTE).count() == 0
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
     r = np.random.default_rng(2)
     rows = [(i, [float(x) for x in r.normal(size=8)]) for i in range(300)] + [(300, None), (301, [float("nan")] * 8), (302, [1.0, None] * 4), (303, [0.5] * 8), (304, [0.5] * 8), (7, [0.1] * 8), (None, [1.0] * 8)]
     rows.append(rows[5])
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, rank int")
-    clean = {(i, tuple(math.floor(64 * float(np.float32(x))) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    # every row is a candidate, a repeated one too; equal rows are one query
+    clean = [(i, tuple(math.floor(64 * float(np.float32(x))) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = []
     for q in sorted({x for x in clean if x[0] % 20 == 0}):
         best = sorted((-sum(a * b for a, b in zip(q[1], v)), i) for i, v in clean if i != q[0])[:20]
         want += [(q[0], n, i, -s) for n, (s, i) in enumerate(best, 1)]
-    topk.GROUP, old = 64, topk.GROUP
-    try:
+    for name, value in (("GROUP", 64), ("PIVOTS", 3), ("ENVELOPES", 2), ("QUERIES", 5)):
+        monkeypatch.setattr(topk, name, value)
         assert rows_of(topk.top_k(df)) == sorted(want, key=str)
-    finally:
-        topk.GROUP = old
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_large_components_are_exact(spark):
+    """Products beyond 2 ** 53, where doubles would round."""
+    rows = [(i, [float(2**24 + i), 2.0**23, float(i % 3)]) for i in range(45)]
+    got = rows_of(topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    whole = {i: [math.floor(64 * x) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 20, 40):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:20]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    assert got == sorted(want, key=str)
+
+
 def test_blocks_are_pruned():
+    """The share that is scored: of clustered vectors little, of vectors in all directions (as the given ones) nearly all."""
     r = np.random.default_rng(3)
-    rows = np.floor(r.normal(size=(1024, 16)) * 5 + np.repeat(np.arange(16), 64)[:, None] * 8)
-    b = topk.Blocks(list(range(1024)), [x.tobytes() for x in rows], 16)
-    got = b.best(-1, np.ones(16), 20)
-    assert [s for s, _ in got] == sorted(rows.sum(axis=1).astype(int), reverse=True)[:20] and b.scored < 1024
+    centres = r.normal(size=(64, 64)) / 8
+    for name, rows, most in (("clustered", np.repeat(centres, 64, axis=0) + r.normal(size=(4096, 64)) / 100, 0.2), ("all directions", r.normal(size=(4096, 64)) / 8, 1.0)):
+        rows = np.floor(64 * rows)
+        queries = rows[::200]
+        b = topk.Blocks(list(range(4096)), [x.tobytes() for x in rows], 64)
+        q, ids, scores = b.best(np.arange(0, 4096, 200), queries, 20, np.full(len(queries), -np.inf))
+        for k in range(len(queries)):
+            want = sorted((-int(s), i) for i, s in enumerate(rows @ queries[k]) if i != 200 * k)[:20]
+            assert [(-int(s), int(i)) for s, i in zip(scores[q == k], ids[q == k])] == want
+        share = b.scored / 4096 / len(queries)
+        print(f"{name}: {share:.4f} of all vectors scored")
+        assert share <= most
 
 
 def test_secrets(docs, real):
