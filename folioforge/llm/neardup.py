@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, arrow_schema, batches, stored, text_or_empty
+from .common import arrow_map, arrow_schema, batches, free_name, stored, text_or_empty
 
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT, SHINGLE = 85, 5
@@ -23,8 +23,10 @@ REGISTERS, ROWS = 128, 4
 MANTISSA = 10
 #: Estimates this far below the threshold, 4.5 standard deviations, are not confirmed.
 SLACK = 4.5
-#: Buffered documents of a bucket that others are streamed past.
+#: Documents of a bucket that are buffered, and those that are streamed past them, in a group.
 CHUNK = 256
+#: Documents that meet their leader's set in a task.
+LED = 1024
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _TIMES = _rng.integers(0, 1 << 31, REGISTERS, dtype=np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
@@ -123,10 +125,10 @@ def signatures(docs: DataFrame) -> DataFrame:
             out = {"doc_id": b["doc_id"], "n_shingles": [], "k1": [], "k2": [], "bands": []}
             for t in b["text"]:
                 s = shingles(t)
-                key = xxhash.xxh3_128_digest(s.tobytes())
+                k1, k2 = _halves(s.tobytes())
                 out["n_shingles"].append(len(s))
-                out["k1"].append(int.from_bytes(key[:8], "little", signed=True))
-                out["k2"].append(int.from_bytes(key[8:], "little", signed=True))
+                out["k1"].append(k1)
+                out["k2"].append(k2)
                 out["bands"].append(registers(s).view(np.int64).tolist() if len(s) else [])
             yield out
 
@@ -184,7 +186,7 @@ def _likely(percent: int):
     least = floor_of(percent)
 
     def group(key, rows):
-        band = key[0]
+        band, at_key = key[0], dict(zip(("band", "key", "chunk", "tile"), key, strict=True))
         nodes, labels, sizes, regs, hit, matrix = [], [], [], [], [], None
         for r in rows:
             mine = np.array(r["bands"], np.int64)
@@ -195,6 +197,8 @@ def _likely(percent: int):
                 regs.append(mine)
                 hit.append(False)
                 continue
+            if not nodes:
+                continue
             if matrix is None:
                 matrix, known, counts = np.array(regs).view(np.uint16), np.array(labels), np.array(sizes, float)
                 words = matrix.view(np.int64)
@@ -207,10 +211,10 @@ def _likely(percent: int):
                 if len(at):
                     for i in at:
                         hit[i] = True
-                    yield {"band": key[0], "key": key[1], "chunk": key[2], "role": 1, "node": r["node"], "label": r["label"]}
+                    yield at_key | {"role": 1, "node": r["node"], "label": r["label"]}
         for node, label, h in zip(nodes, labels, hit, strict=True):
             if h:
-                yield {"band": key[0], "key": key[1], "chunk": key[2], "role": 0, "node": node, "label": label}
+                yield at_key | {"role": 0, "node": node, "label": label}
 
     return group
 
@@ -236,12 +240,13 @@ def _confirmed(percent: int):
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: groups of documents linked by 100 * intersection >= percent * union.
 
-    1. A map makes the sets' hashes and HyperMinHash registers. Equal sets become one node, half of the 128-bit hash.
+    1. A map makes the sets' hashes and HyperMinHash registers. Equal sets, by a 128-bit hash, become one node with a number.
     2. Nodes are dealt by band. In every bucket the node of the least doc_id leads; each node's most frequent leader is confirmed
        on the full sets, and the components of those links found.
     3. Buckets that still hold several components are gone through exactly: all pairs of different components whose
        first shared band it is are estimated, and the likely ones confirmed on full sets. The documents outside a
-       bucket's largest component are dealt to chunks, past which the whole bucket is streamed; no pair list is made.
+       bucket's largest component are dealt to chunks, and the whole bucket to tiles; each chunk meets each tile in a
+       group of its own, so no task reads a bucket, and no pair list is made.
        A group of thousands of near copies is one component after step 2 and costs nothing here.
 
     Cases: null and empty texts, and those of white space only, have no set and are linked with nothing; a text of
@@ -253,56 +258,62 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sig = stored(signatures(docs), "signatures")
     real = sig.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     sets = stored(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc")), "sets")
-    own = real.join(sets.withColumn("doc_id", F.col("doc")), ["doc_id", "k1", "k2"]).dropDuplicates(["k1"])
-    nodes = stored(own.select(F.col("k1").alias("node"), "doc", "n_shingles", "bands"), "nodes")
+    own = real.join(sets.withColumn("doc_id", F.col("doc")), ["doc_id", "k1", "k2"]).dropDuplicates(["k1", "k2"])
+    nodes = stored(own.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "doc", "n_shingles", "bands"), "nodes")
     # step 2
     in_bands = nodes.select("node", "doc", F.posexplode("bands").alias("band", "key"))
     leaders = in_bands.groupBy("band", "key").agg(F.min_by("node", "doc").alias("leader"), F.count("*").alias("many")).filter("many > 1")
     members = stored(in_bands.join(leaders, ["band", "key"]).select("band", "key", "node", "leader"), "members")
     votes = members.filter("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("node").agg(F.max_by("leader", F.struct("votes", "leader")).alias("leader"))
-    wanted = members.select("node").distinct().join(nodes.select("node", "doc"), "node")
+    best = stored(votes.groupBy("node").agg(F.max_by("leader", F.struct("votes", "leader")).alias("leader")), "best")
+    wanted = members.select("node").distinct().join(nodes.select("node", "doc", "k1", "k2"), "node")
     full = stored(_sets_of(docs, wanted), "full_sets")
-    pairs = best.join(full.select("node", F.col("found").alias("mine")), "node").join(full.select(F.col("node").alias("leader"), F.col("found").alias("other")), "leader")
+    # A leader's set goes to one task for each LED of those that follow it.
+    salts = best.groupBy("leader").agg(F.ceil(F.count("*") / LED).cast("int").alias("salts"))
+    led = best.join(salts, "leader").select("node", "leader", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"))
+    leading = full.select(F.col("node").alias("leader"), F.col("found").alias("other")).join(salts, "leader").select("leader", "other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    pairs = led.join(full.select("node", F.col("found").alias("mine")), "node").join(leading, ["leader", "salt"])
     links = stored(arrow_map(pairs, "a long, b long", _verify(percent)), "links")
     labels = components(links)
     # step 3
     placed = stored(members.select("band", "key", "node").join(labels, "node", "left").select("band", "key", "node", F.coalesce("label", "node").alias("label")), "placed")
     held = placed.groupBy("band", "key", "label").agg(F.count("*").alias("n"))
     buckets = held.groupBy("band", "key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"), F.count("*").alias("labels")).filter("labels > 1")
-    chunks = F.ceil((F.col("all") - F.col("most")) / CHUNK).cast("int")
-    rows = placed.join(buckets.select("band", "key", "main", chunks.alias("chunks")), ["band", "key"])
-    mine = F.when(F.col("label") != F.col("main"), F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    ones = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(c.alias("chunk"), F.lit(1).alias("role")))
-    roles = F.when(mine.isNotNull(), F.concat(F.array(F.struct(mine.alias("chunk"), F.lit(0).alias("role"))), ones)).otherwise(ones)
-    rows = rows.select("band", "key", "node", "label", F.explode(roles).alias("r")).select("band", "key", "node", "label", "r.chunk", "r.role")
+    many = lambda c: F.ceil(c / CHUNK).cast("int")
+    rows = placed.join(buckets.select("band", "key", "main", many(F.col("all") - F.col("most")).alias("chunks"), many(F.col("all")).alias("tiles")), ["band", "key"])
+    every = lambda n, make: F.transform(F.sequence(F.lit(0), F.col(n) - 1), make)
+    dealt = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    role = lambda chunk, tile, r: F.struct(chunk.alias("chunk"), tile.alias("tile"), F.lit(r).alias("role"))
+    past = every("chunks", lambda c: role(c, dealt(1, "tiles"), 1))
+    roles = F.when(F.col("label") != F.col("main"), F.concat(every("tiles", lambda t: role(dealt(0, "chunks"), t, 0)), past)).otherwise(past)
+    rows = rows.select("band", "key", "node", "label", F.explode(roles).alias("r")).select("band", "key", "node", "label", "r.*")
     rows = rows.join(nodes.select("node", "n_shingles", "bands"), "node")
-    key = ["band", "key", "chunk"]
-    likely = _streamed(rows, key, ["role", "node"], "band int, key long, chunk int, role int, node long, label long", _likely(percent))
+    key = ["band", "key", "chunk", "tile"]
+    likely = _streamed(rows, key, ["role", "node"], "band int, key long, chunk int, tile int, role int, node long, label long", _likely(percent))
     likely = stored(likely, "likely")
     more = _streamed(likely.join(full, "node"), key, ["role", "node"], "a long, b long", _confirmed(percent))
     upper = components(more)
     upper = upper.select(F.col("node").alias("label"), F.col("label").alias("top"))
     # every row's component
     final = placed.select("node", "label").distinct().join(upper, "label", "left").select("node", F.coalesce("top", "label").alias("top"))
-    final = stored(final.join(nodes.select("node", "doc"), "node"), "tops")
+    final = stored(final.join(nodes.select("node", "doc", "k1", "k2"), "node"), "tops")
     least = final.groupBy("top").agg(F.min("doc").alias("component_id"))
-    final = final.join(least, "top").select(F.col("node").alias("k1"), "component_id")
-    out = sig.join(sets.join(final, "k1", "left"), ["k1", "k2"], "left").withColumn("alone", (F.col("n_shingles") == 0) | F.col("doc_id").isNull())
+    final = final.join(least, "top").select("k1", "k2", "component_id")
+    out = sig.join(sets.join(final, ["k1", "k2"], "left"), ["k1", "k2"], "left").withColumn("alone", (F.col("n_shingles") == 0) | F.col("doc_id").isNull())
     component = F.when(F.col("alone"), F.col("doc_id")).otherwise(F.coalesce("component_id", "doc"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, found (sorted hashes) of the wanted nodes (node, doc), from their texts."""
+    """node, found (sorted hashes) of the wanted nodes (node, doc, k1, k2), from their texts."""
     texts = docs.select(F.col("doc_id").alias("doc"), "text").join(wanted, "doc")
 
     def rows(it):
         for b in it:
             nodes, sets = [], []
-            for node, text in zip(b["node"], b["text"], strict=True):
+            for node, text, *key in zip(b["node"], b["text"], b["k1"], b["k2"], strict=True):
                 s = shingles(text or "").tobytes()
-                if int.from_bytes(xxhash.xxh3_128_digest(s)[:8], "little", signed=True) == node:
+                if _halves(s) == tuple(key):
                     nodes.append(node)
                     sets.append(s)
             yield {"node": nodes, "found": sets}
@@ -310,6 +321,12 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return arrow_map(texts, "node long, found binary", rows).dropDuplicates(["node"])
 
 
+def _halves(found: bytes) -> tuple[int, int]:
+    """A set's 128-bit hash as two numbers."""
+    key = xxhash.xxh3_128_digest(found)
+    return int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True)
+
+
 def _verify(percent: int):
     def rows(it):
         for b in it:
@@ -320,10 +337,12 @@ def _verify(percent: int):
 
 
 def deduplicated(docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
-    """docs with one document of each group, the one of the least doc_id; columns are as they were.
+    """docs with one document of each group, the one of the least doc_id; columns are as they were, whatever their names.
 
-    Rows of one doc_id that stay are one document: one of them is kept. Rows without a doc_id stay.
+    Cases: rows of one doc_id that stay are one document: one of them is kept; rows without a doc_id stay; texts that
+    are null, empty or of white space only stay; groups are those of near_duplicates; an empty table gives no rows.
     """
-    gone = near_duplicates(docs, percent).filter("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
-    return left.withColumn("only_null", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).dropDuplicates(["doc_id", "only_null"]).drop("only_null")
+    gone_id, unnamed = free_name(docs, "gone_id"), free_name(docs, "unnamed")
+    gone = near_duplicates(docs, percent).filter("NOT kept").select(F.col("doc_id").alias(gone_id)).distinct()
+    left = docs.join(gone, docs["doc_id"] == gone[gone_id], "left_anti")
+    return left.withColumn(unnamed, F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).dropDuplicates(["doc_id", unnamed]).drop(unnamed)

@@ -21,10 +21,14 @@ _TIMES = _rng.integers(0, 1 << 31, TUPLES, dtype=np.uint32)[:, None] * np.uint32
 _PLUS = _rng.integers(0, 1 << 32, TUPLES, dtype=np.uint32)[:, None]
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _COLUMNS = 2048
+#: The low bits that a k-mer's hash leaves free, whatever the length of the text.
+_LOW = np.uint64((1 << 24) - 1)
+#: k-mers that are sorted together with their places.
+MOST_PACKED = 1 << 24
 
 
 def numbered(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """k-mer hash, 32-bit hash of (k-mer, occurrence number) and place of every k-mer, by k-mer and place."""
+    """40-bit k-mer hash, 32-bit hash of (k-mer, occurrence number) and place of every k-mer, by k-mer and place."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     h = (c + np.uint64(1)) * _P[0]
     if len(h) >= K:
@@ -32,14 +36,16 @@ def numbered(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             h = h[:-width] * p + h[width:]
     else:  # a shorter text is one k-mer
         h = np.array([int(sum(int(x) * (i + 2) for i, x in enumerate(mixed(h)))) & (1 << 64) - 1], np.uint64)
-    wide = np.uint64(max(20, len(h).bit_length()))
-    low = (np.uint64(1) << wide) - np.uint64(1)
-    s = np.sort((mixed(h) & ~low) | np.arange(len(h), dtype=np.uint64))
-    kmer, place = s >> wide, s & low
-    at = np.arange(len(s))
+    kmer = mixed(h) & ~_LOW
+    if len(h) <= MOST_PACKED:  # the same order, found more quickly
+        s = np.sort(kmer | np.arange(len(h), dtype=np.uint64))
+        kmer, place = s & ~_LOW, s & _LOW
+    else:
+        place = np.argsort(kmer, kind="stable")
+        kmer = kmer[place]
+    at = np.arange(len(kmer))
     first = np.maximum.accumulate(np.where(np.concatenate(([True], kmer[1:] != kmer[:-1])), at, 0))
     occurrence = (at - first).astype(np.uint64)
-    kmer = kmer << wide
     return kmer, (mixed(kmer + occurrence * _P[1]) >> np.uint64(32)).astype(np.uint32), place
 
 

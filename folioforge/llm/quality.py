@@ -7,16 +7,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, text_or_empty
+from .common import arrow_map, batches, free_name, stored, text_or_empty
 from .neardup import mixed
 
 #: Indicators are hashed to this many places; the weights are sent to the workers, 4 bytes each.
 PLACES = 1 << 20
 #: Labelled rows that the model learns from at most: those of the least hash of doc_id. A documented bound.
 SAMPLE = 8_000
+#: Bytes of the sample's indicators at most, a documented bound too: a labelled text has a few kB as a rule, 4 MB at most.
+SAMPLE_BYTES = 256 << 20
 FOLDS, THRESHOLD = 5, 0.3
 TOKENS = re.compile(r"\w+|[^\w\s]+")
 
@@ -150,10 +152,10 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most `sample` labelled rows that are not held out (those of the least hash of doc_id).
+    """Fit on at most `sample` labelled rows that are not held out (those of the least hash of doc_id), and SAMPLE_BYTES of indicators.
 
-    The sample's ids are a bounded table, so it is sent to the documents; its indicators, at most 4 MB for a
-    document, come to the driver.
+    The sample's ids are a bounded table, so it is sent to the documents; indicators of one text for each id come to
+    the driver, 4 bytes each.
     """
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -161,12 +163,18 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def rows(it):
         for b in it:
-            yield {"doc_id": b["doc_id"], "quality": b["quality"], "found": [indicators(t).tobytes() for t in b["text"]]}
-
-    got = arrow_map(texts, "doc_id long, quality int, found binary", rows).toArrow()
-    ids, y = np.array(got.column(0).to_pylist(), np.int64), np.array(got.column(1).to_pylist(), np.int64)
-    found = [np.frombuffer(x, np.int32) for x in got.column(2).to_pylist()]
-    order = sorted(range(len(ids)), key=lambda i: (xxhash.xxh3_64_intdigest(str(ids[i])), found[i].tobytes()[:64]))
+            found = [indicators(t).tobytes() for t in b["text"]]
+            yield {"doc_id": b["doc_id"], "quality": b["quality"], "size": [len(x) for x in found], "found": found}
+
+    # One row of each doc_id, then those of the least hash up to a number of bytes.
+    one = arrow_map(texts, "doc_id long, quality int, size long, found binary", rows).groupBy("doc_id").agg(F.min(F.struct("size", "found", "quality")).alias("r")).select("doc_id", "r.*")
+    before = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    few = stored(one, "sample")
+    fit = few.select("doc_id", F.sum("size").over(before).alias("bytes")).filter(F.col("bytes") <= SAMPLE_BYTES)
+    got = few.join(F.broadcast(fit.select("doc_id")), "doc_id").toArrow()
+    ids, y = np.array(got.column("doc_id").to_pylist(), np.int64), np.array(got.column("quality").to_pylist(), np.int64)
+    found = [np.frombuffer(x, np.int32) for x in got.column("found").to_pylist()]
+    order = sorted(range(len(ids)), key=lambda i: xxhash.xxh3_64_intdigest(str(ids[i])))
     return fitted([found[i] for i in order], y[order])
 
 
@@ -193,14 +201,17 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 
 def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those that are rejected; columns are as they were."""
+    """docs without those that are rejected; columns are as they were, whatever their names.
+
+    Cases: as for classify; a null text is judged as an empty one; repeated rows stay or go together; a row without a
+    doc_id is judged by its text; with no labels all have the same score, 0.5, and stay.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, sample))
 
     @F.pandas_udf("double")
     def likely(text):
         return text.map(lambda t: sent.value.score(t or "")).astype(float)
 
-    from .common import batches
-
     batches(docs.sparkSession)
-    return docs.withColumn("likely_good", likely("text")).filter(F.col("likely_good") >= threshold).drop("likely_good")
+    name = free_name(docs, "likely_good")
+    return docs.withColumn(name, likely("text")).filter(F.col(name) >= threshold).drop(name)
