@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as Python has it (Java's \s is ASCII).
-WS = r"[\s\x1c-\x1f\x85\xa0  -     　]"
-LETTER = "[A-Za-zА-Яа-яЁё]"
+_BLANKS = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space as Python has it (Java's \s is ASCII), and all else.
+WS, SOLID = f"[{_BLANKS}]", f"[^{_BLANKS}]"
+#: What ends a line, as Python has it.
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
-# Word lists and maps of the behaviour that results must agree with.
+# Word lists, maps and patterns of the behaviour that results must agree with.
+LETTER = "[A-Za-zА-Яа-яЁё]"
 RU_SUFFIXES = (
     "иями ями ами иях ях ием ем ом ой ий ый ого его ому ему ыми ими ую юю ая яя ое ее ые ие ах ям ам ов ев ей ы и а я е о у ю"
 ).split()
@@ -28,14 +31,22 @@ ENGLISH_STOPWORDS = (
     "the a an and or but if then else for to of on in at by with from as is are was were be been being it this that these those we you "
     "they he she i my your their our not can could will would should about into out up down over under again more most"
 ).split()
+RUSSIAN_STOPWORDS = (
+    "и в во не что он на я с со как а то все она так его но да ты к у же вы за бы по только ее мне было вот от меня еще нет о из ему "
+    "теперь когда даже ну вдруг ли если уже или ни быть был него до вас нибудь опять уж вам ведь там потом себя ничего ей может они "
+    "тут где есть надо ней для мы тебя их чем была сам чтоб без будто человек чего раз тоже себе под будет ж тогда кто этот того "
+    "потому этого какой совсем ним здесь этом один почти мой тем чтобы нее сейчас были куда зачем всех никогда можно при наконец два "
+    "об другой хоть после над больше тот через эти нас про всего них какая много разве три эту моя впрочем хорошо свою этой перед "
+    "иногда лучше чуть том нельзя такой им более всегда конечно всю между"
+).split()
+STOPWORDS = [*RUSSIAN_STOPWORDS, *ENGLISH_STOPWORDS]
 TONES = {"scientific": "scientific science научный научно", "everyday": "everyday повседневный повседневно popular популярный простыми"}
 PACES = {"slow": "slow медленно", "normal": "normal нормально", "fast": "fast быстро"}
 
 
-def substitution_map() -> tuple[str, str]:
-    """Characters that stand for Cyrillic letters in broken PDF fonts: the low byte of the letter, one less from 0x21 to 0x2F."""
-    codes = [*range(0x10, 0x20), *range(0x21, 0x50)]
-    return "".join(map(chr, codes)), "".join(chr(0x400 + c - (0x21 <= c <= 0x2F)) for c in codes)
+#: Characters that stand for Cyrillic letters in broken PDF fonts, in the order of the letters, without the one that no character stands for.
+SUBSTITUTES = "\x10\x11\x12\x13\x14\x15\x16\x17\x18\x19\x1a\x1b\x1c\x1d\x1e\x1f!\"#$%&'()*+,-./0123456789:;<=>?@ABCDEFGHIJKLMNO"
+SUBSTITUTED = "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮабвгдежзийклмнопрстуфхцчшщъыьэюя"
 
 
 def strip(c: Column) -> Column:
@@ -58,23 +69,29 @@ def normalize_whitespace(c: Column) -> Column:
 
 def decode_substitution(c: Column) -> Column:
     """Map whole tokens back to Cyrillic if at least 3 and 55 % of their characters are stand-ins; links and paths stay."""
-    old, new = substitution_map()
-    kept = "[^" + "".join(f"\\x{ord(x):02x}" for x in old) + "]"
 
     def decoded(token: Column) -> Column:
-        hits = F.length(F.regexp_replace(token, kept, ""))
-        keep = F.lower(token).contains("http") | token.contains("/") | (hits < 3) | (hits / F.length(token) < 0.55)
-        return F.when(keep, token).otherwise(F.translate(token, old, new))
+        hits = F.length(token) - F.length(F.translate(token, SUBSTITUTES, ""))
+        keep = (hits < 3) | (hits / F.length(token) < 0.55) | token.contains("/") | F.lower(token).contains("http")
+        return F.when(keep, token).otherwise(F.translate(token, SUBSTITUTES, SUBSTITUTED))
 
-    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(f"((?:(?!{WS})[\\s\\S])+|{WS}+)"), 1), decoded), "")
+    parts = F.regexp_extract_all(c, F.lit(f"({SOLID}+|{WS}+)"), 1)
+    # Texts without three stand-ins in a row of solid characters have no token to map.
+    some = "[" + "".join(f"\\x{ord(x):02x}" for x in SUBSTITUTES) + "]"
+    return F.when(c.rlike(f"{some}(?:{SOLID}*?{some}){{2}}"), F.array_join(F.transform(parts, decoded), "")).otherwise(c)
 
 
 def fix_pdf_artifacts(c: Column) -> Column:
-    """Join hyphenated line ends, collapse spaced-out letters (runs of three and more), drop blanks before punctuation."""
+    """Join hyphenated line ends, collapse spaced-out letters (runs of three and more), drop blanks before punctuation.
+
+    A run takes what it has read for good, so texts of any length need no stack: each further letter has its border in
+    the repeated part.
+    """
     c = F.regexp_replace(c, f"({LETTER})-\n({LETTER})", "$1$2")
-    marked = F.regexp_replace(c, f"(?:(?<={WS})|^)({LETTER}(?:{WS}+{LETTER}){{2,}})(?={WS}|$)", "\x01$1\x02")
-    parts = F.transform(F.split(marked, "[\x01\x02]"), lambda s, i: F.when(i % 2 == 1, F.replace(s, F.lit(" "), F.lit(""))).otherwise(s))
-    return F.regexp_replace(F.array_join(parts, ""), f"{WS}+([,.;:!?])", "$1")
+    marked = F.regexp_replace(c, f"(?:(?<={WS})|^)({LETTER}(?:{WS}++{LETTER}(?={WS}|$)){{2,}}+)", "\ufdd0$1\ufdd1")
+    parts = F.transform(F.split(marked, "[\ufdd0\ufdd1]"), lambda s, i: F.when(i % 2 == 1, F.replace(s, F.lit(" "), F.lit(""))).otherwise(s))
+    joined = F.when(marked.contains("\ufdd1"), F.array_join(parts, "")).otherwise(c)
+    return F.regexp_replace(joined, f"{WS}++([,.;:!?])", "$1")
 
 
 def normalize_text(c: Column, decode_cyrillic: bool = True) -> Column:
@@ -94,7 +111,7 @@ def sentences(c: Column) -> Column:
 def low_signal(c: Column) -> Column:
     """Short texts, tables of contents and page-number lists."""
     c = strip(c)
-    lines = nonblank(F.split(c, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"))
+    lines = nonblank(F.split(c, LINE_END))
     toc = F.size(F.filter(lines, lambda s: s.rlike(rf"\.{{4,}}{WS}*\d{{1,3}}{WS}*$")))
     numbers = F.size(F.filter(lines, lambda s: s.rlike(r"^\d{1,3}$")))
     return (F.length(c) < 120) | (toc >= 2) | (toc + numbers >= F.greatest(F.lit(3), F.floor(F.size(lines) / 2)))
@@ -111,17 +128,20 @@ def rag_tokens(c: Column) -> Column:
 def stem(c: Column) -> Column:
     """From six characters on, drop the longest listed Russian suffix, then the first English one; four characters stay."""
     low = F.translate(F.lower(c), "ё", "е")
-    out = F.regexp_replace(low, "^(.{4,}?)(?:" + "|".join(sorted(RU_SUFFIXES, key=len, reverse=True)) + ")$", "$1")
-    out = F.regexp_replace(out, "^(.{4,}?)(?:" + "|".join(EN_SUFFIXES) + ")$", "$1")
-    return F.when(F.length(low) >= 6, out).otherwise(low)
+
+    def without(w: Column, suffixes: list[str]) -> Column:
+        last = "[" + "".join(sorted({x[-1] for x in suffixes})) + "]$"
+        return F.when(w.rlike(last), F.regexp_replace(w, "^(.{4,}?)(?:" + "|".join(suffixes) + ")$", "$1")).otherwise(w)
+
+    return F.when(F.length(low) >= 6, without(without(low, sorted(RU_SUFFIXES, key=len, reverse=True)), EN_SUFFIXES)).otherwise(low)
 
 
-def concept_tokens(c: Column, stopwords: list[str] = ENGLISH_STOPWORDS, generic: list[str] = GENERIC_WORDS) -> Column:
+def concept_tokens(c: Column, stopwords: list[str] = STOPWORDS, generic: list[str] = GENERIC_WORDS) -> Column:
     """Stems of words, without digits, words under three characters, stop words and generic words; stop lists are a parameter."""
     words = F.regexp_extract_all(F.lower(c), F.lit("([a-zа-яё0-9]+)"), 1)
     words = F.filter(words, lambda w: (F.length(w) >= 3) & ~w.rlike("^[0-9]+$"))
-    stop = F.array(*map(F.lit, sorted({*stopwords, *generic})))
-    return F.filter(F.transform(words, stem), lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, w) & ~w.rlike("^[0-9]+$"))
+    stop = sorted({*stopwords, *generic})
+    return F.filter(F.transform(words, stem), lambda w: (F.length(w) >= 3) & ~w.isin(stop) & ~w.rlike("^[0-9]+$"))
 
 
 def shorten(c: Column, most: int = 180) -> Column:
@@ -143,7 +163,7 @@ def has_cyrillic(c: Column) -> Column:
 
 def clean_token(c: Column) -> Column:
     latin, cyrillic = c.rlike("(?i)[a-z]"), c.rlike("(?iu)[а-яё]")
-    odd = c.rlike("(?iu)[ьъэ]{2,}") | c.rlike("(?iu)(?:^|[^a-z])[a-z]{1,2}[ьъэ]|[ьъэ][a-z]{1,2}(?:$|[^a-z])")
+    odd = c.rlike("(?iu)[ьъэ]{2,}") | c.rlike("(?iu)[a-z]{1,2}[ьъэ]|[ьъэ][a-z]{1,2}")
     return (F.length(c) >= 3) & ~(latin & cyrillic) & ~odd & ~((F.length(c) <= 4) & ~c.rlike("(?iu)[aeiouyаеёиоуыэюя]"))
 
 
@@ -155,8 +175,7 @@ def clean_ocr_noise(c: Column) -> Column:
 
 def fact_tokens(c: Column) -> Column:
     words = F.regexp_extract_all(F.lower(clean_ocr_noise(c)), F.lit("([a-zа-яё0-9]+)"), 1)
-    stop = F.array(*map(F.lit, FACT_STOPWORDS))
-    return F.filter(words, lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, w) & clean_token(w))
+    return F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(FACT_STOPWORDS) & clean_token(w))
 
 
 def clean_source(c: Column) -> Column:
@@ -175,7 +194,7 @@ def prepared_source(c: Column, least: int = 25, sentences_: int = 18, most: int
 
 
 def tts_text(c: Column, most: int = 280) -> Column:
-    return F.substring(squeeze(F.regexp_replace(c, r"(?U)[^\w\s.,!?;:()\-]", " ")), 1, most)
+    return F.substring(squeeze(F.regexp_replace(c, r"""(?U)[^\w\s.,!?;:()"'«»—-]""", " ")), 1, most)
 
 
 def safe_filename(c: Column, default: str = "presentation") -> Column:

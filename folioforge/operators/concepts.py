@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ENGLISH_STOPWORDS, GENERIC_WORDS, concept_tokens, sentences
+from ..functions.structured import parsed
+from ..functions.text import GENERIC_WORDS, STOPWORDS, concept_tokens, sentences, shorten
+from ..storage import stored
 
 TOP_N, MIN_FREQ, MIN_EDGE, MOST_OF_SENTENCES = 10, 2, 2, 0.65
 
 
-def sentence_tokens(docs: DataFrame, stopwords: list[str] = ENGLISH_STOPWORDS) -> DataFrame:
+def sentence_tokens(docs: DataFrame, stopwords: list[str] = STOPWORDS) -> DataFrame:
     """doc_id, sid, sentence, tokens."""
     rows = docs.select("doc_id", F.posexplode(sentences(F.col("text"))).alias("sid", "sentence"))
     return rows.withColumn("tokens", concept_tokens(F.col("sentence"), stopwords))
@@ -54,22 +58,36 @@ def relevance(terms: DataFrame, edges: DataFrame, top_n: int = TOP_N) -> DataFra
     return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top_n)
 
 
-def graph(docs: DataFrame, top_n: int = TOP_N, min_freq: int = MIN_FREQ, min_edge: int = MIN_EDGE, stopwords: list[str] = ENGLISH_STOPWORDS) -> tuple[DataFrame, DataFrame]:
-    """nodes (doc_id, place, term, freq, sentence_df, degree, relevance) and edges (doc_id, src, dst, weight).
+def graph(docs: DataFrame, top_n: int = TOP_N, min_freq: int = MIN_FREQ, min_edge: int = MIN_EDGE, stopwords: list[str] = STOPWORDS, sents: DataFrame | None = None) -> Graph:
+    """The concept graph of each document (doc_id, text); sents are its sentence_tokens where they are at hand.
 
-    Edges are those of the pool between the best terms, of min_edge sentences and more; where a document has any,
-    only the terms at their ends are nodes.
+    Edges are the pairs of the best terms that share min_edge sentences and more; where a document has any, only the
+    terms at their ends are nodes. Cases: a null or empty text has no sentence and no node; repeated rows of a doc_id
+    are one document; other columns are ignored.
     """
-    sents = sentence_tokens(docs, stopwords)
-    terms = pool(term_stats(sents), top_n, min_freq)
-    pairs = cooccurrence(sents, terms)
-    best = relevance(terms, pairs, top_n)
+    sents = stored(sentence_tokens(docs, stopwords), "sentences") if sents is None else sents
+    terms = stored(pool(term_stats(sents), top_n, min_freq), "pool")
+    pairs = stored(cooccurrence(sents, terms), "pairs")
+    best = stored(relevance(terms, pairs, top_n), "best")
     keys = best.select("doc_id", "term")
-    edges = pairs.filter(F.col("weight") >= min_edge).join(keys.withColumnRenamed("term", "src"), ["doc_id", "src"], "left_semi").join(keys.withColumnRenamed("term", "dst"), ["doc_id", "dst"], "left_semi")
+    among = pairs.join(keys.withColumnRenamed("term", "src"), ["doc_id", "src"], "left_semi").join(keys.withColumnRenamed("term", "dst"), ["doc_id", "dst"], "left_semi")
+    order = Window.partitionBy("doc_id").orderBy(F.desc("weight"), "src", "dst")
+    among = stored(among.select("doc_id", "src", "dst", "weight").withColumn("place", F.row_number().over(order)), "among")
+    edges = among.filter(F.col("weight") >= min_edge)
     ends = edges.select("doc_id", F.explode(F.array("src", "dst")).alias("term")).distinct().withColumn("joined", F.lit(True))
     some = F.max(F.coalesce("joined", F.lit(False))).over(Window.partitionBy("doc_id"))
     nodes = best.join(ends, ["doc_id", "term"], "left").withColumn("some", some).filter(~F.col("some") | F.col("joined")).drop("some", "joined", "ratio", "n_sentences")
-    return nodes, edges.select("doc_id", "src", "dst", "weight")
+    return Graph(sents, nodes, edges, among)
+
+
+@dataclass(frozen=True)
+class Graph:
+    """sents; nodes (doc_id, place, term, freq, sentence_df, degree, relevance); edges (doc_id, src, dst, weight, place by weight); among: edges of any weight between the best terms."""
+
+    sents: DataFrame
+    nodes: DataFrame
+    edges: DataFrame
+    among: DataFrame
 
 
 def contexts(sents: DataFrame, nodes: DataFrame, most: int = 5) -> DataFrame:
@@ -79,10 +97,52 @@ def contexts(sents: DataFrame, nodes: DataFrame, most: int = 5) -> DataFrame:
     return rows.groupBy("doc_id", "term").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sid", "sentence"))), lambda s: s["sentence"]), " ").alias("context"))
 
 
-def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """doc_id, top_terms (by place), dominant (the most frequent, the first of equals), links (the three strongest edges)."""
-    terms = nodes.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "term"))).alias("t"), F.max_by("term", F.struct("freq", -F.col("place"))).alias("dominant"))
-    order = Window.partitionBy("doc_id").orderBy(F.desc("weight"), "src", "dst")
-    top = edges.withColumn("nth", F.row_number().over(order)).filter("nth <= 3")
-    links = top.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nth", F.concat(F.col("src"), F.lit(" <-> "), F.col("dst"), F.lit(" ("), F.col("weight").cast("string"), F.lit(")")).alias("s")))), lambda x: x["s"]), "; ").alias("links"))
-    return terms.join(links, "doc_id", "left").select("doc_id", F.array_join(F.transform(F.slice("t", 1, 6), lambda x: x["term"]), ", ").alias("top_terms"), "dominant", F.coalesce("links", F.lit("")).alias("links"))
+def descriptions(g: Graph, answers: DataFrame | None = None) -> DataFrame:
+    """doc_id, term, summary of the nodes: a model's answer (doc_id, answer: a JSON object of terms), else the context cut to 180 characters, else a label.
+
+    A document whose answer is no JSON object is treated as one without an answer; a term that an answer lacks has the label.
+    """
+    label = F.concat(F.lit("Ключевой термин: "), F.col("term"))
+    rows = g.nodes.select("doc_id", "term").join(contexts(g.sents, g.nodes), ["doc_id", "term"], "left")
+    plain = shorten(F.when(F.coalesce("context", F.lit("")) != "", F.col("context")).otherwise(label))
+    if answers is None:
+        return rows.select("doc_id", "term", plain.alias("summary"))
+    said = answers.select("doc_id", parsed(F.col("answer"), "map<string,string>").alias("said"))
+    return rows.join(said, "doc_id", "left").select("doc_id", "term", F.when(F.col("said").isNull(), plain).otherwise(F.coalesce(F.try_element_at("said", "term"), label)).alias("summary"))
+
+
+def described(g: Graph, answers: DataFrame | None = None) -> DataFrame:
+    """doc_id, place, id, label, title, value, relevance, summary: the nodes as a viewer has them."""
+    rows = g.nodes.join(descriptions(g, answers), ["doc_id", "term"])
+    return rows.select(
+        "doc_id", "place", F.col("term").alias("id"), F.col("term").alias("label"), F.concat(F.col("term"), F.lit(": "), F.col("freq").cast("string")).alias("title"),
+        F.greatest(F.lit(1), "freq").alias("value"), F.round("relevance", 4).alias("relevance"), "summary",
+    )
+
+
+def titled(g: Graph) -> DataFrame:
+    """doc_id, place, from, to, value, title: the edges as a viewer has them, by place."""
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("place")).alias("place")
+    return g.edges.select("doc_id", place, F.col("src").alias("from"), F.col("dst").alias("to"), F.col("weight").alias("value"), F.concat(F.lit("Совместные упоминания: "), F.col("weight").cast("string")).alias("title"))
+
+
+def summary(g: Graph) -> DataFrame:
+    """doc_id, top_terms (six at most, by place), dominant (the most frequent of them, the first of equals), links (the three strongest pairs of any weight), summary text."""
+    six = g.nodes.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("place"))).filter("nth <= 6")
+    terms = six.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("nth", "term"))).alias("t"), F.max_by("term", F.struct("freq", -F.col("nth"))).alias("dominant"))
+    links = g.among.filter("place <= 3").groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", F.concat(F.col("src"), F.lit(" <-> "), F.col("dst"), F.lit(" ("), F.col("weight").cast("string"), F.lit(")")).alias("s")))), lambda x: x["s"]), "; ").alias("links"))
+    named = lambda n: F.array_join(F.transform(F.slice("t", 1, n), lambda x: x["term"]), ", ")
+    weak = F.concat(F.lit("Граф отражает ключевые понятия текста: "), named(5), F.lit(". Связи между терминами выражены слабо."))
+    full = F.concat(F.lit("Граф показывает основные темы текста и их совместные упоминания. Доминирующий фокус: «"), F.col("dominant"), F.lit("». Ключевые термины: "), named(5), F.lit(". Самые сильные связи: "), F.col("links"), F.lit("."))
+    out = terms.join(links, "doc_id", "left")
+    return out.select("doc_id", named(6).alias("top_terms"), "dominant", F.coalesce("links", F.lit("")).alias("links"), F.when(F.col("links").isNull(), weak).otherwise(full).alias("summary"))
+
+
+def payload(g: Graph, answers: DataFrame | None = None) -> DataFrame:
+    """doc_id, graph: JSON of nodes, edges and meta (summary, top_terms) of each document that has a node."""
+    whole = lambda rows, names, out: rows.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", F.struct(*names).alias("x")))), lambda r: r["x"]).alias(out))
+    nodes = whole(described(g, answers), ["id", "label", "title", "value", "relevance", "summary"], "nodes")
+    edges = whole(titled(g), ["from", "to", "value", "title"], "edges")
+    meta = summary(g).select("doc_id", F.struct("summary", F.split("top_terms", ", ").alias("top_terms")).alias("meta"))
+    none = F.array().cast("array<struct<from:string,to:string,value:bigint,title:string>>")
+    return nodes.join(edges, "doc_id", "left").join(meta, "doc_id", "left").select("doc_id", F.to_json(F.struct("nodes", F.coalesce("edges", none).alias("edges"), "meta")).alias("graph"))

@@ -2,54 +2,91 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import low_signal, rag_tokens, signature, strip
+from ..storage import stored
 
 TOP_K, FETCH_K, MIN_SCORE, DENSE_WEIGHT, RERANK_BLEND = 5, 40, 0.20, 0.70, 0.35
 #: Queries that are sent to every scan task; more of them go in blocks of about half as many, each with a scan of its own.
 MOST_QUERIES = 10_000
-
-
-#: Candidates of all queries that are sent to the scan that fetches their texts; beyond it they are joined by shuffle.
+#: Candidates of all queries (ids and scores, some 40 bytes each) that are sent to the scan that fetches their texts; beyond it they are joined by shuffle.
 MOST_SENT = 2_000_000
 
 
-def dot(x: Column, y: Column) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-
-
 def dense_candidates(index: DataFrame, queries: DataFrame, fetch_k: int = FETCH_K, source_name: str | None = None) -> DataFrame:
     """The fetch_k nearest rows of index (chunk_id, source_name, chunk_index, text, embedding) for each query (query_id, query_text, query_vector).
 
-    Queries are sent to the scan of vectors, in blocks by query_id if there are many; ties go by chunk_id, the index's
-    key. Only ids and scores are ranked, each task's best first; texts are read for the candidates alone. Rows without a
-    vector are no candidates; a vector of zeros has the score 0.
+    Queries are sent to the scan of vectors, in blocks by query_id if there are many. There each Arrow batch of vectors
+    meets all queries in one matrix product, and only what can be among a query's nearest leaves the task. Texts are
+    read for the candidates alone; the result is stored, as all steps behind it read it more than once.
+    Cases: ties go by chunk_id, the index's key; rows without a vector are no candidates; a vector of zeros, or of
+    another length than the query's, has the score 0; no queries or an empty index give no rows.
     """
     if source_name:
         index = index.filter(F.col("source_name") == source_name)
     asked = queries.count()
-    if asked <= MOST_QUERIES:
-        return _candidates(index, queries, asked, fetch_k)
-    blocks = -(-2 * asked // MOST_QUERIES)
+    blocks = 1 if asked <= MOST_QUERIES else -(-2 * asked // MOST_QUERIES)
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    return reduce(DataFrame.unionByName, (_candidates(index, queries.filter(block == k), MOST_QUERIES, fetch_k) for k in range(blocks)))
+    return stored(reduce(DataFrame.unionByName, (_candidates(index, queries.filter(block == k), min(asked, MOST_QUERIES), fetch_k) for k in range(blocks))), "candidates")
+
+
+def _cosines(vectors: pa.ListArray, queries: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of each query (rows) and each vector (columns)."""
+    lengths = np.diff(vectors.offsets.to_numpy())
+    if len(vectors) and vectors.null_count == 0 and (lengths == queries.shape[1]).all() and not vectors.flatten().null_count:
+        rows = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+    else:
+        fit = lambda v: v if v is not None and len(v) == queries.shape[1] and None not in v else [0.0] * queries.shape[1]
+        rows = np.array([fit(v) for v in vectors.to_pylist()], np.float64).reshape(len(vectors), queries.shape[1])
+    norms = np.sqrt((rows * rows).sum(axis=1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = (queries @ rows.T) / (sizes[:, None] * norms[None, :])
+    return np.where(np.isfinite(out), out, 0.0)
+
+
+def _nearest(vectors: DataFrame, asked: list, fetch_k: int) -> DataFrame:
+    """query_id, chunk_id, cosine: from each task what can be among the fetch_k nearest of a query, and a little more."""
+    spark = vectors.sparkSession
+    groups: dict[int, list] = {}
+    for q in asked:
+        groups.setdefault(len(q["query_vector"]), []).append(q)
+    sent = spark.sparkContext.broadcast([(pa.array([q["query_id"] for q in g]), np.array([q["query_vector"] for q in g], np.float64)) for g in groups.values()])
+    types = {f.name: f.dataType for f in vectors.schema.fields}
+    id_type = types["chunk_id"]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kth = [np.full((len(v), fetch_k), -np.inf) for _, v in sent.value]
+        for b in it:
+            for (ids, queries), best in zip(sent.value, kth, strict=True):
+                scores = _cosines(b.column("embedding"), queries, np.sqrt((queries * queries).sum(axis=1)))
+                best[:] = -np.partition(-np.concatenate([best, scores], axis=1), fetch_k - 1, axis=1)[:, :fetch_k]
+                # Scores are rounded to nine places later: what could be equal then stays.
+                q, r = np.nonzero(scores >= best.min(axis=1)[:, None] - 2e-9)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), b.column("chunk_id").take(pa.array(r)), pa.array(scores[q, r])], names=["query_id", "chunk_id", "cosine"])
+
+    schema = T.StructType([T.StructField("query_id", asked[0]["type"]), T.StructField("chunk_id", id_type), T.StructField("cosine", T.DoubleType())])
+    return vectors.mapInArrow(run, schema)
 
 
 def _candidates(index: DataFrame, queries: DataFrame, asked: int, fetch_k: int) -> DataFrame:
     """dense_candidates of one block of about `asked` queries at most."""
-    double = lambda c: F.col(c).cast("array<double>").alias(c)
-    vectors = index.filter(F.col("embedding").isNotNull()).select("chunk_id", double("embedding")).select("*", dot(F.col("embedding"), F.col("embedding")).alias("own"))
-    sent = queries.select("query_id", double("query_vector")).select("*", dot(F.col("query_vector"), F.col("query_vector")).alias("theirs"))
-    cosine = F.coalesce(F.try_divide(dot(F.col("embedding"), F.col("query_vector")), F.sqrt(F.col("own") * F.col("theirs"))), F.lit(0.0))
-    near = vectors.join(F.broadcast(sent)).select("query_id", "chunk_id", F.round(cosine, 9).alias("dense_score_raw"))
+    vectors = index.filter(F.col("embedding").isNotNull()).select("chunk_id", "embedding")
+    kind = queries.schema["query_id"].dataType
+    held = [{"query_id": r["query_id"], "query_vector": [float(x) for x in r["query_vector"]], "type": kind} for r in queries.filter(F.col("query_vector").isNotNull()).select("query_id", "query_vector").toLocalIterator()]
+    near = _nearest(vectors, held, fetch_k) if held else vectors.limit(0).select(F.lit(None).cast(kind).alias("query_id"), "chunk_id", F.lit(0.0).alias("cosine"))
+    near = near.select("query_id", "chunk_id", F.round("cosine", 9).alias("dense_score_raw"))
     order = Window.partitionBy("query_id").orderBy(F.desc("dense_score_raw"), "chunk_id")
     near = near.withColumn("cand_pos", F.row_number().over(order)).filter(F.col("cand_pos") <= fetch_k)
     near = F.broadcast(near) if asked * fetch_k <= MOST_SENT else near
-    return index.drop("embedding").join(near, "chunk_id").join(F.broadcast(queries.drop("query_vector")), "query_id")
+    return index.drop("embedding").join(near, "chunk_id").join(queries.drop("query_vector"), "query_id")
 
 
 def usable(candidates: DataFrame) -> DataFrame:
@@ -63,17 +100,22 @@ def min_max(c: str, default: float = 0.0) -> Column:
 
 
 def bm25(candidates: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """candidates with bm25_raw: Okapi over the candidate set of each query; query tokens count as often as they occur."""
-    base = candidates.withColumn("tokens", rag_tokens(F.col("text")))
-    tokens = base.select("query_id", "cand_pos", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
-    tf = tokens.groupBy("query_id", "cand_pos", "size", "token").agg(F.count("*").alias("tf"))
-    sizes = base.groupBy("query_id").agg(F.count("*").alias("docs"), F.avg(F.size("tokens")).alias("mean_size"))
+    """candidates with bm25_raw: Okapi over the candidate set of each query; query tokens count as often as they occur.
+
+    Each candidate's tokens are counted once and stored. Cases: a query without a token, or whose tokens no candidate
+    has, scores 0 everywhere; a candidate without a token scores 0.
+    """
+    tokens = candidates.select("query_id", "cand_pos", rag_tokens(F.col("text")).alias("tokens"))
+    tokens = tokens.select("query_id", "cand_pos", F.size("tokens").alias("size"), F.explode_outer("tokens").alias("token"))
+    tf = stored(tokens.groupBy("query_id", "cand_pos", "size", "token").agg(F.count("token").alias("tf")), "terms")
+    sizes = tf.select("query_id", "cand_pos", "size").distinct().groupBy("query_id").agg(F.count("*").alias("docs"), F.avg("size").alias("mean_size"))
+    tf = tf.filter(F.col("token").isNotNull())
     idf = tf.groupBy("query_id", "token").agg(F.count("*").alias("df")).join(sizes, "query_id")
     idf = idf.withColumn("raw", F.log(F.col("docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = epsilon * F.avg("raw").over(Window.partitionBy("query_id"))
-    idf = idf.select("query_id", "token", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
-    asked = base.groupBy("query_id").agg(F.first("query_text").alias("query_text")).select("query_id", F.explode(rag_tokens(F.col("query_text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    hits = tf.join(asked, ["query_id", "token"]).join(idf, ["query_id", "token"]).join(sizes, "query_id")
+    idf = idf.select("query_id", "token", "docs", "mean_size", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
+    asked = candidates.groupBy("query_id").agg(F.first("query_text").alias("query_text")).select("query_id", F.explode(rag_tokens(F.col("query_text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
+    hits = tf.join(asked.join(idf, ["query_id", "token"]), ["query_id", "token"])
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean_size")))
     scores = hits.groupBy("query_id", "cand_pos").agg(F.sum(part).alias("found"))
     return candidates.join(scores, ["query_id", "cand_pos"], "left").withColumn("bm25_raw", F.round(F.coalesce("found", F.lit(0.0)), 9)).drop("found")
@@ -116,10 +158,33 @@ def context(results: DataFrame) -> DataFrame:
     return results.groupBy("query_id").agg(F.array_join(F.transform(parts, lambda p: p["block"]), "\n\n").alias("context"))
 
 
+def numbered_context(results: DataFrame) -> DataFrame:
+    """query_id, context: results as numbered blocks of source, chunk and text, as slide plans are asked for."""
+    named = F.coalesce("source_name", F.lit("unknown"))
+    block = F.concat(F.lit("[source#"), F.col("rank").cast("string"), F.lit("]\nsource_name="), named, F.lit("\nchunk_index="), F.coalesce("chunk_index", F.lit(-1)).cast("string"), F.lit("\ntext="), strip(F.coalesce("text", F.lit(""))))
+    parts = F.sort_array(F.collect_list(F.struct(F.col("rank"), block.alias("block"))))
+    return results.groupBy("query_id").agg(F.array_join(F.transform(parts, lambda p: p["block"]), "\n\n").alias("context"))
+
+
+def with_defaults(chunks: DataFrame) -> DataFrame:
+    """chunks whose missing payload is filled: text and ids empty, source_name "unknown", chunk_index -1."""
+    rows = chunks.withColumn("source_name", F.coalesce("source_name", F.lit("unknown"))).withColumn("chunk_index", F.coalesce("chunk_index", F.lit(-1)))
+    return rows.withColumn("text", F.coalesce("text", F.lit("")))
+
+
 def study_context(chunks: DataFrame, most: int = 18_000) -> DataFrame:
-    """doc_id, context: chunks (doc_id, pos, text) in order while they and their separators fit; a first one that does not is cut with dots."""
+    """doc_id, context: chunks (doc_id, pos, source_name, chunk_index, text) in order, each under a header, while they and what separates them fit.
+
+    A first one that does not fit is cut, with dots behind. Cases: blank chunks are left out; a document of blank
+    chunks has no row; a missing source is "unknown", a missing index -1.
+    """
+    text = strip(F.coalesce("text", F.lit("")))
+    header = F.concat(F.lit("[Source: "), F.coalesce("source_name", F.lit("unknown")), F.lit(" | chunk="), F.coalesce("chunk_index", F.lit(-1)).cast("string"), F.lit("]\n"))
+    rows = chunks.select("doc_id", "pos", header.alias("header"), text.alias("body")).filter("body <> ''")
     w = Window.partitionBy("doc_id").orderBy("pos")
-    rows = chunks.withColumn("used", F.sum(F.length("text") + 2).over(w)).withColumn("first", F.row_number().over(w) == 1)
-    rows = rows.withColumn("text", F.when(F.col("first") & (F.col("used") > most), F.concat(F.substring(F.col("text"), 1, most - 3), F.lit("..."))).otherwise(F.col("text")))
-    rows = rows.filter(F.col("first") | (F.col("used") <= most))
-    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda p: p["text"]), "\n\n").alias("context"))
+    rows = rows.withColumn("used", F.sum(F.length("header") + F.length("body") + 2).over(w) - 2).withColumn("first", F.row_number().over(w) == 1)
+    room = F.lit(most - 3) - F.length("header")
+    cut = F.when(room > 0, F.concat(F.substring("body", F.lit(1), room), F.lit("..."))).otherwise(F.substring("body", 1, most))
+    rows = rows.filter(F.col("first") | (F.col("used") <= most)).withColumn("body", F.when(F.col("used") > most, cut).otherwise(F.col("body")))
+    block = F.struct("pos", F.concat("header", "body").alias("block"))
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(block)), lambda p: p["block"]), "\n\n").alias("context"))

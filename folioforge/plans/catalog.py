@@ -46,22 +46,26 @@ _LOW = r"""(len(trim({0}, E' \t\n\r')) < 120 OR len(list_filter(string_split({0}
 _SIG = r"substr(trim(regexp_replace(lower({}), '\s+', ' ', 'g')), 1, 800)"
 
 
-def _substitution_sql() -> str:
-    old, new = text.substitution_map()
-    lit = lambda s: " || ".join(f"chr({ord(c)})" for c in s)
-    kept = "[^" + "".join(f"\\x{ord(c):02x}" for c in old) + "]"
-    return (
-        rf"SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '\S+|\s+'), lambda t: CASE WHEN contains(lower(t), 'http') OR contains(t, '/') "
-        rf"OR len(regexp_replace(t, '{kept}', '', 'g')) < 3 OR len(regexp_replace(t, '{kept}', '', 'g')) / len(t) < 0.55 THEN t ELSE translate(t, {lit(old)}, {lit(new)}) END), '') AS decoded FROM documents"
-    )
-
-
+def _substitution_sql(x: str = "text") -> str:
+    """Tokens with three characters from 0x10 to 0x4F (without blanks) and more, 55 % of them, by place in the alphabet: its letters but one."""
+    old = " || ".join(f"chr({c})" for c in [*range(0x10, 0x20), *range(0x21, 0x50)])
+    new = "'АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮабвгдежзийклмнопрстуфхцчшщъыьэюя'"
+    hits = r"len(regexp_replace(t, '[^\x10-\x1f\x21-\x4f]', '', 'g'))"
+    return rf"array_to_string(list_transform(regexp_extract_all({x}, '\S+|\s+'), lambda t: CASE WHEN contains(lower(t), 'http') OR contains(t, '/') OR {hits} < 3 OR {hits} / len(t) < 0.55 THEN t ELSE translate(t, {old}, {new}) END), '')"
+
+
+#: Hyphens at line ends, spaced letters (parts at even places between the marks), blanks before punctuation.
+_FIXED = r"""regexp_replace(array_to_string(list_transform(string_split_regex(regexp_replace(regexp_replace({}, '([A-Za-zА-Яа-яЁё])-\n([A-Za-zА-Яа-яЁё])', '\1\2', 'g'),
+  '(^|\s)([A-Za-zА-Яа-яЁё](?:\s+[A-Za-zА-Яа-яЁё]){{2,}})(\s|$)', '\1' || chr(57344) || '\2' || chr(57345) || '\3', 'g'), '[' || chr(57344) || chr(57345) || ']'),
+  lambda part, i: CASE WHEN i % 2 = 0 THEN replace(part, ' ', '') ELSE part END), ''), '\s+([,.;:!?])', '\1', 'g')"""
 QUERIES["normalize_whitespace"] = on_documents(text.normalize_whitespace, "normalized")
 ORACLES["normalize_whitespace"] = f"SELECT doc_id, {_NORM.format('text')} AS normalized FROM documents"
 QUERIES["decode_substitution"] = on_documents(text.decode_substitution, "decoded")
-ORACLES["decode_substitution"] = _substitution_sql()
+ORACLES["decode_substitution"] = f"SELECT doc_id, {_substitution_sql()} AS decoded FROM documents"
 QUERIES["fix_pdf_artifacts"] = on_documents(text.fix_pdf_artifacts, "fixed")
+ORACLES["fix_pdf_artifacts"] = f"SELECT doc_id, {_FIXED.format('text')} AS fixed FROM documents"
 QUERIES["normalize_text"] = on_documents(text.normalize_text, "normalized")
+ORACLES["normalize_text"] = f"SELECT doc_id, {_NORM.format('fixed')} AS normalized FROM (SELECT doc_id, {_FIXED.format('decoded')} AS fixed FROM (SELECT doc_id, {_substitution_sql()} AS decoded FROM documents))"
 QUERIES["shorten"] = on_documents(text.shorten, "short")
 ORACLES["shorten"] = f"SELECT doc_id, CASE WHEN len(s) <= 180 THEN s ELSE rtrim(substr(s, 1, 177)) || '...' END AS short FROM (SELECT doc_id, {SQUEEZE.format('text')} AS s FROM documents)"
 QUERIES["short_text"] = on_documents(lambda c: text.short_text(c, 64), "short")
@@ -70,8 +74,21 @@ QUERIES["low_signal_filter"] = on_documents(text.low_signal, "low_signal")
 ORACLES["low_signal_filter"] = f"SELECT doc_id, {_LOW.format('text')} AS low_signal FROM documents"
 QUERIES["safe_filename"] = on_documents(text.safe_filename, "file")
 ORACLES["safe_filename"] = "SELECT doc_id, CASE WHEN f = '' THEN 'presentation' ELSE f END AS file FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '[^a-zA-Z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS f FROM documents)"
+_CLEAN_SOURCE = SQUEEZE.format(r"replace(regexp_replace(text, '[-‐‑]\s*\n\s*', '', 'g'), chr(10), ' ')")
+for _border in ("([.!?])([А-ЯA-Z])", "([a-zа-я])([A-ZА-Я])", "([A-Za-z])([А-Яа-я])", "([А-Яа-я])([A-Za-z])"):
+    _CLEAN_SOURCE = rf"regexp_replace({_CLEAN_SOURCE}, '{_border}', '\1 \2', 'g')"
+_CLEAN_SOURCE = rf"regexp_replace({_CLEAN_SOURCE}, '(^|[^\pL\p{{Mn}}\p{{Nd}}\p{{Pc}}])[0-9]+\s*$', '\1')"
 QUERIES["dialogue_prepare"] = on_documents(text.prepared_source, "prepared")
+ORACLES["dialogue_prepare"] = rf"""
+WITH c AS (SELECT doc_id, {_CLEAN_SOURCE} AS clean FROM documents
+), p AS (SELECT doc_id, clean, list_slice(list_filter(list_transform(string_split(regexp_replace(clean, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: len(x) >= 25 AND NOT regexp_full_match(x, '[^\pL]+')), 1, 18) AS parts FROM c)
+SELECT doc_id, substr(CASE WHEN len(parts) > 0 THEN array_to_string(parts, ' ') ELSE clean END, 1, 3500) AS prepared FROM p"""
+#: Between word characters there is no border; RE2 has none beyond ASCII, so runs of word characters are read whole.
+_WORDS = r"\pL\p{{Mn}}\p{{Mc}}\p{{Nd}}\p{{Nl}}\p{{Pc}}"
+_OCR = r"regexp_replace(regexp_replace({}, '[^\S\r\n]+', ' ', 'g'), '(?m)^.*\.{{4,}}\s*[0-9]+\s*$', '', 'g')"
+_CLEAN = rf"array_to_string(list_transform(regexp_extract_all({_OCR}, '[{_WORDS}]+|[^{_WORDS}]+'), lambda w: CASE WHEN regexp_full_match(w, '(?i)[а-яёa-z]{{{{1,3}}}}[эьъ][а-яёa-z]{{{{0,3}}}}') THEN ' ' ELSE w END), '')"
 QUERIES["clean_ocr_noise"] = on_documents(text.clean_ocr_noise, "clean")
+ORACLES["clean_ocr_noise"] = f"SELECT doc_id, {_CLEAN.format('text')} AS clean FROM documents"
 
 
 @query(f"SELECT doc_id, CAST(generate_subscripts(s, 1) - 1 AS INT) AS pos, unnest(s) AS sentence FROM (SELECT doc_id, {_SENT} AS s FROM documents)")
@@ -96,13 +113,13 @@ WITH s AS (SELECT doc_id, source, {_SENT} AS ss FROM documents), f AS (
 )"""
 
 
-#: Sentences of eight characters and more without quotes at their ends, as the lines of a dialogue.
-_DIALOGUE = rf"""WITH q AS (SELECT doc_id, {_LINE_SENT} AS ss FROM documents
-), p AS (SELECT doc_id, list_filter(list_transform(ss, lambda x: regexp_replace(x, '^["''«»\s-]+|["''«»\s]+$', '', 'g')), lambda x: len(x) >= 8) AS parts FROM q)"""
-_SPOKEN = r"regexp_replace(part, '[^\pL\p{Mn}\p{Mc}\p{Me}\p{Nd}\p{Nl}\p{Pc}\s.,!?;:()-]', ' ', 'g')"
+#: Sentences of squeezed text; those of eight characters and more without quotes at their ends are the lines of a dialogue.
+_DIALOGUE = rf"""WITH q AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace({SQUEEZE.format('text')}, '([.!?]) ', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS ss FROM documents
+), p AS (SELECT doc_id, len(ss) AS n_sentences, list_filter(list_transform(ss, lambda x: trim(x, ' "''')), lambda x: len(x) >= 8) AS parts FROM q)"""
+_SPOKEN = r"""regexp_replace(part, '[^\pL\p{Mn}\p{Mc}\p{Me}\p{Nd}\p{Nl}\p{Pc}\s.,!?;:()"''«»—-]', ' ', 'g')"""
 QUERIES["dialogue_coerce"] = on_documents(dialogue.coerced, "dialogue")
 ORACLES["dialogue_coerce"] = (
-    _DIALOGUE + " SELECT doc_id, CASE WHEN len(parts) >= 6 THEN array_to_string(list_transform(parts, lambda x, i: CASE WHEN i % 2 = 1 THEN 'Ведущий 1: ' ELSE 'Ведущий 2: ' END || x), chr(10)) ELSE '' END AS dialogue FROM p"
+    _DIALOGUE + " SELECT doc_id, CASE WHEN n_sentences >= 6 AND len(parts) >= 6 THEN array_to_string(list_transform(parts, lambda x, i: CASE WHEN i % 2 = 1 THEN 'Ведущий 1: ' ELSE 'Ведущий 2: ' END || x), chr(10)) ELSE '' END AS dialogue FROM p"
 )
 QUERIES["tts_text"] = on_documents(text.tts_text, "spoken")
 ORACLES["tts_text"] = f"SELECT doc_id, substr({SQUEEZE.format(_SPOKEN)}, 1, 280) AS spoken FROM (SELECT doc_id, text AS part FROM documents)"
@@ -232,21 +249,25 @@ def rerank_blend(spark, d):
     return retrieval.ranked(retrieval.rerank_blend(rows, answers)).select("query_id", "rank", "chunk_id", "score", F.round("api_rerank_score", 6).alias("api"))
 
 
-@query(
-    _CHUNKS + r""", o AS (SELECT doc_id, chunk_index, text, sum(len(text) + 2) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS used FROM chunks
-), k AS (SELECT doc_id, chunk_index, CASE WHEN chunk_index = 0 AND used > 3000 THEN substr(text, 1, 2997) || '...' ELSE text END AS text FROM o WHERE chunk_index = 0 OR used <= 3000)
+_STUDY = _CHUNKS + """, b AS (SELECT doc_id, chunk_index, '[Source: ' || source || ' | chunk=' || chunk_index || ']' || chr(10) AS header, text FROM chunks
+), o AS (SELECT *, sum(len(header) + len(text) + 2) OVER (PARTITION BY doc_id ORDER BY chunk_index) - 2 AS used FROM b
+), k AS (SELECT doc_id, chunk_index, header || CASE WHEN used > {most} THEN substr(text, 1, {most} - 3 - len(header)) || '...' ELSE text END AS text FROM o WHERE chunk_index = 0 OR used <= {most})
 SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY chunk_index) AS context FROM k GROUP BY doc_id"""
-)
+
+
+def study_chunks(spark, d) -> DataFrame:
+    return chunks(spark, d).select(F.col("source_path").cast("long").alias("doc_id"), F.col("chunk_index").alias("pos"), "source_name", "chunk_index", "text")
+
+
+@query(_STUDY.replace("{most}", "3000"))
 def study_context_pack(spark, d):
-    rows = chunks(spark, d).select(F.col("source_path").cast("long").alias("doc_id"), F.col("chunk_index").alias("pos"), "text")
-    return retrieval.study_context(rows, 3000)
+    return retrieval.study_context(study_chunks(spark, d), 3000)
 
 
-@query(ORACLES["study_context_pack"].replace("3000", "18000").replace("2997", "17997"))
+@query(_STUDY.replace("{most}", "18000"))
 def study_context_pack_whole(spark, d):
     """With the reference's budget of 18,000 characters."""
-    rows = chunks(spark, d).select(F.col("source_path").cast("long").alias("doc_id"), F.col("chunk_index").alias("pos"), "text")
-    return retrieval.study_context(rows)
+    return retrieval.study_context(study_chunks(spark, d))
 
 
 @query("SELECT doc_id AS chunk_id, source AS source_name, 'new' AS version FROM documents WHERE source IN ('src1', 'src2') UNION ALL SELECT doc_id, source, 'old' FROM documents WHERE source NOT IN ('src1', 'src2')")
@@ -261,7 +282,7 @@ def _stem_sql(x: str) -> str:
     return rf"CASE WHEN len({x}) >= 6 THEN regexp_replace(regexp_replace(replace({x}, 'ё', 'е'), '^(.{{4,}}?)(?:{ru})$', '\1'), '^(.{{4,}}?)(?:{en})$', '\1') ELSE replace({x}, 'ё', 'е') END"
 
 
-_STOP = ", ".join(f"'{w}'" for w in sorted({*text.ENGLISH_STOPWORDS, *text.GENERIC_WORDS}))
+_STOP = ", ".join(f"'{w}'" for w in sorted({*text.STOPWORDS, *text.GENERIC_WORDS}))
 _CONCEPTS = rf"""
 WITH s AS (SELECT doc_id, generate_subscripts(ss, 1) AS sid, unnest(ss) AS sentence FROM (SELECT doc_id, {_LINE_SENT} AS ss FROM documents)
 ), w AS (SELECT doc_id, sid, unnest(regexp_extract_all(lower(sentence), '[a-zа-яё0-9]+')) AS w FROM s
@@ -281,8 +302,10 @@ WITH s AS (SELECT doc_id, generate_subscripts(ss, 1) AS sid, unnest(ss) AS sente
     + 0.38 * CASE WHEN max(degree) OVER d - min(degree) OVER d < 1e-12 THEN 1.0 ELSE (degree - min(degree) OVER d) / (max(degree) OVER d - min(degree) OVER d) END, 9) AS relevance FROM x WINDOW d AS (PARTITION BY doc_id)
 ), best AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY relevance DESC, freq DESC, sentence_df, term) AS INT) AS place FROM y QUALIFY place <= 10
+), among AS (
+  SELECT co.* FROM co JOIN best a ON co.doc_id = a.doc_id AND co.src = a.term JOIN best b ON co.doc_id = b.doc_id AND co.dst = b.term
 ), edges AS (
-  SELECT co.* FROM co JOIN best a ON co.doc_id = a.doc_id AND co.src = a.term JOIN best b ON co.doc_id = b.doc_id AND co.dst = b.term WHERE weight >= 2
+  SELECT doc_id, src, dst, weight, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, src, dst) AS INT) AS place FROM among WHERE weight >= 2
 ), ends AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, src AS term FROM edges UNION ALL SELECT doc_id, dst FROM edges)
 ), nodes AS (
   SELECT best.* FROM best LEFT JOIN ends USING (doc_id, term) WHERE ends.term IS NOT NULL OR best.doc_id NOT IN (SELECT doc_id FROM edges)
@@ -302,35 +325,54 @@ def cooccurrence_edges(spark, d):
 
 @query(_CONCEPTS + " SELECT doc_id, place, term, freq, sentence_df, degree, relevance FROM nodes")
 def graph_nodes(spark, d):
-    nodes, _ = concepts.graph(table(spark, d, "documents"))
-    return nodes.select("doc_id", "place", "term", "freq", "sentence_df", "degree", "relevance")
+    return concepts.graph(table(spark, d, "documents")).nodes.select("doc_id", "place", "term", "freq", "sentence_df", "degree", "relevance")
 
 
-@query(_CONCEPTS + " SELECT doc_id, src, dst, weight FROM edges")
+@query(_CONCEPTS + " SELECT doc_id, src, dst, weight, place FROM edges")
 def graph_edges(spark, d):
-    return concepts.graph(table(spark, d, "documents"))[1]
+    return concepts.graph(table(spark, d, "documents")).edges
 
 
-@query(
-    _CONCEPTS + """, a AS (
-  SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS i, row_number() OVER (PARTITION BY doc_id ORDER BY freq DESC, place) AS j FROM nodes
-), named AS (SELECT doc_id, string_agg(term, ', ' ORDER BY i) FILTER (i <= 6) AS top_terms, max(term) FILTER (j = 1) AS dominant FROM a GROUP BY doc_id
-), e AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, src, dst) AS i FROM edges
-), l AS (SELECT doc_id, string_agg(src || ' <-> ' || dst || ' (' || weight || ')', '; ' ORDER BY i) AS links FROM e WHERE i <= 3 GROUP BY doc_id)
-SELECT doc_id, top_terms, dominant, coalesce(links, '') AS links FROM named LEFT JOIN l USING (doc_id)"""
-)
+_SUMMARY = """, a AS (
+  SELECT doc_id, term, freq, place, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS i FROM nodes
+), six AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY freq DESC, place) AS j FROM a WHERE i <= 6
+), named AS (SELECT doc_id, string_agg(term, ', ' ORDER BY i) AS top_terms, string_agg(term, ', ' ORDER BY i) FILTER (i <= 5) AS key_terms, max(term) FILTER (j = 1) AS dominant FROM six GROUP BY doc_id
+), e AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, src, dst) AS i FROM among
+), l AS (SELECT doc_id, string_agg(src || ' <-> ' || dst || ' (' || weight || ')', '; ' ORDER BY i) AS links FROM e WHERE i <= 3 GROUP BY doc_id
+), sums AS (SELECT doc_id, top_terms, dominant, coalesce(links, '') AS links,
+  CASE WHEN links IS NULL THEN 'Граф отражает ключевые понятия текста: ' || key_terms || '. Связи между терминами выражены слабо.'
+    ELSE 'Граф показывает основные темы текста и их совместные упоминания. Доминирующий фокус: «' || dominant || '». Ключевые термины: ' || key_terms || '. Самые сильные связи: ' || links || '.' END AS summary
+  FROM named LEFT JOIN l USING (doc_id))"""
+
+
+@query(_CONCEPTS + _SUMMARY + " SELECT doc_id, top_terms, dominant, links, summary FROM sums")
 def graph_summary(spark, d):
-    return concepts.summary(*concepts.graph(table(spark, d, "documents")))
+    return concepts.summary(concepts.graph(table(spark, d, "documents")))
+
+
+_CONTEXTS = """, h AS (SELECT DISTINCT doc_id, sid, term FROM tt SEMI JOIN nodes USING (doc_id, term)
+), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, term ORDER BY sid) AS i FROM h
+), cx AS (SELECT doc_id, term, string_agg(sentence, ' ' ORDER BY sid) AS context FROM k JOIN s USING (doc_id, sid) WHERE i <= 5 GROUP BY doc_id, term)"""
+
+
+@query(_CONCEPTS + _CONTEXTS + " SELECT doc_id, term, context FROM cx")
+def concept_contexts(spark, d):
+    g = concepts.graph(table(spark, d, "documents"))
+    return concepts.contexts(g.sents, g.nodes)
 
 
 @query(
-    _CONCEPTS + """, h AS (SELECT DISTINCT doc_id, sid, term FROM tt SEMI JOIN nodes USING (doc_id, term)
-), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, term ORDER BY sid) AS i FROM h)
-SELECT doc_id, term, string_agg(sentence, ' ' ORDER BY sid) AS context FROM k JOIN s USING (doc_id, sid) WHERE i <= 5 GROUP BY doc_id, term"""
+    _CONCEPTS + _CONTEXTS + rf""", sh AS (SELECT doc_id, place, term, freq, relevance, {SQUEEZE.format("coalesce(context, 'Ключевой термин: ' || term)")} AS c FROM nodes LEFT JOIN cx USING (doc_id, term))
+SELECT doc_id, place, term AS id, term AS label, term || ': ' || freq AS title, greatest(1, freq) AS value, round(relevance, 4) AS relevance,
+  CASE WHEN len(c) <= 180 THEN c ELSE rtrim(substr(c, 1, 177)) || '...' END AS summary FROM sh"""
 )
-def concept_contexts(spark, d):
-    docs = table(spark, d, "documents")
-    return concepts.contexts(concepts.sentence_tokens(docs), concepts.graph(docs)[0])
+def graph_descriptions(spark, d):
+    return concepts.described(concepts.graph(table(spark, d, "documents")))
+
+
+@query(_CONCEPTS + """ SELECT doc_id, place, src AS "from", dst AS "to", weight AS value, 'Совместные упоминания: ' || weight AS title FROM edges""")
+def graph_edge_titles(spark, d):
+    return concepts.titled(concepts.graph(table(spark, d, "documents")))
 
 
 def results(spark, d) -> DataFrame:
@@ -383,8 +425,8 @@ def normalize_url(spark, d):
 
 @query(
     _DIALOGUE + rf"""
-SELECT doc_id, CAST(n - 1 AS INT) AS line_no, CAST((n - 1) % 2 + 1 AS INT) AS speaker, substr({SQUEEZE.format(_SPOKEN)}, 1, 280) AS text
-FROM (SELECT doc_id, generate_subscripts(parts, 1) AS n, unnest(parts) AS part FROM p WHERE len(parts) >= 6)"""
+SELECT doc_id, CAST(n - 1 AS INT) AS line_no, CAST((n - 1) % 2 + 1 AS INT) AS speaker, part AS text, substr({SQUEEZE.format(_SPOKEN)}, 1, 280) AS spoken
+FROM (SELECT doc_id, generate_subscripts(parts, 1) AS n, unnest(parts) AS part FROM p WHERE n_sentences >= 6 AND len(parts) >= 6)"""
 )
 def dialogue_segments(spark, d):
     docs = table(spark, d, "documents").withColumn("dialogue", dialogue.coerced(F.col("text")))
