@@ -27,7 +27,7 @@ WIDTH, WINDOW, OVERLAP = 16, 32, 4
 SINGLES, SMALL, LARGE = 64, 64, 2048
 #: The initial fit: about so many training documents of the least hash, windows of each, rounds over them.
 FIRST_DOCS, FIRST_WINDOWS, EPOCHS = 2000, 8, 4
-BATCH, RATE = 64, 0.05
+BATCH, RATE = 128, 0.05
 #: Subwords of a training shard, and the most shards; beyond that, shards grow.
 SHARD, MOST_SHARDS = 8_000_000, 16_384
 
@@ -246,7 +246,7 @@ def training_windows(m: Model, sub: Subwords, text: str) -> tuple[np.ndarray, np
 
 
 #: Windows that are scored at a time.
-_BLOCK = 64
+_BLOCK = 128
 
 
 def text_logs(m: Model, sub: Subwords, parts: list[list[str]]) -> list[float]:
@@ -336,24 +336,24 @@ def shard_moves(model: Model, state: dict[str, np.ndarray], sub: Subwords, texts
     trainer, held, waiting = Trainer(model, state), [], 0
     given_n, cluster_n = np.zeros(len(model.place), np.int64), np.zeros(len(model.bounds), np.int64)
 
-    def go(given, goal, live):
+    def go(parts, many):
         nonlocal given_n, cluster_n
-        trainer.step(given, goal, live)
+        given, goal, live = (x[:many] for x in parts)
         given_n += np.bincount(given[live], minlength=len(given_n))
         cluster_n += np.bincount(model.cluster[goal[live]], minlength=len(cluster_n))
+        for k in range(0, many, BATCH):
+            trainer.step(given[k : k + BATCH], goal[k : k + BATCH], live[k : k + BATCH])
 
     for t in texts:
         held.append(training_windows(model, sub, t))
         waiting += len(held[-1][0])
-        if waiting >= 16 * BATCH:
+        if waiting >= 32 * BATCH:
             parts = [np.concatenate(x) for x in zip(*held, strict=True)]
             whole = waiting - waiting % BATCH
-            for k in range(0, whole, BATCH):
-                go(*(x[k : k + BATCH] for x in parts))
+            go(parts, whole)
             held, waiting = [tuple(x[whole:] for x in parts)], waiting - whole
-    parts = [np.concatenate(x) for x in zip(*held, strict=True)] if held else ()
-    for k in range(0, waiting, BATCH):
-        go(*(x[k : k + BATCH] for x in parts))
+    if waiting:
+        go([np.concatenate(x) for x in zip(*held, strict=True)], waiting)
     if not cluster_n.sum():
         return None
     weights = {"E": given_n, "T": np.where(model.cluster > 0, cluster_n[model.cluster], 0)}

@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -14,58 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import clear, shared_path, stored  # noqa: F401
+
 #: Rows and bytes of an Arrow batch, so that a worker holds some tens of MB of texts, however long they are.
 BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
-_own_folder: str | None = None
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and all runs on one machine."""
-    global _own_folder
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("intermediate tables need a folder that driver and executors share: set spark.checkpoint.dir")
-    if _own_folder is None:
-        folder = tempfile.mkdtemp(prefix="folioforge-")
-        atexit.register(shutil.rmtree, folder, True)
-        _own_folder = "file://" + folder
-    return _own_folder
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-_stored: list[str] = []
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends there, and lost executors cost nothing."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    _stored.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def clear(spark: SparkSession) -> int:
-    """Delete the tables that this driver has stored, once their results are written or no longer needed; their number."""
-    from pyarrow import fs
-
-    many = 0
-    while _stored:
-        path = _stored.pop()
-        if path.startswith("file:"):
-            shutil.rmtree(fs.FileSystem.from_uri(path)[1], True)
-        else:
-            jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
-            at = jvm.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        many += 1
-    return many
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df does not have, whatever its letters' case."""
     taken = {c.lower() for c in df.columns}

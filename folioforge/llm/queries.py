@@ -37,8 +37,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = tokenizer("byte_bpe_50k.tiktoken")
-    return training_order.written_order(training_order.training_order(documents(spark, sf_dir), ranks), shared_path(spark, "shards"), ranks)
+    return training_order.written_order(documents(spark, sf_dir), shared_path(spark, "shards"), tokenizer("byte_bpe_50k.tiktoken"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,12 +61,13 @@ def permuted(ordinals: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
 
 
 def sequences(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFrame:
-    """part, row, n_tokens, doc_ids, starts, first_from, packed: every document's ids and an end id, one behind the other, cut into sequences of `length` tokens.
+    """part, row, n_tokens, doc_ids, starts, first_from, ids: every document's ids and an end id, one behind the other, cut into sequences of `length` tokens.
 
     Documents that follow each other in a part of the scan share sequences, so only the last sequence of a part can be
     shorter. doc_ids has the document of each piece of a sequence, starts the token of the sequence at which the piece
-    begins, first_from the token of its document at which the first piece begins (later pieces begin theirs). packed
-    holds the ids, see unpacked. part and row number the sequences as they were written; the table is stored, so the numbers stay.
+    begins, first_from the token of its document at which the first piece begins (later pieces begin theirs). ids are
+    little-endian integers of the vocabulary's width (see Subwords.code). part and row number the sequences as they
+    were written; the table is stored, so the numbers stay.
     """
 
     def rows(it):
@@ -77,13 +78,13 @@ def sequences(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFra
         def close():
             nonlocal at, held, pieces
             docs_, starts, froms = zip(*pieces, strict=True)
-            out.append((part, at, len(held) // size, list(docs_), list(starts), froms[0], zlib.compress(held, 1)))
+            out.append((part, at, len(held) // size, list(docs_), list(starts), froms[0], bytes(held)))
             at, held, pieces = at + 1, bytearray(), []
 
         def flushed():
             nonlocal out
             now, out = out, []
-            return dict(zip(("part", "row", "n_tokens", "doc_ids", "starts", "first_from", "packed"), map(list, zip(*now, strict=True)), strict=True))
+            return dict(zip(("part", "row", "n_tokens", "doc_ids", "starts", "first_from", "ids"), map(list, zip(*now, strict=True)), strict=True))
 
         for b in it:
             for doc, text in zip(b["doc_id"], b["text"], strict=True):
@@ -101,22 +102,40 @@ def sequences(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFra
             close()
             yield flushed()
 
-    return stored(arrow_map(text_or_empty(docs), "part int, row long, n_tokens int, doc_ids array<long>, starts array<int>, first_from long, packed binary", rows), "sequences")
+    return stored(arrow_map(text_or_empty(docs), "part int, row long, n_tokens int, doc_ids array<long>, starts array<int>, first_from long, ids binary", rows), "sequences", "zstd")
 
 
-def unpacked(packed: bytes) -> bytes:
-    """Ids as little-endian integers of the vocabulary's width (see Subwords.code)."""
-    return zlib.decompress(packed)
+def _packer(sample: list[bytes]) -> zstandard.ZstdCompressionDict | None:
+    """What short records of ids have in common, for their way through the shuffle; None where there are too few."""
+    try:
+        return zstandard.train_dictionary(32 << 10, sample)
+    except zstandard.ZstdError:
+        return None
+
+
+def _unpacker(common: bytes | None) -> Callable[[bytes], bytes]:
+    return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(common) if common else None).decompress
 
 
 def training_order(docs: DataFrame, vocabulary: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY) -> DataFrame:
-    """slot, shard, offset, n_tokens, doc_ids, starts, first_from, packed: every sequence (see sequences) at its place in training, in range partitions of whole shards, sorted by slot.
+    """slot, shard, offset, n_tokens, doc_ids, starts, first_from, ids: every sequence (see sequences) at its place in training, in range partitions of whole shards, sorted by slot.
 
     Sequences are numbered by the table's parts, and the keyed permutation gives each number its slot; slot //
     per_shard is its shard and slot % per_shard its place there. Counts of parts are one number a task.
     Cases: a null or empty text is an end id alone; repeated rows are encoded as often; a null doc_id stays null in
     doc_ids; an empty table gives no rows; other columns are ignored; texts of any length are cut.
     """
+    placed, common = _placed(docs, vocabulary, length, per_shard, key)
+
+    @F.pandas_udf("binary")
+    def unpacked(packed: pd.Series) -> pd.Series:
+        return packed.map(_unpacker(common))
+
+    return placed.select(*(c for c in placed.columns if c != "packed"), unpacked("packed").alias("ids"))
+
+
+def _placed(docs: DataFrame, vocabulary: str, length: int, per_shard: int = PER_SHARD, key: int = KEY) -> tuple[DataFrame, bytes | None]:
+    """training_order with compressed ids, and what they were compressed with."""
     table = sequences(docs, vocabulary, length)
     parts = table.groupBy("part").agg(F.count("*").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -127,11 +146,19 @@ def training_order(docs: DataFrame, vocabulary: str, length: int = LENGTH, per_s
     def slot(ordinal: pd.Series) -> pd.Series:
         return pd.Series(permuted(ordinal.to_numpy(), n, key))
 
+    # Any few sequences will do: they make the rest smaller on its way, and nothing else.
+    trained = _packer([bytes(r["ids"]) for r in table.select("ids").limit(600).collect()])
+    common = trained.as_bytes() if trained else None
+
+    @F.pandas_udf("binary")
+    def packed(ids: pd.Series) -> pd.Series:
+        return ids.map(zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(common) if common else None).compress)
+
     placed = table.join(F.broadcast(starts), "part").withColumn("slot", slot(F.col("before") + F.col("row")))
-    placed = placed.select("slot", F.expr(f"slot div {per_shard}").alias("shard"), (F.col("slot") % per_shard).alias("offset"), "n_tokens", "doc_ids", "starts", "first_from", "packed")
+    placed = placed.select("slot", F.expr(f"slot div {per_shard}").alias("shard"), (F.col("slot") % per_shard).alias("offset"), "n_tokens", "doc_ids", "starts", "first_from", packed("ids").alias("packed"))
     shards = max(1, -(-n // per_shard))
     ranges = max(min(shards, partitions(docs.sparkSession)), -(-shards // RANGE))
-    return placed.repartitionById(ranges, F.expr(f"int(shard * {ranges} div {shards})")).sortWithinPartitions("slot")
+    return placed.repartitionById(ranges, F.expr(f"int(shard * {ranges} div {shards})")).sortWithinPartitions("slot"), common
 
 
 def _same(store, path: str, size: int, digest: str) -> bool:
@@ -145,7 +172,7 @@ def _same(store, path: str, size: int, digest: str) -> bool:
     return held.hexdigest() == digest
 
 
-def _written(it: Iterator[pa.RecordBatch], folder: str, vocabulary: str, length: int) -> Iterator[tuple[dict, list[dict]]]:
+def _written(it: Iterator[pa.RecordBatch], folder: str, vocabulary: str, length: int, ids_of: Callable[[dict], bytes]) -> Iterator[tuple[dict, list[dict]]]:
     """Write the shards of a partition; the manifest's row of each, and its sequences without their ids."""
     from pyarrow import fs
 
@@ -160,7 +187,7 @@ def _written(it: Iterator[pa.RecordBatch], folder: str, vocabulary: str, length:
         held = f"{path}.{uuid.uuid4().hex}"
         with store.open_output_stream(held) as f:
             for r in rows:
-                ids = unpacked(r.pop("packed"))
+                ids = ids_of(r)
                 data = ids + fill * ((record - len(ids)) // len(fill))
                 f.write(data)
                 digest.update(data)
@@ -185,32 +212,34 @@ def write_shards(ordered: DataFrame, folder: str, vocabulary: str, length: int =
     batches(ordered.sparkSession)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, _ in _written(it, folder, vocabulary, length):
+        for row, _ in _written(it, folder, vocabulary, length, lambda r: r.pop("ids")):
             yield pa.RecordBatch.from_pylist([row], schema)
 
-    return ordered.select("shard", "n_tokens", "packed").mapInArrow(run, ddl)
+    return ordered.select("shard", "n_tokens", "ids").mapInArrow(run, ddl)
 
 
-def written_order(ordered: DataFrame, folder: str, vocabulary: str, length: int = LENGTH) -> DataFrame:
-    """Write the shards as write_shards does, in the same pass that gives every sequence's place and its shard's manifest.
+def written_order(docs: DataFrame, folder: str, vocabulary: str, length: int = LENGTH) -> DataFrame:
+    """Write the shards of the documents' training order, in the same pass that gives every sequence's place and its shard's manifest.
 
     slot, shard, offset, n_tokens, doc_ids, starts, first_from, ids_sha256, path, shard_sha256. ids_sha256 is that of
-    the ids read back from the sequence's record, without what fills it up.
+    the ids read back from the sequence's record, without what fills it up. Files and cases are those of write_shards
+    and training_order.
     """
     ddl = "slot long, shard long, offset long, n_tokens int, doc_ids array<long>, starts array<int>, first_from long, ids_sha256 string, path string, shard_sha256 string"
     schema = pa.schema([(f.name, f.type) for f in arrow_schema(ddl)])
-    batches(ordered.sparkSession)
+    batches(docs.sparkSession)
+    placed, common = _placed(docs, vocabulary, length)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, _ = fs.FileSystem.from_uri(folder)
-        size = array(Subwords(vocabulary).code).itemsize
-        for shard, placed in _written(it, folder, vocabulary, length):
+        size, unpack = array(Subwords(vocabulary).code).itemsize, _unpacker(common)
+        for shard, rows in _written(it, folder, vocabulary, length, lambda r: unpack(r.pop("packed"))):
             with store.open_input_stream(shard["path"]) as f:
-                for r in placed:
+                for r in rows:
                     ids = f.read(length * size)[: r["n_tokens"] * size]
                     r |= {"ids_sha256": hashlib.sha256(ids).hexdigest(), "path": shard["path"], "shard_sha256": shard["sha256"]}
-            yield pa.RecordBatch.from_pylist(placed, schema)
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return ordered.select("slot", "shard", "offset", "n_tokens", "doc_ids", "starts", "first_from", "packed").mapInArrow(run, ddl)
+    return placed.mapInArrow(run, ddl)

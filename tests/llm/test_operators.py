@@ -109,7 +109,7 @@ def test_training_order(docs, real, tmp_path):
     assert sum(r.n_tokens < 64 for r in got) <= 3
     t = Tokenizer.from_file(BYTE)
     t.encode_special_tokens = True
-    held = documents_of(got, {r.slot: training_order.unpacked(r.packed) for r in got}, 64)
+    held = documents_of(got, {r.slot: bytes(r.ids) for r in got}, 64)
     want = {r.doc_id: [*t.encode(r.text, add_special_tokens=False).ids, 50256] for r in real.collect()}
     assert held == want
     manifest = training_order.write_shards(placed, f"file://{tmp_path}/shards", RANKS, length=64).collect()
@@ -118,7 +118,7 @@ def test_training_order(docs, real, tmp_path):
     assert all(hashlib.sha256(whole[m.shard]).hexdigest() == m.sha256 and len(whole[m.shard]) == m.sequences * 128 for m in manifest)
     for r in got:
         record = whole[r.shard][r.offset * 128 :][:128]
-        assert record == training_order.unpacked(r.packed) + struct.pack("<H", 50257) * (64 - r.n_tokens)
+        assert record == bytes(r.ids) + struct.pack("<H", 50257) * (64 - r.n_tokens)
 
 
 def test_training_order_of_odd_rows(docs):
