@@ -152,7 +152,10 @@ def _placed(docs: DataFrame, vocabulary: str, length: int, per_shard: int = PER_
 
     @F.pandas_udf("binary")
     def packed(ids: pd.Series) -> pd.Series:
-        return ids.map(zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(common) if common else None).compress)
+        held = zstandard.ZstdCompressionDict(common) if common else None
+        if held:
+            held.precompute_compress(level=6)  # else each record would take it in anew
+        return ids.map(zstandard.ZstdCompressor(level=6, dict_data=held).compress)
 
     placed = table.join(F.broadcast(starts), "part").withColumn("slot", slot(F.col("before") + F.col("row")))
     placed = placed.select("slot", F.expr(f"slot div {per_shard}").alias("shard"), (F.col("slot") % per_shard).alias("offset"), "n_tokens", "doc_ids", "starts", "first_from", packed("ids").alias("packed"))
