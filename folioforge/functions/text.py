@@ -50,7 +50,8 @@ SUBSTITUTED = "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮа
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    """No white space at the ends. A run inside is looked at once, from its beginning, so long ones cost no more than their length."""
+    return F.regexp_replace(c, f"^{WS}++|(?<!{WS}){WS}++$", "")
 
 
 def squeeze(c: Column) -> Column:
@@ -91,7 +92,7 @@ def fix_pdf_artifacts(c: Column) -> Column:
     marked = F.regexp_replace(c, f"(?:(?<={WS})|^)({LETTER}(?:{WS}++{LETTER}(?={WS}|$)){{2,}}+)", "\ufdd0$1\ufdd1")
     parts = F.transform(F.split(marked, "[\ufdd0\ufdd1]"), lambda s, i: F.when(i % 2 == 1, F.replace(s, F.lit(" "), F.lit(""))).otherwise(s))
     joined = F.when(marked.contains("\ufdd1"), F.array_join(parts, "")).otherwise(c)
-    return F.regexp_replace(joined, f"{WS}++([,.;:!?])", "$1")
+    return F.regexp_replace(joined, f"(?<!{WS}){WS}++([,.;:!?])", "$1")
 
 
 def normalize_text(c: Column, decode_cyrillic: bool = True) -> Column:
@@ -109,12 +110,14 @@ def sentences(c: Column) -> Column:
 
 
 def low_signal(c: Column) -> Column:
-    """Short texts, tables of contents and page-number lists."""
+    """Short texts, tables of contents and page-number lists. Lines are gone through once."""
     c = strip(c)
-    lines = nonblank(F.split(c, LINE_END))
-    toc = F.size(F.filter(lines, lambda s: s.rlike(rf"\.{{4,}}{WS}*\d{{1,3}}{WS}*$")))
-    numbers = F.size(F.filter(lines, lambda s: s.rlike(r"^\d{1,3}$")))
-    return (F.length(c) < 120) | (toc >= 2) | (toc + numbers >= F.greatest(F.lit(3), F.floor(F.size(lines) / 2)))
+    count = lambda s, name, flag: (s[name] + flag.cast("int")).alias(name)
+    toc, number, solid = rf"(?<!\.)\.{{4,}}+{WS}*+\d{{1,3}}{WS}*+$", rf"^{WS}*\d{{1,3}}{WS}*$", SOLID
+    start = F.struct(*(F.lit(0).alias(n) for n in ("lines", "toc", "numbers")))
+    step = lambda s, line: F.struct(count(s, "lines", line.rlike(solid)), count(s, "toc", line.rlike(toc)), count(s, "numbers", line.rlike(number)))
+    low = lambda s: (s["toc"] >= 2) | (s["toc"] + s["numbers"] >= F.greatest(F.lit(3), F.floor(s["lines"] / 2)))
+    return (F.length(c) < 120) | F.aggregate(F.split(c, LINE_END), start, step, low)
 
 
 def signature(c: Column, most: int = 800) -> Column:

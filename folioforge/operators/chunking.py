@@ -51,7 +51,15 @@ def chunk_id(path: Column, index: Column, text: Column) -> Column:
     return uuid5(F.concat(path, F.lit(":"), index.cast("string"), F.lit(":"), text))
 
 
-def build_chunks(docs: DataFrame, path: str, source_name: str, text: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """source_path, source_name, chunk_index, text, chunk_id; documents without text give no chunk."""
+def build_chunks(docs: DataFrame, path: str, source_name: str, text: str = "text", size: int = SIZE, overlap: int = OVERLAP, overrides: DataFrame | None = None, metadata: dict[str, str] | None = None) -> DataFrame:
+    """source_path, source_name, chunk_index, text, chunk_id, and metadata if any is given; documents without text give no chunk.
+
+    overrides (path, name) give sources another name.
+    """
     rows = docs.select(F.col(path).cast("string").alias("source_path"), F.col(source_name).alias("source_name"), F.posexplode(chunk_text(F.col(text), size, overlap)).alias("chunk_index", "text"))
-    return rows.withColumn("chunk_id", chunk_id(F.col("source_path"), F.col("chunk_index"), F.col("text")))
+    if overrides is not None:
+        named = overrides.groupBy(F.col("path").cast("string").alias("source_path")).agg(F.max("name").alias("other"))
+        rows = rows.join(named, "source_path", "left").withColumn("source_name", F.coalesce(F.nullif("other", F.lit("")), "source_name")).drop("other")
+        rows = rows.select("source_path", "source_name", "chunk_index", "text")
+    rows = rows.withColumn("chunk_id", chunk_id(F.col("source_path"), F.col("chunk_index"), F.col("text")))
+    return rows.withColumn("metadata", F.create_map(*(F.lit(x) for kv in metadata.items() for x in kv))) if metadata else rows

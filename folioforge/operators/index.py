@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
+#: Folders of a collection.
+BUCKETS = 64
+
 
 def latest(chunks: DataFrame, key: str = "chunk_id", order: str = "chunk_index") -> DataFrame:
     """The last row of each key."""
@@ -12,7 +18,7 @@ def latest(chunks: DataFrame, key: str = "chunk_id", order: str = "chunk_index")
 
 
 def replace_by_source(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows of old whose source does not come again and whose id is not written again, and all of new. An empty new deletes nothing."""
+    """Rows of old whose source does not come again and whose id is not written again, and all of new. An empty new deletes nothing; of equal ids in new the last counts."""
     kept = old.join(new.select("source_name").distinct(), "source_name", "left_anti").join(new.select("chunk_id").distinct(), "chunk_id", "left_anti")
     return kept.select(*new.columns).unionByName(latest(new))
 
@@ -21,22 +27,85 @@ def check_dimension(chunks: DataFrame, dim: int, column: str = "embedding") -> D
     return chunks.withColumn(column, F.when(F.size(column) == dim, F.col(column)).otherwise(F.raise_error(F.lit(f"embedding must have {dim} components"))))
 
 
-def ingest(folder: str, collection: str, new: DataFrame, dim: int | None = None) -> dict:
-    """Write new chunks as the rows of their sources: one partition a source, overwritten as a whole, others untouched."""
-    if dim is not None:
-        new = check_dimension(new, dim)
-    rows = latest(new).withColumn("collection", F.lit(collection))
+def _table(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
+def dimension(spark: SparkSession, folder: str, collection: str) -> int | None:
+    """The number of components that a collection was made with, which is kept beside the index; null for none."""
+    held = _table(spark, f"{folder}.dimensions/collection={collection}")
+    row = held.first() if held is not None else None
+    return row["dim"] if row else None
+
+
+def open_collection(spark: SparkSession, folder: str, collection: str) -> DataFrame:
+    """The chunks of a collection; one that is not there is an error."""
+    held = _table(spark, folder)
+    rows = held.filter(F.col("collection") == collection).drop("collection", "bucket") if held is not None else None
+    if rows is None or rows.isEmpty():
+        raise ValueError(f"no collection {collection}")
+    return rows
+
+
+def ingest(folder: str, collection: str, new: DataFrame, dim: int | None = None, files: int | None = None, buckets: int = BUCKETS) -> dict:
+    """Write new chunks as the rows of their sources and ids; indexed_files, inserted_chunks and the collection's name.
+
+    The index is dealt by the hash of source_name to `buckets` folders a collection; those that hold a source or an id
+    of the new rows are read, changed (see replace_by_source) and written as a whole, others are not touched. New rows
+    are stored first, so they (and their embeddings) are worked out once. The first ingest fixes the dimension of a
+    collection with an embedding column; later rows of another one are an error. No rows change nothing.
+    """
+    spark = new.sparkSession
+    bucket = F.pmod(F.xxhash64("source_name"), F.lit(buckets)).cast("int")
+    rows = stored(latest(new), "ingest")
     n = rows.count()
-    if n:
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection", "source_name").parquet(folder)
-    return {"inserted_chunks": n, "collection": collection}
+    done = {"indexed_files": files if files is not None else rows.select("source_name").distinct().count(), "inserted_chunks": n, "collection": collection}
+    if not n:
+        return done
+    if "embedding" in rows.columns:
+        held = dimension(spark, folder, collection)
+        dim = dim or held or rows.select(F.size("embedding").alias("n")).first()["n"]
+        if held is None:
+            spark.range(1).select(F.lit(dim).alias("dim")).coalesce(1).write.mode("overwrite").parquet(f"{folder}.dimensions/collection={collection}")
+        elif held != dim:
+            raise ValueError(f"collection {collection} has vectors of {held} components")
+        rows = check_dimension(rows, dim)
+    old, files_of = _table(spark, folder), None
+    if old is not None:
+        old = old.filter(F.col("collection") == collection).drop("collection")
+        touched = old.join(rows.select("chunk_id").distinct(), "chunk_id", "left_semi").select("bucket").union(rows.select(bucket.alias("bucket"))).distinct()
+        # Buckets are a bounded number of small integers.
+        old = old.filter(F.col("bucket").isin([r["bucket"] for r in touched.collect()]))
+        files_of = {r["bucket"]: r["path"] for r in old.groupBy("bucket").agg(F.min(F.regexp_extract("_metadata.file_path", "^(.*)/[^/]+$", 1)).alias("path")).collect()}
+        rows = replace_by_source(old.drop("bucket"), rows)
+    rows = stored(rows.withColumn("collection", F.lit(collection)).withColumn("bucket", bucket), "changed")
+    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection", "bucket").parquet(folder)
+    # A folder whose last rows have gone elsewhere is not among those that were written.
+    filled = {r["bucket"] for r in rows.select("bucket").distinct().collect()} if files_of else set()
+    for path in (p for b, p in (files_of or {}).items() if b not in filled):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jvm.java.net.URI.create(path))
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return done
 
 
 def register(users: DataFrame, new: DataFrame) -> DataFrame:
-    """New users whose e-mail and name are free, with a known role."""
+    """New users whose e-mail and name are free, among the new ones too (the first by e-mail and name), with a known role."""
     free = new.filter(F.col("role").isin("researcher", "government", "student"))
-    return free.join(users.select("email"), "email", "left_anti").join(users.select("username"), "username", "left_anti").select(*new.columns)
+    free = free.join(users.select("email"), "email", "left_anti").join(users.select("username"), "username", "left_anti")
+    once = lambda key, by: F.row_number().over(Window.partitionBy(key).orderBy(by))
+    free = free.withColumn("nth", once("email", "username")).filter("nth = 1").withColumn("nth", once("username", "email")).filter("nth = 1")
+    return free.select(*new.columns)
+
+
+def user(users: DataFrame, email: str | None = None, username: str | None = None) -> DataFrame:
+    """The row of an e-mail, or of a user name."""
+    return users.filter(F.col("email") == email if email is not None else F.col("username") == username).limit(1)
 
 
 def active_user(users: DataFrame, email: str) -> DataFrame:
-    return users.filter((F.col("email") == email) & F.col("is_active")).limit(1)
+    """The row of an e-mail; one that is not active is an error, where it is read."""
+    checked = F.when(F.col("is_active"), F.col("is_active")).otherwise(F.raise_error(F.lit("inactive user")).cast("boolean"))
+    return user(users, email).withColumn("is_active", checked)

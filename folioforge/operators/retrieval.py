@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import low_signal, rag_tokens, signature, strip
 from ..storage import stored
@@ -58,7 +59,7 @@ def _nearest(vectors: DataFrame, asked: list, fetch_k: int) -> DataFrame:
     groups: dict[int, list] = {}
     for q in asked:
         groups.setdefault(len(q["query_vector"]), []).append(q)
-    sent = spark.sparkContext.broadcast([(pa.array([q["query_id"] for q in g]), np.array([q["query_vector"] for q in g], np.float64)) for g in groups.values()])
+    sent = spark.sparkContext.broadcast([(pa.array([q["query_id"] for q in g], to_arrow_type(g[0]["type"])), np.array([q["query_vector"] for q in g], np.float64)) for g in groups.values()])
     types = {f.name: f.dataType for f in vectors.schema.fields}
     id_type = types["chunk_id"]
 

@@ -398,16 +398,126 @@ def source_pie(spark, d):
     return facts.source_shares(results(spark, d))
 
 
-@query()
+#: Tokens of facts: words of three characters and more, no stop words, none of mixed scripts or odd letters, short ones with a vowel.
+_FACT_WORDS = r"""list_filter(regexp_extract_all(lower({}), '[a-zа-яё0-9]+'), lambda w: len(w) >= 3
+  AND w NOT IN ('это','как','что','или','для','при','без','под','над','после','перед','про','из','до','мы','вы','они','она','оно','его','ее','их','наш','ваш','который','которая','которые','также','чтобы','если','быть','есть','был','была','the','and','for','with','that','this','from','are','was','were','you','your')
+  AND NOT (regexp_matches(w, '[a-z]') AND regexp_matches(w, '[а-яё]')) AND NOT regexp_matches(w, '[ьъэ]{{2,}}') AND NOT regexp_matches(w, '[a-z]{{1,2}}[ьъэ]|[ьъэ][a-z]{{1,2}}')
+  AND (len(w) > 4 OR regexp_matches(w, '[aeiouyаеёиоуыэюя]')))"""
+_THEMES = _TOP40 + rf""", ft AS (SELECT query_id, rank, greatest(0.1, score) AS s, {_FACT_WORDS.format(_CLEAN.format('text'))} AS t FROM f
+), fp AS (SELECT query_id, rank, s, t, list_filter(list_transform(range(1, len(t)), lambda i: CASE WHEN len(t[i]) >= 4 AND len(t[i + 1]) >= 4 THEN t[i] || ' ' || t[i + 1] END), lambda p: p IS NOT NULL) AS two FROM ft
+), pp AS (SELECT query_id, rank, s, CASE WHEN len(two) < 4 THEN list_concat(two, t[1:8]) ELSE two END AS ps FROM fp
+), ph AS (SELECT query_id, rank, s, generate_subscripts(ps, 1) AS pos, unnest(ps) AS phrase FROM pp
+), sm AS (SELECT query_id, phrase, round(sum(s), 9) AS w, min({{{{'rank': rank, 'pos': pos}}}}) AS seen FROM ph GROUP BY ALL
+), th AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY w DESC, seen) AS INT) AS place FROM sm QUALIFY place <= {{most}}
+), bars AS (SELECT query_id, place, phrase AS name, round(w / sum(w) OVER (PARTITION BY query_id) * 100, 2) AS value FROM th)""".replace("{{{{", "{").replace("}}}}", "}").replace("{{", "{").replace("}}", "}")
+
+
+@query(_THEMES.replace("{most}", "8") + " SELECT query_id, place, name, value FROM bars")
 def theme_weights_bar(spark, d):
     return facts.theme_shares(results(spark, d))
 
 
-@query()
+_SAID = _TOP40 + rf""", cl AS (SELECT query_id, rank, {_CLEAN.format('text')} AS clean FROM f
+), wd AS (SELECT query_id, rank, {_FACT_WORDS.format(_CLEAN.format('clean'))} AS ws FROM cl
+), we AS (SELECT query_id, rank, generate_subscripts(ws, 1) AS pos, unnest(ws) AS term FROM wd
+), wc AS (SELECT query_id, term, count(*) AS n, min(CAST(rank AS BIGINT) * 1000000000 + pos) AS seen FROM we GROUP BY ALL
+), tp AS (SELECT query_id, list(term) AS top FROM (SELECT * FROM wc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, seen) <= 25) GROUP BY query_id
+), sp AS (SELECT query_id, rank, string_split(regexp_replace(regexp_replace(clean, '\n+', chr(1), 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM cl
+), se AS (SELECT query_id, rank, generate_subscripts(ss, 1) AS pos, {SQUEEZE.format('unnest(ss)')} AS c FROM sp
+), sc2 AS (SELECT query_id, rank, pos, CASE WHEN len(c) <= 170 THEN c WHEN rtrim(regexp_extract(substr(c, 1, 170), '^(.*) [^ ]*$', 1)) = '' THEN substr(c, 1, 170) ELSE rtrim(regexp_extract(substr(c, 1, 170), '^(.*) [^ ]*$', 1)) END AS sentence FROM se
+), sf AS (SELECT *, {_FACT_WORDS.format(_CLEAN.format('sentence'))} AS ws FROM sc2 WHERE len(sentence) >= 45 AND NOT regexp_matches(sentence, '\.{{4,}}\s*\d+$')
+), sv AS (SELECT query_id, rank, pos, sentence, trim(lower(sentence), ' .') AS norm,
+    round(1.2 * len(list_filter(ws, lambda t: list_contains(top, t))) + 1.1 * len(regexp_extract_all(sentence, '\d+(?:[.,]\d+)?%?')) + 0.1 * len(list_distinct(ws)), 6) AS score FROM sf JOIN tp USING (query_id) WHERE len(ws) >= 4
+), s1 AS (SELECT * FROM sv QUALIFY row_number() OVER (PARTITION BY query_id, norm ORDER BY rank, pos) = 1)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank, pos) AS INT) AS place, sentence, CAST(score AS DOUBLE) AS score FROM s1 QUALIFY place <= 5"""
+
+
+@query(_SAID)
 def content_insights(spark, d):
     return facts.insights(results(spark, d), require_cyrillic=False)
 
 
+@query(_TOP40 + " SELECT query_id, source_name AS source, round(sum(score), 9) AS score, count(*) AS chunks FROM f GROUP BY query_id, source_name")
+def source_scores(spark, d):
+    return facts.source_scores(results(spark, d))
+
+
+_POINTS = """, given AS ({rows}), ids AS (SELECT query_id, max(place) AS n FROM given GROUP BY query_id
+), filled AS (SELECT query_id, place, name, CAST(value AS DOUBLE) AS value FROM given UNION ALL SELECT query_id, place, '{label} ' || place, 0.0 FROM (SELECT query_id, CAST(unnest(range(n + 1, {least} + 1)) AS INT) AS place FROM ids))
+SELECT query_id, place, '{prefix}-' || place AS id, name, value FROM filled"""
+
+
+def _points(rows: DataFrame) -> DataFrame:
+    rows = rows.select("query_id", F.posexplode("data").alias("place", "p"))
+    return rows.select("query_id", (F.col("place") + 1).alias("place"), "p.id", "p.name", "p.value")
+
+
+def _points_sql(cte: str, rows: str, prefix: str, least: int, label: str) -> str:
+    return cte + _POINTS.replace("{rows}", rows).replace("{prefix}", prefix).replace("{least}", str(least)).replace("{label}", label)
+
+
+@query(_points_sql(_THEMES.replace("{most}", "6"), "SELECT query_id, place, CASE WHEN len(name) <= 48 THEN name WHEN contains(substr(name, 1, 48), ' ') THEN regexp_extract(substr(name, 1, 48), '^(.*) [^ ]*$', 1) ELSE substr(name, 1, 48) END AS name, value FROM bars", "bar", 4, "Тема"))
+def infographic_bar(spark, d):
+    return _points(facts.bar_points(results(spark, d)))
+
+
+@query(_points_sql(_TOP40 + """, g AS (SELECT query_id, source_name, count(*) AS c, min(rank) AS r FROM f GROUP BY query_id, source_name
+), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY c DESC, r) AS INT) AS place FROM g QUALIFY place <= 4)""", "SELECT query_id, place, source_name AS name, round(c / sum(c) OVER (PARTITION BY query_id) * 100, 2) AS value FROM k", "pie", 3, "Источник"))
+def infographic_pie(spark, d):
+    return _points(facts.pie_points(results(spark, d)))
+
+
+@query(_points_sql(_TOP40, "SELECT query_id, rank AS place, 'Чанк ' || rank AS name, round(score * 100, 2) AS value FROM f WHERE rank <= 6", "line", 4, "Чанк"))
+def infographic_line(spark, d):
+    return _points(facts.line_points(results(spark, d)))
+
+
+@query()
+def infographic_facts(spark, d):
+    """The whole fact sheet as JSON; its parts have SQL above."""
+    return facts.payload(results(spark, d), require_cyrillic=False).select("query_id", F.to_json("facts").alias("facts"))
+
+
+@query(_TOP5 + r""" SELECT query_id, string_agg('[source#' || rank || ']' || chr(10) || 'source_name=' || source_name || chr(10) || 'chunk_index=0' || chr(10) || 'text=' || regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10) || chr(10) ORDER BY rank) AS context FROM f GROUP BY query_id""")
+def presentation_context(spark, d):
+    return retrieval.numbered_context(retrieval.retrieve(indexed(spark, d), asked(spark, d)))
+
+
+@query(_TOP5 + r""" SELECT query_id, rank AS place, source_name AS title, substr(regexp_replace(text, '^\s+|\s+$', '', 'g'), 1, 260) AS bullet, CAST(count(*) OVER (PARTITION BY query_id) + 1 AS INT) AS slides_count FROM f""")
+def presentation_slides(spark, d):
+    """Without a model, a slide for each result."""
+    found = retrieval.retrieve(indexed(spark, d), asked(spark, d))
+    rows = generate.presentation(found, asked(spark, d)).select("query_id", F.posexplode("plan.slides").alias("place", "s"), "slides_count")
+    return rows.select("query_id", (F.col("place") + 1).alias("place"), "s.title", F.col("s.bullets")[0].alias("bullet"), "slides_count")
+
+
+@query("SELECT source || ' (renamed)' AS source_name, count(*) AS n_docs FROM documents WHERE doc_id % 2 = 0 AND len(trim(text)) > 0 GROUP BY source UNION ALL SELECT source, count(*) FROM documents WHERE doc_id % 2 = 1 AND len(trim(text)) > 0 GROUP BY source")
+def source_overrides(spark, d):
+    docs = table(spark, d, "documents")
+    names = docs.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("path"), F.concat("source", F.lit(" (renamed)")).alias("name"))
+    return chunking.build_chunks(docs, "doc_id", "source", overrides=names).groupBy("source_name").agg(F.countDistinct("source_path").alias("n_docs"))
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn, role, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM conversations WHERE role IN ('user', 'assistant'))
+SELECT conv_id, CASE WHEN count(*) >= 6 THEN string_agg(CASE WHEN role = 'user' THEN 'Ведущий 1: ' ELSE 'Ведущий 2: ' END || text, chr(10) ORDER BY turn) ELSE '' END AS dialogue
+FROM (SELECT conv_id, turn, role, replace(text, chr(10), ' ') AS text FROM t) GROUP BY conv_id""")
+def conversation_dialogues(spark, d):
+    """Conversations as a model would answer them, "Speaker n:" a line, made dialogues of two hosts."""
+    rows = table(spark, d, "conversations").filter(F.col("role").isin("user", "assistant"))
+    line = F.concat(F.when(F.col("role") == "user", "Speaker 1: ").otherwise("Ведущий 2: "), F.replace(text.strip(F.col("text")), F.lit("\n"), F.lit(" ")))
+    raw = rows.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("raw"))
+    return raw.select("conv_id", dialogue.normalized(F.col("raw")).alias("dialogue"))
+
+
+@query("SELECT doc_id, len(cards) AS cards, len(cards) AS tests FROM (SELECT doc_id, list_slice(list_filter({s}, lambda x: len(x) >= 40), 1, 10) AS cards FROM documents)".replace("{s}", _LINE_SENT.replace("text", "substr(text, 1, 18000)")))
+def flash_packs(spark, d):
+    packs = generate.flash_materials(table(spark, d, "documents").select("doc_id", "text"), 10, 10)
+    good = F.filter("pack.tests", lambda t: (F.size(t["options"]) >= 2) & (t["options"][t["correct_index"]] != ""))
+    single = F.filter(F.transform("pack.flashcards", lambda c: c["answer"]), lambda a: a != "")
+    return packs.select("doc_id", F.size("pack.flashcards").cast("long").alias("cards"), F.when(F.size(F.array_distinct(F.slice(single, 1, 4))) > 1, F.size(good)).otherwise(F.size("pack.flashcards")).cast("long").alias("tests"))
+
+
 @query(r"SELECT page_id, coalesce(nullif(trim(replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '""'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')), ''), 'untitled') AS title FROM pages".replace('\'""\'', "'\"'"))
 def html_title(spark, d):
     return table(spark, d, "pages").select("page_id", readers.html_title(F.col("html")).alias("title"))
@@ -449,7 +559,7 @@ def parse_llm_json(spark, d):
 WITH r AS (SELECT doc_id, len(text) AS n FROM documents)
 SELECT doc_id, CASE WHEN n > 2000 THEN 'bar-1' ELSE 'bar-9' END AS id, CASE WHEN n > 2000 THEN 'length' ELSE 'none' END AS name, CASE WHEN n > 2000 THEN CAST(n AS DOUBLE) ELSE 0.0 END AS value FROM r""")
 def normalize_points(spark, d):
-    raw = F.array(F.struct(F.lit("length").alias("name"), F.when(F.length("text") > 2000, F.length("text").cast("string")).otherwise("-5").alias("value")), F.struct(F.lit("").alias("name"), F.lit("1").alias("value")))
+    raw = F.array(F.struct(F.lit(None).cast("string").alias("id"), F.lit("length").alias("name"), F.when(F.length("text") > 2000, F.length("text").cast("string")).otherwise("-5").alias("value")), F.struct(F.lit(None).cast("string").alias("id"), F.lit("").alias("name"), F.lit("1").alias("value")))
     none = F.array(F.struct(F.lit("bar-9").alias("id"), F.lit("none").alias("name"), F.lit(0.0).alias("value")))
     rows = table(spark, d, "documents").select("doc_id", F.explode(structured.normalized_points(raw, "bar", 1, 8, none)).alias("p"))
     return rows.select("doc_id", "p.id", "p.name", "p.value")
@@ -458,7 +568,7 @@ def normalize_points(spark, d):
 @query(
     r"""
 WITH w AS (SELECT doc_id, list_concat(regexp_split_to_array(text, '\s+')[1:4], ['', '', '']) AS four, list_concat(regexp_split_to_array(text, '\s+')[1:2], ['', '', '']) AS two FROM documents)
-SELECT doc_id, CAST(to_json({'columns': ['a', 'column_2', 'c'], 'rows': [four[1:3], two[1:3]]}) AS VARCHAR) AS "table" FROM w"""
+SELECT doc_id, CAST(to_json({'title': 'Extracted Table', 'columns': ['a', 'column_2', 'c'], 'rows': [four[1:3], two[1:3]]}) AS VARCHAR) AS "table" FROM w"""
 )
 def normalize_table(spark, d):
     words = F.slice(F.split("text", r"\s+"), 1, 4)
@@ -485,8 +595,11 @@ def summarize_offline(spark, d):
 
 
 @query(
-    _TOP5 + rf""", l AS (SELECT query_id, arg_max('[' || source_name || ' chunk=0]' || chr(10) || text, rank) AS block FROM f GROUP BY query_id)
-SELECT query_id, array_to_string(list_slice(string_split(regexp_replace({STRIP.format('block')}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), 1, 3), ' ') AS answer FROM l"""
+    _TOP5 + rf""", one AS (SELECT f.query_id, {STRIP.format('f.text')} AS text, b.text AS question FROM f JOIN benchmark b ON b.item_id = f.query_id WHERE rank = 1
+), qs AS (SELECT query_id, list_distinct(regexp_extract_all(lower(question), '[\pL\p{{Mn}}\p{{Mc}}\p{{Nd}}\p{{Pc}}]+')) AS asked, list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS ss FROM one
+), sn AS (SELECT query_id, generate_subscripts(ss, 1) AS i, unnest(ss) AS sentence, asked FROM qs
+), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY len(list_intersect(asked, regexp_extract_all(lower(sentence), '[\pL\p{{Mn}}\p{{Mc}}\p{{Nd}}\p{{Pc}}]+'))) DESC, i) AS place FROM sn)
+SELECT query_id, string_agg(sentence, ' ' ORDER BY i) AS answer FROM k WHERE place <= 3 GROUP BY query_id"""
 )
 def ask_offline(spark, d):
     answers = retrieval.context(retrieval.retrieve(indexed(spark, d), asked(spark, d))).join(asked(spark, d).select("query_id", "query_text"), "query_id")
