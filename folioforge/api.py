@@ -115,7 +115,7 @@ def mind_map_pages(docs: DataFrame, title: str, **how) -> DataFrame:
     def page(graph):
         import pandas as pd
 
-        return pd.DataFrame([sinks.graph_html(title, g) for g in graph], columns=["html", "nodes", "edges"])
+        return pd.DataFrame([sinks.graph_page(title, g) for g in graph], columns=["html", "nodes", "edges"])
 
     return mind_maps(docs, **how).select("doc_id", page("graph").alias("p")).select("doc_id", "p.*")
 

@@ -110,7 +110,12 @@ def slides_pptx(title: str, slides: list[tuple[str, list[str]]]) -> bytes:
     return _zipped(files)
 
 
-def graph_html(title: str, graph: str | dict) -> tuple[str, int, int]:
+def graph_html(title: str, nodes: list[dict], edges: list[dict]) -> str:
+    """The page of graph_page for nodes (label, value) and edges (from, to, value)."""
+    return graph_page(title, {"nodes": nodes, "edges": edges})[0]
+
+
+def graph_page(title: str, graph: str | dict) -> tuple[str, int, int]:
     """A page that holds a graph (see concepts.payload) as JSON and lists it; its numbers of nodes and edges."""
     held = json.loads(graph) if isinstance(graph, str) else graph
     data = json.dumps(held, ensure_ascii=False).replace("</", "<\\/")

@@ -167,6 +167,10 @@ def html_text(html: str) -> str:
     return re.sub(r"[ \t]+", " ", re.sub(r"\n{3,}", "\n\n", "\n".join(p.parts))).strip()
 
 
+#: The name that it has had.
+parsed_html_text = html_text
+
+
 def preclean_html(html: Column) -> Column:
     """html_text as a Column: a parser in Arrow batches, as patterns cannot tell nested elements apart. Null stays null."""
 
