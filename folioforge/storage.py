@@ -32,10 +32,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends there, and lost executors cost nothing."""
+def stored(df: DataFrame, name: str, compression: str | None = None, rows_a_file: int = 0) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: lineage ends there, and lost executors cost nothing.
+
+    rows_a_file bounds the rows of a file, and so what a reader of wide rows decodes at a time; 0 for no bound.
+    """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path, compression=compression)
+    df.write.option("maxRecordsPerFile", rows_a_file).parquet(path, compression=compression)
     _stored.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
