@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import re
 from array import array
 from dataclasses import dataclass
 from functools import lru_cache
@@ -18,27 +17,27 @@ from . import terms
 from .common import arrow_map, stored
 
 FOLDS, HELD = 7, 2
-WORD = re.compile("[^ \t-\r]+")
 #: The term that ends every document; no word can be it.
 END = "\n"
 #: Width of the model, positions of a context window, and positions that a scored window shares with the one before.
 WIDTH, WINDOW, OVERLAP = 16, 32, 4
-#: Most frequent ids with an output of their own; ids of the first cluster behind them, and of the largest ones.
-SINGLES, SMALL, LARGE = 64, 64, 2048
+#: Most frequent ids that may have an output of their own; most ids of a cluster.
+SINGLES, LARGE = (8, 16, 32, 64), 8192
 #: The initial fit: about so many training documents of the least hash, windows of each, rounds over them.
 FIRST_DOCS, FIRST_WINDOWS, EPOCHS = 2000, 8, 4
-BATCH, RATE = 128, 0.05
+FIRST_BATCH, FIRST_RATE, BATCH, RATE = 128, 0.05, 256, 0.1
 #: Subwords of a training shard, and the most shards; beyond that, shards grow.
 SHARD, MOST_SHARDS = 8_000_000, 16_384
 
 
-def lowered(text: str) -> str:
-    return text.encode("utf-8", "replace").lower().decode()
+def words(text: str) -> list[bytes]:
+    """Words of the text in lower case (A-Z): bytes are split at the blanks of ASCII."""
+    return text.encode("utf-8", "replace").lower().split()
 
 
 def tokens(text: str) -> list[str]:
     """Words of the text in lower case (A-Z), and the end."""
-    return [*WORD.findall(lowered(text)), END]
+    return [*map(bytes.decode, words(text)), END]
 
 
 @lru_cache(maxsize=2)
@@ -58,11 +57,20 @@ class Subwords:
         self.code = "H" if self.size < 1 << 16 else "I"
         self.words = _Packed(self)
 
-    def packed(self, word: str) -> bytes:
+    def packed(self, word: str | bytes) -> bytes:
+        word = word if isinstance(word, str) else word.decode()
         return array(self.code, [self.end] if word == END else self.encode(" " + word)).tobytes()
 
-    def ids(self, words: list[str]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), np.dtype(self.code))
+    def ids(self, words: list[str] | list[bytes]) -> np.ndarray:
+        found = list(map(self.words.get, words))
+        if None in found:
+            held = self.words
+            found = [held[w] if f is None else f for w, f in zip(words, found, strict=True)]
+        return np.frombuffer(b"".join(found), np.dtype(self.code))
+
+    def text_ids(self, text: str) -> np.ndarray:
+        """ids(tokens(text))."""
+        return self.ids([*words(text), END.encode()])
 
 
 class _Packed(dict):
@@ -70,7 +78,7 @@ class _Packed(dict):
         super().__init__()
         self.owner = owner
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, word: str | bytes) -> bytes:
         found = self.owner.packed(word)
         if len(self) < 500_000 and len(word) <= 48:
             self[word] = found
@@ -91,13 +99,28 @@ class Model:
     cluster: np.ndarray
 
 
-def cluster_bounds(size: int) -> np.ndarray:
-    """Clusters of twice the size from one to the next, up to LARGE, over the ids behind the single ones."""
-    out, n = [min(SINGLES, size)], SMALL
-    while out[-1] < size:
-        out.append(min(size, out[-1] + n))
-        n = min(2 * n, LARGE)
-    return np.array(out)
+def cluster_bounds(shares: np.ndarray) -> np.ndarray:
+    """Where clusters of ids begin and end, ids by falling share, chosen so that a position has few outputs to work out.
+
+    A position works out the single ids and one output for each cluster, and with a cluster's share also its ids. A cluster takes
+    ids until its share times its size is a bound; of some numbers of single ids and some bounds the cheapest is taken. Each
+    cluster counts as some outputs more, as it takes steps of its own.
+    """
+    size, below = len(shares), np.concatenate([[0.0], np.cumsum(shares)])
+    best = None
+    for singles in SINGLES:
+        for most in (0.5, 1, 2, 4, 8):
+            cuts, cost = [min(singles, size)], 0.0
+            while (at := cuts[-1]) < size:
+                reach = np.arange(1, min(LARGE, size - at) + 1)
+                load = (below[at + 1 : at + len(reach) + 1] - below[at]) * reach
+                many = max(1, int(np.searchsorted(load, most, side="right")))
+                cost += load[many - 1]
+                cuts.append(at + many)
+            cost += cuts[0] + 2 * (len(cuts) - 1)
+            if len(cuts) < 250 and (best is None or cost < best[0]):
+                best = cost, cuts
+    return np.array(best[1])
 
 
 def fresh(counts: np.ndarray, end: int, seed: int = 7) -> Model:
@@ -106,8 +129,8 @@ def fresh(counts: np.ndarray, end: int, seed: int = 7) -> Model:
     order = np.concatenate([[end], order[order != end]])
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    bounds = cluster_bounds(len(order))
     r, smooth = np.random.default_rng(seed), counts[order] + 0.1
+    bounds = cluster_bounds(smooth / smooth.sum())
     draw = lambda *s: (r.standard_normal(s) * 0.3 / np.sqrt(s[-1])).astype(np.float32)
     v, d = len(order), WIDTH
     p = {"E": draw(v, d) * 4, "P": draw(WINDOW, d), "A": draw(d, 3 * d) * 2, "O": draw(d, d), "H": draw(bounds[0] + len(bounds) - 1, d), "T": draw(v, d)}
@@ -121,16 +144,39 @@ def fresh(counts: np.ndarray, end: int, seed: int = 7) -> Model:
 
 #: Later positions have no part in a row's greatest value, nor in its sum.
 _MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
-_ONES = np.ones(LARGE + SINGLES + 4096, np.float32)
+_ONES = np.ones(LARGE + 4096, np.float32)
+#: Outputs that are worked out at a time.
+_CELLS = 4 << 20
+
+
+class _Room:
+    """Memory for the large arrays of a step, which is used again in the next one: fresh pages cost more than the sums in them."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        size = int(np.prod(shape))
+        if name not in self.held or self.held[name].size < size:
+            self.held[name] = np.empty(size + size // 4, np.float32)
+        return self.held[name][:size].reshape(shape)
+
+
+_room = _Room()
 
 
 def _turned(x: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(x.transpose(0, 2, 1))
+    return x.swapaxes(1, 2)
 
 
-def _exp(z: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray | float:
-    """z becomes exp(z - shift); the shift of a row is its greatest value if any value is out of -60 .. 60, else 0, which is quicker and the same softmax."""
-    wide = z.size and (z.max() > 60 or z.min() < -60)
+def _wide(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether a product of rows of a and b can be out of -60 .. 60, by their lengths."""
+    size = lambda x: np.einsum("ij,ij->i", x, x).max(initial=0.0)
+    return bool(size(a) * size(b) > 3600)
+
+
+def _exp(z: np.ndarray, wide: bool, mask: np.ndarray | None = None) -> np.ndarray | float:
+    """z becomes exp(z - shift); the shift of a row is its greatest value if z is wide, else 0, which is quicker and the same softmax."""
     if mask is not None:
         z += mask
     shift = z.max(axis=-1) if wide else 0.0
@@ -140,49 +186,71 @@ def _exp(z: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray | float:
     return shift
 
 
+def embedded(p: dict[str, np.ndarray], given: np.ndarray) -> np.ndarray:
+    x = np.take(p["E"], given, axis=0, out=_room("x", *given.shape, WIDTH), mode="clip")
+    x += p["P"]
+    return x
+
+
 def trunk(p: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
     """Masked attention over windows x (n, WINDOW, WIDTH) with a residual, all windows at a time."""
     n, flat = len(x), x.reshape(-1, WIDTH)
-    q, k, v = (np.ascontiguousarray(y).reshape(n, WINDOW, WIDTH) for y in np.split(flat @ p["A"], 3, axis=1))
-    kt = _turned(k)
-    a = np.matmul(q, kt)
-    _exp(a, _MASK)
+    rows = np.matmul(flat, p["A"], out=_room("rows", len(flat), 3 * WIDTH))
+    q, k, v = (rows.reshape(n, WINDOW, 3 * WIDTH)[:, :, j * WIDTH : (j + 1) * WIDTH] for j in range(3))
+    a = np.matmul(q, _turned(k), out=_room("a", n, WINDOW, WINDOW))
+    _exp(a, _wide(rows[:, :WIDTH], rows[:, WIDTH : 2 * WIDTH]), _MASK)
     a /= (a.reshape(-1, WINDOW) @ _ONES[:WINDOW]).reshape(n, WINDOW, 1)
-    o = np.matmul(a, v)
-    h = flat + o.reshape(-1, WIDTH) @ p["O"]
+    o = np.matmul(a, v, out=_room("o", n, WINDOW, WIDTH))
+    h = np.matmul(o.reshape(-1, WIDTH), p["O"], out=_room("h", n * WINDOW, WIDTH))
+    h += flat
     h[:, -1] = 1
-    return h, q, k, kt, v, a, o
+    return h, q, k, v, a, o
+
 
+def by_cluster(cluster: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order of the positions by cluster, and where each cluster but 0 begins and ends in it."""
+    order = np.argsort(cluster, kind="stable")
+    ends = np.cumsum(np.bincount(cluster, minlength=1)).tolist()
+    return order, [(k, a, b) for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False), 1) if b > a]
 
-def by_cluster(cluster: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
-    rows = rows[np.argsort(cluster[rows], kind="stable")]
-    return np.split(rows, np.flatnonzero(np.diff(cluster[rows])) + 1) if len(rows) else []
+
+def inverse(order: np.ndarray) -> np.ndarray:
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return back
 
 
 def logs(m: Model, given: np.ndarray, goal: np.ndarray, live: np.ndarray) -> np.ndarray:
     """ln of the probability of the goal at each live position of windows (n, WINDOW): its output's, and within a cluster its own."""
     p = m.params
-    h = trunk(p, p["E"][given] + p["P"])[0][live.ravel()]
-    g = goal[live]
-    c = m.cluster[g]
+    at = np.flatnonzero(live.ravel())
+    h = np.take(trunk(p, embedded(p, given))[0], at, axis=0)
+    g = np.take(goal.ravel(), at).astype(np.int64)
+    c = np.take(m.cluster, g)
 
     def softmax(h: np.ndarray, w: np.ndarray, at: np.ndarray) -> np.ndarray:
-        z = h @ w.T
-        mine = z[np.arange(len(z)), at].astype(np.float64)
-        return mine - _exp(z) - np.log(z @ _ONES[: z.shape[1]])
+        out, wide, many = np.empty(len(h)), _wide(h, w), max(1, _CELLS // len(w))
+        for k in range(0, len(h), many):
+            part = h[k : k + many]
+            z = np.matmul(part, w.T, out=_room("z", len(part), len(w)))
+            mine = z[np.arange(len(z)), at[k : k + many]].astype(np.float64)
+            out[k : k + many] = mine - _exp(z, wide) - np.log(z @ _ONES[: z.shape[1]])
+        return out
 
     out = softmax(h, p["H"], np.where(c == 0, g, m.bounds[0] - 1 + c))
-    for rows in by_cluster(c, np.flatnonzero(c)):
-        low, high = m.bounds[c[rows[0]] - 1 :][:2]
-        out[rows] += softmax(h[rows], p["T"][low:high], g[rows] - low)
-    return out
+    order, parts = by_cluster(c)
+    h, g, add = np.take(h, order, axis=0), np.take(g, order), np.zeros(len(order))
+    for k, a, b in parts:
+        low, high = m.bounds[k - 1], m.bounds[k]
+        add[a:b] = softmax(h[a:b], p["T"][low:high], g[a:b] - low)
+    return out + np.take(add, inverse(order))
 
 
 class Trainer:
     """Adagrad over batches of windows; `state` holds the sums of squared gradients."""
 
-    def __init__(self, model: Model, state: dict[str, np.ndarray] | None = None, rate: float = RATE):
-        self.m, self.rate = model, np.float32(rate)
+    def __init__(self, model: Model, state: dict[str, np.ndarray] | None = None, rate: float | None = None):
+        self.m, self.rate = model, np.float32(RATE if rate is None else rate)
         self.p = {k: v.copy() for k, v in model.params.items()}
         self.state = {k: v.copy() for k, v in (state or {k: np.full_like(v, 1e-6) for k, v in self.p.items()}).items()}
 
@@ -191,53 +259,64 @@ class Trainer:
         self.state[name][rows] = square
         self.p[name][rows] -= self.rate * g / np.sqrt(square)
 
-    def _output(self, name: str, rows, h: np.ndarray, at: np.ndarray, scale: np.ndarray) -> np.ndarray:
-        """Move the outputs of one softmax; the gradient of its input."""
+    def _output(self, name: str, rows, h: np.ndarray, at: np.ndarray, scale: np.ndarray, dh: np.ndarray) -> None:
+        """Move the outputs of one softmax; dh becomes the gradient of its input."""
         w = self.p[name][rows]
-        z = h @ w.T
-        _exp(z)
-        total, every = z @ _ONES[: z.shape[1]], np.arange(len(h))
-        z[every, at] -= total
-        r = (scale / total)[:, None]
-        dh = (z @ w) * r
-        self._move(name, z.T @ (h * r), rows)
-        return dh
+        g, wide, many = 0.0, _wide(h, w), max(1, _CELLS // len(w))
+        for k in range(0, len(h), many):
+            hk = h[k : k + many]
+            z = np.matmul(hk, w.T, out=_room("z", len(hk), len(w)))
+            _exp(z, wide)
+            total = z @ _ONES[: z.shape[1]]
+            z[np.arange(len(z)), at[k : k + many]] -= total
+            r = (scale[k : k + many] / total)[:, None]
+            np.matmul(z, w, out=dh[k : k + many])
+            dh[k : k + many] *= r
+            g = g + z.T @ np.multiply(hk, r, out=_room("hr", *hk.shape))
+        self._move(name, g, rows)
 
     def step(self, given: np.ndarray, goal: np.ndarray, live: np.ndarray) -> None:
         """One move along the gradient of the mean loss over live positions."""
         p, m = self.p, self.m
-        x = p["E"][given] + p["P"]
-        h, q, k, kt, v, a, o = trunk(p, x)
-        g, on = goal.ravel(), live.ravel()
+        x = embedded(p, given)
+        h, q, k, v, a, o = trunk(p, x)
+        g, on = goal.ravel().astype(np.int64), live.ravel()
         scale = on * np.float32(1 / max(1, on.sum()))
-        c = m.cluster[g]
-        dh = self._output("H", slice(None), h, np.where(c == 0, g, m.bounds[0] - 1 + c), scale)
-        for rows in by_cluster(c, np.flatnonzero((c > 0) & on)):
-            low, high = m.bounds[c[rows[0]] - 1 :][:2]
-            dh[rows] += self._output("T", slice(low, high), h[rows], g[rows] - low, scale[rows])
+        c = np.take(m.cluster, g)
+        dh = _room("dh", *h.shape)
+        self._output("H", slice(None), h, np.where(c == 0, g, m.bounds[0] - 1 + c), scale, dh)
+        order, parts = by_cluster(np.where(on, c, 0))
+        hs, gs, ss, ds = np.take(h, order, axis=0, out=_room("hs", *h.shape), mode="clip"), np.take(g, order), np.take(scale, order), _room("ds", *h.shape)
+        ds[: parts[0][1] if parts else None] = 0
+        for cluster, b, e in parts:
+            low, high = m.bounds[cluster - 1], m.bounds[cluster]
+            self._output("T", slice(low, high), hs[b:e], gs[b:e] - low, ss[b:e], ds[b:e])
+        dh += np.take(ds, inverse(order), axis=0, out=_room("hr", *ds.shape), mode="clip")
         dh[:, -1] = 0
-        do = (dh @ p["O"].T).reshape(x.shape)
-        dv = np.matmul(_turned(a), do)
-        da = np.matmul(do, _turned(v))
-        da -= (do * o).sum(axis=2, keepdims=True)
+        do = np.matmul(dh, p["O"].T, out=_room("do", *dh.shape)).reshape(x.shape)
+        d = _room("d", *x.shape[:2], 3 * WIDTH)
+        np.matmul(_turned(a), do, out=d[:, :, 2 * WIDTH :])
+        da = np.matmul(do, _turned(v), out=_room("da", *a.shape))
+        da -= np.einsum("ijk,ijk->ij", do, o)[:, :, None]
         da *= a
-        d = np.concatenate([y.reshape(-1, WIDTH) for y in (np.matmul(da, k), np.matmul(_turned(da), q), dv)], axis=1)
-        dx = dh + d @ p["A"].T
+        np.matmul(da, k, out=d[:, :, :WIDTH])
+        np.matmul(_turned(da), q, out=d[:, :, WIDTH : 2 * WIDTH])
+        d = d.reshape(-1, 3 * WIDTH)
+        dx = np.matmul(d, p["A"].T, out=_room("hs", *dh.shape))
+        dx += dh
         self._move("O", o.reshape(-1, WIDTH).T @ dh)
         self._move("A", x.reshape(-1, WIDTH).T @ d)
         self._move("P", dx.reshape(x.shape).sum(axis=0))
         ids = given.ravel()
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
-        last = np.flatnonzero(np.concatenate((ids[1:] != ids[:-1], [True])))
-        sums = np.cumsum(dx[order], axis=0, dtype=np.float64)[last]
-        sums[1:] -= sums[:-1].copy()
-        self._move("E", sums.astype(np.float32), ids[last])
+        first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+        self._move("E", np.add.reduceat(np.take(dx, order, axis=0, out=_room("hr", *dx.shape), mode="clip"), first, axis=0), ids[first])
 
 
 def training_windows(m: Model, sub: Subwords, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Given and goal places and live positions (n, WINDOW) of a text from its beginning to its end: each id is a goal once."""
-    places = m.place[sub.ids(tokens(text))]
+    places = m.place[sub.text_ids(text)]
     stream = np.zeros(-(-len(places) // WINDOW) * WINDOW + 1, np.uint16 if len(m.place) < 1 << 16 else np.int64)
     stream[0] = m.place[sub.end]
     stream[1 : len(places) + 1] = places
@@ -246,7 +325,7 @@ def training_windows(m: Model, sub: Subwords, text: str) -> tuple[np.ndarray, np
 
 
 #: Windows that are scored at a time.
-_BLOCK = 128
+_BLOCK = 256
 
 
 def text_logs(m: Model, sub: Subwords, parts: list[list[str]]) -> list[float]:
@@ -311,13 +390,13 @@ def initial(train_docs: DataFrame, model: Model, vocabulary: str, docs: float) -
             yield {"key": b["key"], "w": out}
 
     got = sorted(zip(*(c.to_pylist() for c in arrow_map(chosen, "key long, w binary", rows).toArrow().columns), strict=True))
-    trainer, r = Trainer(model), np.random.default_rng(3)
+    trainer, r = Trainer(model, rate=FIRST_RATE), np.random.default_rng(3)
     if got:
         windows = np.frombuffer(b"".join(w for _, w in got), np.uint32).reshape(-1, 3, WINDOW).astype(np.int64)
         for _ in range(EPOCHS):
             order = r.permutation(len(windows))
-            for k in range(0, len(order), BATCH):
-                given, goal, live = windows[order[k : k + BATCH]].transpose(1, 0, 2)
+            for k in range(0, len(order), FIRST_BATCH):
+                given, goal, live = windows[order[k : k + FIRST_BATCH]].transpose(1, 0, 2)
                 trainer.step(given, goal, live > 0)
     return trainer
 
@@ -347,7 +426,7 @@ def shard_moves(model: Model, state: dict[str, np.ndarray], sub: Subwords, texts
     for t in texts:
         held.append(training_windows(model, sub, t))
         waiting += len(held[-1][0])
-        if waiting >= 32 * BATCH:
+        if waiting >= 8 * BATCH:
             parts = [np.concatenate(x) for x in zip(*held, strict=True)]
             whole = waiting - waiting % BATCH
             go(parts, whole)
@@ -363,6 +442,12 @@ def shard_moves(model: Model, state: dict[str, np.ndarray], sub: Subwords, texts
     return at, w[at], rows[at]
 
 
+def summed_moves(moves: DataFrame) -> pa.Table:
+    """at, w and the components of v added up over all shards, in whole numbers of 38 digits: a corpus of any size stays within them."""
+    whole = lambda c, name: F.sum(c.cast("decimal(38,0)")).cast("double").alias(name)
+    return moves.groupBy("at").agg(whole(F.col("w"), "w"), *(whole(F.get("v", F.lit(i)), f"v{i}") for i in range(WIDTH))).toArrow()
+
+
 def learn(train_docs: DataFrame, table: DataFrame, vocabulary: str) -> Model:
     """Fit on every training document from its beginning to its end.
 
@@ -392,7 +477,7 @@ def learn(train_docs: DataFrame, table: DataFrame, vocabulary: str) -> Model:
                 yield {"at": at.tolist(), "w": w.tolist(), "v": pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * WIDTH, pa.int32()), pa.array(whole.ravel()))}
 
     moves = arrow_map(dealt.select("shard", "text"), "at int, w long, v array<long>", rows)
-    got = moves.groupBy("at").agg(F.sum("w"), *(F.sum(F.get("v", F.lit(i))) for i in range(WIDTH))).toArrow()
+    got = summed_moves(moves)
     at, w, *v = (c.to_numpy() for c in got.columns)
     flat = np.concatenate([model.params[k].reshape(-1, WIDTH) for k in _NAMES])
     flat[at] = np.stack(v, axis=1) / (w[:, None] * _SCALE)

@@ -149,3 +149,33 @@ def test_sum_of_rows_is_weighted_by_use(spark, monkeypatch):
     want[at] = rows
     got = learnt(df)
     assert np.allclose(np.concatenate([got.params[k].reshape(-1, D) for k in attention._NAMES]), want, atol=1e-5)
+
+
+def test_sums_beyond_whole_numbers_of_64_bits(spark):
+    big = (1 << 62) + 12345
+    rows = spark.createDataFrame([(3, big, [big] * D), (3, big, [-big] * D), (3, big, [big] * D), (4, 1, [7] * D)], "at int, w long, v array<long>")
+    got = {r["at"]: r for r in attention.summed_moves(rows).to_pylist()}
+    assert got[3]["w"] == float(3 * big) and got[3]["v0"] == got[3][f"v{D - 1}"] == float(big) and got[4]["v5"] == 7.0
+
+
+def test_clusters_hold_every_id_once():
+    r = np.random.default_rng(5)
+    for shares in (np.sort(r.pareto(1.0, 5000) + 1e-9)[::-1], np.ones(3000), np.array([1.0, *[1e-9] * 40_000]), np.ones(3)):
+        bounds = attention.cluster_bounds(shares / shares.sum())
+        assert bounds[-1] == len(shares) and (np.diff(bounds) > 0).all() and np.diff(bounds).max(initial=0) <= attention.LARGE and len(bounds) < 256
+
+
+def test_outputs_in_parts_are_the_same(monkeypatch):
+    """However many outputs are worked out at a time, and with memory that is used again."""
+    m, r = small_model(), np.random.default_rng(6)
+    given, goal = r.integers(0, 700, (2, 5, W))
+    live = r.random((5, W)) < 0.8
+    a, b = attention.Trainer(m), attention.Trainer(m)
+    want = attention.logs(m, given, goal, live)
+    a.step(given, goal, live)
+    monkeypatch.setattr(attention, "_CELLS", 50)
+    assert np.allclose(attention.logs(m, given, goal, live), want, rtol=1e-5)
+    b.step(given, goal, live)
+    b.step(given[:2], goal[:2], live[:2])
+    a.step(given[:2], goal[:2], live[:2])
+    assert all(np.allclose(a.p[k], b.p[k], atol=1e-4) for k in a.p)
