@@ -49,9 +49,13 @@ SUBSTITUTES = "\x10\x11\x12\x13\x14\x15\x16\x17\x18\x19\x1a\x1b\x1c\x1d\x1e\x1f!
 SUBSTITUTED = "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮабвгдежзийклмнопрстуфхцчшщъыьэюя"
 
 
+#: The same white space, character by character.
+BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    """No white space at the ends. A run inside is looked at once, from its beginning, so long ones cost no more than their length."""
-    return F.regexp_replace(c, f"^{WS}++|(?<!{WS}){WS}++$", "")
+    """No white space at the ends."""
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def squeeze(c: Column) -> Column:
@@ -86,13 +90,16 @@ def fix_pdf_artifacts(c: Column) -> Column:
     """Join hyphenated line ends, collapse spaced-out letters (runs of three and more), drop blanks before punctuation.
 
     A run takes what it has read for good, so texts of any length need no stack: each further letter has its border in
-    the repeated part.
+    the repeated part. Texts without the sign of a fault (a hyphen at a line's end, three single letters, a blank before
+    punctuation) are not rewritten.
     """
-    c = F.regexp_replace(c, f"({LETTER})-\n({LETTER})", "$1$2")
-    marked = F.regexp_replace(c, f"(?:(?<={WS})|^)({LETTER}(?:{WS}++{LETTER}(?={WS}|$)){{2,}}+)", "\ufdd0$1\ufdd1")
+    only = lambda c, sign, fixed: F.when(sign, fixed).otherwise(c)
+    c = only(c, c.contains("-\n"), F.regexp_replace(c, f"({LETTER})-\n({LETTER})", "$1$2"))
+    run = f"{LETTER}(?:{WS}++{LETTER}(?={WS}|$)){{2,}}+"
+    marked = F.regexp_replace(c, f"(?:(?<={WS})|^)({run})", "\ufdd0$1\ufdd1")
     parts = F.transform(F.split(marked, "[\ufdd0\ufdd1]"), lambda s, i: F.when(i % 2 == 1, F.replace(s, F.lit(" "), F.lit(""))).otherwise(s))
-    joined = F.when(marked.contains("\ufdd1"), F.array_join(parts, "")).otherwise(c)
-    return F.regexp_replace(joined, f"(?<!{WS}){WS}++([,.;:!?])", "$1")
+    c = only(c, c.rlike(f"(?:{WS}|^){LETTER}{WS}++{LETTER}{WS}"), F.array_join(parts, ""))
+    return only(c, c.rlike(f"{WS}[,.;:!?]"), F.regexp_replace(c, f"(?<!{WS}){WS}++([,.;:!?])", "$1"))
 
 
 def normalize_text(c: Column, decode_cyrillic: bool = True) -> Column:
@@ -110,18 +117,25 @@ def sentences(c: Column) -> Column:
 
 
 def low_signal(c: Column) -> Column:
-    """Short texts, tables of contents and page-number lists. Lines are gone through once."""
+    """Short texts, tables of contents and page-number lists. Lines are gone through once, and only where one of them can be of such a kind."""
     c = strip(c)
     count = lambda s, name, flag: (s[name] + flag.cast("int")).alias(name)
     toc, number, solid = rf"(?<!\.)\.{{4,}}+{WS}*+\d{{1,3}}{WS}*+$", rf"^{WS}*\d{{1,3}}{WS}*$", SOLID
     start = F.struct(*(F.lit(0).alias(n) for n in ("lines", "toc", "numbers")))
     step = lambda s, line: F.struct(count(s, "lines", line.rlike(solid)), count(s, "toc", line.rlike(toc)), count(s, "numbers", line.rlike(number)))
     low = lambda s: (s["toc"] >= 2) | (s["toc"] + s["numbers"] >= F.greatest(F.lit(3), F.floor(s["lines"] / 2)))
-    return (F.length(c) < 120) | F.aggregate(F.split(c, LINE_END), start, step, low)
+    # A number alone on a line has but blanks between a line's end and itself.
+    ends = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
+    alone = rf"(?:^|[{ends}])[{_BLANKS}&&[^{ends}]]*+\d{{1,3}}(?:{WS}|$)"
+    kinds = c.contains("....") | c.rlike(alone)
+    return F.when(F.length(c) < 120, True).when(~kinds, False).otherwise(F.aggregate(F.split(c, LINE_END), start, step, low))
 
 
 def signature(c: Column, most: int = 800) -> Column:
-    return F.substring(squeeze(F.lower(strip(c))), 1, most)
+    """The beginning of a text in lower case with single spaces. Where its first 2 * most characters yield enough, no more are looked at."""
+    begin = squeeze(F.lower(strip(F.substring(c, 1, 2 * most))))
+    whole = squeeze(F.lower(strip(c)))
+    return F.substring(F.when((F.length(c) <= 2 * most) | (F.length(begin) >= most + 64), begin).otherwise(whole), 1, most)
 
 
 def rag_tokens(c: Column) -> Column:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded
 from ..functions.structured import parsed
 from ..functions.text import GENERIC_WORDS, STOPWORDS, concept_tokens, sentences, shorten
 from ..storage import stored
@@ -49,11 +50,11 @@ def _norm(c: str) -> Column:
 
 
 def relevance(terms: DataFrame, edges: DataFrame, top_n: int = TOP_N) -> DataFrame:
-    """The pool's terms with degree and relevance, the best top_n of each document by place."""
+    """The pool's terms with degree and relevance (to nine places, and whole), the best top_n of each document by place."""
     ends = edges.select("doc_id", F.col("src").alias("term"), "weight").unionAll(edges.select("doc_id", F.col("dst").alias("term"), "weight"))
     degree = ends.groupBy("doc_id", "term").agg(F.sum("weight").alias("degree"))
     rows = terms.join(degree, ["doc_id", "term"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    rows = rows.withColumn("relevance", F.round(0.62 * _norm("freq") + 0.38 * _norm("degree"), 9))
+    rows = rows.withColumn("whole_relevance", 0.62 * _norm("freq") + 0.38 * _norm("degree")).withColumn("relevance", F.round("whole_relevance", 9))
     order = Window.partitionBy("doc_id").orderBy(F.desc("relevance"), F.desc("freq"), "sentence_df", "term")
     return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top_n)
 
@@ -116,7 +117,7 @@ def described(g: Graph, answers: DataFrame | None = None) -> DataFrame:
     rows = g.nodes.join(descriptions(g, answers), ["doc_id", "term"])
     return rows.select(
         "doc_id", "place", F.col("term").alias("id"), F.col("term").alias("label"), F.concat(F.col("term"), F.lit(": "), F.col("freq").cast("string")).alias("title"),
-        F.greatest(F.lit(1), "freq").alias("value"), F.round("relevance", 4).alias("relevance"), "summary",
+        F.greatest(F.lit(1), "freq").alias("value"), rounded(F.col("whole_relevance"), 4).alias("relevance"), "summary",
     )
 
 

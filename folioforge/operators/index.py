@@ -1,15 +1,24 @@
-"""Chunk index: replace by source, upsert by chunk id, fixed dimension; and user rows."""
+"""Chunk index: replace by source, upsert by chunk id, fixed dimension and layout, changes that are there as a whole; postings; and user rows.
+
+A collection is dealt by the hash of source_name to folders, its buckets; a bucket has as many files as its rows ask for. An
+ingest writes changed buckets beside the index, then a journal that names them, then moves them to their places. The journal is the
+switch: before it the old rows hold, from it on the new ones, also for readers that come while folders are moved or
+after a driver that was lost. What a journal left undone is done by the next ingest.
+"""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import Files, stored
+from .retrieval import token_postings
 
-#: Folders of a collection.
-BUCKETS = 64
+#: Buckets of a new collection, and rows of a file of a bucket, about.
+BUCKETS, FILE_ROWS = 64, 25_000
 
 
 def latest(chunks: DataFrame, key: str = "chunk_id", order: str = "chunk_index") -> DataFrame:
@@ -27,67 +36,153 @@ def check_dimension(chunks: DataFrame, dim: int, column: str = "embedding") -> D
     return chunks.withColumn(column, F.when(F.size(column) == dim, F.col(column)).otherwise(F.raise_error(F.lit(f"embedding must have {dim} components"))))
 
 
-def _table(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+def _beside(folder: str, what: str) -> str:
+    return f"{folder.rstrip('/')}.{what}"
+
+
+def _facts(spark: SparkSession, folder: str, collection: str) -> dict:
+    """What a collection was made with: dim, buckets, postings; empty for none."""
+    files = Files(spark, _beside(folder, "collections"))
+    return json.loads(files.read(f"{collection}.json")) if files.exists(f"{collection}.json") else {}
 
 
 def dimension(spark: SparkSession, folder: str, collection: str) -> int | None:
     """The number of components that a collection was made with, which is kept beside the index; null for none."""
-    held = _table(spark, f"{folder}.dimensions/collection={collection}")
-    row = held.first() if held is not None else None
-    return row["dim"] if row else None
+    return _facts(spark, folder, collection).get("dim")
+
+
+def _journal(spark: SparkSession, folder: str, collection: str) -> dict:
+    """What has been switched but not moved yet: {staging, roots: {root: {bucket: filled}}}; empty for nothing."""
+    files = Files(spark, _beside(folder, "journal"))
+    return json.loads(files.read(f"{collection}.json")) if files.exists(f"{collection}.json") else {}
+
+
+def _paths(spark: SparkSession, folder: str, root: str, collection: str) -> dict[int, str]:
+    """Where the rows of each bucket are, changes that are switched but not moved included."""
+    at = folder if root == "chunks" else _beside(folder, root)
+    held = Files(spark, at)
+    out = {int(n.partition("=")[2]): f"{at}/collection={collection}/{n}" for n in held.names(f"collection={collection}") if n.startswith("bucket=")}
+    journal = _journal(spark, folder, collection)
+    if journal:
+        staged = f"{journal['staging']}/{root}/collection={collection}"
+        for n in Files(spark, staged).names():
+            if n.startswith("bucket="):
+                out[int(n.partition("=")[2])] = f"{staged}/{n}"
+        for bucket, filled in journal["roots"].get(root, {}).items():
+            if not filled:
+                out.pop(int(bucket), None)
+    return out
+
+
+def _read(spark: SparkSession, folder: str, root: str, collection: str, only: set[int] | None = None) -> DataFrame | None:
+    """The rows of a collection with their bucket, of all or some buckets; null if it has none. A folder that cannot be read is an error."""
+    paths = {b: p for b, p in _paths(spark, folder, root, collection).items() if only is None or b in only}
+    if not paths:
+        return None
+    bucket = F.regexp_extract("_metadata.file_path", "/bucket=([0-9]+)/", 1).cast("int")
+    return spark.read.option("recursiveFileLookup", "true").parquet(*paths.values()).withColumn("bucket", bucket)
 
 
 def open_collection(spark: SparkSession, folder: str, collection: str) -> DataFrame:
     """The chunks of a collection; one that is not there is an error."""
-    held = _table(spark, folder)
-    rows = held.filter(F.col("collection") == collection).drop("collection", "bucket") if held is not None else None
+    rows = _read(spark, folder, "chunks", collection)
     if rows is None or rows.isEmpty():
         raise ValueError(f"no collection {collection}")
-    return rows
-
-
-def ingest(folder: str, collection: str, new: DataFrame, dim: int | None = None, files: int | None = None, buckets: int = BUCKETS) -> dict:
+    return rows.drop("bucket")
+
+
+def postings(spark: SparkSession, folder: str, collection: str) -> DataFrame | None:
+    """chunk_id, token, tf, size of a collection's chunks, where ingest keeps them (see retrieval.token_postings); else null."""
+    rows = _read(spark, folder, "postings", collection)
+    return rows.drop("bucket") if rows is not None else None
+
+
+def recover(spark: SparkSession, folder: str, collection: str) -> None:
+    """Move what a journal names to its place; begun moves go on where they stopped."""
+    journal = _journal(spark, folder, collection)
+    if not journal:
+        return
+    for root, buckets in journal["roots"].items():
+        target = Files(spark, folder if root == "chunks" else _beside(folder, root))
+        staged = Files(spark, journal["staging"])
+        for bucket, filled in buckets.items():
+            here = (f"collection={collection}", f"bucket={bucket}")
+            if not filled:
+                target.delete(*here)
+            elif staged.exists(root, *here):
+                target.move(f"{journal['staging']}/{root}/{'/'.join(here)}", *here)
+    Files(spark, _beside(folder, "journal")).delete(f"{collection}.json")
+    Files(spark, journal["staging"]).delete()
+
+
+def _write(rows: DataFrame, path: str, sizes: dict[int, int], by: str, file_rows: int) -> None:
+    """Buckets as files of about file_rows rows each: a large bucket is dealt by the hash of `by` to several tasks."""
+    files = {b: max(1, -(-n // file_rows)) for b, n in sizes.items()}
+    spark = rows.sparkSession
+    many = F.broadcast(spark.createDataFrame(sorted(files.items()), "bucket int, many_files int"))
+    rows = rows.join(many, "bucket").withColumn("many_files", F.pmod(F.xxhash64(by), F.col("many_files")))
+    tasks = min(sum(files.values()), 4 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    rows.repartition(tasks, "bucket", "many_files").drop("many_files").write.option("maxRecordsPerFile", 4 * file_rows).partitionBy("collection", "bucket").parquet(path)
+
+
+def ingest(folder: str, collection: str, new: DataFrame, dim: int | None = None, files: int | None = None, buckets: int | None = None, keep_postings: bool = False, file_rows: int = FILE_ROWS) -> dict:
     """Write new chunks as the rows of their sources and ids; indexed_files, inserted_chunks and the collection's name.
 
-    The index is dealt by the hash of source_name to `buckets` folders a collection; those that hold a source or an id
-    of the new rows are read, changed (see replace_by_source) and written as a whole, others are not touched. New rows
-    are stored first, so they (and their embeddings) are worked out once. The first ingest fixes the dimension of a
-    collection with an embedding column; later rows of another one are an error. No rows change nothing.
+    The buckets that hold a source or an id of the new rows are read, changed (see replace_by_source) and written as a
+    whole, others are not touched; to find ids that come again, the ids of all chunks are read, and nothing else of them. New rows are stored first, so they (and
+    their embeddings) are worked out once. The first ingest fixes the dimension of a collection with an embedding column, its number
+    of buckets (BUCKETS, if not given), and whether it keeps postings; another dimension or number later is an error. Postings of changed buckets are written and switched with them.
+
+    Cases: no rows change nothing; a null source is a source of its own; a write that fails leaves the old rows as they
+    are; an index that cannot be read is an error and is not overwritten.
     """
     spark = new.sparkSession
-    bucket = F.pmod(F.xxhash64("source_name"), F.lit(buckets)).cast("int")
     rows = stored(latest(new), "ingest")
     n = rows.count()
     done = {"indexed_files": files if files is not None else rows.select("source_name").distinct().count(), "inserted_chunks": n, "collection": collection}
     if not n:
         return done
+    recover(spark, folder, collection)
+    facts = _facts(spark, folder, collection)
+    fresh = not facts
+    if fresh:
+        facts = {"buckets": buckets or BUCKETS, "postings": keep_postings, "dim": None}
+    elif buckets and buckets != facts["buckets"]:
+        raise ValueError(f"collection {collection} has {facts['buckets']} buckets")
     if "embedding" in rows.columns:
-        held = dimension(spark, folder, collection)
+        held = facts["dim"]
         dim = dim or held or rows.select(F.size("embedding").alias("n")).first()["n"]
-        if held is None:
-            spark.range(1).select(F.lit(dim).alias("dim")).coalesce(1).write.mode("overwrite").parquet(f"{folder}.dimensions/collection={collection}")
-        elif held != dim:
+        if held is not None and held != dim:
             raise ValueError(f"collection {collection} has vectors of {held} components")
+        facts["dim"], fresh = dim, fresh or held is None
         rows = check_dimension(rows, dim)
-    old, files_of = _table(spark, folder), None
+    bucket = F.pmod(F.xxhash64("source_name"), F.lit(facts["buckets"])).cast("int")
+    old, before = _read(spark, folder, "chunks", collection), {}
     if old is not None:
-        old = old.filter(F.col("collection") == collection).drop("collection")
         touched = old.join(rows.select("chunk_id").distinct(), "chunk_id", "left_semi").select("bucket").union(rows.select(bucket.alias("bucket"))).distinct()
         # Buckets are a bounded number of small integers.
-        old = old.filter(F.col("bucket").isin([r["bucket"] for r in touched.collect()]))
-        files_of = {r["bucket"]: r["path"] for r in old.groupBy("bucket").agg(F.min(F.regexp_extract("_metadata.file_path", "^(.*)/[^/]+$", 1)).alias("path")).collect()}
-        rows = replace_by_source(old.drop("bucket"), rows)
+        mine = {r["bucket"] for r in touched.collect()}
+        old = _read(spark, folder, "chunks", collection, mine)
+        before = dict.fromkeys(mine & set(_paths(spark, folder, "chunks", collection)), False)
+        rows = replace_by_source(old.drop("bucket"), rows) if old is not None else rows
     rows = stored(rows.withColumn("collection", F.lit(collection)).withColumn("bucket", bucket), "changed")
-    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection", "bucket").parquet(folder)
-    # A folder whose last rows have gone elsewhere is not among those that were written.
-    filled = {r["bucket"] for r in rows.select("bucket").distinct().collect()} if files_of else set()
-    for path in (p for b, p in (files_of or {}).items() if b not in filled):
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jvm.java.net.URI.create(path))
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    sizes = {r["bucket"]: r["count"] for r in rows.groupBy("bucket").count().collect()}
+    after = {str(b): b in sizes for b in sorted({*before, *sizes})}
+    staging = f"{_beside(folder, 'staging')}/{uuid.uuid4().hex}"
+    roots = {"chunks": after}
+    try:
+        _write(rows, f"{staging}/chunks", sizes, "chunk_id", file_rows)
+        if facts["postings"]:
+            parts = token_postings(rows).join(rows.select("chunk_id", "collection", "bucket"), "chunk_id")
+            _write(parts, f"{staging}/postings", {b: 64 * k for b, k in sizes.items()}, "chunk_id", 64 * file_rows)
+            roots["postings"] = after
+        if fresh:
+            Files(spark, _beside(folder, "collections")).write(json.dumps(facts), f"{collection}.json")
+        Files(spark, _beside(folder, "journal")).write(json.dumps({"staging": staging, "roots": roots}), f"{collection}.json")
+    except Exception:
+        Files(spark, staging).delete()
+        raise
+    recover(spark, folder, collection)
     return done
 
 

@@ -298,8 +298,8 @@ WITH s AS (SELECT doc_id, generate_subscripts(ss, 1) AS sid, unnest(ss) AS sente
 ), dg AS (SELECT doc_id, term, CAST(sum(weight) AS BIGINT) AS degree FROM (SELECT doc_id, src AS term, weight FROM co UNION ALL SELECT doc_id, dst, weight FROM co) GROUP BY ALL
 ), x AS (SELECT pool.*, coalesce(degree, 0) AS degree FROM pool LEFT JOIN dg USING (doc_id, term)
 ), y AS (
-  SELECT *, round(0.62 * CASE WHEN max(freq) OVER d - min(freq) OVER d < 1e-12 THEN 1.0 ELSE (freq - min(freq) OVER d) / (max(freq) OVER d - min(freq) OVER d) END
-    + 0.38 * CASE WHEN max(degree) OVER d - min(degree) OVER d < 1e-12 THEN 1.0 ELSE (degree - min(degree) OVER d) / (max(degree) OVER d - min(degree) OVER d) END, 9) AS relevance FROM x WINDOW d AS (PARTITION BY doc_id)
+  SELECT *, round(whole_relevance, 9) AS relevance FROM (SELECT *, 0.62 * CASE WHEN max(freq) OVER d - min(freq) OVER d < 1e-12 THEN 1.0 ELSE (freq - min(freq) OVER d) / (max(freq) OVER d - min(freq) OVER d) END
+    + 0.38 * CASE WHEN max(degree) OVER d - min(degree) OVER d < 1e-12 THEN 1.0 ELSE (degree - min(degree) OVER d) / (max(degree) OVER d - min(degree) OVER d) END AS whole_relevance FROM x WINDOW d AS (PARTITION BY doc_id))
 ), best AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY relevance DESC, freq DESC, sentence_df, term) AS INT) AS place FROM y QUALIFY place <= 10
 ), among AS (
@@ -362,8 +362,8 @@ def concept_contexts(spark, d):
 
 
 @query(
-    _CONCEPTS + _CONTEXTS + rf""", sh AS (SELECT doc_id, place, term, freq, relevance, {SQUEEZE.format("coalesce(context, 'Ключевой термин: ' || term)")} AS c FROM nodes LEFT JOIN cx USING (doc_id, term))
-SELECT doc_id, place, term AS id, term AS label, term || ': ' || freq AS title, greatest(1, freq) AS value, round(relevance, 4) AS relevance,
+    _CONCEPTS + _CONTEXTS + rf""", sh AS (SELECT doc_id, place, term, freq, whole_relevance, {SQUEEZE.format("coalesce(context, 'Ключевой термин: ' || term)")} AS c FROM nodes LEFT JOIN cx USING (doc_id, term))
+SELECT doc_id, place, term AS id, term AS label, term || ': ' || freq AS title, greatest(1, freq) AS value, CAST(format('{{:.4f}}', whole_relevance) AS DOUBLE) AS relevance,
   CASE WHEN len(c) <= 180 THEN c ELSE rtrim(substr(c, 1, 177)) || '...' END AS summary FROM sh"""
 )
 def graph_descriptions(spark, d):

@@ -43,6 +43,60 @@ def stored(df: DataFrame, name: str, compression: str | None = None, rows_a_file
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Files:
+    """Small files and folders of the file system behind a path, whatever it is: what a job's driver keeps beside its tables."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.jvm = spark.sparkContext._jvm
+        self.at = self.jvm.org.apache.hadoop.fs.Path(path)
+        self.fs = self.at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def path(self, *below: str):
+        out = self.at
+        for x in below:
+            out = self.jvm.org.apache.hadoop.fs.Path(out, x)
+        return out
+
+    def exists(self, *below: str) -> bool:
+        return self.fs.exists(self.path(*below))
+
+    def names(self, *below: str) -> list[str]:
+        """Names in a folder, in their order; none if there is no such folder."""
+        at = self.path(*below)
+        return sorted(x.getPath().getName() for x in self.fs.listStatus(at)) if self.fs.exists(at) else []
+
+    def read(self, *below: str) -> str:
+        stream = self.fs.open(self.path(*below))
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write(self, text: str, *below: str) -> None:
+        """A file that is there as a whole or not at all: written beside its place, then renamed."""
+        at = self.path(*below)
+        beside = self.jvm.org.apache.hadoop.fs.Path(at.getParent(), f"_{at.getName()}-{uuid.uuid4().hex}")
+        stream = self.fs.create(beside, True)
+        try:
+            stream.write(bytearray(text, "utf-8"))
+        finally:
+            stream.close()
+        self.fs.delete(at, False)
+        if not self.fs.rename(beside, at):
+            raise OSError(f"cannot write {at}")
+
+    def move(self, source: str, *below: str) -> None:
+        """A folder takes the place of another one, or of none."""
+        at = self.path(*below)
+        self.fs.delete(at, True)
+        self.fs.mkdirs(at.getParent())
+        if not self.fs.rename(self.jvm.org.apache.hadoop.fs.Path(source), at):
+            raise OSError(f"cannot move {source} to {at}")
+
+    def delete(self, *below: str) -> None:
+        self.fs.delete(self.path(*below), True)
+
+
 def clear(spark: SparkSession) -> int:
     """Delete the tables that this driver has stored, once their results are written or no longer needed; their number."""
     from pyarrow import fs

@@ -149,7 +149,7 @@ def test_more_queries_than_are_sent_at_once(spark, monkeypatch):
     queries = spark.createDataFrame([(i, f"query {i}", [float(i % 3), 1.0, float(i % 4)]) for i in range(23)], "query_id long, query_text string, query_vector array<float>")
     found = lambda: sorted(map(tuple, retrieval.dense_candidates(index, queries, 5, "src1").collect()))
     want = found()
-    monkeypatch.setattr(retrieval, "MOST_QUERIES", 10)
+    monkeypatch.setattr(retrieval, "MOST_QUERY_BYTES", 10 * 3 * 8)
     assert len(want) == 23 * 5 and found() == want
 
 
