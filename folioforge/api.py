@@ -81,14 +81,15 @@ def ingest(spark: SparkSession, s: Settings, paths: list[str], collection: str |
     return done
 
 
-def retrieve(spark: SparkSession, s: Settings, queries: DataFrame, collection: str | None = None, top_k: int | None = None, fetch_k: int | None = None, min_score: float | None = None, dense_weight: float | None = None, source_name: str | None = None, reranked: DataFrame | None = None) -> DataFrame:
-    """query_id, query_text, rank and the rest of each query's results, for queries (query_id, query_text); a blank query is an error."""
+def retrieve(spark: SparkSession, s: Settings, queries: DataFrame, collection: str | None = None, top_k: int | None = None, fetch_k: int | None = None, min_score: float | None = None, dense_weight: float | None = None, source_name: str | None = None, reranked: DataFrame | None = None, rerank: retrieval.Rerank | None = None) -> DataFrame:
+    """query_id, query_text, rank and the rest of each query's results, for queries (query_id, query_text); a blank query is an error. A reranker is called once a query."""
     top = int(within("top_k", either(top_k, s.top_k), 1, 50))
     fetch = int(within("fetch_k", either(fetch_k, s.fetch_k), 1, 200))
     least, weight = within("min_score", either(min_score, s.min_score), 0, 1), within("dense_weight", either(dense_weight, s.dense_weight), 0, 1)
     asked = queries.select("query_id", F.when(F.length("query_text") > 0, F.col("query_text")).otherwise(F.raise_error(F.lit("empty query")).cast("string")).alias("query_text"))
     asked = generate.embed(asked, "query_text", "query_vector", s.backends, s.model, is_query=True)
-    return retrieval.retrieve(retrieval.with_defaults(index.open_collection(spark, s.folder, collection or s.collection)), asked, top, fetch, least, weight, source_name, reranked)
+    held = retrieval.with_defaults(index.open_collection(spark, s.folder, collection or s.collection))
+    return retrieval.retrieve(held, asked, top, fetch, least, weight, source_name, reranked, rerank, s.rerank_blend, index.postings(spark, s.folder, collection or s.collection))
 
 
 def ask(spark: SparkSession, s: Settings, queries: DataFrame, backends: Backends | None = None, **how) -> DataFrame:
@@ -101,11 +102,21 @@ def ask(spark: SparkSession, s: Settings, queries: DataFrame, backends: Backends
     return out.select("query_id", "answer", F.coalesce("used_chunks", F.lit(0)).alias("used_chunks"), F.lit(s.model).alias("model"))
 
 
-def mind_maps(docs: DataFrame, top_n: int = concepts.TOP_N, min_freq: int = concepts.MIN_FREQ, min_edge: int = concepts.MIN_EDGE, answers: DataFrame | None = None) -> DataFrame:
-    """doc_id, graph (JSON) of texts (doc_id, text)."""
+def mind_maps(docs: DataFrame, top_n: int = concepts.TOP_N, min_freq: int = concepts.MIN_FREQ, min_edge: int = concepts.MIN_EDGE, answers: DataFrame | None = None, backends: Backends | None = None) -> DataFrame:
+    """doc_id, graph (JSON) of texts (doc_id, text); terms are described by answers at hand, or by a model that is asked once a document, or from their contexts."""
     for name, value in (("top_n", top_n), ("min_freq", min_freq), ("min_edge", min_edge)):
         within(name, value, 1, 1000)
-    return concepts.payload(concepts.graph(docs, top_n, min_freq, min_edge), answers)
+    g = concepts.graph(docs, top_n, min_freq, min_edge)
+    return concepts.payload(g, concepts.asked_descriptions(g, backends) if answers is None and backends else answers)
+
+
+def file_mind_maps(files: DataFrame, **how) -> DataFrame:
+    """file_name, nodes, edges, meta (source, filename, nodes_count, edges_count, summary, top_terms) of uploads (file_name, content), a name once."""
+    maps = mind_maps(readers.uploaded_texts(files).withColumnRenamed("file_name", "doc_id").select("doc_id", "text"), **how)
+    kind = "nodes array<struct<id:string,label:string,title:string,value:bigint,relevance:double,summary:string>>, edges array<struct<`from`:string,`to`:string,value:bigint,title:string>>, meta struct<summary:string,top_terms:array<string>>"
+    rows = maps.select(F.col("doc_id").alias("file_name"), F.from_json("graph", kind).alias("g"))
+    meta = F.struct(F.lit("file").alias("source"), F.col("file_name").alias("filename"), F.size("g.nodes").alias("nodes_count"), F.size("g.edges").alias("edges_count"), "g.meta.summary", "g.meta.top_terms")
+    return rows.select("file_name", "g.nodes", "g.edges", meta.alias("meta"))
 
 
 def mind_map_pages(docs: DataFrame, title: str, **how) -> DataFrame:
@@ -142,6 +153,34 @@ def tables(docs: DataFrame, kind: str = "json", hint: str = "", backends: Backen
     return rows.withColumn("written", written("table")).select(*docs.columns, "written.*")
 
 
+def file_tables(files: DataFrame, kind: str = "json", hint: str = "", backends: Backends | None = None) -> DataFrame:
+    """file_name, file, media_type: the table of each upload (file_name, content)."""
+    return tables(readers.uploaded_texts(files), kind, hint, backends).select("file_name", "file", "media_type")
+
+
+#: Voices that a dialogue's hosts can have, and those that they have if nothing is said.
+SPEAKERS = ("aidar", "baya", "eugene", "kseniya", "xenia")
+HOST_VOICES = ("baya", "xenia")
+
+
+def speakers() -> list[str]:
+    return list(SPEAKERS)
+
+
+def file_podcasts(files: DataFrame, backends: Backends, speaker_1: str = HOST_VOICES[0], speaker_2: str = HOST_VOICES[1], voices: Callable[[str, str], list[float] | None] | None = None, model: str = "default", **how) -> DataFrame:
+    """file_name, dialogue, source, model, has_audio, file, audio, meta (filename, speakers) of uploads (file_name, content); voices take a speaker's name and a text. An unknown speaker is an error."""
+    named = (speaker_1, speaker_2)
+    for s in named:
+        if s not in SPEAKERS:
+            raise ValueError(f"unknown speaker: {s}")
+    said = None if voices is None else lambda host, text: voices(named[host - 1], text)
+    rows = podcasts(readers.uploaded_texts(files), backends, voices=said, key="file_name", **how)
+    if voices is None:
+        rows = rows.withColumn("file", F.lit(None).cast("string")).withColumn("audio", F.lit(None).cast("binary"))
+    meta = F.struct(F.col("file_name").alias("filename"), F.array(*map(F.lit, named)).alias("speakers"))
+    return rows.select("file_name", "dialogue", F.lit("file").alias("source"), F.lit(model).alias("model"), F.col("audio").isNotNull().alias("has_audio"), "file", "audio", meta.alias("meta"))
+
+
 def podcasts(docs: DataFrame, backends: Backends, tone: str = "scientific", pace: str = "normal", topic: str = "Без названия", voices: Callable[[int, str], list[float] | None] | None = None, key: str = "doc_id") -> DataFrame:
     """docs with dialogue, and, where voices are given, file and audio. Tone and pace may be synonyms; unknown ones are an error."""
     row = docs.sparkSession.range(1).select(normalize_tone(F.lit(tone)).alias("tone"), normalize_pace(F.lit(pace)).alias("pace")).first()
@@ -164,6 +203,15 @@ def presentations(results: DataFrame, queries: DataFrame, most: int = 8, backend
     return rows.withColumn("file_name", F.concat(safe_filename(F.lit(prefix)), F.lit("-"), F.col("query_id").cast("string"), F.lit(".pptx"))).withColumn("file", deck("plan"))
 
 
+def presentations_of(spark: SparkSession, s: Settings, queries: DataFrame, most: int = 8, backends: Backends | None = None, prefix: str = "presentation", **how) -> DataFrame:
+    """Retrieval and decks in one: query_id, plan, slides_count, file_name, file for queries (query_id, query_text); one without a result has nulls and no slide."""
+    from .storage import stored
+
+    found = stored(retrieve(spark, s, queries, **how), "found")
+    decks = presentations(found, queries, most, backends, prefix)
+    return queries.select("query_id").join(decks, "query_id", "left").withColumn("slides_count", F.coalesce("slides_count", F.lit(0)))
+
+
 def infographics(results: DataFrame, queries: DataFrame, most: int | None = None, models: dict[str, Backends] | None = None) -> DataFrame:
     """query_id, plan, used_chunks, models_used, failed_models; 0 topics are the default."""
     return generate.infographic(results, queries, zero_to_none(most) or 6, models)

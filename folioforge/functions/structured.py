@@ -31,6 +31,46 @@ def parsed(c: Column, schema: str) -> Column:
     return F.coalesce(valid(text), valid(repaired(text)))
 
 
+def whole_json(c: Column) -> Column:
+    """The text if all of it is one JSON value, else null: what stands behind a value makes it none. Equal keys in an object make it none, too."""
+    inside = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"x":'), c, F.lit("}"))).isNotNull()
+    return F.when(inside, c)
+
+
+def _object(c: Column) -> Column:
+    return F.when(F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT"), c)
+
+
+def _outermost(c: Column) -> Column:
+    return F.nullif(F.regexp_extract(c, r"(?s)(\{.*\})", 1), F.lit(""))
+
+
+def _unfenced(c: Column) -> Column:
+    """Without a fence that begins the answer, and what ends one."""
+    c = strip(c)
+    return F.when(c.startswith("```"), F.regexp_replace(F.regexp_replace(c, r"^```(?:json)?\s*", ""), r"\s*```$", "")).otherwise(c)
+
+
+def object_alone(c: Column, schema: str) -> Column:
+    """from_json of an answer that is one JSON object, a fence around it aside; else null. Nothing is repaired or looked for."""
+    return F.from_json(_object(whole_json(_unfenced(c))), schema)
+
+
+def table_object(c: Column, schema: str) -> Column:
+    """from_json of a table's answer: as object_alone, or where all of it is no JSON, what its outermost braces hold; an array is none."""
+    t = _unfenced(c)
+    whole = whole_json(t)
+    return F.from_json(_object(F.when(whole.isNotNull(), whole).otherwise(whole_json(_outermost(t)))), schema)
+
+
+def cards_object(c: Column, schema: str) -> Column:
+    """from_json of a card pack's answer: an object in a fence anywhere, else the answer if it begins with a brace, else what its outermost braces hold."""
+    t = strip(c)
+    fenced = F.regexp_extract(t, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    t = F.when(fenced != "", fenced).otherwise(t)
+    return F.from_json(_object(whole_json(F.when(t.startswith("{"), t).otherwise(F.coalesce(_outermost(t), t)))), schema)
+
+
 def point_id(prefix: str, n: Column) -> Column:
     return F.concat(F.lit(prefix + "-"), n.cast("string"))
 

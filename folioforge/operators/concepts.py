@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import rounded
-from ..functions.structured import parsed
+from ..functions.structured import object_alone
 from ..functions.text import GENERIC_WORDS, STOPWORDS, concept_tokens, sentences, shorten
 from ..storage import stored
+from .generate import OFFLINE, Backends, or_else
 
 TOP_N, MIN_FREQ, MIN_EDGE, MOST_OF_SENTENCES = 10, 2, 2, 0.65
 
@@ -78,17 +79,20 @@ def graph(docs: DataFrame, top_n: int = TOP_N, min_freq: int = MIN_FREQ, min_edg
     ends = edges.select("doc_id", F.explode(F.array("src", "dst")).alias("term")).distinct().withColumn("joined", F.lit(True))
     some = F.max(F.coalesce("joined", F.lit(False))).over(Window.partitionBy("doc_id"))
     nodes = best.join(ends, ["doc_id", "term"], "left").withColumn("some", some).filter(~F.col("some") | F.col("joined")).drop("some", "joined", "ratio", "n_sentences")
-    return Graph(sents, nodes, edges, among)
+    worded = sents.filter(F.size("tokens") > 0).select("doc_id").distinct().withColumn("worded", F.lit(True))
+    known = docs.select("doc_id").distinct().join(worded, "doc_id", "left").select("doc_id", F.coalesce("worded", F.lit(False)).alias("worded"))
+    return Graph(sents, nodes, edges, among, known)
 
 
 @dataclass(frozen=True)
 class Graph:
-    """sents; nodes (doc_id, place, term, freq, sentence_df, degree, relevance); edges (doc_id, src, dst, weight, place by weight); among: edges of any weight between the best terms."""
+    """sents; nodes (doc_id, place, term, freq, sentence_df, degree, relevance); edges (doc_id, src, dst, weight, place by weight); among: edges of any weight between the best terms; docs (doc_id, worded: whether it has a token at all)."""
 
     sents: DataFrame
     nodes: DataFrame
     edges: DataFrame
     among: DataFrame
+    docs: DataFrame
 
 
 def contexts(sents: DataFrame, nodes: DataFrame, most: int = 5) -> DataFrame:
@@ -98,17 +102,40 @@ def contexts(sents: DataFrame, nodes: DataFrame, most: int = 5) -> DataFrame:
     return rows.groupBy("doc_id", "term").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sid", "sentence"))), lambda s: s["sentence"]), " ").alias("context"))
 
 
+#: Fixed value: what a term without any context is called.
+LABEL = "Ключевой термин: "
+
+
+def description_prompts(g: Graph, most: int = 400) -> DataFrame:
+    """doc_id, prompt: for each document, its terms by place with what they are found in (the first sentences, cut), and the order to answer with a JSON object of terms.
+
+    A document none of whose terms has a context has no prompt. A document's terms are a bounded number.
+    """
+    rows = g.nodes.select("doc_id", "place", "term").join(contexts(g.sents, g.nodes), ["doc_id", "term"], "left")
+    found = F.coalesce("context", F.lit("")) != ""
+    line = F.concat(F.lit("- "), F.col("term"), F.lit(": "), F.when(found, shorten(F.col("context"), most)).otherwise("нет контекста"))
+    lists = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("place", line.alias("line")))).alias("lines"), F.max(found).alias("some"))
+    ask = "Describe each term in one or two sentences: what it is and why it matters in the document. Answer with a JSON object of terms only, in the language of the terms.\n\n"
+    return lists.filter("some").select("doc_id", F.concat(F.lit(ask), F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("prompt"))
+
+
+def asked_descriptions(g: Graph, backends: Backends = OFFLINE) -> DataFrame:
+    """doc_id, answer: a model's answer to each document's prompt, one request a document; one that fails, or says nothing, is left out. Stored, as asking again may give another answer."""
+    rows = or_else(description_prompts(g), F.col("prompt"), F.lit(None).cast("string"), "answer", backends)
+    return stored(rows.select("doc_id", "answer").filter(F.col("answer").isNotNull()), "described")
+
+
 def descriptions(g: Graph, answers: DataFrame | None = None) -> DataFrame:
     """doc_id, term, summary of the nodes: a model's answer (doc_id, answer: a JSON object of terms), else the context cut to 180 characters, else a label.
 
-    A document whose answer is no JSON object is treated as one without an answer; a term that an answer lacks has the label.
+    A document whose answer is no JSON object, a fence aside, is treated as one without an answer; a term that an answer lacks has the label.
     """
-    label = F.concat(F.lit("Ключевой термин: "), F.col("term"))
+    label = F.concat(F.lit(LABEL), F.col("term"))
     rows = g.nodes.select("doc_id", "term").join(contexts(g.sents, g.nodes), ["doc_id", "term"], "left")
     plain = shorten(F.when(F.coalesce("context", F.lit("")) != "", F.col("context")).otherwise(label))
     if answers is None:
         return rows.select("doc_id", "term", plain.alias("summary"))
-    said = answers.select("doc_id", parsed(F.col("answer"), "map<string,string>").alias("said"))
+    said = answers.select("doc_id", object_alone(F.col("answer"), "map<string,string>").alias("said"))
     return rows.join(said, "doc_id", "left").select("doc_id", "term", F.when(F.col("said").isNull(), plain).otherwise(F.coalesce(F.try_element_at("said", "term"), label)).alias("summary"))
 
 
@@ -128,22 +155,31 @@ def titled(g: Graph) -> DataFrame:
 
 
 def summary(g: Graph) -> DataFrame:
-    """doc_id, top_terms (six at most, by place), dominant (the most frequent of them, the first of equals), links (the three strongest pairs of any weight), summary text."""
+    """doc_id, top_terms (six at most, by place), dominant (the most frequent of them, the first of equals), links (the three strongest pairs of any weight), summary text.
+
+    Every document has a row. One with tokens but no node has a text that says so, one without a token an empty text; their terms and links are empty.
+    """
     six = g.nodes.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("place"))).filter("nth <= 6")
     terms = six.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("nth", "term"))).alias("t"), F.max_by("term", F.struct("freq", -F.col("nth"))).alias("dominant"))
     links = g.among.filter("place <= 3").groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", F.concat(F.col("src"), F.lit(" <-> "), F.col("dst"), F.lit(" ("), F.col("weight").cast("string"), F.lit(")")).alias("s")))), lambda x: x["s"]), "; ").alias("links"))
     named = lambda n: F.array_join(F.transform(F.slice("t", 1, n), lambda x: x["term"]), ", ")
     weak = F.concat(F.lit("Граф отражает ключевые понятия текста: "), named(5), F.lit(". Связи между терминами выражены слабо."))
     full = F.concat(F.lit("Граф показывает основные темы текста и их совместные упоминания. Доминирующий фокус: «"), F.col("dominant"), F.lit("». Ключевые термины: "), named(5), F.lit(". Самые сильные связи: "), F.col("links"), F.lit("."))
-    out = terms.join(links, "doc_id", "left")
-    return out.select("doc_id", named(6).alias("top_terms"), "dominant", F.coalesce("links", F.lit("")).alias("links"), F.when(F.col("links").isNull(), weak).otherwise(full).alias("summary"))
+    none = F.when(F.col("worded"), "Ключевые понятия в тексте не определены.").otherwise("")
+    said = F.when(F.col("t").isNull(), none).when(F.col("links").isNull(), weak).otherwise(full)
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    out = g.docs.join(terms, "doc_id", "left").join(links, "doc_id", "left")
+    return out.select("doc_id", empty(named(6)).alias("top_terms"), empty(F.col("dominant")).alias("dominant"), empty(F.col("links")).alias("links"), said.alias("summary"))
 
 
 def payload(g: Graph, answers: DataFrame | None = None) -> DataFrame:
-    """doc_id, graph: JSON of nodes, edges and meta (summary, top_terms) of each document that has a node."""
+    """doc_id, graph: JSON of nodes, edges and meta (summary, top_terms) of each document; one without a term has empty lists."""
     whole = lambda rows, names, out: rows.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", F.struct(*names).alias("x")))), lambda r: r["x"]).alias(out))
     nodes = whole(described(g, answers), ["id", "label", "title", "value", "relevance", "summary"], "nodes")
     edges = whole(titled(g), ["from", "to", "value", "title"], "edges")
-    meta = summary(g).select("doc_id", F.struct("summary", F.split("top_terms", ", ").alias("top_terms")).alias("meta"))
-    none = F.array().cast("array<struct<from:string,to:string,value:bigint,title:string>>")
-    return nodes.join(edges, "doc_id", "left").join(meta, "doc_id", "left").select("doc_id", F.to_json(F.struct("nodes", F.coalesce("edges", none).alias("edges"), "meta")).alias("graph"))
+    terms = F.when(F.col("top_terms") == "", F.array().cast("array<string>")).otherwise(F.split("top_terms", ", "))
+    meta = summary(g).select("doc_id", F.struct("summary", terms.alias("top_terms")).alias("meta"))
+    no_edges = F.array().cast("array<struct<from:string,to:string,value:bigint,title:string>>")
+    no_nodes = F.array().cast("array<struct<id:string,label:string,title:string,value:bigint,relevance:double,summary:string>>")
+    rows = meta.join(nodes, "doc_id", "left").join(edges, "doc_id", "left")
+    return rows.select("doc_id", F.to_json(F.struct(F.coalesce("nodes", no_nodes).alias("nodes"), F.coalesce("edges", no_edges).alias("edges"), "meta")).alias("graph"))

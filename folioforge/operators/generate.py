@@ -208,7 +208,7 @@ def extract_table(docs: DataFrame, hint: str = "", backends: Backends = Backends
     """docs with table, struct<title, columns, rows>: a table of the text; a blank text, and an answer that is no table, are errors."""
     text = F.when(strip(F.coalesce("text", F.lit(""))) == "", F.raise_error(F.lit("the text is empty")).cast("string")).otherwise(F.col("text"))
     ask_ = f"Turn the text into a table. Answer with JSON only: {{\"title\": \"...\", \"columns\": [\"...\"], \"rows\": [[\"...\"]]}}.{' Hint: ' + hint if hint else ''}\n\n"
-    rows = generate(docs, F.concat(F.lit(ask_), text), "table", backends).withColumn("table", structured.parsed(F.col("table"), structured.TABLE))
+    rows = generate(docs, F.concat(F.lit(ask_), text), "table", backends).withColumn("table", structured.table_object(F.col("table"), structured.TABLE))
     return rows.withColumn("table", structured.normalized_table(F.col("table.columns"), F.col("table.rows"), F.col("table.title")))
 
 
@@ -221,7 +221,7 @@ def flash_materials(docs: DataFrame, cards: int = 10, tests: int = 5, topic: str
     if backends is None:
         return docs.withColumn("pack", structured.flash_pack(_offline_pack(text, cards, tests)))
     ask_ = f"Topic: {topic}\nLanguage: {language}\nMake {cards} flashcards (question, answer) and {tests} tests (question, 4 options, correct_index, explanation) from the context only. Answer with JSON only: {{\"flashcards\": [...], \"tests\": [...]}}\n\n"
-    rows = generate(docs, F.concat(F.lit(ask_), text), "pack", backends).withColumn("pack", structured.parsed(F.col("pack"), structured.PACK))
+    rows = generate(docs, F.concat(F.lit(ask_), text), "pack", backends).withColumn("pack", structured.cards_object(F.col("pack"), structured.PACK))
     checked = F.when(F.col("pack").isNull(), F.raise_error(F.lit("the answer is no JSON object")).cast("struct<flashcards:array<struct<question:string,answer:string>>,tests:array<struct<question:string,options:array<string>,correct_index:string,explanation:string>>>")).otherwise(F.col("pack"))
     return rows.withColumn("pack", structured.flash_pack(checked))
 

@@ -345,7 +345,11 @@ _SUMMARY = """, a AS (
   FROM named LEFT JOIN l USING (doc_id))"""
 
 
-@query(_CONCEPTS + _SUMMARY + " SELECT doc_id, top_terms, dominant, links, summary FROM sums")
+@query(
+    _CONCEPTS + _SUMMARY + """ SELECT d.doc_id, coalesce(top_terms, '') AS top_terms, coalesce(dominant, '') AS dominant, coalesce(links, '') AS links,
+  coalesce(summary, CASE WHEN d.doc_id IN (SELECT doc_id FROM tt) THEN 'Ключевые понятия в тексте не определены.' ELSE '' END) AS summary
+FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN sums USING (doc_id)"""
+)
 def graph_summary(spark, d):
     return concepts.summary(concepts.graph(table(spark, d, "documents")))
 

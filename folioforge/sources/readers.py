@@ -86,22 +86,40 @@ def pdf_text(content: bytes) -> str:
         return pdf_pages(content)
 
 
+def _raw_text(name: str, content: bytes) -> str:
+    suffix = "." + name.lower().rsplit(".", 1)[-1]
+    if suffix not in SUFFIXES:
+        raise ValueError(f"unsupported file: {name}")
+    return content.decode("utf-8", "ignore") if suffix == ".txt" else docx_text(content) if suffix == ".docx" else pdf_text(content)
+
+
 def read_documents(files: DataFrame, decode_cyrillic: bool = True) -> DataFrame:
     """path, text of files (path, content): read by suffix and normalised; another suffix is an error."""
 
     @F.pandas_udf("string")
     def raw(path: pd.Series, content: pd.Series) -> pd.Series:
-        def one(p: str, c: bytes) -> str:
-            suffix = "." + p.lower().rsplit(".", 1)[-1]
-            if suffix not in SUFFIXES:
-                raise ValueError(f"unsupported file: {p}")
-            return c.decode("utf-8", "ignore") if suffix == ".txt" else docx_text(c) if suffix == ".docx" else pdf_text(c)
-
-        return pd.Series([one(p, bytes(c)) for p, c in zip(path, content, strict=True)], dtype=object)
+        return pd.Series([_raw_text(p, bytes(c)) for p, c in zip(path, content, strict=True)], dtype=object)
 
     return files.select("path", normalize_text(raw("path", "content"), decode_cyrillic).alias("text"))
 
 
+def uploaded_texts(files: DataFrame) -> DataFrame:
+    """files (file_name, content, and more) with text in place of content: an upload is read by what stands behind the last point of its name, one without a name as text.
+
+    Another suffix, and a file without text, are errors where they are read; a null content is an empty one.
+    """
+    name = F.coalesce(F.nullif("file_name", F.lit("")), F.lit("file.txt"))
+
+    @F.pandas_udf("string")
+    def raw(path: pd.Series, content: pd.Series) -> pd.Series:
+        return pd.Series([_raw_text(p, bytes(c or b"")) for p, c in zip(path, content, strict=True)], dtype=object)
+
+    text = normalize_text(raw(name, F.col("content")))
+    rows = files.withColumn("text", text).drop("content")
+    wrong = F.raise_error(F.concat(F.lit("no text in "), name)).cast("string")
+    return rows.withColumn("text", F.when(strip(F.col("text")) == "", wrong).otherwise(F.col("text")))
+
+
 def unescaped(c: Column) -> Column:
     for old, new in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         c = F.replace(c, F.lit(old), F.lit(new))
