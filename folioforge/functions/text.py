@@ -142,23 +142,39 @@ def rag_tokens(c: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(c), F.lit("([a-zа-яё0-9]+)"), 1), lambda t: F.length(t) > 1)
 
 
+def ascii_only(c: Column) -> Column:
+    return F.length(c) == F.octet_length(c)
+
+
+def digits_only(c: Column) -> Column:
+    """Nothing but 0-9, and something."""
+    return (F.translate(c, "0123456789", "") == "") & (c != "")
+
+
 def stem(c: Column) -> Column:
-    """From six characters on, drop the longest listed Russian suffix, then the first English one; four characters stay."""
+    """From six characters on, drop the longest listed Russian suffix, then the longest English one; four characters stay.
+
+    Suffixes are tried from the longest to the shortest, as ends of the word; Russian ones only on words that are not of ASCII.
+    """
     low = F.translate(F.lower(c), "ё", "е")
 
     def without(w: Column, suffixes: list[str]) -> Column:
-        last = "[" + "".join(sorted({x[-1] for x in suffixes})) + "]$"
-        return F.when(w.rlike(last), F.regexp_replace(w, "^(.{4,}?)(?:" + "|".join(suffixes) + ")$", "$1")).otherwise(w)
+        out = None
+        for x in sorted(suffixes, key=len, reverse=True):
+            hit, cut = w.endswith(x) & (F.length(w) >= len(x) + 4), F.substring(w, F.lit(1), F.length(w) - len(x))
+            out = F.when(hit, cut) if out is None else out.when(hit, cut)
+        return out.otherwise(w)
 
-    return F.when(F.length(low) >= 6, without(without(low, sorted(RU_SUFFIXES, key=len, reverse=True)), EN_SUFFIXES)).otherwise(low)
+    short = F.when(ascii_only(low), low).otherwise(without(low, RU_SUFFIXES))
+    return F.when(F.length(low) >= 6, without(short, EN_SUFFIXES)).otherwise(low)
 
 
 def concept_tokens(c: Column, stopwords: list[str] = STOPWORDS, generic: list[str] = GENERIC_WORDS) -> Column:
     """Stems of words, without digits, words under three characters, stop words and generic words; stop lists are a parameter."""
     words = F.regexp_extract_all(F.lower(c), F.lit("([a-zа-яё0-9]+)"), 1)
-    words = F.filter(words, lambda w: (F.length(w) >= 3) & ~w.rlike("^[0-9]+$"))
+    words = F.filter(words, lambda w: (F.length(w) >= 3) & ~digits_only(w))
     stop = sorted({*stopwords, *generic})
-    return F.filter(F.transform(words, stem), lambda w: (F.length(w) >= 3) & ~w.isin(stop) & ~w.rlike("^[0-9]+$"))
+    return F.filter(F.transform(words, stem), lambda w: (F.length(w) >= 3) & ~w.isin(stop) & ~digits_only(w))
 
 
 def shorten(c: Column, most: int = 180) -> Column:
@@ -179,15 +195,18 @@ def has_cyrillic(c: Column) -> Column:
 
 
 def clean_token(c: Column) -> Column:
+    """Three characters and more, of one script, without odd letters; short ones have a vowel. A word of ASCII has neither the other script nor an odd letter."""
     latin, cyrillic = c.rlike("(?i)[a-z]"), c.rlike("(?iu)[а-яё]")
     odd = c.rlike("(?iu)[ьъэ]{2,}") | c.rlike("(?iu)[a-z]{1,2}[ьъэ]|[ьъэ][a-z]{1,2}")
-    return (F.length(c) >= 3) & ~(latin & cyrillic) & ~odd & ~((F.length(c) <= 4) & ~c.rlike("(?iu)[aeiouyаеёиоуыэюя]"))
+    mixed = F.when(ascii_only(c), False).otherwise((latin & cyrillic) | odd)
+    return (F.length(c) >= 3) & ~mixed & ~((F.length(c) <= 4) & ~c.rlike("(?iu)[aeiouyаеёиоуыэюя]"))
 
 
 def clean_ocr_noise(c: Column) -> Column:
+    """Blanks as one space, no lines of contents, no short words around odd letters; the latter two are looked for where there are four points, or such a letter."""
     c = F.regexp_replace(c, r"(?U)[^\S\r\n]+", " ")
-    c = F.regexp_replace(c, r"(?m)^.*\.{4,}\s*\d+\s*$", "")
-    return F.regexp_replace(c, r"(?iuU)\b[а-яёa-z]{1,3}[эьъ][а-яёa-z]{0,3}\b", " ")
+    c = F.when(c.contains("...."), F.regexp_replace(c, r"(?m)^.*\.{4,}\s*\d+\s*$", "")).otherwise(c)
+    return F.when(c.rlike("[эьъЭЬЪ]"), F.regexp_replace(c, r"(?iuU)\b[а-яёa-z]{1,3}[эьъ][а-яёa-z]{0,3}\b", " ")).otherwise(c)
 
 
 def fact_tokens(c: Column) -> Column:

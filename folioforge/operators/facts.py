@@ -58,7 +58,7 @@ def metrics(results: DataFrame) -> DataFrame:
 
 def insights(results: DataFrame, limit: int = 5, require_cyrillic: bool = True) -> DataFrame:
     """query_id, place, sentence, score: sentences with many topic words and numbers; the first of equal ones, the best by score."""
-    rows = scored(results).withColumn("clean", clean_ocr_noise(F.col("text")))
+    rows = stored(results.select("query_id", "rank", clean_ocr_noise(F.col("text")).alias("clean")), "clean")
     words = rows.select("query_id", "rank", F.posexplode(fact_tokens(F.col("clean"))).alias("pos", "term"))
     counts = words.groupBy("query_id", "term").agg(F.count("*").alias("n"), F.min(F.struct("rank", "pos")).alias("first"))
     top = counts.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "first"))).filter("place <= 25")

@@ -7,8 +7,8 @@ import json
 import os
 import re
 import time
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -74,11 +74,43 @@ def sentence_table(prompts: list[str], most: int = 20) -> list[str]:
 
 @dataclass(frozen=True)
 class Backends:
-    """What stands behind models: text generation and embeddings, each by batches of strings; tried `tries` times."""
+    """What stands behind models: text generation and embeddings, each by requests of strings; tried `tries` times.
+
+    A request has at most most_texts strings of most_characters in all, or one string. Where opened is given, it makes
+    the backends that are asked, once in each task: a client with its connections, which cannot be sent there.
+    """
 
     text: Texts = first_sentences
     vectors: Vectors = hashed_vectors
     tries: int = 4
+    most_texts: int = 256
+    most_characters: int = 400_000
+    opened: Callable[[], Backends] | None = None
+
+    def live(self) -> Backends:
+        return self if self.opened is None else replace(self.opened(), tries=self.tries, most_texts=self.most_texts, most_characters=self.most_characters, opened=None)
+
+    def requests(self, batch: list[str]) -> Iterator[list[str]]:
+        held, size = [], 0
+        for t in batch:
+            if held and (len(held) >= self.most_texts or size + len(t) > self.most_characters):
+                yield held
+                held, size = [], 0
+            held.append(t)
+            size += len(t)
+        if held:
+            yield held
+
+    def all(self, call: Callable, batch: list[str]) -> list:
+        """What a call gives to all strings, request by request; another number of answers than of strings is a failure."""
+
+        def whole(part: list[str]) -> list:
+            out = list(call(part))
+            if len(out) != len(part):
+                raise RuntimeError(f"{len(out)} answers to {len(part)} texts")
+            return out
+
+        return [x for part in self.requests(batch) for x in self.again(whole, part)]
 
     def again(self, call: Callable, batch: list[str]):
         for n in range(self.tries):
@@ -146,8 +178,10 @@ def embed(df: DataFrame, text: str, out: str = "embedding", backends: Backends =
     """df with vectors of a text column, null as empty; models of the e5 family get their prefix."""
 
     @F.pandas_udf("array<float>")
-    def vectors(t: pd.Series) -> pd.Series:
-        return pd.Series(backends.again(backends.vectors, t.fillna("").tolist()))
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        live = backends.live()
+        for t in batches:
+            yield pd.Series(live.all(live.vectors, t.fillna("").tolist()), dtype=object)
 
     return df.withColumn(out, vectors(model_prefix(F.coalesce(F.col(text), F.lit("")), model, is_query)))
 
@@ -156,8 +190,10 @@ def generate(df: DataFrame, prompt: Column, out: str = "answer", backends: Backe
     """df with the text model's answer to each prompt, stripped; a null prompt is an empty one."""
 
     @F.pandas_udf("string")
-    def texts(p: pd.Series) -> pd.Series:
-        return pd.Series([a.strip() for a in backends.again(backends.text, p.fillna("").tolist())], dtype=object)
+    def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        live = backends.live()
+        for p in batches:
+            yield pd.Series([a.strip() for a in live.all(live.text, p.fillna("").tolist())], dtype=object)
 
     return df.withColumn(out, texts(prompt))
 
@@ -166,14 +202,19 @@ def or_else(df: DataFrame, prompt: Column, fallback: Column, out: str, backends:
     """generate, but a prompt whose call fails, or whose answer is blank, has the fallback."""
 
     @F.pandas_udf("string")
-    def texts(p: pd.Series) -> pd.Series:
+    def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        live = None
+
         def one(prompt: str) -> str | None:
+            nonlocal live
             try:
-                return backends.again(backends.text, [prompt])[0].strip() or None
+                live = live or backends.live()
+                return live.all(live.text, [prompt])[0].strip() or None
             except Exception:  # noqa: BLE001 - whatever a backend raises, the row has its fallback
                 return None
 
-        return p.fillna("").map(one)
+        for p in batches:
+            yield pd.Series([one(x) for x in p.fillna("")], dtype=object)
 
     return df.withColumn(out, F.coalesce(texts(prompt), fallback))
 
