@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import structured, text
 from ..operators import chunking, concepts, dialogue, facts, generate, index, retrieval
 from ..sources import readers
+from ..storage import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -277,6 +278,26 @@ def replace_by_source(spark, d):
     return index.replace_by_source(docs.withColumn("version", F.lit("old")), new).drop("chunk_index")
 
 
+@query(
+    """
+WITH d AS (SELECT doc_id, source, text FROM documents), new AS (
+  SELECT doc_id, source || ' (2)' AS source_name, 'again ' || doc_id AS text FROM d WHERE source = 'src3'
+  UNION ALL SELECT doc_id + 100000000, source, 'new ' || doc_id FROM d WHERE source = 'src1'
+)
+SELECT doc_id AS chunk_id, source_name, text FROM new
+UNION ALL SELECT doc_id, source, text FROM d WHERE coalesce(source <> 'src1', true) AND doc_id NOT IN (SELECT doc_id FROM new)"""
+)
+def reingest(spark, d):
+    """All documents in an index, then those of one source anew and those of another under another source: what the index holds."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_name"), F.lit(0).alias("chunk_index"), "text")
+    moved = docs.filter("source_name = 'src3'").select("chunk_id", F.concat("source_name", F.lit(" (2)")).alias("source_name"), "chunk_index", F.concat(F.lit("again "), "chunk_id").alias("text"))
+    new = docs.filter("source_name = 'src1'").select((F.col("chunk_id") + 100_000_000).alias("chunk_id"), "source_name", "chunk_index", F.concat(F.lit("new "), "chunk_id").alias("text"))
+    folder = shared_path(spark, "reingest")
+    index.ingest(folder, "docs", docs)
+    index.ingest(folder, "docs", moved.unionByName(new))
+    return index.open_collection(spark, folder, "docs").select("chunk_id", "source_name", "text")
+
+
 def _stem_sql(x: str) -> str:
     ru, en = "|".join(sorted(text.RU_SUFFIXES, key=len, reverse=True)), "|".join(text.EN_SUFFIXES)
     return rf"CASE WHEN len({x}) >= 6 THEN regexp_replace(regexp_replace(replace({x}, 'ё', 'е'), '^(.{{4,}}?)(?:{ru})$', '\1'), '^(.{{4,}}?)(?:{en})$', '\1') ELSE replace({x}, 'ё', 'е') END"
@@ -591,6 +612,26 @@ def flashcards_offline(spark, d):
     return generate.flashcards(table(spark, d, "documents"))
 
 
+@query(
+    rf"""
+WITH s AS (SELECT doc_id, {_LINE_SENT.replace('text', 'substr(text, 1, 18000)')} AS ss FROM documents
+), c AS (SELECT doc_id, list_slice(list_filter(ss, lambda x: len(x) >= 40), 1, 10) AS cs FROM s
+), r AS (SELECT doc_id, generate_subscripts(cs, 1) AS pos, unnest(cs) AS sentence FROM c
+), w AS (SELECT *, list_max(list_transform(regexp_split_to_array(sentence, '\s+'), lambda w: {{'n': len(w), 'w': w}})).w AS answer FROM r
+), q AS (SELECT doc_id, pos, replace(sentence, answer, '____') AS question, answer FROM w
+), o AS (SELECT doc_id, list(answer ORDER BY pos) FILTER (pos <= 4) AS a FROM q GROUP BY doc_id
+), d AS (SELECT doc_id, list_slice(list_filter(a, lambda x, i: list_position(a, x) = i), 1, 3) AS others FROM o
+), t AS (SELECT doc_id, pos, question, answer, list_sort(list_distinct(list_append(others, answer))) AS options FROM q JOIN d USING (doc_id))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INT) AS pos, question, options, CAST(list_position(options, answer) - 1 AS INT) AS correct_index
+FROM t WHERE len(options) >= 2"""
+)
+def flash_tests(spark, d):
+    """The tests of each document's pack: questions, options and the right one's place."""
+    packs = generate.flash_materials(table(spark, d, "documents").select("doc_id", "text"), 10, 10)
+    rows = packs.select("doc_id", F.posexplode("pack.tests").alias("pos", "t"))
+    return rows.select("doc_id", "pos", "t.question", "t.options", "t.correct_index")
+
+
 @query(
     rf"SELECT doc_id, array_to_string(list_slice(string_split(regexp_replace(trim(substr({SQUEEZE.format('text')}, 1, 9000)), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), 1, 3), ' ') AS summary FROM documents"
 )

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -97,12 +99,22 @@ class Files:
         self.fs.delete(self.path(*below), True)
 
 
-def clear(spark: SparkSession) -> int:
-    """Delete the tables that this driver has stored, once their results are written or no longer needed; their number."""
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """What is stored inside is deleted at its end, and nothing else: write the results that read it before."""
+    begin = len(_stored)
+    try:
+        yield
+    finally:
+        clear(spark, begin)
+
+
+def clear(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables that this driver has stored (behind the first `since` of them), once their results are written or no longer needed; their number."""
     from pyarrow import fs
 
     many = 0
-    while _stored:
+    while len(_stored) > since:
         path = _stored.pop()
         if path.startswith("file:"):
             shutil.rmtree(fs.FileSystem.from_uri(path)[1], True)

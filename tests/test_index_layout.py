@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from folioforge import storage
 from folioforge.operators import index, retrieval
 
 SCHEMA = "chunk_id string, source_name string, chunk_index int, text string"
@@ -130,3 +131,13 @@ def test_postings_give_the_same_scores(spark, tmp_path):
     want = retrieval.token_postings(index.open_collection(spark, folder, "docs"))
     assert sorted(map(str, flat.select("chunk_id", "token", "tf", "size").collect())) == sorted(map(str, want.select("chunk_id", "token", "tf", "size").collect()))
     assert "regexp" not in flat._jdf.queryExecution().optimizedPlan().toString().replace("regexp_extract(_metadata", "")
+
+
+def test_scopes_of_stored_tables(spark):
+    outer = storage.stored(spark.range(5), "outer")
+    with storage.scope(spark):
+        inner = storage.stored(spark.range(7), "inner")
+        assert inner.count() == 7
+    assert outer.count() == 5
+    with pytest.raises(Exception, match="(?i)not exist|not found|no such"):
+        inner.collect()
