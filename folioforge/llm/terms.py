@@ -1,8 +1,8 @@
 """Corpus-wide term tables, and sums of a term's value over each document without materialising its tokens.
 
-Terms are counted once over all documents. The most frequent HOT of them, each of at most HOT_LENGTH characters, go
-to the workers as one dictionary of bounded size; all others are joined by term. So no hot term meets in one task,
-and what is broadcast does not grow with the corpus.
+Terms are counted once over all documents. The most frequent HOT of them, of HOT_BYTES in all, go to the workers as one
+dictionary of bounded size; all others are joined by term. So no hot term meets in one task, long separator lines
+included, and what is broadcast does not grow with the corpus.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map
 
-HOT, HOT_LENGTH = 1 << 17, 48
+HOT, HOT_BYTES = 1 << 17, 24 << 20
 #: Distinct terms that a task holds before it passes on what it has counted.
 FLUSH = 400_000
 
@@ -40,18 +40,18 @@ def counted(texts: DataFrame, split: Callable[[str], Iterable[str]]) -> DataFram
 
 
 def hottest(terms: DataFrame, value: str, most: int = HOT) -> dict[str, float]:
-    """The most frequent terms with their values, at most `most` and of bounded length each: a bounded dictionary.
+    """The most frequent terms with their values, at most `most` and HOT_BYTES of UTF-8 in all: a bounded dictionary.
 
-    A histogram over n, in 16 steps to a doubling, says from which step on terms are few enough; a filter takes them. So
-    no task sorts or gathers terms.
+    A histogram over n, in 16 steps to a doubling, says from which step on terms are few and short enough; a filter takes them. So
+    no task sorts or gathers terms. A term that takes a sixteenth of the bytes or more is left to the join: it costs there no more than its texts do.
     """
     step = F.floor(F.log2(F.col("n")) * 16)
-    short = terms.filter((F.length("term") <= HOT_LENGTH) & (F.col("n") > 0)).withColumn("step", step)
-    left, least = most, None
-    for row in sorted(short.groupBy("step").count().collect(), key=lambda r: -r["step"]):
-        if row["count"] > left:
+    short = terms.filter((F.octet_length("term") < HOT_BYTES // 16) & (F.col("n") > 0)).withColumn("step", step)
+    left, room, least = most, HOT_BYTES, None
+    for row in sorted(short.groupBy("step").agg(F.count("*").alias("count"), F.sum(F.octet_length("term")).alias("bytes")).collect(), key=lambda r: -r["step"]):
+        if row["count"] > left or row["bytes"] > room:
             break
-        left, least = left - row["count"], row["step"]
+        left, room, least = left - row["count"], room - row["bytes"], row["step"]
     if least is None:
         return {}
     got = short.filter(F.col("step") >= least).select("term", value).toArrow()

@@ -9,7 +9,7 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
-from folioforge.llm import common, encoding, neardup, ordermin, quality, secrets, token_counts, training_order  # noqa: E402
+from folioforge.llm import common, encoding, neardup, ordermin, quality, secrets, terms, token_counts, training_order  # noqa: E402
 
 WORD, BYTE, RANKS = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"))
 WIDE = 1 << 64
@@ -158,3 +158,22 @@ def test_stored_tables_can_be_cleared(spark):
 
     path = common.stored(spark.range(3), "some").inputFiles()[0].removeprefix("file://")
     assert os.path.exists(path) and common.clear(spark) > 0 and not os.path.exists(path)
+
+
+def test_long_hot_terms_are_sent_not_joined(spark, monkeypatch):
+    """A long separator that every document has is in the dictionary; terms beyond its bytes are not, and counts are the same."""
+    from tokenizers import Tokenizer
+
+    line = "-" * 300
+    rows = [(k, f"{line} word{k % 7} {line}\n" + "\u00e9" * (k % 5) + "z" * 5000 * (k % 2)) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    table = token_counts.piece_counts(df, BYTE)
+    hot = terms.hottest(table, "pieces")
+    assert any(t.strip().startswith("-" * 100) for t in hot) and len(hot) == table.count()
+    t = Tokenizer.from_file(BYTE)
+    want = sorted((k, len(x.encode()), len(t.encode(x, add_special_tokens=False).ids)) for k, x in rows)
+    for most in (terms.HOT_BYTES, 1600):
+        monkeypatch.setattr(terms, "HOT_BYTES", most)
+        assert sum(len(x.encode()) for x in terms.hottest(table, "pieces")) <= most
+        assert sorted((r.doc_id, r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(df, BYTE).collect()) == want
+    assert len(terms.hottest(table, "pieces")) < len(hot)
