@@ -13,8 +13,9 @@ NUMBER = r"\d+(?:[.,]\d+)?%?"
 
 
 def scored(results: DataFrame) -> DataFrame:
+    """query_id, rank, text, source, s (the score, 0 at least) and nothing else, so that no column of a caller is in the way."""
     source = F.coalesce(F.when(F.col("source_name") != "", F.col("source_name")), F.concat(F.lit("Источник "), F.col("rank").cast("string")))
-    return results.withColumn("source", short_text(source, 64)).withColumn("s", F.greatest(F.lit(0.0), F.coalesce(F.col("score").cast("double"), F.lit(0.0))))
+    return results.select("query_id", "rank", "text", short_text(source, 64).alias("source"), F.greatest(F.lit(0.0), F.coalesce(F.col("score").cast("double"), F.lit(0.0))).alias("s"))
 
 
 def theme_phrases(text: Column) -> Column:

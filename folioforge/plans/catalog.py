@@ -481,25 +481,61 @@ def _points_sql(cte: str, rows: str, prefix: str, least: int, label: str) -> str
     return cte + _POINTS.replace("{rows}", rows).replace("{prefix}", prefix).replace("{least}", str(least)).replace("{label}", label)
 
 
-@query(_points_sql(_THEMES.replace("{most}", "6"), "SELECT query_id, place, CASE WHEN len(name) <= 48 THEN name WHEN contains(substr(name, 1, 48), ' ') THEN regexp_extract(substr(name, 1, 48), '^(.*) [^ ]*$', 1) ELSE substr(name, 1, 48) END AS name, value FROM bars", "bar", 4, "Тема"))
+_BAR_ROWS = "SELECT query_id, place, CASE WHEN len(name) <= 48 THEN name WHEN contains(substr(name, 1, 48), ' ') THEN regexp_extract(substr(name, 1, 48), '^(.*) [^ ]*$', 1) ELSE substr(name, 1, 48) END AS name, value FROM bars"
+_PIE_ROWS = "SELECT query_id, place, source_name AS name, round(c / sum(c) OVER (PARTITION BY query_id) * 100, 2) AS value FROM k"
+_LINE_ROWS = "SELECT query_id, rank AS place, 'Чанк ' || rank AS name, round(score * 100, 2) AS value FROM f WHERE rank <= 6"
+_PIE = """, g AS (SELECT query_id, source_name, count(*) AS c, min(rank) AS r FROM f GROUP BY query_id, source_name
+), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY c DESC, r) AS INT) AS place FROM g QUALIFY place <= 4)"""
+
+
+@query(_points_sql(_THEMES.replace("{most}", "6"), _BAR_ROWS, "bar", 4, "Тема"))
 def infographic_bar(spark, d):
     return _points(facts.bar_points(results(spark, d)))
 
 
-@query(_points_sql(_TOP40 + """, g AS (SELECT query_id, source_name, count(*) AS c, min(rank) AS r FROM f GROUP BY query_id, source_name
-), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY c DESC, r) AS INT) AS place FROM g QUALIFY place <= 4)""", "SELECT query_id, place, source_name AS name, round(c / sum(c) OVER (PARTITION BY query_id) * 100, 2) AS value FROM k", "pie", 3, "Источник"))
+@query(_points_sql(_TOP40 + _PIE, _PIE_ROWS, "pie", 3, "Источник"))
 def infographic_pie(spark, d):
     return _points(facts.pie_points(results(spark, d)))
 
 
-@query(_points_sql(_TOP40, "SELECT query_id, rank AS place, 'Чанк ' || rank AS name, round(score * 100, 2) AS value FROM f WHERE rank <= 6", "line", 4, "Чанк"))
+@query(_points_sql(_TOP40, _LINE_ROWS, "line", 4, "Чанк"))
 def infographic_line(spark, d):
     return _points(facts.line_points(results(spark, d)))
 
 
-@query()
+def _data_sql(name: str, rows: str, least: int, label: str) -> str:
+    """A chart's points of every query with a result, filled up with zeros, as a list."""
+    return f""", given_{name} AS ({rows}), ids_{name} AS (SELECT query_id, coalesce(max(place), 0) AS n FROM (SELECT DISTINCT query_id FROM f) LEFT JOIN given_{name} USING (query_id) GROUP BY query_id
+), full_{name} AS (SELECT query_id, place, name, CAST(value AS DOUBLE) AS value FROM given_{name} UNION ALL SELECT query_id, place, '{label} ' || place, 0.0 FROM (SELECT query_id, CAST(unnest(range(n + 1, {least} + 1)) AS INT) AS place FROM ids_{name})
+), data_{name} AS (SELECT query_id, list({{'id': '{name}-' || place, 'name': name, 'value': value}} ORDER BY place) AS {name}_data FROM full_{name} GROUP BY query_id)"""
+
+
+_INSIGHT_PARTS, _INSIGHTS = _SAID.removeprefix(_TOP40).rsplit("\nSELECT ", 1)
+_FACT_SHEETS = (
+    _THEMES.replace("{most}", "6") + _PIE + _data_sql("bar", _BAR_ROWS, 4, "Тема") + _data_sql("pie", _PIE_ROWS, 3, "Источник") + _data_sql("line", _LINE_ROWS, 4, "Чанк") + _INSIGHT_PARTS + ", five AS (SELECT " + _INSIGHTS + r"""
+), mt AS (SELECT query_id, count(*) AS chunks, count(DISTINCT source_name) AS sources, round(avg(score) * 100, 2) AS mean_score, CAST(sum(len(regexp_extract_all(text, '\d+(?:[.,]\d+)?%?'))) AS BIGINT) AS numbers FROM f GROUP BY query_id
+), fo AS (SELECT query_id, list(sentence ORDER BY place) AS found FROM five GROUP BY query_id
+), al AS (SELECT *, coalesce(found, []) AS held, [
+    format('Ключевая тема контекста: {} ({:.1f}% тематического веса).', bar_data[1].name, bar_data[1].value),
+    'В документе доминируют темы: ' || array_to_string(list_transform(bar_data[1:3], lambda p: p.name), ', ') || '.',
+    format('Средний релевантный score составляет {:.1f}%, анализ охватывает {} чанков.', mean_score, chunks)] AS more
+  FROM mt JOIN data_bar USING (query_id) JOIN data_pie USING (query_id) JOIN data_line USING (query_id) LEFT JOIN fo USING (query_id)
+)
+SELECT query_id, CAST(to_json({'title': 'Инфографика', 'subtitle': 'Агрегированный контекст источников', 'metrics': [
+    {'id': 'metric-1', 'name': 'Показатель 1', 'value': CAST(chunks AS VARCHAR), 'unit': 'шт', 'description': 'Количество отобранных фрагментов контекста.'},
+    {'id': 'metric-2', 'name': 'Показатель 2', 'value': CAST(sources AS VARCHAR), 'unit': 'шт', 'description': 'Число источников в выборке.'},
+    {'id': 'metric-3', 'name': 'Показатель 3', 'value': CAST(mean_score AS VARCHAR), 'unit': '%', 'description': 'Средний интегральный score по retrieval.'},
+    {'id': 'metric-4', 'name': 'Показатель 4', 'value': CAST(numbers AS VARCHAR), 'unit': 'шт', 'description': 'Количество обнаруженных числовых упоминаний.'}],
+  'bar_chart': {'title': 'График 1', 'x_axis_label': 'Категория', 'y_axis_label': 'Значение', 'legend': 'Распределение по категориям', 'data': bar_data},
+  'pie_chart': {'title': 'График 2', 'legend': 'Доли категорий', 'data': pie_data},
+  'line_chart': {'title': 'График 3', 'x_axis_label': 'Шаг', 'y_axis_label': 'Значение', 'legend': 'Динамика показателя', 'data': line_data},
+  'key_insights': CASE WHEN len(held) < 3 THEN list_concat(held, more)[1:5] ELSE held END}) AS VARCHAR) AS facts FROM al"""
+)
+
+
+@query(_FACT_SHEETS)
 def infographic_facts(spark, d):
-    """The whole fact sheet as JSON; its parts have SQL above."""
+    """The whole fact sheet as JSON."""
     return facts.payload(results(spark, d), require_cyrillic=False).select("query_id", F.to_json("facts").alias("facts"))
 
 
