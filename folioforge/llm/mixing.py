@@ -131,6 +131,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     The one pass of a source that its target cuts short holds the first words only, with single spaces between.
     n_chars is set anew for it where it is a column.
+
+    Cases: documents without a word (null, empty or blank texts), and those that the mix takes nothing of, have no row;
+    repeated rows are read each; a null doc_id or source stays null; equal positions go by doc_id; columns of any names come out as they were; an empty table gives no rows.
     """
     columns = docs.columns
     rows = mix(docs, tuple(columns)).select("*", F.posexplode("positions").alias("pass", "position"))

@@ -389,7 +389,8 @@ def redacted(text: str, mark: str = "[SECRET]") -> str:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with its columns as they are, secrets in text replaced by a mark, and n_chars set anew where it is a column.
 
-    Null texts stay null; rows without a secret are unchanged.
+    Cases: null texts stay null; rows without a secret are unchanged; repeated rows stay as they are, each; a text that
+    holds the mark already keeps it; texts of any length are taken whole; an empty table gives no rows.
     """
     from pyspark.sql import functions as F
 
