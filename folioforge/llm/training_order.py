@@ -122,6 +122,7 @@ def training_order(docs: DataFrame, vocabulary: str, length: int = LENGTH, per_s
 
     Sequences are numbered by the table's parts, and the keyed permutation gives each number its slot; slot //
     per_shard is its shard and slot % per_shard its place there. Counts of parts are one number a task.
+    A table that is split into other parts (other files, another maxPartitionBytes) has other sequences, and another order.
     Cases: a null or empty text is an end id alone; repeated rows are encoded as often; a null doc_id stays null in
     doc_ids; an empty table gives no rows; other columns are ignored; texts of any length are cut.
     """
@@ -208,7 +209,8 @@ def write_shards(ordered: DataFrame, folder: str, vocabulary: str, length: int =
     shard, path, sequences, tokens, sha256. Record k of a shard begins at byte k * length * 2 (4 for vocabularies of
     65,535 ids and more), so a reader resumes at any slot. A short record is filled up with an id behind the end id,
     which no text has. A file is written under another name and renamed, so a lost executor leaves no half shard; one
-    that is there already with the same bytes is kept, any other is replaced. An empty table writes nothing.
+    that is there already with the same bytes is kept, any other is replaced. An empty table writes nothing. Files
+    that an earlier run with more shards left in the folder stay there; the manifest says which ones belong to this run.
     """
     ddl = "shard long, path string, sequences long, tokens long, sha256 string"
     schema = pa.schema([(f.name, f.type) for f in arrow_schema(ddl)])
