@@ -12,7 +12,7 @@ from tokenizers import Tokenizer  # noqa: E402
 import corpus_pipeline  # noqa: E402
 from folioforge.llm import quality, secrets  # noqa: E402
 
-SF = "/root/testdata/sf0.001"
+FROM = "/root/testdata/sf0.01"
 WORDS = re.compile("[^ \t-\r]+")
 
 
@@ -72,31 +72,34 @@ def mixture(docs):
     return out
 
 
-def test_stages_and_whole(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+def test_stages_and_whole(spark, tmp_path):
+    folder = str(tmp_path)
+    spark.read.parquet(f"{FROM}/documents.parquet").filter("doc_id < 500").write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{FROM}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
     rows = [r.asDict() for r in docs.collect()]
     stages = dict(corpus_pipeline.STAGES)
     assert list(stages) == ["quality", "near_duplicates", "secrets", "mixing", "bpe"]
     plain = lambda df: sorted((r.doc_id, r.text or "", r.source, r.lang) for r in df.collect())
     want = lambda rows: sorted((d["doc_id"], d["text"] or "", d["source"], d["lang"]) for d in rows)
 
-    model = quality.learn(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    model = quality.learn(docs, spark.read.parquet(f"{folder}/labels.parquet"))
     good = [d for d in rows if model.score(d["text"] or "") >= quality.THRESHOLD]
-    at = stages["quality"](spark, docs, SF)
+    at = stages["quality"](spark, docs, folder)
     assert plain(at) == want(good) and 0 < len(good) < len(rows)
 
     single = one_of_each(good)
-    at = stages["near_duplicates"](spark, at, SF)
+    at = stages["near_duplicates"](spark, at, folder)
     assert plain(at) == want(single) and len(single) < len(good)
 
     clean = [d | {"text": secrets.redacted(d["text"] or "")} for d in single]
-    at = stages["secrets"](spark, at, SF)
+    at = stages["secrets"](spark, at, folder)
     assert plain(at) == want(clean) and sum(a["text"] != b["text"] for a, b in zip(single, clean, strict=True)) > 0
 
     read = mixture(clean)
-    at = stages["mixing"](spark, at, SF)
+    at = stages["mixing"](spark, at, folder)
     assert sorted((r.doc_id, r.text) for r in at.collect()) == sorted(read) and len(read) > len({d for d, _ in read})
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     ids = sorted((d, t.encode(x, add_special_tokens=False).ids) for d, x in read)
-    assert sorted((r.doc_id, list(r.ids)) for r in corpus_pipeline.run(spark, SF).collect()) == ids
+    assert sorted((r.doc_id, list(r.ids)) for r in corpus_pipeline.run(spark, folder).collect()) == ids
