@@ -17,7 +17,7 @@ from .sources import readers
 
 @dataclass(frozen=True)
 class Settings:
-    """Where the index is, and defaults. Explicit values, 0 included, go before them."""
+    """Where the index is, and defaults. Explicit values, 0 included, go before them. New collections keep postings if keep_postings says so; retrieval uses those that are kept."""
 
     folder: str
     collection: str = "docs"
@@ -30,6 +30,7 @@ class Settings:
     rerank_blend: float = retrieval.RERANK_BLEND
     model: str = "default"
     backends: Backends = OFFLINE
+    keep_postings: bool = False
 
 
 def health() -> dict:
@@ -68,7 +69,7 @@ def ingest_documents(s: Settings, docs: DataFrame, path: str = "path", source_na
     """Chunk, embed and index texts (path, source_name, text)."""
     size, overlap = (chunk_size if chunk_size > 0 else s.chunk_size), (chunk_overlap if chunk_overlap > 0 else s.chunk_overlap)
     chunks = chunking.build_chunks(docs, path, source_name, "text", size, overlap, overrides)
-    return index.ingest(s.folder, collection or s.collection, generate.embed(chunks, "text", backends=s.backends, model=s.model), files=files)
+    return index.ingest(s.folder, collection or s.collection, generate.embed(chunks, "text", backends=s.backends, model=s.model), files=files, keep_postings=s.keep_postings)
 
 
 def ingest(spark: SparkSession, s: Settings, paths: list[str], collection: str | None = None, chunk_size: int = 0, chunk_overlap: int = 0, overrides: DataFrame | None = None) -> dict:

@@ -162,3 +162,16 @@ def test_answers_that_are_no_tables(spark):
             generate.extract_table(docs, backends=Backends(text=lambda p: [answer] * len(p), tries=1)).collect()  # noqa: B023
         with pytest.raises(Exception, match="no JSON object"):
             generate.flash_materials(docs, backends=Backends(text=lambda p: [answer] * len(p), tries=1)).collect()  # noqa: B023
+
+
+def test_retrieval_with_kept_postings(spark, tmp_path):
+    for i in range(5):
+        (tmp_path / f"f{i}.txt").write_text(f"Document number {i} tells about topic{i} and topic{(i + 1) % 5} only. " * 4)
+    queries = spark.createDataFrame([(1, "what about topic3"), (2, "topic1 please")], "query_id int, query_text string")
+    found = []
+    for keep in (False, True):
+        s = api.Settings(str(tmp_path / f"store-{keep}"), keep_postings=keep)
+        api.ingest(spark, s, [f"{tmp_path}/f{i}.txt" for i in range(5)])
+        assert (api.index.postings(spark, s.folder, "docs") is not None) == keep
+        found.append(sorted((r.query_id, r["rank"], r.source_name, r.score) for r in api.retrieve(spark, s, queries, min_score=0.0).collect()))
+    assert found[0] == found[1] and len(found[0]) == 10
