@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import terms
-from .common import arrow_map, stored
+from .common import arrow_map, one_thread, stored
 
 FOLDS, HELD = 7, 2
 #: The term that ends every document; no word can be it.
@@ -250,6 +250,7 @@ class Trainer:
     """Adagrad over batches of windows; `state` holds the sums of squared gradients."""
 
     def __init__(self, model: Model, state: dict[str, np.ndarray] | None = None, rate: float | None = None):
+        one_thread()
         self.m, self.rate = model, np.float32(RATE if rate is None else rate)
         self.p = {k: v.copy() for k, v in model.params.items()}
         self.state = {k: v.copy() for k, v in (state or {k: np.full_like(v, 1e-6) for k, v in self.p.items()}).items()}
@@ -330,6 +331,7 @@ _BLOCK = 256
 
 def text_logs(m: Model, sub: Subwords, parts: list[list[str]]) -> list[float]:
     """ln of the probability of each list of tokens. Windows overlap; each subword counts once, with the most context."""
+    one_thread()
     out = np.zeros(len(parts))
     for k in range(0, len(parts), 64):
         streams = [m.place[sub.ids(p)] for p in parts[k : k + 64]]

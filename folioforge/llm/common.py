@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import glob
+import os
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +36,16 @@ def batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+@lru_cache(maxsize=1)
+def one_thread() -> None:
+    """Matrix products of this process take one core from now on: Spark runs a task on each, and threads of small products wait for each other, at full load."""
+    for path in glob.glob(os.path.join(os.path.dirname(np.__file__), os.pardir, "numpy.libs", "*openblas*")):
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
