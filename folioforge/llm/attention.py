@@ -7,9 +7,11 @@ from array import array
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import groupby
+from math import prod
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,37 @@ def tokens(text: str) -> list[str]:
     return [*map(bytes.decode, words(text)), END]
 
 
+def parted(texts: list[str]) -> pa.LargeListArray:
+    """The words of each text, and an empty one for blanks at either end of it."""
+    return pc.ascii_split_whitespace(pc.ascii_lower(pa.array([t.encode("utf-8", "replace") for t in texts], pa.large_string())))
+
+
+#: Bytes of words that a task counts at a time.
+_COUNTED = 32 << 20
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """terms.counted(texts, tokens): term, n over all rows of texts."""
+
+    def tally(held: list[pa.Array], docs: int) -> dict[str, pa.Array]:
+        found = pa.chunked_array(held, pa.large_string()).value_counts()
+        word, n = found.field("values"), found.field("counts")
+        real = pc.not_equal(word, "")
+        return {"term": pa.concat_arrays([word.filter(real).cast(pa.string()), pa.array([END] * (docs > 0), pa.string())]), "n": pa.concat_arrays([n.filter(real), pa.array([docs] * (docs > 0), pa.int64())])}
+
+    def rows(it):
+        held, docs = [], 0
+        for b in it:
+            held.append(parted(b["text"]).flatten())
+            docs += len(b["text"])
+            if sum(x.nbytes for x in held) > _COUNTED:
+                yield tally(held, docs)
+                held, docs = [], 0
+        yield tally(held, docs)
+
+    return arrow_map(texts.select("text"), "term string, n long", rows).groupBy("term").agg(F.sum("n").alias("n"))
+
+
 @lru_cache(maxsize=2)
 class Subwords:
     """word -> packed ids of a byte-level rank file, the word with a space before it; the end has the first free id."""
@@ -55,12 +88,34 @@ class Subwords:
         self.size = self.end + 1
         #: Bytes of an id: two where all ids and one more, for what fills records up, have room in them.
         self.code = "H" if self.size < 1 << 16 else "I"
+        #: Bytes that an id stands for.
+        self.bytes = np.zeros(self.size, np.int64)
+        self.bytes[list(ranks.values())] = list(map(len, ranks))
         self.words = _Packed(self)
 
     def packed(self, word: str | bytes) -> bytes:
         word = word if isinstance(word, str) else word.decode()
         return array(self.code, [self.end] if word == END else self.encode(" " + word)).tobytes()
 
+    def packed_all(self, words: list[bytes]) -> list[bytes]:
+        """packed of each word, encoded as one text: patterns part words at the space before each, unless a word has a blank in it itself."""
+        plain = [w for w in words if len(w.decode().split()) == 1]
+        ids = np.array(self.encode(" " + b" ".join(plain).decode()) if plain else [], self.code)
+        cuts = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(w) + 1 for w in plain]), side="left") + 1
+        ends, whole = (cuts * ids.itemsize).tolist(), ids.tobytes()
+        if len(plain) == len(words):
+            return [whole[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        found = {w: whole[a:b] for w, a, b in zip(plain, [0, *ends], ends, strict=False)}
+        return [found[w] if w in found else self.packed(w) for w in words]
+
+    def packed_words(self, words: list[bytes]) -> list[bytes]:
+        """packed of distinct words, kept as far as there is room; an empty word has no ids."""
+        out = list(map(self.words.get, words))
+        at = [k for k, f in enumerate(out) if f is None and words[k]]
+        for k, f in zip(at, self.packed_all([words[k] for k in at]), strict=True):
+            out[k] = self.words.keep(words[k], f)
+        return [f or b"" for f in out]
+
     def ids(self, words: list[str] | list[bytes]) -> np.ndarray:
         found = list(map(self.words.get, words))
         if None in found:
@@ -72,6 +127,41 @@ class Subwords:
         """ids(tokens(text))."""
         return self.ids([*words(text), END.encode()])
 
+    def many_ids(self, texts: list[str]) -> list[np.ndarray]:
+        """text_ids of each text: each distinct word of them all is looked up once."""
+        cut = parted(texts)
+        coded = cut.flatten().dictionary_encode()
+        # Blanks at a text's ends leave empty words, which have no ids.
+        spelt = coded.dictionary.cast(pa.binary())
+        packed = self.packed_words(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(spelt)], pa.int32()), spelt), b" ")[0].as_py().split(b" ") if len(spelt) else [])
+        held = np.frombuffer(b"".join(packed), np.dtype(self.code))
+        size = np.fromiter(map(len, packed), np.int64, len(packed)) // held.itemsize
+        word = coded.indices.to_numpy()
+        many = np.take(size, word)
+        ends = np.concatenate([[0], np.cumsum(many)])
+        ids = np.take(held, np.arange(ends[-1]) + np.repeat(np.take(np.cumsum(size) - size, word) - ends[:-1], many))
+        cuts, last = ends[cut.offsets.to_numpy()].tolist(), np.array([self.end], held.dtype)
+        return [np.concatenate([ids[a:b], last]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+    def stream(self, texts):
+        """text_ids of each text, some of them at a time."""
+        held, size = [], 0
+        for t in texts:
+            held.append(t)
+            size += len(t)
+            if size > _TOGETHER:
+                yield from self.many_ids(held)
+                held, size = [], 0
+        if held:
+            yield from self.many_ids(held)
+
+
+#: Words that a worker keeps with their ids.
+_KEPT = 500_000
+#: Characters of texts that are encoded together.
+_TOGETHER = 4 << 20
+
 
 class _Packed(dict):
     def __init__(self, owner):
@@ -79,8 +169,10 @@ class _Packed(dict):
         self.owner = owner
 
     def __missing__(self, word: str | bytes) -> bytes:
-        found = self.owner.packed(word)
-        if len(self) < 500_000 and len(word) <= 48:
+        return self.keep(word, self.owner.packed(word))
+
+    def keep(self, word: str | bytes, found: bytes) -> bytes:
+        if len(self) < _KEPT and len(word) <= 48:
             self[word] = found
         return found
 
@@ -145,20 +237,34 @@ def fresh(counts: np.ndarray, end: int, seed: int = 7) -> Model:
 #: Later positions have no part in a row's greatest value, nor in its sum.
 _MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 _ONES = np.ones(LARGE + 4096, np.float32)
-#: Outputs that are worked out at a time.
-_CELLS = 4 << 20
+#: Outputs that are worked out at a time: their values stay in a core's cache.
+_CELLS = 1 << 16
+#: Rows of a product that are multiplied at a time: the library is quicker on many small products than on one of millions of short rows.
+_ROWS = 256
+#: Exponents beyond this, either way, are shifted by the greatest of their row.
+_FAR = 40.0
+#: Windows that attention goes through at a time.
+_BLOCK = 64
+
+
+#: Numbers that are asked for at a time: numpy asks for large pages if it is much.
+_ARENA = 4 << 20
 
 
 class _Room:
     """Memory for the large arrays of a step, which is used again in the next one: fresh pages cost more than the sums in them."""
 
     def __init__(self):
-        self.held: dict[str, np.ndarray] = {}
+        self.held: dict[str | tuple[str, int], np.ndarray] = {}
+        self.rest = np.empty(0, np.float32)
 
-    def __call__(self, name: str, *shape: int) -> np.ndarray:
-        size = int(np.prod(shape))
+    def __call__(self, name: str | tuple[str, int], *shape: int) -> np.ndarray:
+        size = prod(shape)
         if name not in self.held or self.held[name].size < size:
-            self.held[name] = np.empty(size + size // 4, np.float32)
+            many = (size + size // 4 + 15) & -16
+            if many > len(self.rest):
+                self.rest = np.empty(max(many, _ARENA), np.float32)
+            self.held[name], self.rest = self.rest[:many], self.rest[many:]
         return self.held[name][:size].reshape(shape)
 
 
@@ -169,14 +275,28 @@ def _turned(x: np.ndarray) -> np.ndarray:
     return x.swapaxes(1, 2)
 
 
-def _wide(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether a product of rows of a and b can be out of -60 .. 60, by their lengths."""
-    size = lambda x: np.einsum("ij,ij->i", x, x).max(initial=0.0)
-    return bool(size(a) * size(b) > 3600)
+def _times(a: np.ndarray, b: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """a @ b for many short rows a."""
+    even = len(a) - len(a) % _ROWS
+    if even:
+        np.matmul(a[:even].reshape(-1, _ROWS, a.shape[1]), b, out=out[:even].reshape(-1, _ROWS, b.shape[1]))
+    if even < len(a):
+        np.matmul(a[even:], b, out=out[even:])
+    return out
+
+
+def _gram(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b for many short rows."""
+    even = len(a) - len(a) % _ROWS
+    total = a[even:].T @ b[even:]
+    if even:
+        total += np.matmul(_turned(a[:even].reshape(-1, _ROWS, a.shape[1])), b[:even].reshape(-1, _ROWS, b.shape[1])).sum(axis=0)
+    return total
 
 
-def _exp(z: np.ndarray, wide: bool, mask: np.ndarray | None = None) -> np.ndarray | float:
-    """z becomes exp(z - shift); the shift of a row is its greatest value if z is wide, else 0, which is quicker and the same softmax."""
+def _exp(z: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray | float:
+    """z becomes exp(z - shift); the shift of a row is its greatest value if some value is far from 0, else 0, which is quicker and the same softmax."""
+    wide = z.max(initial=0.0) > _FAR or z.min(initial=0.0) < -_FAR
     if mask is not None:
         z += mask
     shift = z.max(axis=-1) if wide else 0.0
@@ -186,25 +306,60 @@ def _exp(z: np.ndarray, wide: bool, mask: np.ndarray | None = None) -> np.ndarra
     return shift
 
 
-def embedded(p: dict[str, np.ndarray], given: np.ndarray) -> np.ndarray:
-    x = np.take(p["E"], given, axis=0, out=_room("x", *given.shape, WIDTH), mode="clip")
+def embedded(p: dict[str, np.ndarray], given: np.ndarray, place: int = 0) -> np.ndarray:
+    x = np.take(p["E"], given, axis=0, out=_room(("x", place), *given.shape, WIDTH), mode="clip")
     x += p["P"]
     return x
 
 
-def trunk(p: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Masked attention over windows x (n, WINDOW, WIDTH) with a residual, all windows at a time."""
+def inputs(p: dict[str, np.ndarray]) -> np.ndarray:
+    """What makes queries, keys and values of embeddings, the values as O gives them back."""
+    return np.concatenate([p["A"][:, : 2 * WIDTH], p["A"][:, 2 * WIDTH :] @ p["O"]], axis=1)
+
+
+def trunk(w: np.ndarray, x: np.ndarray, h: np.ndarray, place: int = 0) -> tuple[np.ndarray, ...]:
+    """Masked attention over windows x (n, WINDOW, WIDTH) with a residual, all windows at a time; w are the inputs, h takes what comes out.
+
+    What it gives back for the gradient stays as it is until the same place is used again.
+    O is in the values already: (a @ v) @ O is a @ (v @ O). The last component of what comes out is 1 whatever the values are, so the
+    last value is 1, and a row's sum of exponentials comes with its values. a is not divided by that sum, o is.
+    """
     n, flat = len(x), x.reshape(-1, WIDTH)
-    rows = np.matmul(flat, p["A"], out=_room("rows", len(flat), 3 * WIDTH))
+    rows = _times(flat, w, _room(("rows", place), len(flat), 3 * WIDTH))
+    rows[:, -1] = 1
     q, k, v = (rows.reshape(n, WINDOW, 3 * WIDTH)[:, :, j * WIDTH : (j + 1) * WIDTH] for j in range(3))
-    a = np.matmul(q, _turned(k), out=_room("a", n, WINDOW, WINDOW))
-    _exp(a, _wide(rows[:, :WIDTH], rows[:, WIDTH : 2 * WIDTH]), _MASK)
-    a /= (a.reshape(-1, WINDOW) @ _ONES[:WINDOW]).reshape(n, WINDOW, 1)
-    o = np.matmul(a, v, out=_room("o", n, WINDOW, WIDTH))
-    h = np.matmul(o.reshape(-1, WIDTH), p["O"], out=_room("h", n * WINDOW, WIDTH))
-    h += flat
+    turned = _room("turned", n, WIDTH, WINDOW)
+    turned[...] = _turned(k)
+    a = np.matmul(q, turned, out=_room(("a", place), n, WINDOW, WINDOW))
+    _exp(a, _MASK)
+    o = np.matmul(a, v, out=_room(("o", place), n, WINDOW, WIDTH)).reshape(-1, WIDTH)
+    total = o[:, -1].copy()
+    o /= total[:, None]
+    np.add(o, flat, out=h)
     h[:, -1] = 1
-    return h, q, k, v, a, o
+    return x, q, k, v, a, o, total
+
+
+def untrunk(w: np.ndarray, made: tuple[np.ndarray, ...], dh: np.ndarray, dx: np.ndarray) -> np.ndarray:
+    """The gradient of the inputs w, from what trunk made and the gradient dh of what came out; dx takes the gradient of x."""
+    x, q, k, v, a, o, total = made
+    dh[:, -1] = 0
+    # The last value is 1, so what a row's gradients have in common is taken off with the product by the values.
+    dh[:, -1] = np.multiply(dh, o, out=_room("hr", *dh.shape)) @ -_ONES[:WIDTH]
+    e = np.divide(dh, total[:, None], out=_room("hr", *dh.shape)).reshape(x.shape)
+    dh[:, -1] = 0
+    d, turned = _room("d", *x.shape[:2], 3 * WIDTH), _room("turned", len(x), WIDTH, WINDOW)
+    np.matmul(_turned(a), e, out=d[:, :, 2 * WIDTH :])
+    turned[...] = _turned(v)
+    da = np.matmul(e, turned, out=_room("da", *a.shape))
+    da *= a
+    np.matmul(da, k, out=d[:, :, :WIDTH])
+    np.matmul(_turned(da), q, out=d[:, :, WIDTH : 2 * WIDTH])
+    d = d.reshape(-1, 3 * WIDTH)
+    d[:, -1] = 0
+    _times(d, np.ascontiguousarray(w.T), dx)
+    dx += dh
+    return _gram(x.reshape(-1, WIDTH), d)
 
 
 def by_cluster(cluster: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -220,30 +375,42 @@ def inverse(order: np.ndarray) -> np.ndarray:
     return back
 
 
-def logs(m: Model, given: np.ndarray, goal: np.ndarray, live: np.ndarray) -> np.ndarray:
-    """ln of the probability of the goal at each live position of windows (n, WINDOW): its output's, and within a cluster its own."""
-    p = m.params
-    at = np.flatnonzero(live.ravel())
-    h = np.take(trunk(p, embedded(p, given))[0], at, axis=0)
-    g = np.take(goal.ravel(), at).astype(np.int64)
-    c = np.take(m.cluster, g)
-
-    def softmax(h: np.ndarray, w: np.ndarray, at: np.ndarray) -> np.ndarray:
-        out, wide, many = np.empty(len(h)), _wide(h, w), max(1, _CELLS // len(w))
+def goal_logs(m: Model, given: np.ndarray, live: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """ln of the probability of the goals, one for each live position of windows (n, WINDOW): its output's, and within a cluster its own."""
+    p, w, h, done = m.params, inputs(m.params), _room("live", len(goal), WIDTH), 0
+    for k in range(0, len(given), _BLOCK):
+        at, part = np.flatnonzero(live[k : k + _BLOCK]), given[k : k + _BLOCK]
+        all_ = _room("h", part.size, WIDTH)
+        trunk(w, embedded(p, part), all_)
+        np.take(all_, at, axis=0, out=h[done : done + len(at)], mode="clip")
+        done += len(at)
+
+    def softmax(h: np.ndarray, w: np.ndarray, at: np.ndarray, out: np.ndarray) -> None:
+        turned, many = np.ascontiguousarray(w.T), max(1, _CELLS // len(w))
         for k in range(0, len(h), many):
             part = h[k : k + many]
-            z = np.matmul(part, w.T, out=_room("z", len(part), len(w)))
-            mine = z[np.arange(len(z)), at[k : k + many]].astype(np.float64)
-            out[k : k + many] = mine - _exp(z, wide) - np.log(z @ _ONES[: z.shape[1]])
-        return out
-
-    out = softmax(h, p["H"], np.where(c == 0, g, m.bounds[0] - 1 + c))
-    order, parts = by_cluster(c)
-    h, g, add = np.take(h, order, axis=0), np.take(g, order), np.zeros(len(order))
+            z = _times(part, turned, _room("z", len(part), len(w)))
+            mine = np.take(z.reshape(-1), np.arange(0, z.size, len(w)) + at[k : k + many])
+            shift = _exp(z)
+            out[k : k + many] += mine - shift - np.log(z @ _ONES[: len(w)])
+
+    order, parts = by_cluster(np.take(m.cluster, goal))
+    h, g, out = np.take(h, order, axis=0, out=_room("hs", *h.shape), mode="clip"), np.take(goal, order), np.zeros(len(goal))
+    at = g.copy()
+    for k, a, b in parts:
+        at[a:b] = m.bounds[0] - 1 + k
+    softmax(h, p["H"], at, out)
     for k, a, b in parts:
         low, high = m.bounds[k - 1], m.bounds[k]
-        add[a:b] = softmax(h[a:b], p["T"][low:high], g[a:b] - low)
-    return out + np.take(add, inverse(order))
+        softmax(h[a:b], p["T"][low:high], g[a:b] - low, out[a:b])
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+def logs(m: Model, given: np.ndarray, goal: np.ndarray, live: np.ndarray) -> np.ndarray:
+    """goal_logs for goals (n, WINDOW)."""
+    return goal_logs(m, given, live, goal[live].astype(np.int64))
 
 
 class Trainer:
@@ -256,68 +423,69 @@ class Trainer:
         self.state = {k: v.copy() for k, v in (state or {k: np.full_like(v, 1e-6) for k, v in self.p.items()}).items()}
 
     def _move(self, name: str, g: np.ndarray, rows=slice(None)) -> None:
-        square = self.state[name][rows] + g * g
-        self.state[name][rows] = square
+        square = self.state[name][rows]
+        square += g * g
+        if not isinstance(rows, slice):  # a copy, not the rows themselves
+            self.state[name][rows] = square
         self.p[name][rows] -= self.rate * g / np.sqrt(square)
 
     def _output(self, name: str, rows, h: np.ndarray, at: np.ndarray, scale: np.ndarray, dh: np.ndarray) -> None:
-        """Move the outputs of one softmax; dh becomes the gradient of its input."""
+        """Move the outputs of one softmax; the gradient of its input is added to dh."""
         w = self.p[name][rows]
-        g, wide, many = 0.0, _wide(h, w), max(1, _CELLS // len(w))
+        turned, g, many = np.ascontiguousarray(w.T), 0.0, max(1, _CELLS // len(w))
         for k in range(0, len(h), many):
             hk = h[k : k + many]
-            z = np.matmul(hk, w.T, out=_room("z", len(hk), len(w)))
-            _exp(z, wide)
-            total = z @ _ONES[: z.shape[1]]
-            z[np.arange(len(z)), at[k : k + many]] -= total
-            r = (scale[k : k + many] / total)[:, None]
-            np.matmul(z, w, out=dh[k : k + many])
-            dh[k : k + many] *= r
-            g = g + z.T @ np.multiply(hk, r, out=_room("hr", *hk.shape))
+            z = _times(hk, turned, _room("z", len(hk), len(w)))
+            _exp(z)
+            total = z @ _ONES[: len(w)]
+            z.reshape(-1)[np.arange(0, z.size, len(w)) + at[k : k + many]] -= total
+            z *= (scale[k : k + many] / total)[:, None]
+            dh[k : k + many] += _times(z, w, _room("dz", *hk.shape))
+            g = g + _gram(z, hk)
         self._move(name, g, rows)
 
     def step(self, given: np.ndarray, goal: np.ndarray, live: np.ndarray) -> None:
         """One move along the gradient of the mean loss over live positions."""
         p, m = self.p, self.m
-        x = embedded(p, given)
-        h, q, k, v, a, o = trunk(p, x)
-        g, on = goal.ravel().astype(np.int64), live.ravel()
-        scale = on * np.float32(1 / max(1, on.sum()))
-        c = np.take(m.cluster, g)
-        dh = _room("dh", *h.shape)
-        self._output("H", slice(None), h, np.where(c == 0, g, m.bounds[0] - 1 + c), scale, dh)
-        order, parts = by_cluster(np.where(on, c, 0))
-        hs, gs, ss, ds = np.take(h, order, axis=0, out=_room("hs", *h.shape), mode="clip"), np.take(g, order), np.take(scale, order), _room("ds", *h.shape)
-        ds[: parts[0][1] if parts else None] = 0
+        w, on, h = inputs(p), live.ravel(), _room("h", given.size, WIDTH)
+        blocks = [(k, slice(k * WINDOW, (k + _BLOCK) * WINDOW)) for k in range(0, len(given), _BLOCK)]
+        made = [trunk(w, embedded(p, given[k : k + _BLOCK], k), h[rows], k) for k, rows in blocks]
+        order, parts = by_cluster(np.where(on, np.take(m.cluster, goal.ravel()), 0))
+        g = np.take(goal.ravel(), order).astype(np.int64)
+        scale = np.take(on, order) * np.float32(1 / max(1, on.sum()))
+        at = g if not parts else g.copy()
+        for cluster, b, e in parts:
+            at[b:e] = m.bounds[0] - 1 + cluster
+        # A position that is not live has no weight: any output will do as its goal.
+        at[: parts[0][1] if parts else None][scale[: parts[0][1] if parts else None] == 0] = 0
+        hs, ds = np.take(h, order, axis=0, out=_room("hs", *h.shape), mode="clip"), _room("ds", *h.shape)
+        ds[...] = 0
+        self._output("H", slice(None), hs, at, scale, ds)
         for cluster, b, e in parts:
             low, high = m.bounds[cluster - 1], m.bounds[cluster]
-            self._output("T", slice(low, high), hs[b:e], gs[b:e] - low, ss[b:e], ds[b:e])
-        dh += np.take(ds, inverse(order), axis=0, out=_room("hr", *ds.shape), mode="clip")
-        dh[:, -1] = 0
-        do = np.matmul(dh, p["O"].T, out=_room("do", *dh.shape)).reshape(x.shape)
-        d = _room("d", *x.shape[:2], 3 * WIDTH)
-        np.matmul(_turned(a), do, out=d[:, :, 2 * WIDTH :])
-        da = np.matmul(do, _turned(v), out=_room("da", *a.shape))
-        da -= np.einsum("ijk,ijk->ij", do, o)[:, :, None]
-        da *= a
-        np.matmul(da, k, out=d[:, :, :WIDTH])
-        np.matmul(_turned(da), q, out=d[:, :, WIDTH : 2 * WIDTH])
-        d = d.reshape(-1, 3 * WIDTH)
-        dx = np.matmul(d, p["A"].T, out=_room("hs", *dh.shape))
-        dx += dh
-        self._move("O", o.reshape(-1, WIDTH).T @ dh)
-        self._move("A", x.reshape(-1, WIDTH).T @ d)
-        self._move("P", dx.reshape(x.shape).sum(axis=0))
+            self._output("T", slice(low, high), hs[b:e], g[b:e] - low, scale[b:e], ds[b:e])
+        dh, dx = np.take(ds, inverse(order), axis=0, out=_room("dh", *h.shape), mode="clip"), _room("hs", *h.shape)
+        dw = sum(untrunk(w, made[i], dh[rows], dx[rows]) for i, (_, rows) in enumerate(blocks))
+        values, back = p["A"][:, 2 * WIDTH :].copy(), dw[:, 2 * WIDTH :]
+        dw[:, 2 * WIDTH :], do = back @ p["O"].T, values.T @ back
+        self._move("O", do)
+        self._move("A", dw)
+        self._move("P", dx.reshape(*given.shape, WIDTH).sum(axis=0))
         ids = given.ravel()
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
         first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-        self._move("E", np.add.reduceat(np.take(dx, order, axis=0, out=_room("hr", *dx.shape), mode="clip"), first, axis=0), ids[first])
+        self._move("E", np.add.reduceat(np.take(dx, order, axis=0, out=_room("dh", *dx.shape), mode="clip"), first, axis=0), ids[first])
 
 
 def training_windows(m: Model, sub: Subwords, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Given and goal places and live positions (n, WINDOW) of a text from its beginning to its end: each id is a goal once."""
-    places = m.place[sub.text_ids(text)]
+    return windows_of(m, sub, sub.text_ids(text))
+
+
+def windows_of(m: Model, sub: Subwords, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """training_windows of a text with these ids."""
+    places = np.take(m.place, ids)
     stream = np.zeros(-(-len(places) // WINDOW) * WINDOW + 1, np.uint16 if len(m.place) < 1 << 16 else np.int64)
     stream[0] = m.place[sub.end]
     stream[1 : len(places) + 1] = places
@@ -325,16 +493,21 @@ def training_windows(m: Model, sub: Subwords, text: str) -> tuple[np.ndarray, np
     return tuple(x.reshape(-1, WINDOW) for x in (stream[:-1], stream[1:], live))
 
 
-#: Windows that are scored at a time.
-_BLOCK = 256
+#: Windows that are scored at a time: positions of one cluster meet in one product.
+_SCORED = 1024
 
 
 def text_logs(m: Model, sub: Subwords, parts: list[list[str]]) -> list[float]:
-    """ln of the probability of each list of tokens. Windows overlap; each subword counts once, with the most context."""
+    """ln of the probability of each list of tokens."""
+    return id_logs(m, sub, [sub.ids(p) for p in parts])
+
+
+def id_logs(m: Model, sub: Subwords, texts: list[np.ndarray]) -> list[float]:
+    """ln of the probability of each text, given as ids. Windows overlap; each subword counts once, with the most context."""
     one_thread()
-    out = np.zeros(len(parts))
-    for k in range(0, len(parts), 64):
-        streams = [m.place[sub.ids(p)] for p in parts[k : k + 64]]
+    out = np.zeros(len(texts))
+    for k in range(0, len(texts), 64):
+        streams = [np.take(m.place, ids) for ids in texts[k : k + 64]]
         lengths = np.array([len(s) for s in streams])
         goal = np.concatenate(streams)
         first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
@@ -345,12 +518,15 @@ def text_logs(m: Model, sub: Subwords, parts: list[list[str]]) -> list[float]:
         doc = np.repeat(np.arange(len(streams)), many)
         number = np.arange(len(doc)) - np.repeat(np.concatenate([[0], np.cumsum(many)[:-1]]), many)
         start, stop = first[doc] + number * stride, (first + lengths)[doc]
-        each = np.empty(len(goal))
-        for b in range(0, len(doc), _BLOCK):
-            at = start[b : b + _BLOCK, None] + np.arange(WINDOW)
-            live = (at < stop[b : b + _BLOCK, None]) & ((np.arange(WINDOW) >= OVERLAP) | (number[b : b + _BLOCK, None] == 0))
-            held = np.minimum(at, len(goal) - 1)
-            each[at[live]] = logs(m, given[held], goal[held], live)
+        # Live positions follow each other from window to window, so all goals come in their order.
+        each, done = np.empty(len(goal)), 0
+        for b in range(0, len(doc), _SCORED):
+            at = start[b : b + _SCORED, None] + np.arange(WINDOW)
+            live = at < stop[b : b + _SCORED, None]
+            live[:, :OVERLAP] &= number[b : b + _SCORED, None] == 0
+            many = np.count_nonzero(live)
+            each[done : done + many] = goal_logs(m, np.take(given, at, mode="clip"), live, goal[done : done + many])
+            done += many
         out[k : k + 64] = np.add.reduceat(each, first)
     return out.tolist()
 
@@ -366,8 +542,9 @@ def subword_counts(table: DataFrame, vocabulary: str, size: int) -> np.ndarray:
     def rows(it):
         sub, total = Subwords(vocabulary), np.zeros(size)
         for b in it:
-            for w, n in zip(b["term"], b["n"], strict=True):
-                np.add.at(total, np.frombuffer(sub.packed(w), np.dtype(sub.code)), n)
+            packed = sub.packed_all([w.encode() for w in b["term"]])
+            ids = np.frombuffer(b"".join(packed), np.dtype(sub.code))
+            total += np.bincount(ids, np.repeat(np.array(b["n"], float), np.array(list(map(len, packed)), int) // ids.itemsize), size)
         at = np.flatnonzero(total)
         yield {"id": at.tolist(), "n": total[at].tolist()}
 
@@ -425,8 +602,8 @@ def shard_moves(model: Model, state: dict[str, np.ndarray], sub: Subwords, texts
         for k in range(0, many, BATCH):
             trainer.step(given[k : k + BATCH], goal[k : k + BATCH], live[k : k + BATCH])
 
-    for t in texts:
-        held.append(training_windows(model, sub, t))
+    for ids in sub.stream(texts):
+        held.append(windows_of(model, sub, ids))
         waiting += len(held[-1][0])
         if waiting >= 8 * BATCH:
             parts = [np.concatenate(x) for x in zip(*held, strict=True)]
@@ -504,7 +681,7 @@ def score(docs: DataFrame, vocabulary: str, hot: int = 2 * terms.HOT) -> DataFra
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     train_docs = texts.filter(~held_out())
-    table = stored(terms.counted(train_docs, tokens), "words")
+    table = stored(word_counts(train_docs), "words")
     facts = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_all, all_ = facts["n"], float(facts["n"] + facts["v"] + 1)
     table = table.withColumn("value", F.log10((F.col("n") + 1) / F.lit(all_)))
@@ -512,7 +689,8 @@ def score(docs: DataFrame, vocabulary: str, hot: int = 2 * terms.HOT) -> DataFra
     sent = spark.sparkContext.broadcast(learn(train_docs, table, vocabulary))
 
     def extra(raw: list[str], parts: list[list[str]]) -> tuple[list[int], list[float]]:
-        return [0] * len(raw), text_logs(sent.value, Subwords(vocabulary), parts)
+        sub = Subwords(vocabulary)
+        return [0] * len(raw), id_logs(sent.value, sub, list(sub.stream(raw)))
 
     out = terms.summed(texts, table, "value", terms.hottest(table, "value", hot), tokens, extra)
     return out.select(

@@ -179,3 +179,43 @@ def test_outputs_in_parts_are_the_same(monkeypatch):
     b.step(given[:2], goal[:2], live[:2])
     a.step(given[:2], goal[:2], live[:2])
     assert all(np.allclose(a.p[k], b.p[k], atol=1e-4) for k in a.p)
+
+
+ODD = ["", " ", "\t a\x0bB \n", "It's one's 're", "x\u00a0y \u3000 z\u2028", "\x1c \x85a", "Ünï 日本 \U0001f600!! 12345 a_b", "é" * 60 + " word", "a\x00b \x00", "A " * 50 + "end"]
+
+
+@pytest.mark.parametrize("room", [500_000, 3])
+def test_texts_encoded_together(room, monkeypatch):
+    """Words that are looked up and encoded all in one go have the ids that each has by itself, in texts of any blanks and signs."""
+    monkeypatch.setattr(attention, "_KEPT", room)
+    sub = attention.Subwords.__wrapped__(RANKS)
+    one = attention.Subwords.__wrapped__(RANKS)
+    for texts in (ODD, ODD[::-1], [""], []):
+        got = sub.many_ids(texts)
+        assert [g.tolist() for g in got] == [np.concatenate([np.frombuffer(one.packed(w), one.code) for w in attention.tokens(t)]).tolist() for t in texts]
+    monkeypatch.setattr(attention, "_TOGETHER", 10)
+    assert [g.tolist() for g in sub.stream(iter(ODD))] == [g.tolist() for g in one.many_ids(ODD)]
+
+
+def test_words_are_counted_as_by_loops(spark, monkeypatch):
+    df = spark.createDataFrame([(t,) for t in ODD * 3], "text string")
+    want = sorted(terms.counted(df, attention.tokens).collect())
+    assert sorted(attention.word_counts(df).collect()) == want
+    monkeypatch.setattr(attention, "_COUNTED", 1)
+    assert sorted(attention.word_counts(df).collect()) == want
+    assert attention.word_counts(df.limit(0)).count() == 0
+
+
+def test_a_step_needs_few_products():
+    """One window or many, alone or in slices: the same move; attention goes through slices that stay in a core's cache."""
+    m, r = small_model(), np.random.default_rng(11)
+    given, goal = r.integers(0, 700, (2, 2 * attention._BLOCK + 5, W))
+    live = r.random(given.shape) < 0.9
+    seen, trunk, a, b = [], attention.trunk, attention.Trainer(m), attention.Trainer(m)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(attention, "trunk", lambda w, x, *rest: (seen.append(len(x)), trunk(w, x, *rest))[1])
+        a.step(given, goal, live)
+        patch.setattr(attention, "_BLOCK", len(given))
+        b.step(given, goal, live)
+    assert seen == [attention._BLOCK, attention._BLOCK, 5, len(given)]
+    assert all(np.allclose(a.p[k], b.p[k], atol=1e-4) for k in a.p)
