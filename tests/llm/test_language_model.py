@@ -206,7 +206,7 @@ def test_words_are_counted_as_by_loops(spark, monkeypatch):
     assert attention.word_counts(df.limit(0)).count() == 0
 
 
-def test_a_step_needs_few_products():
+def test_attention_in_slices_is_the_same():
     """One window or many, alone or in slices: the same move; attention goes through slices that stay in a core's cache."""
     m, r = small_model(), np.random.default_rng(11)
     given, goal = r.integers(0, 700, (2, 2 * attention._BLOCK + 5, W))
