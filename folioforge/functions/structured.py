@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import bound
 from .text import has_cyrillic, short_text, strip, to_float
 
 POINT = "struct<id:string,name:string,value:double>"
@@ -197,7 +198,7 @@ PACK = "flashcards array<struct<question:string,answer:string>>, tests array<str
 
 def flash_pack(raw: Column) -> Column:
     """struct<flashcards, tests> of a model's answer (PACK), sanitised; what is missing is empty."""
-    return F.struct(sanitized_cards(F.coalesce(raw["flashcards"], F.array())).alias("flashcards"), sanitized_tests(F.coalesce(raw["tests"], F.array())).alias("tests"))
+    return bound(raw, lambda r: F.struct(sanitized_cards(F.coalesce(r["flashcards"], F.array())).alias("flashcards"), sanitized_tests(F.coalesce(r["tests"], F.array())).alias("tests")))
 
 
 def merged_insights(base: Column, others: Column, most: int = 6) -> Column:

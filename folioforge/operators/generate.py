@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import structured
+from ..functions.columns import bound
 from ..functions.text import WS, model_prefix, nonblank, short_text, shorten, squeeze, strip
 from ..storage import stored
 from . import facts, retrieval
@@ -260,33 +261,42 @@ def flash_materials(docs: DataFrame, cards: int = 10, tests: int = 5, topic: str
     """
     text = F.substring(F.coalesce("text", F.lit("")), 1, 18_000)
     if backends is None:
-        return docs.withColumn("pack", structured.flash_pack(_offline_pack(text, cards, tests)))
+        return docs.withColumn("pack", _offline_pack(text, cards, tests))
     ask_ = f"Topic: {topic}\nLanguage: {language}\nMake {cards} flashcards (question, answer) and {tests} tests (question, 4 options, correct_index, explanation) from the context only. Answer with JSON only: {{\"flashcards\": [...], \"tests\": [...]}}\n\n"
     rows = generate(docs, F.concat(F.lit(ask_), text), "pack", backends).withColumn("pack", structured.cards_object(F.col("pack"), structured.PACK))
     checked = F.when(F.col("pack").isNull(), F.raise_error(F.lit("the answer is no JSON object")).cast("struct<flashcards:array<struct<question:string,answer:string>>,tests:array<struct<question:string,options:array<string>,correct_index:string,explanation:string>>>")).otherwise(F.col("pack"))
     return rows.withColumn("pack", structured.flash_pack(checked))
 
 
-def _left_out(text: Column) -> Column:
-    """array<struct<question, answer>>: sentences of forty characters and more, each without its longest word, and that word."""
-    sents = F.filter(nonblank(F.split(text, f"(?<=[.!?]){WS}+|\n+")), lambda s: F.length(s) >= 40)
+def _left_out(text: Column, most: int) -> Column:
+    """array<struct<question, answer>>: the first `most` sentences of forty characters and more, each without its longest word, and that word."""
+    sents = F.slice(F.filter(F.transform(F.split(text, f"(?<=[.!?]){WS}+|\n+"), strip), lambda s: F.length(s) >= 40), 1, most)
     word = lambda s: F.array_max(F.transform(F.split(s, f"{WS}+"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    return F.transform(sents, lambda s: F.struct(F.replace(s, word(s), F.lit("____")).alias("question"), word(s).alias("answer")))
+    return F.transform(sents, lambda s: bound(word(s), lambda w: F.struct(F.replace(s, w, F.lit("____")).alias("question"), w.alias("answer"))))
 
 
 def _offline_pack(text: Column, cards: int, tests: int) -> Column:
-    """Cards, and tests whose options are the answers of up to four cards, in the order of the alphabet."""
-    made = F.slice(_left_out(text), 1, max(cards, tests, 1))
-    others = F.array_distinct(F.slice(F.transform(made, lambda c: c["answer"]), 1, 4))
-    options = lambda c: F.array_sort(F.array_distinct(F.concat(F.array(c["answer"]), F.slice(others, 1, 3))))
-    quiz = F.transform(F.slice(made, 1, max(1, tests)), lambda c: F.struct(c["question"].alias("question"), options(c).alias("options"), (F.array_position(options(c), c["answer"]) - 1).cast("string").alias("correct_index"), F.lit("").alias("explanation")))
-    return F.struct((F.slice(made, 1, max(1, cards)) if cards > 0 else F.slice(made, 1, 1)).alias("flashcards"), quiz.alias("tests"))
+    """Cards, and tests whose options are the answers of up to four cards, in the order of the alphabet; a test needs two. As structured.flash_pack gives them: there are no blanks at the ends, and no empty texts."""
+
+    def quiz(made: Column, others: Column) -> Column:
+        options = lambda c: F.sort_array(F.array_distinct(F.concat(F.array(c["answer"]), others)))
+        test = lambda c, o: F.struct(c["question"].alias("question"), o.alias("options"), (F.array_position(o, c["answer"]) - 1).cast("int").alias("correct_index"), F.lit("").alias("explanation"))
+        rows = F.transform(F.slice(made, 1, max(1, tests)), lambda c: bound(options(c), lambda o: test(c, o)))
+        return F.filter(rows, lambda t: F.size(t["options"]) >= 2)
+
+    def pack(made: Column) -> Column:
+        others = F.slice(F.array_distinct(F.slice(F.transform(made, lambda c: c["answer"]), 1, 4)), 1, 3)
+        return F.struct(F.slice(made, 1, max(1, cards)).alias("flashcards"), bound(others, lambda o: quiz(made, o)).alias("tests"))
+
+    return bound(_left_out(text, max(cards, tests, 1)), pack)
 
 
 def flashcards(docs: DataFrame, most: int = 10) -> DataFrame:
     """Offline question-answer pairs: a sentence with its longest word left out, and that word."""
-    cards = F.slice(_left_out(F.substring("text", 1, 18_000)), 1, most)
-    return docs.select("doc_id", F.posexplode(cards).alias("pos", "card")).select("doc_id", "pos", "card.question", "card.answer")
+    cards = _left_out(F.substring("text", 1, 18_000), most)
+    # The outer form: before the plain one Spark puts a filter that works the cards out a second time.
+    rows = docs.select("doc_id", F.posexplode_outer(cards).alias("pos", "card")).filter(F.col("pos").isNotNull())
+    return rows.select("doc_id", "pos", "card.question", "card.answer")
 
 
 def slide_plan(results: DataFrame, most: int = 8) -> DataFrame:
