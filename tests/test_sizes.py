@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions.columns import bound
 from folioforge.operators import generate
+from folioforge.sources import readers
 
 
 def plain_pack(text: str, cards: int, tests: int):
@@ -41,3 +42,8 @@ def test_a_bound_column_is_worked_out_once(spark):
 
     rows = spark.range(20).select(bound(counted("id"), lambda x: x + x * x + F.when(x > 3, x).otherwise(-x)).alias("y")).collect()
     assert [r.y for r in rows][:5] == [0, 1, 4, 9, 24] and seen.value == 20
+
+
+def test_a_title_keeps_its_quotation_marks(spark):
+    pages = spark.createDataFrame([("<title>token = &quot;0b96&quot; &amp;quot; &#39;x&#39; &lt;b&gt;</title>",)], "html string")
+    assert pages.select(readers.html_title(F.col("html")).alias("t")).first().t == "token = \"0b96\" &quot; 'x' <b>"
