@@ -47,3 +47,41 @@ def test_a_bound_column_is_worked_out_once(spark):
 def test_a_title_keeps_its_quotation_marks(spark):
     pages = spark.createDataFrame([("<title>token = &quot;0b96&quot; &amp;quot; &#39;x&#39; &lt;b&gt;</title>",)], "html string")
     assert pages.select(readers.html_title(F.col("html")).alias("t")).first().t == "token = \"0b96\" &quot; 'x' <b>"
+
+
+def odd_documents():
+    """Words of both scripts with every suffix, repeated and missing doc_ids, empty texts, one sentence without an end, equal counts."""
+    from folioforge.functions.text import EN_SUFFIXES, RU_SUFFIXES
+
+    stems = ["model", "модел", "abcd", "test7", "данн", "2024", "42", "it", "ёлк", "straße", "naïve", "hôtel", "x1"]
+    words = [s + e + r for s in stems for e in ("", *EN_SUFFIXES) for r in ("", *RU_SUFFIXES)]
+    said = lambda k, n, step: " ".join(words[(k + i * step) % len(words)] + (".", ",", "!\n", " ", "? ")[(i * 7 + k) % 5] for i in range(n))
+    rows = [(k, said(k * 37, 60 + 40 * (k % 5), 1 + k % 3) * (1 + k % 3)) for k in range(40)]
+    rows += [(40, " ".join(words[:200] * 3)), (41, ""), (42, None), (43, "One. Two three! the and"), (44, "Alpha beta. Alpha beta. Gamma delta. Gamma delta. "), (45, " \n\n . ! ?")]
+    return [*rows, rows[3], rows[3], rows[7], (9, None), (None, "Alpha beta. Alpha beta."), (None, "Gamma.")]
+
+
+def test_graphs_of_odd_documents_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    spark.createDataFrame(odd_documents(), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for name in ("concept_term_stats", "cooccurrence_edges", "graph_nodes", "graph_edges", "graph_summary", "concept_contexts", "graph_descriptions", "graph_edge_titles"):
+        said = db.execute(entry.oracle_sql()[name])
+        columns = [c[0] for c in said.description]
+        want = sorted(map(repr, said.fetchall()))
+        assert want and sorted(repr(tuple(r)) for r in entry.queries()[name](spark, str(tmp_path)).select(*(f"`{c}`" for c in columns)).collect()) == want, name
+
+
+def test_graphs_need_no_windows(spark):
+    from folioforge.operators import concepts
+
+    docs = spark.createDataFrame([(k, "Alpha beta met gamma. Alpha and beta again. " * 3) for k in range(9)], "doc_id long, text string")
+    g = concepts.graph(docs)
+    for rows in (concepts.term_stats(concepts.documents(docs)), g.nodes, g.edges, concepts.summary(g), concepts.contexts(g), concepts.described(g)):
+        rows.collect()
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan
